@@ -23,7 +23,7 @@ def raw_cohort(spark, sf):
     """Tables as delivered: feature keys are 1000 times the clinical key."""
     wide = tb.wide(spark, sf).withColumn("id", F.col("id") * 1000 + F.pmod(F.col("id"), F.lit(7)))
     features = prep.melt_features(prep.normalise_key(wide, "id", scale=1000))
-    return Cohort(prep.normalise_key(tb.clinical(spark, sf), "id"), features)
+    return Cohort(prep.normalise_key(tb.clinical(spark, sf), "id"), features, len(wide.columns) - 1)
 
 
 @query(

@@ -36,6 +36,7 @@ TOP_N_IN_ONE_TASK = 100_000
 class Cohort:
     clinical: DataFrame
     features: DataFrame
+    n_features: int | None = None  # known width of the measurement table, if any
 
     def then(self, step: Callable[["Cohort"], "Cohort"]) -> "Cohort":
         """Apply a user-supplied preparation step."""
@@ -133,13 +134,14 @@ def complete_feature_ids(features: DataFrame, n_features: int | None = None) ->
     ).select("id")
 
 
-def complete_cases(cohort: Cohort, n_features: int | None = None) -> Cohort:
+def complete_cases(cohort: Cohort) -> Cohort:
     """Keep patients that are complete in both tables."""
     clinical_ids = cohort.clinical.dropna("any").select("id")
-    ids = clinical_ids.intersect(complete_feature_ids(cohort.features, n_features))
+    ids = clinical_ids.intersect(complete_feature_ids(cohort.features, cohort.n_features))
     return Cohort(
         cohort.clinical.join(ids, "id", "left_semi"),
         cohort.features.join(ids, "id", "left_semi"),
+        cohort.n_features,
     )
 
 
@@ -158,6 +160,7 @@ def first_patients(cohort: Cohort, n: int | None) -> Cohort:
     return Cohort(
         cohort.clinical.join(clinical_ids, "id", "left_semi"),
         cohort.features.join(feature_ids, "id", "left_semi"),
+        cohort.n_features,
     )
 
 

@@ -39,7 +39,7 @@ def load_cohort(
     wide = normalise_key(read_table(spark, features_path, fmt), key, feature_key_scale)
     if on_duplicate == "error" and not duplicate_keys(wide).isEmpty():
         raise ValueError("several feature rows share one key after rescaling")
-    return Cohort(clinical, melt_features(wide))
+    return Cohort(clinical, melt_features(wide), len(wide.columns) - 1)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None) -> None:
