@@ -35,15 +35,23 @@ def _add(acc: np.ndarray, grid: np.ndarray, values: np.ndarray, weights: np.ndar
 
 
 def kernel_sums(
-    values: DataFrame, grids: DataFrame, keys: Sequence[str], points: int, kind: str = "pdf"
+    values: DataFrame,
+    grids: DataFrame,
+    keys: Sequence[str],
+    points: int,
+    kind: str = "pdf",
+    on: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows ``(keys, point, x, total)``: the weighted kernel sum at each grid point.
 
-    ``values`` holds ``(keys, value, weight)``; ``grids`` (staged, one row per key) holds
-    ``first``, ``last`` and ``bandwidth`` of ``points`` evenly spaced grid points.
+    ``values`` holds ``(on, value, weight)``; ``grids`` (staged, one row per key) holds
+    ``first``, ``last`` and ``bandwidth`` of ``points`` evenly spaced grid points. ``on``
+    (default: all keys) are the keys that ``values`` carries; every grid of a value's
+    ``on`` keys receives it.
     """
     keys = list(keys)
-    named = attach(values, grids.select(*keys, "first", "last", "bandwidth"), keys, row_bytes=128)
+    on = keys if on is None else list(on)
+    named = attach(values, grids.select(*keys, "first", "last", "bandwidth"), on, row_bytes=128)
     named = named.filter(F.col("bandwidth") > 0)
     ordered = named.repartitionByRange(*[ref(k) for k in keys], F.col("value")).sortWithinPartitions(
         *[ref(k) for k in keys]
@@ -68,7 +76,7 @@ def kernel_sums(
         if current is not None:
             yield emit()
 
-    fields = [f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys]
+    fields = [f"`{k}` {grids.schema[k].dataType.simpleString()}" for k in keys]
     partial = ordered.mapInPandas(run, ", ".join([*fields, "sums array<double>"]))
     totals = (
         partial.select(*keys, F.posexplode("sums").alias("point", "part"))

@@ -32,15 +32,19 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running totals of the columns ``sums`` over ``order`` within ``groups``.
 
-    ``counts`` holds one row per (groups, order). The totals are named ``run_<column>``.
+    ``counts`` holds one row per (groups, order). Adds ``run_<column>`` and the total of
+    the whole group as ``all_<column>``.
     ``bucket`` must not decrease as ``order`` grows.
     """
     keys = [*groups, "__bucket"]
     rows = counts.withColumn("__bucket", bucket)
     totals = rows.groupBy(*keys).agg(*[F.sum(ref(s)).alias(f"__sum_{s}") for s in sums])
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
     offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"__sum_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums]
+        *keys,
+        *[F.coalesce(F.sum(f"__sum_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
+        *[F.sum(f"__sum_{s}").over(whole).alias(f"all_{s}") for s in sums],
     )
     local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.select(
@@ -50,6 +54,7 @@ def running_totals(
     return joined.select(
         *[ref(c) for c in counts.columns],
         *[(F.col(f"__local_{s}") + F.col(f"__before_{s}")).alias(f"run_{s}") for s in sums],
+        *[f"all_{s}" for s in sums],
     )
 
 
