@@ -39,14 +39,14 @@ def draw_samples(ids: DataFrame, size: int, draws: int, root_seed: int) -> DataF
     """Rows (draw, seed, id): ``size`` ids without replacement for each of ``draws`` replicates."""
     spread = ids.select("id").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))))
     ranked = with_uniform(seed_of_draw(spread, root_seed), "u", SAMPLE_STREAM, "seed", "id")
-    return choose_smallest(ranked, ["draw"], "u", "id", F.lit(size)).filter("chosen").select("draw", "seed", "id")
+    return choose_smallest(ranked, ["draw"], "u", "id", size).filter("chosen").select("draw", "seed", "id")
 
 
 def sample_by_seed(ids: DataFrame, size: int, seed: int) -> DataFrame:
     """The ids that ``draw_samples`` picks for one seed."""
     keyed = ids.select("id").withColumn("seed", F.lit(seed).cast("bigint")).withColumn("draw", F.lit(0))
     ranked = with_uniform(keyed, "u", SAMPLE_STREAM, "seed", "id")
-    return choose_smallest(ranked, ["draw"], "u", "id", F.lit(size)).filter("chosen").select("id")
+    return choose_smallest(ranked, ["draw"], "u", "id", size).filter("chosen").select("id")
 
 
 def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
+from twinloom.staging import attach, stage
 
 UNIT_BUCKETS = 1024
 
@@ -59,24 +60,47 @@ def running_totals(
 
 
 def choose_smallest(
-    rows: DataFrame, groups: Sequence[str], u: str, tie: str, k: Column, buckets: int = UNIT_BUCKETS
+    rows: DataFrame,
+    groups: Sequence[str],
+    u: str,
+    tie: str,
+    k: int | DataFrame,
+    buckets: int = UNIT_BUCKETS,
 ) -> DataFrame:
     """Add boolean ``chosen``: is the row among the ``k`` smallest ``(u, tie)`` of its group.
 
-    ``u`` lies in [0, 1) and is evenly spread (a counter-based uniform), so equal-width
-    buckets are balanced. ``k`` may be a column that is constant within a group.
+    ``u`` is a counter-based uniform in (0, 1), so equal-width buckets are balanced. ``k``
+    is a number or a table ``(groups, k)``. Counting rows per bucket finds the bucket that
+    holds the k-th row; all other rows are decided where they are, and only the rows of
+    that bucket (one in ``buckets``) are shuffled and ranked.
     """
-    keys = [*groups, "__bucket"]
-    placed = rows.withColumn("__bucket", F.floor(ref(u) * F.lit(buckets)).cast("int")).withColumn("__k", k)
-    totals = placed.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    keys = [*groups]
+    placed = rows.withColumn("__bucket", F.floor(ref(u) * F.lit(buckets)).cast("int"))
+    totals = placed.groupBy(*keys, "__bucket").agg(F.count("*").alias("__rows"))
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    filled = totals.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    if isinstance(k, DataFrame):
+        filled = filled.join(k.select(*keys, F.col("k").alias("__k")), keys)
+    else:
+        filled = filled.withColumn("__k", F.lit(k))
+    holds = (F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__rows") >= F.col("__k"))
+    edges = stage(
+        filled.groupBy(*keys).agg(
+            # no bucket holds the k-th row: nothing is chosen (k = 0) or everything is
+            F.coalesce(F.max(F.when(holds, F.col("__bucket"))), F.max(F.when(F.col("__k") <= 0, -1)), F.lit(buckets)).alias("__edge"),
+            F.coalesce(F.max(F.when(holds, F.col("__k") - F.col("__before"))), F.lit(0)).alias("__need"),
+        )
+    )
+    named = attach(placed, edges, keys, row_bytes=128)
+    columns = [ref(c) for c in rows.columns]
+    decided = named.filter(F.col("__bucket") != F.col("__edge")).select(
+        *columns, (F.col("__bucket") < F.col("__edge")).alias("chosen")
+    )
     local = Window.partitionBy(*keys).orderBy(ref(u), ref(tie))
-    ranked = placed.withColumn("__rank", F.row_number().over(local))
-    return ranked.join(offsets, keys).select(
-        *[ref(c) for c in rows.columns],
-        (F.col("__rank") + F.col("__before") <= F.col("__k")).alias("chosen"),
+    ranked = named.filter(F.col("__bucket") == F.col("__edge")).select(
+        *columns, (F.row_number().over(local) <= F.col("__need")).alias("chosen")
     )
+    return decided.unionByName(ranked)
 
 
 def smallest_k(ids: DataFrame, key: str, k: int) -> DataFrame:
