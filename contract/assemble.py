@@ -61,42 +61,32 @@ def synth_tables(spark, sf):
 GROUPS = ["BUILDING", "FURNITURE"]
 
 
-def _dense(df):
-    """Dense row number per part, as synthetic tables have it."""
-    from pyspark.sql import Window
-
-    return df.withColumn("synth", F.row_number().over(Window.partitionBy("segment").orderBy("id")).cast("bigint") - 1)
-
-
-GROUP_SQL = f"""{CLINICAL_SQL},
-parts as (select id, segment, balance, case segment when 'BUILDING' then 0 else 1 end as part,
-   row_number() over (partition by segment order by id) - 1 as synth from clinical where segment in ('BUILDING', 'FURNITURE'))"""
-
-
-def _parts(spark, sf):
-    rows = _dense(tb.clinical(spark, sf).select("id", "segment", "balance").filter(F.col("segment").isin(GROUPS)))
-    return [rows.filter(F.col("segment") == g) for g in GROUPS]
-
-
 @query(
     "merge_groups",
-    f"""with {GROUP_SQL}, {DENSE_SQL} select p.part, p.synth, c.feature, c.value from parts p join cells c on c.id = p.id""",
+    f"""with {CLINICAL_SQL}, {DENSE_SQL} select case segment when 'BUILDING' then 0 else 1 end as part, c.id as synth, c.feature, c.value
+    from clinical p join cells c on c.id = p.id where segment in ('BUILDING', 'FURNITURE')""",
 )
 def merge_groups(spark, sf):
+    rows = tb.clinical(spark, sf).select("id", "segment", "balance")
     features = prep.zero_to_null(tb.cells(spark, sf))
-    parts = _parts(spark, sf)
-    cells = [p.select("id", "synth").join(features, "id").select("synth", "feature", "value") for p in parts]
-    return am.merge_pairs([p.select("synth", "balance") for p in parts], cells)[1]
+    parts = [prep.filter_rows(rows, {"segment": g}) for g in GROUPS]
+    cells = [p.select("id").join(features, "id").withColumnRenamed("id", "synth") for p in parts]
+    return am.merge_pairs([p.select("id", "balance") for p in parts], cells)[1]
 
 
+# each group gets as many synthetic rows as it has customers
 @query(
     "surrogate_key",
-    f"""with {GROUP_SQL}, n as (select count(*) filter (part = 0) as n0 from parts),
+    f"""with g as (select c_mktsegment as segment, count(*) as n, max(c_acctbal) as top from customer group by 1),
+    rows_ as (select segment, top, unnest(range(n)) as synth from g where segment in ('BUILDING', 'FURNITURE')),
     k as (select floor(u * {am.KEY_RANGE})::bigint as shift from {uniform("(select 0::bigint as id)", "id", "u", SEED + am.KEY_STREAM, "id")})
-    select (shift + 1 + case part when 0 then 0 else n0 end + synth)::bigint as id, balance from parts, n, k""",
+    select (shift + 1 + case segment when 'BUILDING' then 0 else (select n from g where segment = 'BUILDING') end + synth)::bigint as id,
+      segment, top from rows_, k""",
 )
 def surrogate_key(spark, sf):
-    parts = _parts(spark, sf)
-    counts = {r["segment"]: r["count"] for r in tb.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).count().collect()}
-    merged = am.merge_groups([p.select("synth", "balance") for p in parts])
-    return am.surrogate_key(merged, [counts[g] for g in GROUPS], am.key_offset(spark, SEED))
+    stats = stage(
+        tb.clinical(spark, sf).groupBy("segment").agg(F.count("*").alias("n"), F.max("balance").alias("top"))
+    )
+    sizes = {r["segment"]: r["n"] for r in stats.filter(F.col("segment").isin(GROUPS)).collect()}
+    parts = [am.synth_index(stats.filter(F.col("segment") == g).select("segment", "top"), sizes[g]) for g in GROUPS]
+    return am.surrogate_key(am.merge_groups(parts), [sizes[g] for g in GROUPS], am.key_offset(spark, SEED))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinloom.functions.names import div
+
 EXACT_LIMIT = 10_000
 
 
@@ -24,8 +26,8 @@ def limit_sf(t: Column) -> Column:
         upper = upper + F.exp(t * t * F.lit(-2.0 * k * k)) * F.lit(2.0 if k % 2 else -2.0)
     lower = F.lit(0.0)
     for k in range(1, 9, 2):
-        lower = lower + F.exp(F.lit(-((k * math.pi) ** 2) / 8.0) / (t * t))
-    small = F.lit(1.0) - F.lit(math.sqrt(2.0 * math.pi)) / t * lower
+        lower = lower + F.exp(div(-((k * math.pi) ** 2) / 8.0, t * t))
+    small = F.lit(1.0) - div(math.sqrt(2.0 * math.pi), t) * lower
     return F.when(t <= F.lit(1e-8), F.lit(1.0)).when(t < F.lit(1.0), small).otherwise(upper)
 
 

@@ -1,4 +1,4 @@
-"""Column references by literal name."""
+"""Small column helpers."""
 
 from __future__ import annotations
 
@@ -9,3 +9,10 @@ from pyspark.sql import functions as F
 def ref(name: str) -> Column:
     """Reference a column whose name may hold dots, commas or backticks."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def div(a, b) -> Column:
+    """``a / b``, null where ``b`` is 0 (plain division raises in ANSI mode)."""
+    a = a if isinstance(a, Column) else F.lit(a)
+    b = b if isinstance(b, Column) else F.lit(b)
+    return F.try_divide(a, b)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.counter import with_uniform
 from twinloom.functions.kolmogorov import critical_distance
+from twinloom.functions.names import div
 from twinloom.operators.evaluate import kl_divergence, ks_test, pooled_counts
 from twinloom.operators.ordered import choose_smallest, magnitude_bucket, running_totals
 from twinloom.staging import attach, stage
@@ -67,8 +68,8 @@ def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: Data
         "feature",
         "value",
         F.col("all_in_original").alias("n2"),
-        (F.col("run_in_original") / F.col("all_in_original")).alias("right"),
-        ((F.col("run_in_original") - F.col("in_original")) / F.col("all_in_original")).alias("left"),
+        div(F.col("run_in_original"), F.col("all_in_original")).alias("right"),
+        div(F.col("run_in_original") - F.col("in_original"), F.col("all_in_original")).alias("left"),
     )
     counts = (
         samples.select("draw", "id")

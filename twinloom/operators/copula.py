@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.counter import name_key, uniform_grid, with_uniform
-from twinloom.functions.names import ref
+from twinloom.functions.names import div, ref
 from twinloom.functions.normal import (
     U_CLIP,
     norm_cdf,
@@ -295,15 +295,15 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         "s",
         "a",
         "b",
-        ((x - F.col("loc")) / F.col("scale")).alias("y"),
+        div(x - F.col("loc"), F.col("scale")).alias("y"),
         F.when(
             family.isin(*GRID_FAMILIES),
-            _interpolate("z_at", (x - F.col("low")) / (F.col("high") - F.col("low")) * F.lit(GRID_POINTS - 1.0)),
+            _interpolate("z_at", div(x - F.col("low"), F.col("high") - F.col("low")) * F.lit(GRID_POINTS - 1.0)),
         ).alias("zg"),
         F.when(family == "lognorm", F.ln(x - F.col("loc"))).alias("log"),
     )
     a, b, y = F.col("a"), F.col("b"), F.col("y")
-    inner = F.when(family == "truncnorm", (norm_cdf(y) - norm_cdf(a)) / (norm_cdf(b) - norm_cdf(a))).when(
+    inner = F.when(family == "truncnorm", div(norm_cdf(y) - norm_cdf(a), norm_cdf(b) - norm_cdf(a))).when(
         family.isin("uniform", CATEGORY), y
     )
     second = first.withColumn("u", F.least(F.greatest(inner, F.lit(U_CLIP)), F.lit(1.0 - U_CLIP)))
@@ -311,7 +311,7 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
     z = (
         F.when(F.col("constant"), F.lit(0.0))
         .when(family == "norm", y)
-        .when(family == "lognorm", (F.col("log") - F.ln("scale")) / F.col("s"))
+        .when(family == "lognorm", div(F.col("log") - F.ln("scale"), F.col("s")))
         .when(family.isin(*GRID_FAMILIES), F.col("zg"))
         .otherwise(F.col("zu"))
     )
@@ -324,7 +324,7 @@ def standardise(scores: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         scores.groupBy("feature").agg(F.avg("z").alias("z_mean"), F.stddev_pop("z").alias("z_sd"))
     )
     named = attach(scores, stats, ["feature"], row_bytes=64)
-    z = F.when(F.col("z_sd") > 1e-12, (F.col("z") - F.col("z_mean")) / F.col("z_sd")).otherwise(0.0)
+    z = F.when(F.col("z_sd") > 1e-12, div(F.col("z") - F.col("z_mean"), F.col("z_sd"))).otherwise(0.0)
     return named.select("id", "feature", z.alias("z"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.kolmogorov import with_p_value
+from twinloom.functions.names import div
 from twinloom.operators.kernels import kernel_sums
 from twinloom.operators.ordered import magnitude_bucket, running_totals
 from twinloom.staging import attach, stage
@@ -45,7 +46,8 @@ def ks_statistic(sample: DataFrame, original: DataFrame, keys: Sequence[str] = (
         pooled_counts(sample, original, keys), keys, "value", ["in_sample", "in_original"], magnitude_bucket(F.col("value"))
     )
     gap = F.abs(
-        F.col("run_in_sample") / F.col("all_in_sample") - F.col("run_in_original") / F.col("all_in_original")
+        div(F.col("run_in_sample"), F.col("all_in_sample"))
+        - div(F.col("run_in_original"), F.col("all_in_original"))
     )
     return (
         run.filter((F.col("all_in_sample") > 0) & (F.col("all_in_original") > 0))
@@ -79,7 +81,7 @@ def _side_stats(cells: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
 
 
 def _divergence(p: Column, q: Column, nan_policy: str) -> Column:
-    term = F.when(p > 0, p * F.ln(p / q)).otherwise(F.lit(float("nan") if nan_policy == "propagate" else 0.0))
+    term = F.when(p > 0, p * F.ln(div(p, q))).otherwise(F.lit(float("nan") if nan_policy == "propagate" else 0.0))
     return F.sum(F.when(q > 0, term).otherwise(F.lit(0.0)))
 
 

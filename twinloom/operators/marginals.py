@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.names import ref
+from twinloom.functions.names import div, ref
 from twinloom.functions.normal import LOG_SQRT_2PI, ln_gamma, np_norm_cdf
 from twinloom.operators.kernels import kernel_sums
 from twinloom.staging import attach, stage
@@ -51,32 +51,32 @@ def _half_square(x: Column) -> Column:
 
 
 REGISTRY: dict[str, Family] = {
-    "norm": Family(("loc", "scale"), lambda x, p: p("c0") + _half_square((x - p("loc")) / p("scale"))),
+    "norm": Family(("loc", "scale"), lambda x, p: p("c0") + _half_square(div(x - p("loc"), p("scale")))),
     "lognorm": Family(
         ("s", "loc", "scale"),
         lambda x, p: p("c0")
         - F.ln(x - p("loc"))
-        + _half_square((F.ln(x - p("loc")) - F.ln(p("scale"))) / p("s")),
+        + _half_square(div(F.ln(x - p("loc")) - F.ln(p("scale")), p("s"))),
     ),
     "gamma": Family(
         ("a", "loc", "scale"),
-        lambda x, p: p("c0") + (p("a") - 1.0) * F.ln(x - p("loc")) - (x - p("loc")) / p("scale"),
+        lambda x, p: p("c0") + (p("a") - 1.0) * F.ln(x - p("loc")) - div(x - p("loc"), p("scale")),
     ),
     "beta": Family(
         ("a", "b", "loc", "scale"),
         lambda x, p: p("c0")
-        + (p("a") - 1.0) * F.ln((x - p("loc")) / p("scale"))
-        + (p("b") - 1.0) * F.ln(F.lit(1.0) - (x - p("loc")) / p("scale")),
+        + (p("a") - 1.0) * F.ln(div(x - p("loc"), p("scale")))
+        + (p("b") - 1.0) * F.ln(F.lit(1.0) - div(x - p("loc"), p("scale"))),
     ),
     "truncnorm": Family(
-        ("a", "b", "loc", "scale"), lambda x, p: p("c0") + _half_square((x - p("loc")) / p("scale"))
+        ("a", "b", "loc", "scale"), lambda x, p: p("c0") + _half_square(div(x - p("loc"), p("scale")))
     ),
     "t": Family(
         ("df", "loc", "scale"),
         lambda x, p: p("c0")
         - (p("df") + 1.0)
         / 2.0
-        * F.ln(F.lit(1.0) + (x - p("loc")) / p("scale") * ((x - p("loc")) / p("scale")) / p("df")),
+        * F.ln(F.lit(1.0) + div(x - p("loc"), p("scale")) * (div(x - p("loc"), p("scale"))) / p("df")),
     ),
     "uniform": Family(("loc", "scale"), lambda x, p: p("c0") + x * 0.0),
     "gaussian_kde": Family(("bandwidth",), None),
@@ -196,21 +196,21 @@ def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
     if "gamma" in families:
         steps += [
             {"g_scale": F.col("mean_xln") - F.col("mean_ln") * mean},
-            {"g_a": mean / F.col("g_scale")},
+            {"g_a": div(mean, F.col("g_scale"))},
             {"g_lg": ln_gamma(F.col("g_a"))},
         ]
     if "beta" in families:
         steps += [
             {"b_loc": F.col("mn") - BETA_PAD * width, "b_scale": width * (1.0 + 2.0 * BETA_PAD)},
-            {"b_m": (mean - F.col("b_loc")) / F.col("b_scale"), "b_v": sd * sd / (F.col("b_scale") * F.col("b_scale"))},
-            {"b_c": F.greatest(F.col("b_m") * (1.0 - F.col("b_m")) / F.col("b_v") - 1.0, F.lit(1e-3))},
+            {"b_m": div(mean - F.col("b_loc"), F.col("b_scale")), "b_v": div(sd * sd, F.col("b_scale") * F.col("b_scale"))},
+            {"b_c": F.greatest(div(F.col("b_m") * (1.0 - F.col("b_m")), F.col("b_v")) - 1.0, F.lit(1e-3))},
             {"b_a": F.col("b_m") * F.col("b_c"), "b_b": (1.0 - F.col("b_m")) * F.col("b_c")},
             {"b_lga": ln_gamma(F.col("b_a"))},
             {"b_lgb": ln_gamma(F.col("b_b"))},
             {"b_lgc": ln_gamma(F.col("b_c"))},
         ]
     if "t" in families:
-        heavy = F.least(F.lit(T_MAX_DF), 4.0 + 6.0 / F.col("kurt"))
+        heavy = F.least(F.lit(T_MAX_DF), 4.0 + div(6.0, F.col("kurt")))
         steps += [
             {"t_df": F.when(F.col("kurt") > 0, heavy).otherwise(T_MAX_DF)},
             {"t_half": F.col("t_df") / 2.0, "t_next": (F.col("t_df") + 1.0) / 2.0},
@@ -261,7 +261,7 @@ def _structs(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
             c0 = -F.ln(best["s"]) - LOG_SQRT_2PI
             built[family] = (always, packed(c0, s=best["s"], loc=best["loc"], scale=best["scale"]))
         elif family == "gaussian_kde":
-            h = sd * F.sqrt(n / (n - 1.0)) * F.pow(n.cast("double"), F.lit(-0.2))
+            h = sd * F.sqrt(div(n, n - 1.0)) * F.pow(n.cast("double"), F.lit(-0.2))
             built[family] = (n > 1, packed(F.lit(0.0), bandwidth=h))
     return built
 
@@ -297,7 +297,7 @@ def score_sse(
     step = (F.col("mx") - F.col("mn")) / F.lit(float(BINS))
     values = cells.filter(F.col("value").isNotNull()).select(*keys, "value")
     bounded = attach(values, usable.select(*keys, "mn", "mx"), keys, row_bytes=128)
-    place = F.floor((F.col("value") - F.col("mn")) / (F.col("mx") - F.col("mn")) * F.lit(float(BINS)))
+    place = F.floor(div(F.col("value") - F.col("mn"), F.col("mx") - F.col("mn")) * F.lit(float(BINS)))
     counts = (
         bounded.withColumn("bin", F.least(F.lit(BINS - 1), place).cast("int"))
         .groupBy(*keys, "bin")
@@ -316,7 +316,7 @@ def score_sse(
         kde = kernel_sums(weighted, stage(centres), keys, BINS, "pdf")
         rows = rows.join(kde.select(*keys, F.col("point").alias("bin"), "total"), [*keys, "bin"], "left")
     centre = F.col("mn") + (F.col("bin") + 0.5) * step
-    observed = F.coalesce(F.col("hits"), F.lit(0)) / (F.col("n") * step)
+    observed = div(F.coalesce(F.col("hits"), F.lit(0)), F.col("n") * step)
     sums = []
     for f in families:
         if REGISTRY[f].logpdf is None:
