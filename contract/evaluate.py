@@ -26,7 +26,7 @@ ZERO_SHARE = 0.6
 def sides(spark, sf, kind="dense"):
     cells = tb.cells(spark, sf, kind)
     segment = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    named = cells.join(segment, "id")
+    named = stage(cells.join(segment, "id"))  # every evaluation scans both sides more than once
     synthetic = F.col("c_mktsegment").isin(SYNTH)
     return (
         named.filter(synthetic).select("id", "feature", "value"),

@@ -15,7 +15,7 @@ from twinloom.staging import stage
 def _cohort(spark, sf, kind):
     """Customers with at least two orders: the others break the strict rule low < high."""
     clinical = stage(tb.clinical(spark, sf).filter("low < high"))
-    features = tb.cells(spark, sf, kind)
+    features = stage(tb.cells(spark, sf, kind))
     return Cohort(clinical, features)
 
 
@@ -42,4 +42,4 @@ def synthesize_and_bootstrap(spark, sf):
     cohort, made = _synthetic(spark, sf, "dense")
     made = Cohort(stage(made.clinical), stage(made.features))
     size = made.clinical.count() // 3
-    return bootstrap(made, stage(cohort.features), size, iterations=20).report
+    return bootstrap(made, cohort.features, size, iterations=20).report

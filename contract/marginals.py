@@ -13,6 +13,7 @@ from contract.tables import CLINICAL_SQL, DENSE_SQL
 from twinloom.functions.normal import LOG_SQRT_2PI
 from twinloom.operators import marginals as mg
 from twinloom.operators.prep import join_cohort, melt_features
+from twinloom.staging import stage
 
 LS = f"{LOG_SQRT_2PI!r}::double"
 PARAMETRIC = ["norm", "uniform", "gamma", "lognorm", "beta", "t", "truncnorm"]
@@ -70,7 +71,8 @@ def _fit_query(family: str, body: str):
 
     @query(f"fit_{family.replace('gaussian_', '')}", f"with recursive {MOMENTS_SQL}{body.format(shown=shown)}")
     def run(spark, sf):
-        fits = mg.fit(mg.nonzero(tb.cells(spark, sf)), [family])
+        cells = tb.cells(spark, sf)
+        fits = mg.fit(mg.nonzero(stage(cells) if family == "lognorm" else cells), [family])
         return fits.select("feature", *[F.round(F.col(family)[p], 6).alias(p) for p in names])
 
 
@@ -115,7 +117,7 @@ def feature_profile(spark, sf):
 )
 def fit_marginals(spark, sf):
     families = ["norm", "lognorm", "gamma"]
-    fits = mg.fit(mg.nonzero(tb.cells(spark, sf)), families)
+    fits = mg.fit(mg.nonzero(stage(tb.cells(spark, sf))), families)
     return mg.params_long(fits, families).select(
         "feature", "family", *[F.round(F.col("params")[p], 6).alias(p) for p in ("loc", "scale", "s")]
     )
@@ -161,7 +163,7 @@ BIN_SQL = (
     f"with recursive {BIN_SQL} select feature, family, round(sum(pow(exp(lp) - y, 2)), 8) as score from density group by 1, 2",
 )
 def score_sse(spark, sf):
-    values = mg.nonzero(tb.cells(spark, sf))
+    values = mg.nonzero(stage(tb.cells(spark, sf)))
     out = mg.score(values, mg.fit(values, PARAMETRIC), PARAMETRIC)
     return out.select("feature", "family", F.round("score", 8).alias("score"))
 
@@ -173,7 +175,7 @@ def _information(name: str, penalty: str):
         from density group by 1, 2""",
     )
     def run(spark, sf):
-        values = mg.nonzero(tb.cells(spark, sf))
+        values = mg.nonzero(stage(tb.cells(spark, sf)))
         out = mg.score(values, mg.fit(values, PARAMETRIC), PARAMETRIC, name)
         return out.select("feature", "family", F.round("score", 4).alias("score"))
 
@@ -198,7 +200,7 @@ _information("bic", "max(k) * ln(count(*))")
     select feature, 'gaussian_kde' as family, round(sum(pow(d - y, 2)), 8) as score from smooth group by 1""",
 )
 def score_kde(spark, sf):
-    values = mg.nonzero(tb.cells(spark, sf))
+    values = mg.nonzero(stage(tb.cells(spark, sf)))
     out = mg.score(values, mg.fit(values, ["gaussian_kde"]), ["gaussian_kde"])
     return out.select("feature", "family", F.round("score", 8).alias("score"))
 
@@ -221,7 +223,7 @@ def _with_clinical(spark, sf):
     select feature, arg_min(family, score) as family, round(min(score), 8) as score from scored group by feature""",
 )
 def select_family(spark, sf):
-    out = mg.select_family(_with_clinical(spark, sf), SELECT_LIST)
+    out = mg.select_family(stage(_with_clinical(spark, sf)), SELECT_LIST)
     return out.select("feature", "family", F.round("score", 8).alias("score"))
 
 

@@ -10,6 +10,7 @@ from contract.tables import BOTH_SQL, CLINICAL_SQL, DENSE_SQL
 from twinloom.operators import prep
 from twinloom.operators.prep import Cohort
 from twinloom.sources.matrices import melt_arrays, unite
+from twinloom.staging import stage
 
 R6 = 6
 THRESHOLD = 0.7
@@ -237,7 +238,7 @@ def missing_fraction(spark, sf):
     select c.id, c.feature, nullif(c.value, 0) as value from cells c join m using (feature) where m.f <= {THRESHOLD}""",
 )
 def sparsity_split(spark, sf):
-    cells = tb.cells(spark, sf, "both")
+    cells = stage(tb.cells(spark, sf, "both"))
     return prep.modelled_cells(cells, prep.stage_split(cells, THRESHOLD))
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.names import ref
+from twinloom.functions.names import quoted, ref
 
 MASK = 0xFFFFFFFF
 HIGH = 0x7FFFFFFF
@@ -33,17 +33,12 @@ def lane_start(seed: int, lane: int) -> int:
     return x ^ (x >> 16)
 
 
-def _and(col: Column, mask: int) -> Column:
-    return col.bitwiseAND(F.lit(mask).cast("bigint"))
+def _fold_high(x: str) -> str:
+    return f"({x} ^ shiftright({x}, 16))"
 
 
-def _fold_high(col: Column) -> Column:
-    return col.bitwiseXOR(F.shiftright(col, 16))
-
-
-def _key_word(key: Column, lane: int) -> Column:
-    high = _and(F.shiftright(key, 32), HIGH) * F.lit(LANES[lane][1]).cast("bigint")
-    return _and(key.bitwiseXOR(high), MASK)
+def _key_word(key: str, lane: int) -> str:
+    return f"(({key} ^ ((shiftright({key}, 32) & {HIGH}L) * {LANES[lane][1]}L)) & {MASK}L)"
 
 
 def with_uniform(df: DataFrame, out: str, seed: int, *keys: str) -> DataFrame:
@@ -53,25 +48,19 @@ def with_uniform(df: DataFrame, out: str, seed: int, *keys: str) -> DataFrame:
     written as one nested expression it would double in size at every step.
     """
     base = [ref(c) for c in df.columns if c != out]
-    state = [F.lit(lane_start(seed, lane)).cast("bigint") for lane in range(2)]
+    state = [f"{lane_start(seed, lane)}L" for lane in range(2)]
+
+    def stage_of(lanes: list[str]) -> DataFrame:
+        return df.select(*base, *[F.expr(text).alias(f"__lane{i}") for i, text in enumerate(lanes)])
+
     for key in keys:
-        k = ref(key).cast("bigint")
-        df = df.select(
-            *base, *[_and(state[i] + _key_word(k, i), MASK).alias(f"__lane{i}") for i in range(2)]
-        )
+        k = f"bigint({quoted(key)})"
+        df = stage_of([f"({state[i]} + {_key_word(k, i)}) & {MASK}L" for i in range(2)])
         for _ in range(2):
-            df = df.select(
-                *base,
-                *[
-                    _and(_fold_high(F.col(f"__lane{i}")) * F.lit(MULTIPLIER).cast("bigint"), MASK).alias(
-                        f"__lane{i}"
-                    )
-                    for i in range(2)
-                ],
-            )
-        state = [_fold_high(F.col(f"__lane{i}")) for i in range(2)]
-    bits = F.shiftleft(state[0], 20) + F.shiftright(state[1], 12)
-    return sealed(df, base, (bits.cast("double") + F.lit(0.5)) / F.lit(SCALE), out)
+            df = stage_of([f"({_fold_high(f'__lane{i}')} * {MULTIPLIER}L) & {MASK}L" for i in range(2)])
+        state = [_fold_high(f"__lane{i}") for i in range(2)]
+    bits = f"shiftleft({state[0]}, 20) + shiftright({state[1]}, 12)"
+    return sealed(df, base, F.expr(f"(double({bits}) + 0.5D) / {SCALE!r}D"), out)
 
 
 def sealed(df: DataFrame, base: list[Column], value: Column, out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.counter import sealed
-from twinloom.functions.names import ref
+from twinloom.functions.names import quoted, ref
 
 # Hart/West coefficients, highest power first.
 CDF_NUM = (
@@ -69,61 +69,76 @@ U_CLIP = 2.0**-23
 
 
 def horner(coefficients, x):
-    """Polynomial value; works for Columns and numpy arrays alike."""
+    """Polynomial value, highest power first."""
     acc = coefficients[0]
     for c in coefficients[1:]:
         acc = x * acc + c
     return acc
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(x * x * F.lit(-0.5)) * F.lit(1.0 / math.sqrt(2.0 * math.pi))
-
-
-def norm_cdf(x: Column) -> Column:
-    """Standard normal CDF. ``x`` should be a plain column reference (it is used often)."""
-    a = F.abs(x)
-    e = F.exp(a * a * F.lit(-0.5))
-    near = e * horner(CDF_NUM, a) / horner(CDF_DEN, a)
-    chain = a + F.lit(0.65)
-    for k in (4.0, 3.0, 2.0, 1.0):
-        chain = a + F.lit(k) / chain
-    far = e / chain / F.lit(2.506628274631)
-    upper = F.when(a < F.lit(7.07106781186547), near).when(a <= F.lit(37.0), far).otherwise(F.lit(0.0))
-    return F.when(x.isNull(), F.lit(None)).when(x > 0, F.lit(1.0) - upper).otherwise(upper)
+def _horner_text(coefficients, x: str) -> str:
+    text = f"{coefficients[0]!r}D"
+    for c in coefficients[1:]:
+        text = f"({x} * {text} + {c!r}D)"
+    return text
+
+
+def norm_cdf(name: str) -> Column:
+    """Standard normal CDF of a column, given by name.
+
+    The formulas here are parsed from text: built operator by operator they cost more
+    time on the driver than a small query takes to run.
+    """
+    x = quoted(name)
+    a = f"abs({x})"
+    e = f"exp({a} * {a} * -0.5D)"
+    chain = f"({a} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        chain = f"({a} + {k}.0D / {chain})"
+    near = f"{e} * {_horner_text(CDF_NUM, a)} / {_horner_text(CDF_DEN, a)}"
+    upper = (
+        f"CASE WHEN {a} < 7.07106781186547D THEN {near} "
+        f"WHEN {a} <= 37.0D THEN {e} / {chain} / 2.506628274631D ELSE 0.0D END"
+    )
+    return F.expr(f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 0 THEN 1.0D - ({upper}) ELSE ({upper}) END")
 
 
 def with_norm_ppf(df: DataFrame, source: str, out: str) -> DataFrame:
     """Add ``out`` = inverse normal CDF of column ``source`` (values strictly in (0, 1))."""
     base = [ref(c) for c in df.columns if c != out]
-    u = ref(source)
-    q = u - F.lit(0.5)
+    u = quoted(source)
     df = df.select(
         *base,
-        q.alias("__q"),
-        (F.lit(0.180625) - q * q).alias("__r"),
-        F.sqrt(-F.ln(F.least(u, F.lit(1.0) - u))).alias("__s"),
+        F.expr(f"{u} - 0.5D").alias("__q"),
+        F.expr(f"sqrt(-ln(least({u}, 1.0D - {u})))").alias("__s"),
+    )
+    df = df.select(
+        *base,
+        F.col("__q"),
+        F.expr("0.180625D - __q * __q").alias("__r"),
+        F.expr("__s - 1.6D").alias("__m"),
+        F.expr("__s - 5.0D").alias("__t"),
+    )
+    centre = f"__q * {_horner_text(PPF_CENTRE_NUM, '__r')} / {_horner_text(PPF_CENTRE_DEN, '__r')}"
+    middle = f"{_horner_text(PPF_MIDDLE_NUM, '__m')} / {_horner_text(PPF_MIDDLE_DEN, '__m')}"
+    tail = f"{_horner_text(PPF_TAIL_NUM, '__t')} / {_horner_text(PPF_TAIL_DEN, '__t')}"
+    value = (
+        f"CASE WHEN abs(__q) <= 0.425D THEN {centre} "
+        f"ELSE sign(__q) * (CASE WHEN __m <= 3.4D THEN {middle} ELSE {tail} END) END"
+    )
+    return sealed(df, base, F.expr(value), out)
+
+
+def ln_gamma(name: str) -> Column:
+    """log Gamma of a positive column, given by name; below 0.5 through Gamma(x) = Gamma(x+1)/x."""
+    x = quoted(name)
+    y = f"(CASE WHEN {x} < 0.5D THEN {x} ELSE {x} - 1.0D END)"
+    series = f"{LANCZOS[0]!r}D" + "".join(
+        f" + {c!r}D / ({y} + {float(i)!r}D)" for i, c in enumerate(LANCZOS[1:], start=1)
     )
-    df = df.select(*base, F.col("__q"), F.col("__r"), (F.col("__s") - 1.6).alias("__m"), (F.col("__s") - 5.0).alias("__t"))
-    q, r, m, t = (F.col(c) for c in ("__q", "__r", "__m", "__t"))
-    centre = q * horner(PPF_CENTRE_NUM, r) / horner(PPF_CENTRE_DEN, r)
-    middle = horner(PPF_MIDDLE_NUM, m) / horner(PPF_MIDDLE_DEN, m)
-    tail = horner(PPF_TAIL_NUM, t) / horner(PPF_TAIL_DEN, t)
-    outer = F.when(m <= F.lit(3.4), middle).otherwise(tail)
-    value = F.when(F.abs(q) <= F.lit(0.425), centre).when(q < 0, -outer).otherwise(outer)
-    return sealed(df, base, value, out)
-
-
-def ln_gamma(x: Column) -> Column:
-    """log Gamma(x) for x > 0.5; smaller positive x goes through Gamma(x) = Gamma(x+1)/x."""
-    small = x < F.lit(0.5)
-    y = F.when(small, x).otherwise(x - F.lit(1.0))
-    series = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], start=1):
-        series = series + F.lit(c) / (y + F.lit(float(i)))
-    t = y + F.lit(LANCZOS_G + 0.5)
-    value = F.lit(LOG_SQRT_2PI) + (y + F.lit(0.5)) * F.ln(t) - t + F.ln(series)
-    return value - F.when(small, F.ln(x)).otherwise(F.lit(0.0))
+    t = f"({y} + {LANCZOS_G + 0.5!r}D)"
+    value = f"{LOG_SQRT_2PI!r}D + ({y} + 0.5D) * ln({t}) - {t} + ln({series})"
+    return F.expr(f"{value} - (CASE WHEN {x} < 0.5D THEN ln({x}) ELSE 0.0D END)")
 
 
 def np_norm_cdf(x: np.ndarray) -> np.ndarray:

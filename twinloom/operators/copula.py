@@ -178,7 +178,8 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
     stats = stage(observed(cells))
     filled = impute_mean(cells, stats)
     fits = mg.fit(filled, fitted)
-    rows = stats.join(fits.select("feature", "n", "constant", *fitted), "feature").join(families, "feature")
+    # a feature without any observed value has no fit: it behaves as a constant null
+    rows = stats.join(families, "feature").join(fits.select("feature", "constant", *fitted), "feature", "left")
 
     def param(name: str, default: dict[str, float] | None = None) -> Column:
         out = F.lit((default or {}).get(CATEGORY)).cast("double")
@@ -191,8 +192,8 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
     model = rows.select(
         "feature",
         "family",
-        "n",
-        "constant",
+        F.col("cells").alias("n"),
+        F.coalesce("constant", F.lit(True)).alias("constant"),
         F.when(category, F.lit(0.0)).otherwise(F.col("low")).alias("low"),
         F.when(category, F.lit(1.0)).otherwise(F.col("high")).alias("high"),
         F.when(category, F.lit(None)).otherwise(F.col("digits")).cast("int").alias("digits"),
@@ -202,25 +203,29 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
         param("scale", {CATEGORY: 1.0}).alias("scale"),
         *[param(p).alias(p) for p in ("s", "a", "b", "df", "bandwidth")],
     )
+    truncated = F.col("family") == "truncnorm"
+    model = model.withColumn("ca", F.when(truncated, norm_cdf("a"))).withColumn("cb", F.when(truncated, norm_cdf("b")))
     if not any(n in GRID_FAMILIES for n in names):
         empty = F.lit(None).cast("array<double>")
         return stage(model.withColumn("z_at", empty).withColumn("x_at", empty))
-    return stage(_with_grids(stage(model), filled))
+    return stage(_with_grids(stage(model), filled, "gaussian_kde" in names))
 
 
-def _with_grids(model: DataFrame, filled: DataFrame) -> DataFrame:
+def _with_grids(model: DataFrame, filled: DataFrame, smooth: bool) -> DataFrame:
     """Add z at even x (``z_at``) and x at even z (``x_at``) for families without a closed form."""
-    kde = model.filter((F.col("family") == "gaussian_kde") & ~F.col("constant"))
-    span = 6.0 * F.col("bandwidth")
-    grids = stage(
-        kde.select("feature", (F.col("low") - span).alias("first"), (F.col("high") + span).alias("last"), "bandwidth")
-    )
-    weighted = filled.groupBy("feature", "value").agg(F.count("*").alias("weight"))
-    sums = kernel_sums(weighted, grids, ["feature"], GRID_POINTS, "cdf")
-    tables = sums.groupBy("feature").agg(
-        F.sort_array(F.collect_list(F.struct("x", "total"))).alias("__kde")
-    ).select("feature", F.col("__kde.x").alias("kx"), F.col("__kde.total").alias("kt"))
-    joined = model.join(tables, "feature", "left")
+    joined = model.withColumn("kx", F.lit(None).cast("array<double>")).withColumn("kt", F.col("kx"))
+    if smooth:
+        kde = model.filter((F.col("family") == "gaussian_kde") & ~F.col("constant"))
+        span = 6.0 * F.col("bandwidth")
+        grids = stage(
+            kde.select("feature", (F.col("low") - span).alias("first"), (F.col("high") + span).alias("last"), "bandwidth")
+        )
+        weighted = filled.groupBy("feature", "value").agg(F.count("*").alias("weight"))
+        sums = kernel_sums(weighted, grids, ["feature"], GRID_POINTS, "cdf")
+        tables = sums.groupBy("feature").agg(
+            F.sort_array(F.collect_list(F.struct("x", "total"))).alias("__kde")
+        ).select("feature", F.col("__kde.x").alias("kx"), F.col("__kde.total").alias("kt"))
+        joined = model.join(tables, "feature", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in model.schema.fields]
     columns = model.columns
 
@@ -293,8 +298,8 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         "constant",
         "scale",
         "s",
-        "a",
-        "b",
+        "ca",
+        "cb",
         div(x - F.col("loc"), F.col("scale")).alias("y"),
         F.when(
             family.isin(*GRID_FAMILIES),
@@ -302,8 +307,8 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         ).alias("zg"),
         F.when(family == "lognorm", F.ln(x - F.col("loc"))).alias("log"),
     )
-    a, b, y = F.col("a"), F.col("b"), F.col("y")
-    inner = F.when(family == "truncnorm", div(norm_cdf(y) - norm_cdf(a), norm_cdf(b) - norm_cdf(a))).when(
+    y, ca, cb = F.col("y"), F.col("ca"), F.col("cb")
+    inner = F.when(family == "truncnorm", div(norm_cdf("y") - ca, cb - ca)).when(
         family.isin("uniform", CATEGORY), y
     )
     second = first.withColumn("u", F.least(F.greatest(inner, F.lit(U_CLIP)), F.lit(1.0 - U_CLIP)))
@@ -492,11 +497,11 @@ def inverse_marginals(latent: DataFrame, model: DataFrame) -> DataFrame:
     """Latent (synth, feature, z) to values in data units, clipped and rounded."""
     named = attach(latent, model, ["feature"], row_bytes=_row_bytes(model))
     family, z = F.col("family"), F.col("z")
-    a, b = F.col("a"), F.col("b")
-    u = norm_cdf(z)
+    ca, cb = F.col("ca"), F.col("cb")
+    u = norm_cdf("z")
     first = named.withColumn(
         "u",
-        F.when(family == "truncnorm", norm_cdf(a) + u * (norm_cdf(b) - norm_cdf(a))).when(
+        F.when(family == "truncnorm", ca + u * (cb - ca)).when(
             family.isin("uniform", CATEGORY), u
         ),
     ).withColumn("__u", F.when(family == "truncnorm", F.least(F.greatest("u", F.lit(1e-16)), F.lit(1.0 - 1e-16))))

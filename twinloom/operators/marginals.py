@@ -182,7 +182,8 @@ def fit(
         *["n", "mn", "mx", "mean", "sd", "constant"],
         *[F.when(varied & ok, value).alias(name) for name, (ok, value) in _structs(families).items()],
     )
-    return stage(out)
+    # without a second scan this is a projection of the staged moments
+    return stage(out) if {"lognorm", "truncnorm"} & set(families) else out
 
 
 def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
@@ -197,7 +198,7 @@ def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
         steps += [
             {"g_scale": F.col("mean_xln") - F.col("mean_ln") * mean},
             {"g_a": div(mean, F.col("g_scale"))},
-            {"g_lg": ln_gamma(F.col("g_a"))},
+            {"g_lg": ln_gamma("g_a")},
         ]
     if "beta" in families:
         steps += [
@@ -205,17 +206,17 @@ def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
             {"b_m": div(mean - F.col("b_loc"), F.col("b_scale")), "b_v": div(sd * sd, F.col("b_scale") * F.col("b_scale"))},
             {"b_c": F.greatest(div(F.col("b_m") * (1.0 - F.col("b_m")), F.col("b_v")) - 1.0, F.lit(1e-3))},
             {"b_a": F.col("b_m") * F.col("b_c"), "b_b": (1.0 - F.col("b_m")) * F.col("b_c")},
-            {"b_lga": ln_gamma(F.col("b_a"))},
-            {"b_lgb": ln_gamma(F.col("b_b"))},
-            {"b_lgc": ln_gamma(F.col("b_c"))},
+            {"b_lga": ln_gamma("b_a")},
+            {"b_lgb": ln_gamma("b_b")},
+            {"b_lgc": ln_gamma("b_c")},
         ]
     if "t" in families:
         heavy = F.least(F.lit(T_MAX_DF), 4.0 + div(6.0, F.col("kurt")))
         steps += [
             {"t_df": F.when(F.col("kurt") > 0, heavy).otherwise(T_MAX_DF)},
             {"t_half": F.col("t_df") / 2.0, "t_next": (F.col("t_df") + 1.0) / 2.0},
-            {"t_lg0": ln_gamma(F.col("t_half"))},
-            {"t_lg1": ln_gamma(F.col("t_next"))},
+            {"t_lg0": ln_gamma("t_half")},
+            {"t_lg1": ln_gamma("t_next")},
         ]
     return steps
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
@@ -27,18 +27,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+# rows of each staged table of this session, by folder
+_STAGED_ROWS: dict[str, int] = {}
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: fixes its content and cuts the lineage.
 
     Used for tables with one row per feature (or smaller), whose later size check and
-    repeated use must not recompute them.
+    repeated use must not recompute them, and for inputs that are scanned several times.
+    The row count is taken along while writing.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    _STAGED_ROWS[path.split("/")[-1]] = seen.get["rows"]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_most(small: DataFrame) -> int:
+    """Upper bound of the rows of a selection from one staged table; counted for any other."""
+    folders = {f.rsplit("/", 2)[-2] for f in small.inputFiles()}
+    if len(folders) == 1 and folders <= _STAGED_ROWS.keys():
+        return _STAGED_ROWS[folders.pop()]
+    return small.count()
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
@@ -47,13 +62,13 @@ def attach(
     how: str = "inner",
     limit: int | None = None,
 ) -> DataFrame:
-    """Equi-join ``big`` with a staged per-feature table.
+    """Equi-join ``big`` with a staged per-feature table or a column and row selection of it.
 
-    The row count of ``small`` is read first. Up to ``limit`` bytes it is broadcast;
-    beyond that both sides are salted, so one hot key is spread over ``SALTS`` tasks.
+    Its row count is checked first. Up to ``limit`` bytes it is broadcast; beyond that
+    both sides are salted, so one hot key is spread over ``SALTS`` tasks.
     """
     limit = BROADCAST_BYTES if limit is None else limit
-    if small.count() * row_bytes <= limit:
+    if at_most(small) * row_bytes <= limit:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn(
