@@ -12,6 +12,7 @@ from twinloom.functions.counter import name_key, with_uniform
 from twinloom.functions.names import ref
 from twinloom.operators.ordered import choose_smallest
 from twinloom.operators.prep import null_to_zero
+from twinloom.staging import tasks
 
 FILL_STREAM = 13
 KEY_RANGE = 10_001
@@ -23,8 +24,7 @@ def synth_index(df: DataFrame, n_synth: int) -> DataFrame:
     """Every row of ``df`` with ``synth`` 0 .. n_synth - 1, generated in bounded chunks."""
     chunks = max(1, -(-n_synth // _CHUNK))
     outer = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    if chunks > 1:
-        outer = outer.repartition(*[ref(c) for c in df.columns], "__chunk")
+    outer = outer.repartition(tasks(df.sparkSession), *[ref(c) for c in df.columns], "__chunk")
     start = F.col("__chunk").cast("bigint") * F.lit(_CHUNK)
     stop = F.least(start + F.lit(_CHUNK), F.lit(n_synth).cast("bigint")) - F.lit(1)
     return outer.withColumn("synth", F.explode(F.sequence(start, stop))).drop("__chunk")

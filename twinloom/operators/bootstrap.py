@@ -19,7 +19,7 @@ from twinloom.functions.kolmogorov import critical_distance
 from twinloom.functions.names import div
 from twinloom.operators.evaluate import kl_divergence, ks_test, pooled_counts
 from twinloom.operators.ordered import choose_smallest, magnitude_bucket, running_totals
-from twinloom.staging import attach, stage
+from twinloom.staging import attach, stage, tasks
 
 ALPHA = 0.05
 SEED_RANGE = 10_000
@@ -142,7 +142,7 @@ def select_best(tied: DataFrame, kl: DataFrame, n_features: int) -> int:
         block = F.pmod(F.xxhash64("feature"), F.lit(blocks)).alias("block")
         named = kl.join(F.broadcast(places), "draw").select("place", "feature", "kl_divergence", block)
         size = len(batch)
-        partial_wins = named.groupBy("block").applyInPandas(partial(_wins, size=size), "place int, wins array<bigint>")
+        partial_wins = named.repartition(tasks(kl.sparkSession), "block").groupBy("block").applyInPandas(partial(_wins, size=size), "place int, wins array<bigint>")
         counts = (
             partial_wins.select("place", F.posexplode("wins").alias("rival", "wins"))
             .groupBy("place", "rival")

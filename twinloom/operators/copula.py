@@ -30,7 +30,7 @@ from twinloom.functions.normal import (
 from twinloom.operators import marginals as mg
 from twinloom.operators.kernels import kernel_sums
 from twinloom.operators.ordered import running_totals
-from twinloom.staging import attach, stage
+from twinloom.staging import attach, stage, tasks
 
 CATEGORY = "category"
 GRID_FAMILIES = ("beta", "gamma", "t", "gaussian_kde")
@@ -350,6 +350,11 @@ def _buckets(column: str, size: int, total: int) -> tuple[Column, int]:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int"), n
 
 
+def _spread_tiles(tiles: DataFrame, *keys: str):
+    """Group by tile; each tile is costly, so tiles are not merged into fewer tasks."""
+    return tiles.repartition(tasks(tiles.sparkSession), *keys).groupBy(*keys)
+
+
 def _gram(pdf: pd.DataFrame) -> pd.DataFrame:
     _, names, z = _tile(pdf)
     products = z.T @ z
@@ -376,7 +381,7 @@ def correlation(scores: DataFrame, n_rows: int, n_features: int) -> DataFrame:
     )
     tiles = scores.select("id", "feature", "z", rows.alias("rc"), block.alias("fb"))
     spread = tiles.select("id", "feature", "z", "rc", "fb", F.inline(pairs))
-    products = spread.groupBy("rc", "lo", "hi").applyInPandas(
+    products = _spread_tiles(spread, "rc", "lo", "hi").applyInPandas(
         _gram, "feature_a string, feature_b string, total double"
     )
     return products.groupBy("feature_a", "feature_b").agg(
@@ -410,7 +415,7 @@ def reduce_rows(scores: DataFrame, n_rows: int) -> DataFrame:
     """
     chunk, n = _buckets("id", ROW_TILE, n_rows)
     schema = "chunk int, row int, names array<string>, z array<double>"
-    level = scores.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(_reduce_first, schema)
+    level = _spread_tiles(scores.withColumn("chunk", chunk), "chunk").applyInPandas(_reduce_first, schema)
     while n > 1:
         n = -(-n // FACTOR_FAN)
         level = (
@@ -450,7 +455,7 @@ def mix_rows(
         "id", "feature", "z", rows.alias("rc"), block.alias("fb"), F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("sc")
     )
     kernel = partial(_mix, seed=seed, n_synth=n_synth, scale=1.0 / math.sqrt(norm), batch=batch)
-    parts = tiles.groupBy("rc", "fb", "sc").applyInPandas(kernel, "feature string, sc int, z array<double>")
+    parts = _spread_tiles(tiles, "rc", "fb", "sc").applyInPandas(kernel, "feature string, sc int, z array<double>")
     long = parts.select("feature", "sc", F.posexplode("z").alias("pos", "z")).select(
         (F.col("sc").cast("bigint") * F.lit(SYNTH_TILE) + F.col("pos")).alias("synth"), "feature", "z"
     )

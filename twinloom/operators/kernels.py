@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
 from twinloom.functions.normal import np_norm_cdf
-from twinloom.staging import attach
+from twinloom.staging import attach, tasks
 
 _CHUNK = 2048
 _NORM = 1.0 / np.sqrt(2.0 * np.pi)
@@ -53,9 +53,9 @@ def kernel_sums(
     on = keys if on is None else list(on)
     named = attach(values, grids.select(*keys, "first", "last", "bandwidth"), on, row_bytes=128)
     named = named.filter(F.col("bandwidth") > 0)
-    ordered = named.repartitionByRange(*[ref(k) for k in keys], F.col("value")).sortWithinPartitions(
-        *[ref(k) for k in keys]
-    )
+    ordered = named.repartitionByRange(
+        tasks(values.sparkSession), *[ref(k) for k in keys], F.col("value")
+    ).sortWithinPartitions(*[ref(k) for k in keys])
     steps = np.arange(points) / max(points - 1, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,6 +27,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def tasks(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row: the session's shuffle setting.
+
+    Such steps name the number, because adaptive execution merges partitions by their
+    bytes and would leave a small but costly input to one task.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # rows of each staged table of this session, by folder
 _STAGED_ROWS: dict[str, int] = {}
 
