@@ -92,7 +92,7 @@ def latent_row_reduction(spark, sf):
     """The reduced rows keep every cross product, hence the whole correlation."""
     model, z = scores(spark, sf)
     n, p = _sizes(model)
-    reduced = cp.correlation(stage(cp.reduce_rows(cp.standardise(z), n)), min(n, p), p)
+    reduced = cp.correlation(stage(cp.reduce_rows(cp.standardise(z), n, p)), min(n, p), p)
     return reduced.withColumn("correlation", F.round(F.col("correlation") * min(n, p) / n, 7))
 
 
@@ -142,9 +142,9 @@ def copula_sample(spark, sf):
 )
 def missing_mask(spark, sf):
     cells = stage(tb.cells(spark, sf))
-    rates = stage(cp.observed(zero_to_null(cells)).select("feature", "missing"))
+    rates = stage(cp.observed(zero_to_null(cells)).select("feature", "missing", "name_id"))
     draws = cp.attach(cells.withColumnRenamed("id", "synth"), rates, ["feature"], row_bytes=64)
-    return cp.missing_mask(draws, SEED).select("synth", "feature", "value")
+    return cp.missing_mask(draws, SEED)
 
 
 @query(

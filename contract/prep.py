@@ -23,7 +23,7 @@ def six(name: str):
 def raw_cohort(spark, sf):
     """Tables as delivered: feature keys are 1000 times the clinical key."""
     wide = tb.wide(spark, sf).withColumn("id", F.col("id") * 1000 + F.pmod(F.col("id"), F.lit(7)))
-    features = prep.melt_features(prep.normalise_key(wide, "id", scale=1000))
+    features = prep.null_to_zero(prep.melt_features(prep.normalise_key(wide, "id", scale=1000)))
     return Cohort(prep.normalise_key(tb.clinical(spark, sf), "id"), features, len(wide.columns) - 1)
 
 
@@ -53,7 +53,7 @@ def normalise_keys(spark, sf):
 
 @query("melt_features", f"with {DENSE_SQL} select id, feature, value from cells")
 def melt_features(spark, sf):
-    return prep.melt_features(tb.wide(spark, sf))
+    return prep.null_to_zero(prep.melt_features(tb.wide(spark, sf)))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinloom.operators.prep import Cohort, melt_features
+from twinloom.operators.prep import Cohort, melt_features, null_to_zero
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,7 +34,10 @@ def label(kind: str):
 
 
 def wide(spark: SparkSession, sf: str, kind: str = "dense") -> DataFrame:
-    """One row per customer, one column per feature: the layout measurement tables come in."""
+    """One row per customer, one column per feature: the layout measurement tables come in.
+
+    Null where nothing was bought; filled after melting, on one column instead of all.
+    """
     part = table(spark, sf, "part").select("p_partkey", label(kind).alias("feature"))
     names = sorted(r[0] for r in part.select("feature").distinct().collect())
     bought = (
@@ -46,13 +49,13 @@ def wide(spark: SparkSession, sf: str, kind: str = "dense") -> DataFrame:
         .agg(F.sum("l_quantity"))
     )
     customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return customer.join(bought, "id", "left").na.fill(0.0)
+    return customer.join(bought, "id", "left")
 
 
 def cells(spark: SparkSession, sf: str, kind: str = "dense") -> DataFrame:
     if kind == "both":
         return cells(spark, sf, "dense").unionByName(cells(spark, sf, "sparse"))
-    return melt_features(wide(spark, sf, kind))
+    return null_to_zero(melt_features(wide(spark, sf, kind)))
 
 
 def cohort(spark: SparkSession, sf: str, kind: str = "dense") -> Cohort:

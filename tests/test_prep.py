@@ -183,6 +183,9 @@ def test_cohort_assembly(spark, tmp_path):
     assert {r["id"] for r in inside.collect()} == {1000}
     assert {r["id"] for r in outside.collect()} == {2000, 3000, 4000}
     assert prep.drop_columns(master, positions=[1, 2]).columns[:2] == ["id", "CAD.event"]
+    tables.write_cohorts(parts, {"ckd": inside, "none": outside}, str(tmp_path / "out"))
+    assert tables.read_table(spark, str(tmp_path / "out" / "none_peptides_data")).count() == 6
+    assert tables.read_table(spark, str(tmp_path / "out" / "hf_clinical_data")).columns == ["id"]
 
 
 def test_clinical_fixture_is_whole(cohort):

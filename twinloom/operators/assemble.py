@@ -36,7 +36,8 @@ def low_count_fill(stats: DataFrame, n_synth: int, seed: int) -> DataFrame:
     ``stats`` (staged) holds feature, mean and n_zero. Exactly ``n_zero`` synthetic rows
     per feature get 0.0, at random places; the others get the mean.
     """
-    rows = synth_index(stats.select("feature", "mean"), n_synth).withColumn("__name", name_key(F.col("feature")))
+    named = stats.select("feature", "mean", name_key(F.col("feature")).alias("__name"))
+    rows = synth_index(named, n_synth)
     rolled = with_uniform(rows, "__u", seed + FILL_STREAM, "synth", "__name")
     picked = choose_smallest(
         rolled, ["feature"], "__u", "synth", stats.select("feature", F.col("n_zero").alias("k"))

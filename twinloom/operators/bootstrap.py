@@ -7,7 +7,6 @@ the sample of a seed depends on the seed and the row keys only.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -142,7 +141,12 @@ def select_best(tied: DataFrame, kl: DataFrame, n_features: int) -> int:
         block = F.pmod(F.xxhash64("feature"), F.lit(blocks)).alias("block")
         named = kl.join(F.broadcast(places), "draw").select("place", "feature", "kl_divergence", block)
         size = len(batch)
-        partial_wins = named.repartition(tasks(kl.sparkSession), "block").groupBy("block").applyInPandas(partial(_wins, size=size), "place int, wins array<bigint>")
+
+        def kernel(pdf: pd.DataFrame, size: int = size) -> pd.DataFrame:
+            return _wins(pdf, size)
+
+        by_block = named.repartition(tasks(kl.sparkSession), "block").groupBy("block")
+        partial_wins = by_block.applyInPandas(kernel, "place int, wins array<bigint>")
         counts = (
             partial_wins.select("place", F.posexplode("wins").alias("rival", "wins"))
             .groupBy("place", "rival")

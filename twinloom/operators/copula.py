@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,10 @@ FINE_POINTS = 8192
 Z_MAX = float(np_norm_ppf(np.array([1.0 - U_CLIP]))[0])
 MAX_DIGITS = 6
 
-ROW_TILE = 8192
+# A tile arrives as long rows, so its size is kept to a few million cells.
+ROW_TILE = 4096
 FEATURE_TILE = 256
+TILE_CELLS = 2_000_000
 SYNTH_TILE = 8192
 NOISE_ROWS = 256
 # The row reduction keeps p x p numbers in a task, so it is used up to this width only.
@@ -158,7 +159,7 @@ def observed(cells: DataFrame) -> DataFrame:
         F.max(F.when(F.col("value").isNotNull(), decimals(F.col("value")))).alias("digits"),
         (F.count_if(F.col("value").isNull()) / F.count("*")).alias("missing"),
         F.avg("value").alias("fill"),
-    )
+    ).withColumn("name_id", name_key(F.col("feature")))
 
 
 def impute_mean(cells: DataFrame, stats: DataFrame) -> DataFrame:
@@ -199,6 +200,7 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
         F.when(category, F.lit(None)).otherwise(F.col("digits")).cast("int").alias("digits"),
         "missing",
         "fill",
+        "name_id",
         param("loc", {CATEGORY: 0.0}).alias("loc"),
         param("scale", {CATEGORY: 1.0}).alias("scale"),
         *[param(p).alias(p) for p in ("s", "a", "b", "df", "bandwidth")],
@@ -407,13 +409,14 @@ def _triangle(chunk: int, names, z: np.ndarray) -> pd.DataFrame:
     )
 
 
-def reduce_rows(scores: DataFrame, n_rows: int) -> DataFrame:
+def reduce_rows(scores: DataFrame, n_rows: int, n_features: int) -> DataFrame:
     """At most p rows (id, feature, z) with the same cross products as all ``scores``.
 
     Each chunk of rows is brought to triangular form; triangles are stacked in groups of
     ``FACTOR_FAN`` and reduced again until one is left. Every row must have every feature.
     """
-    chunk, n = _buckets("id", ROW_TILE, n_rows)
+    rows_per_chunk = max(2 * n_features, min(ROW_TILE, TILE_CELLS // max(n_features, 1)))
+    chunk, n = _buckets("id", rows_per_chunk, n_rows)
     schema = "chunk int, row int, names array<string>, z array<double>"
     level = _spread_tiles(scores.withColumn("chunk", chunk), "chunk").applyInPandas(_reduce_first, schema)
     while n > 1:
@@ -454,7 +457,11 @@ def mix_rows(
     tiles = scores.select(
         "id", "feature", "z", rows.alias("rc"), block.alias("fb"), F.explode(F.sequence(F.lit(0), F.lit(ns - 1))).alias("sc")
     )
-    kernel = partial(_mix, seed=seed, n_synth=n_synth, scale=1.0 / math.sqrt(norm), batch=batch)
+    scale = 1.0 / math.sqrt(norm)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _mix(pdf, seed, n_synth, scale, batch)
+
     parts = _spread_tiles(tiles, "rc", "fb", "sc").applyInPandas(kernel, "feature string, sc int, z array<double>")
     long = parts.select("feature", "sc", F.posexplode("z").alias("pos", "z")).select(
         (F.col("sc").cast("bigint") * F.lit(SYNTH_TILE) + F.col("pos")).alias("synth"), "feature", "z"
@@ -482,7 +489,7 @@ def latent_draws(
         mixing = "factor" if n_rows > n_features and n_features <= FACTOR_WIDTH else "rows"
     if mixing == "rows":
         return mix_rows(scores, n_synth, seed, n_rows, n_features, n_rows, batch)
-    reduced = stage(reduce_rows(scores, n_rows))
+    reduced = stage(reduce_rows(scores, n_rows, n_features))
     return mix_rows(reduced, n_synth, seed, min(n_rows, n_features), n_features, n_rows, batch)
 
 
@@ -528,15 +535,18 @@ def inverse_marginals(latent: DataFrame, model: DataFrame) -> DataFrame:
         "feature",
         clip_round(F.col("__x"), F.col("low"), F.col("high"), F.col("digits")).alias("value"),
         "missing",
+        "name_id",
     )
 
 
 def missing_mask(draws: DataFrame, seed: int) -> DataFrame:
-    """Null out values independently at the feature's observed rate (column ``missing``)."""
-    keyed = draws.withColumn("__name", name_key(F.col("feature")))
-    rolled = with_uniform(keyed, "__m", seed + MASK_STREAM, "synth", "__name")
+    """Null out values independently at the feature's observed rate.
+
+    ``draws`` carries ``missing`` (the rate) and ``name_id`` (the feature's counter key).
+    """
+    rolled = with_uniform(draws, "__m", seed + MASK_STREAM, "synth", "name_id")
     value = F.when(F.col("__m") >= F.col("missing"), F.col("value"))
-    return rolled.select(*[value.alias(c) if c == "value" else ref(c) for c in draws.columns])
+    return rolled.select("synth", "feature", value.alias("value"))
 
 
 def sample(
@@ -554,4 +564,4 @@ def sample(
     latent = latent_draws(
         standardise(scores), n_synth, seed + LATENT_STREAM, n_rows, n_features, mixing, batch
     )
-    return missing_mask(inverse_marginals(latent, model), seed).select("synth", "feature", "value")
+    return missing_mask(inverse_marginals(latent, model), seed)

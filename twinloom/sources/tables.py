@@ -50,3 +50,13 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[s
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def write_cohorts(
+    clinical: dict[str, DataFrame], features: dict[str, DataFrame], path: str, fmt: str = "csv"
+) -> None:
+    """One folder per cohort and table; cohorts may differ in their clinical columns."""
+    for name, df in clinical.items():
+        write_table(df, f"{path}/{name}_clinical_data", fmt)
+    for name, df in features.items():
+        write_table(df, f"{path}/{name}_peptides_data", fmt)
