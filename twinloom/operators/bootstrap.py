@@ -44,9 +44,9 @@ def draw_samples(ids: DataFrame, size: int, draws: int, root_seed: int) -> DataF
 
 def sample_by_seed(ids: DataFrame, size: int, seed: int) -> DataFrame:
     """The ids that ``draw_samples`` picks for one seed."""
-    keyed = ids.select("id").withColumn("seed", F.lit(seed).cast("bigint")).withColumn("draw", F.lit(0))
+    keyed = ids.select("id").withColumn("seed", F.lit(seed).cast("bigint"))
     ranked = with_uniform(keyed, "u", SAMPLE_STREAM, "seed", "id")
-    return choose_smallest(ranked, ["draw"], "u", "id", size).filter("chosen").select("id")
+    return choose_smallest(ranked, [], "u", "id", size).filter("chosen").select("id")
 
 
 def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def select_best(tied: DataFrame, kl: DataFrame, n_features: int) -> int:
         named = kl.join(F.broadcast(places), "draw").select("place", "feature", "kl_divergence", block)
         size = len(batch)
 
-        def kernel(pdf: pd.DataFrame, size: int = size) -> pd.DataFrame:
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
             return _wins(pdf, size)
 
         by_block = named.repartition(tasks(kl.sparkSession), "block").groupBy("block")

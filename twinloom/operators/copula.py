@@ -558,8 +558,7 @@ def sample(
     batch: int = NOISE_ROWS,
 ) -> DataFrame:
     """Synthetic cells (synth, feature, value) with nulls at the observed rate."""
-    n_features = model.count()
-    n_rows = int(model.agg(F.max("n")).first()[0])
+    n_features, n_rows = model.agg(F.count("*"), F.max("n")).first()
     scores = stage(normal_scores(cells, model))
     latent = latent_draws(
         standardise(scores), n_synth, seed + LATENT_STREAM, n_rows, n_features, mixing, batch

@@ -70,7 +70,7 @@ def choose_smallest(
     """Add boolean ``chosen``: is the row among the ``k`` smallest ``(u, tie)`` of its group.
 
     ``u`` is a counter-based uniform in (0, 1), so equal-width buckets are balanced. ``k``
-    is a number or a table ``(groups, k)``. Counting rows per bucket finds the bucket that
+    is a number or a table ``(groups, k)``; without groups it is a number. Counting rows per bucket finds the bucket that
     holds the k-th row; all other rows are decided where they are, and only the rows of
     that bucket (one in ``buckets``) are shuffled and ranked.
     """
@@ -91,7 +91,11 @@ def choose_smallest(
             F.coalesce(F.max(F.when(holds, F.col("__k") - F.col("__before"))), F.lit(0)).alias("__need"),
         )
     )
-    named = attach(placed, edges, keys, row_bytes=128)
+    if keys:
+        named = attach(placed, edges, keys, row_bytes=128)
+    else:
+        edge = edges.first()
+        named = placed.withColumn("__edge", F.lit(edge["__edge"])).withColumn("__need", F.lit(edge["__need"]))
     columns = [ref(c) for c in rows.columns]
     decided = named.filter(F.col("__bucket") != F.col("__edge")).select(
         *columns, (F.col("__bucket") < F.col("__edge")).alias("chosen")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,6 +17,7 @@ from twinloom.sources.tables import write_table
 from twinloom.staging import stage
 
 GROUP_STREAM = 1_000
+GROUPS_AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -64,17 +66,20 @@ def synthesize(
     # every later step scans the prepared tables, so they are written once
     whole = Cohort(stage(whole.clinical), stage(whole.features))
     shared = _feature_plan(whole.features, settings) if settings.feature_scope == "all" else None
-    clinical, features = [], []
-    for i, group in enumerate(groups):
+
+    def model_group(i: int, group: Group) -> tuple[DataFrame, DataFrame]:
         rows = prep.filter_rows(whole.clinical, group.condition, require_rows=True)
         plan = shared
         if plan is None:
             inside = whole.features.join(rows.select("id"), "id", "left_semi")
             plan = _feature_plan(inside, settings)
         seed = settings.seed + i * GROUP_STREAM
-        c, f = _group(rows, whole.features, plan, group.n_synth, settings, seed, sampler)
-        clinical.append(c)
-        features.append(f)
+        return _group(rows, whole.features, plan, group.n_synth, settings, seed, sampler)
+
+    # groups share nothing but the prepared tables, so their jobs run side by side
+    with ThreadPoolExecutor(max_workers=min(GROUPS_AT_ONCE, len(groups))) as pool:
+        made = list(pool.map(model_group, range(len(groups)), groups))
+    clinical, features = [c for c, _ in made], [f for _, f in made]
     merged_clinical, merged_features = assemble.merge_pairs(clinical, features)
     sizes = [g.n_synth for g in groups]
     start = assemble.key_offset(spark, settings.seed) if offset is None else offset
@@ -111,13 +116,7 @@ def _group(
     roles = _roles(rows, settings)
     categories = [c for c in columns if roles[c] in ("categorical", "boolean")]
     numeric = [c for c in columns if c not in categories]
-    for rule in settings.constraints:
-        if rule.low not in numeric or rule.high not in numeric:
-            raise ValueError("constraints apply to numerical clinical columns")
-        bad = copula.count_violations(rows, rule).first()["violations"]
-        if bad:
-            raise ValueError(f"{bad} rows break {rule.low} < {rule.high}")
-    digits = rows.agg(*[F.max(copula.decimals(ref(r.high))).alias(r.high) for r in settings.constraints]).first() if settings.constraints else {}
+    digits = _checked_constraints(rows, settings.constraints, numeric)
     opened = rows
     for rule in settings.constraints:
         opened = copula.open_constraint(opened, rule)
@@ -127,7 +126,6 @@ def _group(
     cells = prep.modelled_cells(measured, plan.split)
     families = plan.families
     if numbers is not None:
-        numbers = stage(numbers)
         families = families.unionByName(_clinical_families(rows, numbers, numeric, settings))
         cells = cells.unionByName(numbers)
     levels = None
@@ -153,6 +151,23 @@ def _group(
     return wide, modelled.unionByName(assemble.low_count_fill(low, n_synth, seed))
 
 
+def _checked_constraints(rows: DataFrame, rules: Sequence[copula.Inequality], numeric: Sequence[str]) -> dict[str, int]:
+    """Decimal places of each constrained column; an error where the data break a rule."""
+    if not rules:
+        return {}
+    for rule in rules:
+        if rule.low not in numeric or rule.high not in numeric:
+            raise ValueError("constraints apply to numerical clinical columns")
+    row = rows.agg(
+        *[F.max(copula.decimals(ref(r.high))).alias(f"digits{i}") for i, r in enumerate(rules)],
+        *[F.count_if(~r.holds()).alias(f"bad{i}") for i, r in enumerate(rules)],
+    ).first()
+    for i, rule in enumerate(rules):
+        if row[f"bad{i}"]:
+            raise ValueError(f"{row[f'bad{i}']} rows break {rule.low} < {rule.high}")
+    return {rule.high: row[f"digits{i}"] for i, rule in enumerate(rules)}
+
+
 def _roles(rows: DataFrame, settings: Settings) -> dict[str, str]:
     return {r["column"]: r["role"] for r in prep.infer_roles(rows, "id", settings.roles).collect()}
 
