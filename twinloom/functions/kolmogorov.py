@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.names import div
+from twinloom.staging import tasks
 
 EXACT_LIMIT = 10_000
 
@@ -105,7 +106,7 @@ def with_p_value(df: DataFrame, d: str = "ks", method: str = "auto", out: str =
     triples = df.select("n1", "n2", F.col(d).alias("__d"))
     if method == "auto":
         triples = triples.filter(F.greatest("n1", "n2") <= F.lit(EXACT_LIMIT))
-    triples = triples.distinct()
+    triples = triples.distinct().repartition(tasks(df.sparkSession))  # each one is costly
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -247,6 +247,7 @@ def _with_grids(model: DataFrame, filled: DataFrame, smooth: bool) -> DataFrame:
                     x_at.append(None)
             yield batch[columns].assign(z_at=z_at, x_at=x_at)
 
+    joined = joined.repartition(tasks(model.sparkSession))  # a table per feature is costly to build
     return joined.mapInPandas(run, ", ".join([*fields, "z_at array<double>", "x_at array<double>"]))
 
 

@@ -103,7 +103,10 @@ def kl_divergence(
     by_sample = _side_stats(sample, keys, "s")
     by_original = stage(_side_stats(original, ["feature"], "o"))
     both = attach(by_sample, by_original, ["feature"], row_bytes=128).select(
-        "*", F.least("mn_s", "mn_o").alias("first"), F.greatest("mx_s", "mx_o").alias("last")
+        "*",
+        # adding 0.0 turns -0.0 into 0.0, so that equal grids hash alike
+        (F.least("mn_s", "mn_o") + 0.0).alias("first"),
+        (F.greatest("mx_s", "mx_o") + 0.0).alias("last"),
     )
     grids = stage(both)
     usable = grids.filter((F.col("h_s") > 0) & (F.col("h_o") > 0))

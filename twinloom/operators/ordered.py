@@ -16,15 +16,18 @@ from twinloom.functions.names import ref
 from twinloom.staging import attach, stage
 
 UNIT_BUCKETS = 1024
+# Value buckets per power of two: values within 0.3 % of each other may share one.
+STEPS_PER_OCTAVE = 256
+_ABOVE_ALL_STEPS = 300_000  # exceeds STEPS_PER_OCTAVE * 1075, the lowest exponent of a double
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a double: sixteen buckets per power of two, by sign.
+    """Order-preserving bucket of a double: even steps in its logarithm, by sign.
 
     Depends on the value alone, so a recomputed task always agrees with the others.
     ``log2`` is semi-monotonic, so the bucket never decreases as the value grows.
     """
-    steps = F.floor(F.log2(F.abs(value)) * F.lit(16.0)).cast("bigint") + F.lit(20000)
+    steps = F.floor(F.log2(F.abs(value)) * F.lit(float(STEPS_PER_OCTAVE))).cast("bigint") + F.lit(_ABOVE_ALL_STEPS)
     return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, steps).otherwise(-steps)
 
 
