@@ -1,4 +1,4 @@
 """All registered document queries."""
 
-from twinloom.llm import exact_dedup, license_scan, sharding, url_filter  # noqa: F401
+from twinloom.llm import exact_dedup, language_id, license_scan, sharding, url_filter  # noqa: F401
 from twinloom.llm.registry import QUERIES, SQL  # noqa: F401
