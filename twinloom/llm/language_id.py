@@ -150,33 +150,41 @@ def scorer(model: list[tuple[str, list[int]]]) -> Callable[[pa.Array], tuple[np.
     return score
 
 
-def predict(docs: DataFrame, model: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, held_out, lang_pred, score."""
-    rows = docs.select(
-        ref(id_col).alias("id"),
-        held_out(id_col).alias("held_out"),
-        ref(text_col).alias("text"),
-        F.coalesce(F.regexp_like(ref(text_col), F.lit("\\p{L}")), F.lit(False)).alias("letter"),
-    )
+def _judged(docs: DataFrame, model: list[tuple[str, list[int]]], text_col: str) -> DataFrame:
+    """``docs`` with a boolean column letter -> the same columns but letter, and lang_pred and score."""
     names = [lang for lang, _ in model]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for batch in pieces(batches, "text", SLICE):
-            best, margin = score(batch.column("text"))
+        for batch in pieces(batches, text_col, SLICE):
+            best, margin = score(batch.column(text_col))
             best[~batch.column("letter").to_numpy(zero_copy_only=False)] = -1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "id": batch.column("id"),
-                    "held_out": batch.column("held_out"),
-                    "lang_pred": pa.array([names[k] if k >= 0 else UNKNOWN for k in best], pa.string()),
-                    "score": np.where(best >= 0, margin, 0.0),
-                }
-            )
+            columns = {n: batch.column(n) for n in kept}
+            columns["lang_pred"] = pa.array([names[k] if k >= 0 else UNKNOWN for k in best], pa.string())
+            columns["score"] = np.where(best >= 0, margin, 0.0)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kept = [c for c in docs.columns if c != "letter"]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.mapInArrow(judge, f"{schema}, lang_pred string, score double")
+
+
+def _letter(text):
+    return F.coalesce(F.regexp_like(text, F.lit("\\p{L}")), F.lit(False)).alias("letter")
+
+
+def predict(docs: DataFrame, model: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, held_out, lang_pred, score."""
+    text = ref(text_col)
+    rows = docs.select(ref(id_col).alias("id"), held_out(id_col).alias("held_out"), text.alias("text"), _letter(text))
+    return _judged(rows, model, "text").select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.mapInArrow(judge, f"id {kind}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+def keep_identified(docs: DataFrame, model: list[tuple[str, list[int]]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a predicted language, with all their columns."""
+    held = docs.select(*[ref(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], _letter(ref(text_col)))
+    found = _judged(held, model, f"c{docs.columns.index(text_col)}").filter(F.col("lang_pred") != UNKNOWN)
+    return found.select([F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 @query("op8_language_id")
