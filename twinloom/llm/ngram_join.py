@@ -10,8 +10,8 @@
    joins the first leader that its signature shows to be within ``NEAR``, else it becomes
    a leader; leaders that could still have members at the threshold are tied (triangle
    inequality of the Jaccard distance, with a margin for the signature's error). Large
-   nodes are swept in salted parts first and then leader by leader. So a node gives about
-   as many edges as classes, never all pairs.
+   nodes are swept in salted parts first and then leader by leader. A node gives fewer
+   edges than it has classes, never all pairs.
 4. Tied classes are candidates of each other. Their shingle sets are fetched once for each
    pair of bounded blocks of a candidate component, all pairs there are verified exactly,
    and only each class's number of links and a spanning forest leave the task.
@@ -155,6 +155,7 @@ class _Sweep:
         self.names: list[bytes] = []
         self.sigs = np.zeros((64, _SLOTS), np.uint32)
         self.edges: list[tuple[bytes, bytes]] = []
+        self.tree = np.zeros(64, np.int64)  # of each leader: the tied leaders it belongs to
 
     def add(self, name: bytes, sig: np.ndarray) -> None:
         n = len(self.names)
@@ -164,10 +165,14 @@ class _Sweep:
             if alike[best] >= self.near:
                 self.edges.append((name, self.names[best]))
                 return
-            self.edges += [(name, self.names[k]) for k in np.flatnonzero(alike >= self.tied)]
+            # one edge to each group of tied leaders is enough
+            groups, first = np.unique(self.tree[:n][tied := np.flatnonzero(alike >= self.tied)], return_index=True)
+            self.edges += [(name, self.names[tied[k]]) for k in first]
+            self.tree[:n][np.isin(self.tree[:n], groups)] = n
         if n == len(self.sigs):
             self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
-        self.sigs[n] = sig
+            self.tree = np.concatenate([self.tree, np.zeros_like(self.tree)])
+        self.sigs[n], self.tree[n] = sig, n
         self.names.append(name)
 
 
