@@ -5,7 +5,9 @@ space) and compared as a whole, by blank-line separated block and by line with e
 template by the Dice coefficient of their sets of word bigrams. Dice >= t is only possible
 if the smaller of two bigram counts is at least t / (2 - t) of the larger, and a set is no
 larger than its number of words less one; a segment whose size fits no template is dropped
-before its bigrams are built, and a template whose size does not fit is never compared.
+before its bigrams are built, and a template whose size does not fit is never compared. The
+least overlap that follows from the bounds also gives words of which a matching segment
+must have one; texts and segments without any are passed over.
 
 Runs on DataFrame functions only. Documents are scanned in place; nothing is shuffled.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from twinloom.functions.names import ref
 from twinloom.llm.registry import query, table
 
 THRESHOLD = 0.8
+SHORT = 4
 
 #: Public licence notices.
 TEMPLATES = {
@@ -81,20 +85,61 @@ def size_bounds(count: int, threshold: float) -> tuple[int, int]:
     return int(-(-count * share // 1)), int(count / share)
 
 
-def _segments(text):
-    """Distinct normalised lines, blocks and the whole of a text."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9\\n]+", " ")
-    lines, blocks = F.split(plain, "\n"), F.split(plain, "\n ?(?:\n ?)+")
-    parts = F.array_union(F.array_union(lines, blocks), F.array(plain))
-    return F.array_distinct(F.transform(parts, lambda p: F.trim(F.translate(p, "\n", " "))))
+def _let(value, body):
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def marks(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every segment within ``threshold`` of a template has at least one.
+
+    A template of n bigrams shares at least as many as ``size_bounds`` asks for. Words
+    taken for another template, then long words are taken until fewer bigrams than that
+    are without one of them.
+    """
+    found: set[str] = set()
+    for _, grams in known:
+        need, rest = max(1, size_bounds(len(grams), threshold)[0]), [set(g.split()) for g in grams]
+        for word in sorted(set().union(*rest), key=lambda w: (w not in found, -len(w), w)):
+            if len(rest) < need:
+                break
+            found.add(word)
+            rest = [g for g in rest if word not in g]
+    return sorted(found)
+
+
+def _segments(text, words: list[str]):
+    """Distinct normalised lines, blocks and the whole of a text that has one of ``words``."""
+
+    def any_of(tests):
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    def whole_word(s):
+        return any_of([F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {w} ")) for w in words])
+
+    def inside(s):
+        """Cheap for long words; short ones are looked for as whole words once their letters are there."""
+        short = [F.contains(s, F.lit(w)) & F.rlike(s, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")) for w in words if len(w) < SHORT]
+        return any_of([F.contains(s, F.lit(w)) for w in words if len(w) >= SHORT] + short)
+
+    def cut(lowered):
+        plain = F.regexp_replace(lowered, "[^a-z0-9\\n]+", " ")
+        found = _let(plain, lambda p: F.filter(split(p), lambda s: _let(s, whole_word)))
+        return F.when(inside(lowered), found).otherwise(F.array().cast("array<string>"))
+
+    def split(plain):
+        parts = F.array_union(F.array_union(F.split(plain, "\n"), F.split(plain, "\n ?(?:\n ?)+")), F.array(plain))
+        return F.array_distinct(F.transform(parts, lambda p: F.trim(F.translate(p, "\n", " "))))
+
+    return _let(F.lower(F.coalesce(text, F.lit(""))), cut)
 
 
 def _bigrams(segment):
-    words = F.split(segment, " +")
-    pairs = F.transform(
-        F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))
-    )
-    return F.array_distinct(pairs)
+    def pairs(words):
+        rest = F.size(words) - 1
+        return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return F.array_distinct(_let(F.split(segment, " +"), pairs))
 
 
 def _better(a, b):
@@ -122,7 +167,7 @@ def scan_licenses(
         return F.length(segment) - F.length(F.translate(segment, " ", ""))
 
     # a set holds at most as many bigrams as there are gaps; repeats only shrink it
-    sized = F.filter(_segments(ref(text_col)), lambda s: spaces(s) >= least)
+    sized = F.filter(_segments(ref(text_col), marks(known, threshold)), lambda s: spaces(s) >= least)
     grams = F.transform(sized, _bigrams)
     fitting = F.filter(
         grams,
