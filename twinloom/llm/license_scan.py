@@ -100,7 +100,8 @@ def marks(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     found: set[str] = set()
     for _, grams in known:
         need, rest = max(1, size_bounds(len(grams), threshold)[0]), [set(g.split()) for g in grams]
-        for word in sorted(set().union(*rest), key=lambda w: (w not in found, -len(w), w)):
+        # among short words the later ones by name: they are rarer than "by"
+        for word in sorted(sorted(set().union(*rest), reverse=True), key=lambda w: (w not in found, -len(w))):
             if len(rest) < need:
                 break
             found.add(word)
