@@ -161,8 +161,11 @@ def scan_licenses(
     ``dice`` is the best score over segments and templates that reach ``threshold``, else 0.
     """
     known = [(name, grams) for name, text in sorted(templates.items()) if (grams := bigrams_of(text))]
+    if not known:
+        nothing = F.lit(None).cast("string").alias("license")
+        return docs.select(ref(id_col).alias(id_col), nothing, F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_segments"))
     bounds = [size_bounds(len(grams), threshold) for _, grams in known]
-    least = min((lo for lo, _ in bounds), default=1)
+    least = min(lo for lo, _ in bounds)
 
     def spaces(segment):
         return F.length(segment) - F.length(F.translate(segment, " ", ""))
@@ -172,7 +175,7 @@ def scan_licenses(
     grams = F.transform(sized, _bigrams)
     fitting = F.filter(
         grams,
-        lambda g: F.lit(False) if not known else F.exists(
+        lambda g: F.exists(
             F.array(*[F.struct(F.lit(lo), F.lit(hi)) for lo, hi in bounds]),
             lambda b: F.size(g).between(b["col1"], b["col2"]),
         ),

@@ -211,7 +211,7 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit:
     draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(~F.col("held_out")).join(own.filter(draw < share), "id").select("id", "x", "y").toPandas()
     sample = sample.sort_values(["id", "x", "y"])
-    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), 2 * DIM + 3).astype(np.float64)
     return Network(x, sample["y"].to_numpy(np.float64))
 
 

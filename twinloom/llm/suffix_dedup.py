@@ -245,8 +245,9 @@ def _repeats(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, (F.col("thash") == F.col("wthash")) & F.col("id").eqNullSafe(F.col("oid")))
     merged = stage(_merge(_contexts(texts.select("text", "wanted"))))
     opened = merged.select("key", "whole", F.inline("open"))
-    shared = opened.groupBy("digest").agg(F.count_distinct("key", "whole").alias("n")).filter("n > 1").select("digest")
-    late = opened.join(shared, "digest").select(
+    same = ["key", "d", "digest"]
+    shared = opened.groupBy(same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(same)
+    late = opened.join(shared, same).select(
         "key", "whole", F.array(F.struct((-F.col("d")).alias("lo"), (LENGTH - F.col("d")).alias("hi"))).alias("spans")
     )
     spans = merged.select("key", "whole", "spans").unionByName(late)
