@@ -48,6 +48,7 @@ LENGTH = 400
 SPAN = 300
 GRAM = 32
 PART = 8192
+SLICE = 1 << 20  # bytes; the sampling takes some hundred bytes for each
 _SHOWN = LENGTH - SPAN + 1  # bytes after an anchor that all its strings share
 
 
@@ -200,7 +201,7 @@ def _merge(contexts: DataFrame) -> DataFrame:
 
 def _sample(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE):
             data, offsets = byte_view(batch.column("text"))
             at, row, key, whole = anchors(data, offsets)
             texts = batch.column("thash").to_numpy(zero_copy_only=False)
