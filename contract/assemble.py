@@ -58,13 +58,14 @@ def synth_tables(spark, sf):
     )
 
 
-GROUPS = ["BUILDING", "FURNITURE"]
+GROUPS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PLACE = "list_position([" + ", ".join(f"'{g}'" for g in GROUPS) + "], segment)"
 
 
 @query(
     "merge_groups",
-    f"""with {CLINICAL_SQL}, {DENSE_SQL} select case segment when 'BUILDING' then 0 else 1 end as part, c.id as synth, c.feature, c.value
-    from clinical p join cells c on c.id = p.id where segment in ('BUILDING', 'FURNITURE')""",
+    f"""with {CLINICAL_SQL}, {DENSE_SQL} select ({PLACE} - 1)::int as part, c.id as synth, c.feature, c.value
+    from clinical p join cells c on c.id = p.id""",
 )
 def merge_groups(spark, sf):
     rows = tb.clinical(spark, sf).select("id", "segment", "balance")
@@ -78,15 +79,15 @@ def merge_groups(spark, sf):
 @query(
     "surrogate_key",
     f"""with g as (select c_mktsegment as segment, count(*) as n, max(c_acctbal) as top from customer group by 1),
-    rows_ as (select segment, top, unnest(range(n)) as synth from g where segment in ('BUILDING', 'FURNITURE')),
+    rows_ as (select segment, top, unnest(range(n)) as synth from g),
     k as (select floor(u * {am.KEY_RANGE})::bigint as shift from {uniform("(select 0::bigint as id)", "id", "u", SEED + am.KEY_STREAM, "id")})
-    select (shift + 1 + case segment when 'BUILDING' then 0 else (select n from g where segment = 'BUILDING') end + synth)::bigint as id,
+    select (shift + 1 + coalesce((select sum(n) from g where g.segment < rows_.segment), 0) + synth)::bigint as id,
       segment, top from rows_, k""",
 )
 def surrogate_key(spark, sf):
     stats = stage(
         tb.clinical(spark, sf).groupBy("segment").agg(F.count("*").alias("n"), F.max("balance").alias("top"))
     )
-    sizes = {r["segment"]: r["n"] for r in stats.filter(F.col("segment").isin(GROUPS)).collect()}
+    sizes = {r["segment"]: r["n"] for r in stats.collect()}
     parts = [am.synth_index(stats.filter(F.col("segment") == g).select("segment", "top"), sizes[g]) for g in GROUPS]
     return am.surrogate_key(am.merge_groups(parts), [sizes[g] for g in GROUPS], am.key_offset(spark, SEED))

@@ -109,7 +109,22 @@ kl as (select {e}feature, sum(case when q > 0 and p > 0 then p * ln(p / q) else
 
 @query("kl_divergence", f"with {SIDES_SQL},{kl_sql('synth')} select feature, round(kl_divergence, 7) as kl_divergence from kl")
 def kl_divergence(spark, sf):
-    return ev.kl_divergence(*sides(spark, sf)).select("feature", F.round("kl_divergence", 7).alias("kl_divergence"))
+    out = ev.kl_divergence(*sides(spark, sf), nan_policy="zero")
+    return out.select("feature", F.round("kl_divergence", 7).alias("kl_divergence"))
+
+
+@query(
+    "kl_propagate",
+    f"""with {SIDES_SQL},{kl_sql('synth')}, lost as (select feature, bool_or(q > 0 and not p > 0) as undefined from p join q using (feature, i) group by 1)
+    select feature, undefined, case when not undefined then round(kl_divergence, 7) end as kl_divergence from kl join lost using (feature)""",
+)
+def kl_propagate(spark, sf):
+    """The default rule: 0 * ln 0 makes the sum undefined."""
+    out = ev.kl_divergence(*sides(spark, sf))
+    undefined = F.isnan("kl_divergence")
+    return out.select(
+        "feature", undefined.alias("undefined"), F.when(~undefined, F.round("kl_divergence", 7)).alias("kl_divergence")
+    )
 
 
 DRAWS_SQL = f"""
@@ -184,7 +199,7 @@ def _best(spark, sf):
     synthetic, original, samples, scores, n = _scores(spark, sf)
     tied = stage(bs.tied_best(scores))
     cells = attach(samples, tied.select("draw"), ["draw"], row_bytes=32).join(synthetic, "id").select("draw", "feature", "value")
-    kl = stage(ev.kl_divergence(cells, original, draws=["draw"]))
+    kl = stage(ev.kl_divergence(cells, original, draws=["draw"], nan_policy="zero"))
     draw = bs.select_best(tied, kl, n)
     return synthetic, original, tied.filter(F.col("draw") == draw)
 
@@ -216,7 +231,7 @@ def bootstrap_statistics(spark, sf):
     synthetic, original, winner = _best(spark, sf)
     ids = bs.sample_by_seed(synthetic.select("id").distinct(), SIZE, winner.first()["seed"])
     chosen = synthetic.join(ids, "id", "left_semi")
-    out = bs.statistics(chosen, original, method="asymptotic")
+    out = bs.statistics(chosen, original, method="asymptotic", nan_policy="zero")
     return out.select(
         F.col("feature").alias("Peptide_id"),
         F.round("kl_divergence", 7).alias("kl_divergence"),

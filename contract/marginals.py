@@ -60,9 +60,39 @@ unit as (select *, (mean - loc) / scale as m, sd * sd / (scale * scale) as v fro
 beta as (select feature, loc, scale, m * greatest(m * (1 - m) / v - 1, 0.001) as a,
                 (1 - m) * greatest(m * (1 - m) / v - 1, 0.001) as b from unit)"""
 
-T_SQL = f"""
-degrees as (select *, case when kurt > 0 then least({mg.T_MAX_DF}, 4 + 6 / kurt) else {mg.T_MAX_DF} end as df from moments),
-t as (select feature, df, mean as loc, sd * sqrt((df - 2) / df) as scale from degrees)"""
+def _sum(term: str, y: str) -> str:
+    return " + ".join(term.format(y=f"({y} + {k})") for k in range(8))
+
+
+def _t_sql() -> str:
+    """Median, log moments about it, and Newton steps for trigamma(df / 2)."""
+    z = "(y + 8.0::double)"
+    tri = lambda y, z: (
+        f"(1 / {z} + 0.5 / pow({z}, 2) + 1 / (6 * pow({z}, 3)) - 1 / (30 * pow({z}, 5)) + 1 / (42 * pow({z}, 7))"
+        f" + {_sum('1 / pow({y}, 2)', y)})"
+    )
+    tetra = (
+        f"(-1 / pow({z}, 2) - 1 / pow({z}, 3) - 0.5 / pow({z}, 4) + 1 / (6 * pow({z}, 6)) - 1 / (6 * pow({z}, 8))"
+        f" - ({_sum('2 / pow({y}, 3)', 'y')}))"
+    )
+    di = lambda y: (
+        f"(ln({y} + 8) - 0.5 / ({y} + 8) - 1 / (12 * pow({y} + 8, 2)) + 1 / (120 * pow({y} + 8, 4))"
+        f" - 1 / (252 * pow({y} + 8, 6)) - ({_sum('1 / {y}', y)}))"
+    )
+    top = f"{mg.T_MAX_DF / 2}::double"
+    return f"""
+middle as (select feature, quantile_disc(x, 0.5) as loc from values_ group by feature),
+logged as (select v.feature, any_value(loc) as loc, avg(ln(abs(x - loc))) as m, var_pop(ln(abs(x - loc))) as v
+           from values_ v join middle using (feature) where x <> loc group by 1),
+wanted as (select *, greatest(4 * v - pi() * pi() / 2, {tri(top, f"({top} + 8)")}) as w from logged),
+newton as (select feature, 0 as step, w, 0.5::double + 1 / w as y from wanted
+  union all select feature, step + 1, w, y + tg * (1 - tg / w) / {tetra}
+  from (select *, {tri('y', z)} as tg from newton where step < {mg.T_STEPS})),
+degrees as (select l.*, least(2 * y, {mg.T_MAX_DF}::double) as df from newton n join logged l using (feature) where step = {mg.T_STEPS}),
+t as (select feature, df, loc, exp(m - 0.5 * ({di('0.5::double')} - {di('(df / 2)')} + ln(df))) as scale from degrees)"""
+
+
+T_SQL = _t_sql()
 
 
 def _fit_query(family: str, body: str):
@@ -129,7 +159,7 @@ points as (%s),
 density as (
   select pt.*, 'norm' as family, 2 as k, 0 as position, -ln(sd) - {LS} - 0.5 * pow((x - mean) / sd, 2) as lp
     from points pt join moments using (feature)
-  union all select pt.*, 'gamma', 3, 2, (mean / th - 1) * ln(x) - x / th - (mean / th) * ln(th) - lgamma(mean / th)
+  union all select pt.*, 'gamma', 2, 2, (mean / th - 1) * ln(x) - x / th - (mean / th) * ln(th) - lgamma(mean / th)
     from points pt join (select feature, mean, mean_xln - mean_ln * mean as th from moments) g using (feature)
   union all select pt.*, 'lognorm', 3, 3,
       -ln(p.s) - {LS} - ln(x - p.loc) - 0.5 * pow((ln(x - p.loc) - ln(p.scale)) / p.s, 2)

@@ -14,6 +14,7 @@ from twinloom.staging import stage
 
 R6 = 6
 THRESHOLD = 0.7
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
 
 
 def six(name: str):
@@ -58,12 +59,10 @@ def melt_features(spark, sf):
 
 @query(
     "pivot_features",
-    f"""with {DENSE_SQL} select id, max(value) filter (feature = 'Brand#1') as "Brand#1",
-      max(value) filter (feature = 'Brand#2') as "Brand#2",
-      max(value) filter (feature = 'Brand#3') as "Brand#3" from cells group by id""",
+    f"""with {DENSE_SQL} select id, {', '.join(f"max(value) filter (feature = '{b}') as {chr(34)}{b}{chr(34)}" for b in BRANDS)} from cells group by id""",
 )
 def pivot_features(spark, sf):
-    return prep.pivot_features(tb.cells(spark, sf), ["Brand#1", "Brand#2", "Brand#3"])
+    return prep.pivot_features(tb.cells(spark, sf), BRANDS)
 
 
 @query("zero_to_null", f"with {DENSE_SQL} select id, feature, nullif(value, 0) as value from cells")

@@ -1,41 +1,37 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import CLINICAL_ROWS, FEATURE_NAMES, FEATURE_ROWS
+from tests.conftest import COLONIES, COLONY_IDS, COLONY_ROWS, KEY, SPORE_ROWS, STRAIN_ZEROS, STRAINS
 from twinloom.operators import ordered, prep
 from twinloom.operators.prep import Cohort
 from twinloom.sources import matrices, tables
 from twinloom.staging import attach, stage
 
-ZEROS = dict(zip(FEATURE_NAMES, [3, 3, 4, 7, 5, 8, 4, 3, 5, 6, 7, 10, 7, 6, 7]))
-MEANS = dict(zip(FEATURE_NAMES, [
-    117.563636, 22.400909, 34.574545, 3.666364, 212.403636, 4.913636, 13.641818, 87.733636, 314.889091,
-    9.346364, 6.709091, 0.003636, 14.547273, 7.267273, 7.827273,
-]))
+MEANS = {name: sum(r[j + 1] for r in SPORE_ROWS) / COLONIES for j, name in enumerate(STRAINS)}
 
 
 def test_load_cohort(cohort):
     assert "" not in cohort.clinical.columns and "_c0" not in cohort.clinical.columns
     assert cohort.clinical.schema["id"].dataType.simpleString() == "bigint"
-    assert {r["id"] for r in cohort.clinical.collect()} == set(range(200, 211))
-    assert cohort.features.count() == 165
-    assert {r["id"] for r in cohort.features.select("id").distinct().collect()} == set(range(200, 211))
+    assert sorted(r["id"] for r in cohort.clinical.collect()) == COLONY_IDS
+    assert cohort.features.count() == COLONIES * len(STRAINS)
+    assert sorted(r["id"] for r in cohort.features.select("id").distinct().collect()) == COLONY_IDS
 
 
 def test_duplicate_keys_after_truncation_are_an_error(spark, tmp_path, fixture_files):
     path = tmp_path / "f.csv"
-    path.write_text("Patient ID,p1\n200000,1.0\n200001,2.0\n")
+    path.write_text(f"{KEY},s1\n31000,1.0\n31001,2.0\n")
     with pytest.raises(ValueError, match="share one key"):
-        tables.load_cohort(spark, fixture_files[0], str(path), "Patient ID")
-    kept = tables.load_cohort(spark, fixture_files[0], str(path), "Patient ID", on_duplicate="keep")
+        tables.load_cohort(spark, fixture_files[0], str(path), KEY)
+    kept = tables.load_cohort(spark, fixture_files[0], str(path), KEY, on_duplicate="keep")
     assert kept.features.count() == 2
 
 
 def test_key_types(spark):
-    strings = spark.createDataFrame([("a", 1.0)], "k string, v double")
-    assert prep.normalise_key(strings, "k").columns == ["id", "v"]
-    with pytest.raises(ValueError, match="Unsupported type"):
-        prep.normalise_key(spark.createDataFrame([(True, 1.0)], "k boolean, v double"), "k")
+    for value, kind in (("a", "string"), (True, "boolean")):
+        with pytest.raises(ValueError, match="numeric key"):
+            prep.normalise_key(spark.createDataFrame([(value, 1.0)], f"k {kind}, v double"), "k")
+    assert prep.normalise_key(spark.createDataFrame([(7900, 1.0)], "k int, v double"), "k", 1000).first()["id"] == 7
 
 
 def test_missing_path_raises(spark, tmp_path):
@@ -45,53 +41,58 @@ def test_missing_path_raises(spark, tmp_path):
 
 def test_zero_share_and_means(cohort):
     for r in prep.missing_fraction(cohort.features).collect():
-        assert r["n_missing"] == ZEROS[r["feature"]] and r["n"] == 11
+        assert r["n_missing"] == STRAIN_ZEROS[r["feature"]] and r["n"] == COLONIES
     for r in prep.low_count_stats(cohort.features, -1.0, 10).collect():
-        assert r["mean"] == pytest.approx(MEANS[r["feature"]], abs=1e-6)
+        assert r["mean"] == pytest.approx(MEANS[r["feature"]], abs=1e-9)
 
 
 def test_sparsity_split_is_inclusive(cohort):
     low = {r["feature"] for r in prep.sparsity_split(cohort.features, 0.7).filter("not modelled").collect()}
-    assert low == {"p6", "p12"}
-    edge = prep.sparsity_split(cohort.features, 8 / 11).filter("modelled")
-    assert "p6" in {r["feature"] for r in edge.collect()}
+    assert low == {"s10", "s11", "s12"}
+    edge = prep.sparsity_split(cohort.features, 11 / 14).filter("modelled")
+    assert "s10" in {r["feature"] for r in edge.collect()}
 
 
-@pytest.mark.parametrize("n,zeros", [(10, {"p6": 7, "p12": 9}), (15, {"p6": 10, "p12": 13})])
-def test_low_count_zero_numbers(cohort, n, zeros):
+@pytest.mark.parametrize("n", [10, 15, 28])
+def test_low_count_zero_numbers(cohort, n):
     got = {r["feature"]: r["n_zero"] for r in prep.low_count_stats(cohort.features, 0.7, n).collect()}
-    assert got == zeros
+    assert got == {s: int((1.0 - (COLONIES - STRAIN_ZEROS[s]) / COLONIES) * n) for s in ("s10", "s11", "s12")}
 
 
 def test_filters_and_guards(cohort):
     c = cohort.clinical
-    assert prep.filter_rows(c, {"Kidney disease": ("==", 1)}).count() == 6
-    assert prep.filter_rows(c, {"Kidney disease": 1, "Age": (">", 50)}).count() == 3
-    assert prep.filter_rows(c, {"Blutdruck, diastolischM": ("<=", 80.0)}).count() == 3
-    for bad in ({"nope": 1}, {"Age": ("=", 1)}, {"Age": (">", 1, 2)}):
+    region, low, visits = 3, 5, 7
+    assert prep.filter_rows(c, {"region": ("==", 1)}).count() == sum(r[region] == 1 for r in COLONY_ROWS)
+    both = {"region": 1, "visits": (">", 40)}
+    assert prep.filter_rows(c, both).count() == sum(r[region] == 1 and r[visits] > 40 for r in COLONY_ROWS)
+    middle = sorted(r[low] for r in COLONY_ROWS)[6]
+    assert prep.filter_rows(c, {"trap, low": ("<=", middle)}).count() == sum(r[low] <= middle for r in COLONY_ROWS)
+    for bad in ({"nope": 1}, {"visits": ("=", 1)}, {"visits": (">", 1, 2)}):
         with pytest.raises(ValueError):
             prep.filter_rows(c, bad)
-    with pytest.raises(ValueError, match="empty"):
-        prep.filter_rows(c, {"Age": (">", 1000)}, require_rows=True)
+    with pytest.raises(ValueError, match="no row"):
+        prep.filter_rows(c, {"visits": (">", 1000)}, require_rows=True)
 
 
 def test_complete_cases(spark, cohort):
-    clinical = cohort.clinical.withColumn("BMI", F.when(F.col("id") != 203, F.col("BMI")))
-    features = cohort.features.withColumn("value", F.when((F.col("id") != 205) | (F.col("feature") != "p3"), F.col("value")))
-    features = features.filter("not (id = 207 and feature = 'p9')")  # an absent cell is null too
+    clinical = cohort.clinical.withColumn("yield", F.when(F.col("id") != 33, F.col("yield")))
+    features = cohort.features.withColumn("value", F.when((F.col("id") != 37) | (F.col("feature") != "s3"), F.col("value")))
+    features = features.filter("not (id = 41 and feature = 's9')")  # an absent cell is null too
     whole = prep.complete_cases(Cohort(clinical, features))
-    expected = set(range(200, 211)) - {203, 205, 207}
+    expected = set(COLONY_IDS) - {33, 37, 41}
     assert {r["id"] for r in whole.clinical.collect()} == expected
     assert {r["id"] for r in whole.features.select("id").distinct().collect()} == expected
 
 
-def test_first_patients_both_ways(cohort, monkeypatch):
+def test_first_patients(spark, cohort):
     small = prep.first_patients(cohort, 4)
-    assert {r["id"] for r in small.clinical.collect()} == {200, 201, 202, 203}
-    monkeypatch.setattr(prep, "TOP_N_IN_ONE_TASK", 0)
-    again = prep.first_patients(cohort, 4)
-    assert {r["id"] for r in again.clinical.collect()} == {200, 201, 202, 203}
-    assert again.features.count() == 60
+    assert sorted(r["id"] for r in small.clinical.collect()) == COLONY_IDS[:4]
+    assert small.features.count() == 4 * len(STRAINS)
+    assert prep.first_patients(cohort, 1000).clinical.count() == COLONIES
+    # n counts distinct keys; a chosen key keeps all its rows
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "id bigint, x string")
+    kept = prep.first_patients(Cohort(twice, cohort.features), 2)
+    assert sorted(r["id"] for r in kept.clinical.collect()) == [1, 1, 2]
 
 
 def test_smallest_k_with_negative_keys(spark):
@@ -105,7 +106,7 @@ def test_running_totals_match_a_plain_sum(spark):
     rng = random.Random(1)
     values = sorted({round(rng.lognormvariate(0, 3) * rng.choice([-1, 1]), 3) for _ in range(400)} | {0.0})
     df = spark.createDataFrame([("a", v, i % 5 + 1) for i, v in enumerate(values)], "g string, v double, n int")
-    out = ordered.running_totals(df, ["g"], "v", ["n"], ordered.magnitude_bucket(F.col("v"))).orderBy("v").collect()
+    out = ordered.running_totals(df, ["g"], "v", ["n"]).orderBy("v").collect()
     total = 0
     for i, r in enumerate(out):
         total += i % 5 + 1
@@ -113,6 +114,12 @@ def test_running_totals_match_a_plain_sum(spark):
     assert {r["all_n"] for r in out} == {total}
 
 
+def test_a_narrow_range_of_values_is_cut_too(spark):
+    rows = spark.range(100_000).select(F.lit("g").alias("g"), (1000 + F.col("id") / 50_000).alias("v"))
+    sizes = [r["count"] for r in ordered.ranged(rows, ["g"], ["v"]).groupBy("__range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+
+
 def test_choose_smallest_is_exact_per_group(spark):
     from twinloom.functions.counter import with_uniform
 
@@ -135,30 +142,30 @@ def test_attach_salted_equals_broadcast(spark):
 
 
 def test_melt_and_pivot_are_inverse(spark, cohort):
-    wide = prep.pivot_features(cohort.features, FEATURE_NAMES)
-    assert wide.columns == ["id", *FEATURE_NAMES]
+    wide = prep.pivot_features(cohort.features, STRAINS)
+    assert wide.columns == ["id", *STRAINS]
     got = {r["id"]: tuple(r)[1:] for r in wide.collect()}
-    assert got == {r[0] // 1000: tuple(float(v) for v in r[1:]) for r in FEATURE_ROWS}
+    assert got == {r[0] // 1000: tuple(float(v) for v in r[1:]) for r in SPORE_ROWS}
 
 
 def test_infer_roles(cohort):
-    roles = {r["column"]: r["role"] for r in prep.infer_roles(cohort.clinical, "id", {"Age": "numerical"}).collect()}
-    assert roles["id"] == "id" and roles["Kidney disease"] == "categorical"
-    assert roles["BMI"] == "numerical" and roles["Age"] == "numerical"
+    roles = {r["column"]: r["role"] for r in prep.infer_roles(cohort.clinical, "id", {"wintered": "numerical"}).collect()}
+    assert roles["id"] == "id" and roles["region"] == "categorical"
+    assert roles["weight kg"] == "numerical" and roles["wintered"] == "numerical"
 
 
 def test_cohort_assembly(spark, tmp_path):
-    """Matrices with different features, an absent file, and event ids inside a no-event file."""
+    """Matrices with different features, an absent file, and flagged ids inside an unflagged file."""
     folder = tmp_path / "m"
     folder.mkdir()
     (folder / "a.csv").write_text("exported\nname,1000,2000\nx,1.5,2.5\ny,3.5,\n")
     (folder / "b.csv").write_text("exported\nname,3000,4000\nx,5,6\nz,7,8\n")
     (folder / "other.csv").write_text("exported\nname,9000\nx,1\n")
     manifest = spark.createDataFrame(
-        [("a.csv", "no_event_1"), ("b.csv", "no_event_2"), ("gone.csv", "no_event_2"), ("a.csv", "no_event_1"), ("other.csv", "HF")],
+        [("a.csv", "calm_1"), ("b.csv", "calm_2"), ("gone.csv", "calm_2"), ("a.csv", "calm_1"), ("other.csv", "storm")],
         "file string, grp string",
     )
-    names = [r["file"] for r in prep.manifest_files(manifest, ["no_event_1", "no_event_2"], "grp", "file").collect()]
+    names = [r["file"] for r in prep.manifest_files(manifest, ["calm_1", "calm_2"], "grp", "file").collect()]
     assert sorted(names) == ["a.csv", "b.csv", "gone.csv"]
     cells = matrices.read_matrices(spark, str(folder), names).select("id", "feature", "value")
     got = {(r["id"], r["feature"]): r["value"] for r in cells.collect()}
@@ -170,23 +177,19 @@ def test_cohort_assembly(spark, tmp_path):
     assert wide[1000] == (1.5, 3.5, None) and wide[3000] == (5.0, None, 7.0)
     master = spark.createDataFrame(
         [(1, 0, 1, 0, 9.0), (3, 1, 0, 0, 8.0), (4, 0, 0, 0, 7.0)],
-        "id bigint, `HF.event` int, `CKD.event` int, `CAD.event` int, `time-to-CKDevent(to event or last visit)` double",
+        "id bigint, `wind.flag` int, `rain.flag` int, `hail.flag` int, `days (to rain or last visit)` double",
     )
-    flags = ["HF.event", "CKD.event", "CAD.event"]
+    flags = ["wind.flag", "rain.flag", "hail.flag"]
     parts = prep.split_clinical(master, {
-        "ckd": ({"CKD.event": 1}, flags),
-        "hf": ({"HF.event": 1}, [*flags, "time-to-CKDevent(to event or last visit)"]),
+        "rain": ({"rain.flag": 1}, flags),
+        "wind": ({"wind.flag": 1}, [*flags, "days (to rain or last visit)"]),
         "none": ({f: 0 for f in flags}, flags),
     })
-    assert parts["hf"].columns == ["id"] and [r["id"] for r in parts["none"].collect()] == [4]
-    inside, outside = prep.split_features(cells, parts["ckd"].select("id"), scale=1000)
+    assert parts["wind"].columns == ["id"] and [r["id"] for r in parts["none"].collect()] == [4]
+    inside, outside = prep.split_features(cells, parts["rain"].select("id"), scale=1000)
     assert {r["id"] for r in inside.collect()} == {1000}
     assert {r["id"] for r in outside.collect()} == {2000, 3000, 4000}
-    assert prep.drop_columns(master, positions=[1, 2]).columns[:2] == ["id", "CAD.event"]
-    tables.write_cohorts(parts, {"ckd": inside, "none": outside}, str(tmp_path / "out"))
-    assert tables.read_table(spark, str(tmp_path / "out" / "none_peptides_data")).count() == 6
-    assert tables.read_table(spark, str(tmp_path / "out" / "hf_clinical_data")).columns == ["id"]
-
-
-def test_clinical_fixture_is_whole(cohort):
-    assert cohort.clinical.count() == len(CLINICAL_ROWS)
+    assert prep.drop_columns(master, positions=[1, 2]).columns[:2] == ["id", "hail.flag"]
+    tables.write_cohorts(parts, {"rain": inside, "none": outside}, str(tmp_path / "out"))
+    assert tables.read_table(spark, str(tmp_path / "out" / "none_features")).count() == 6
+    assert tables.read_table(spark, str(tmp_path / "out" / "wind_clinical")).columns == ["id"]

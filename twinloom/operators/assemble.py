@@ -20,24 +20,26 @@ KEY_STREAM = 14
 _CHUNK = 4096
 
 
-def synth_index(df: DataFrame, n_synth: int) -> DataFrame:
-    """Every row of ``df`` with ``synth`` 0 .. n_synth - 1, generated in bounded chunks."""
-    chunks = max(1, -(-n_synth // _CHUNK))
-    outer = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+def synth_index(df: DataFrame, n_synth: int | Column) -> DataFrame:
+    """Every row of ``df`` with ``synth`` 0 .. n_synth - 1 (at least 1), in bounded chunks."""
+    n_synth = (n_synth if isinstance(n_synth, Column) else F.lit(n_synth)).cast("bigint")
+    chunks = F.ceil(n_synth / F.lit(_CHUNK))
+    outer = df.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
     outer = outer.repartition(tasks(df.sparkSession), *[ref(c) for c in df.columns], "__chunk")
     start = F.col("__chunk").cast("bigint") * F.lit(_CHUNK)
-    stop = F.least(start + F.lit(_CHUNK), F.lit(n_synth).cast("bigint")) - F.lit(1)
+    stop = F.least(start + F.lit(_CHUNK), n_synth) - F.lit(1)
     return outer.withColumn("synth", F.explode(F.sequence(start, stop))).drop("__chunk")
 
 
-def low_count_fill(stats: DataFrame, n_synth: int, seed: int) -> DataFrame:
+def low_count_fill(stats: DataFrame, n_synth: int | Column, seed: int) -> DataFrame:
     """Cells (synth, feature, value) of the features that are not modelled.
 
     ``stats`` (staged) holds feature, mean and n_zero. Exactly ``n_zero`` synthetic rows
     per feature get 0.0, at random places; the others get the mean.
     """
-    named = stats.select("feature", "mean", name_key(F.col("feature")).alias("__name"))
-    rows = synth_index(named, n_synth)
+    n_synth = n_synth if isinstance(n_synth, Column) else F.lit(n_synth)
+    named = stats.select("feature", "mean", name_key(F.col("feature")).alias("__name"), n_synth.alias("__size"))
+    rows = synth_index(named, F.col("__size")).drop("__size")
     rolled = with_uniform(rows, "__u", seed + FILL_STREAM, "synth", "__name")
     picked = choose_smallest(
         rolled, ["feature"], "__u", "synth", stats.select("feature", F.col("n_zero").alias("k"))
@@ -85,7 +87,7 @@ def merge_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """Both table lists merged; nulls in features become 0, clinical nulls stay."""
     if len(clinical) != len(features):
-        raise ValueError("Length of clinical and feature lists must be equal.")
+        raise ValueError(f"{len(clinical)} clinical tables do not pair with {len(features)} feature tables")
     return merge_groups(clinical), null_to_zero(merge_groups(features))
 
 

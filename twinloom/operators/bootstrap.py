@@ -17,7 +17,7 @@ from twinloom.functions.counter import with_uniform
 from twinloom.functions.kolmogorov import critical_distance
 from twinloom.functions.names import div
 from twinloom.operators.evaluate import kl_divergence, ks_test, pooled_counts
-from twinloom.operators.ordered import choose_smallest, magnitude_bucket, running_totals
+from twinloom.operators.ordered import choose_smallest, running_totals
 from twinloom.staging import attach, stage, tasks
 
 ALPHA = 0.05
@@ -56,13 +56,7 @@ def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: Data
     and from the right. A replicate then needs only its own running counts: between two
     of its points its distribution is flat, so the largest gap lies at one of them.
     """
-    pooled = running_totals(
-        pooled_counts(synthetic, original, ["feature"]),
-        ["feature"],
-        "value",
-        ["in_original"],
-        magnitude_bucket(F.col("value")),
-    )
+    pooled = running_totals(pooled_counts(synthetic, original, ["feature"]), ["feature"], "value", ["in_original"])
     lookup = pooled.filter((F.col("in_sample") > 0) & (F.col("all_in_original") > 0)).select(
         "feature",
         "value",
@@ -77,7 +71,7 @@ def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: Data
         .agg(F.count("*").alias("hits"))
         .join(lookup, ["feature", "value"])
     )
-    run = running_totals(counts, ["draw", "feature"], "value", ["hits"], F.floor(F.col("right") * F.lit(256.0)))
+    run = running_totals(counts, ["draw", "feature"], "value", ["hits"])
     at = F.abs(F.col("run_hits") / F.col("all_hits") - F.col("right"))
     before = F.abs((F.col("run_hits") - F.col("hits")) / F.col("all_hits") - F.col("left"))
     return run.groupBy("draw", "feature").agg(
@@ -162,7 +156,7 @@ def select_best(tied: DataFrame, kl: DataFrame, n_features: int) -> int:
     return best
 
 
-def statistics(sample: DataFrame, original: DataFrame, method: str = "auto", nan_policy: str = "zero") -> DataFrame:
+def statistics(sample: DataFrame, original: DataFrame, method: str = "auto", nan_policy: str = "propagate") -> DataFrame:
     """Per-feature report of one sample: (feature, kl_divergence, ks_p)."""
     ks = ks_test(sample, original, method=method).select("feature", "ks_p")
     kl = kl_divergence(sample, original, nan_policy=nan_policy)

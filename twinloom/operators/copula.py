@@ -36,7 +36,9 @@ GRID_FAMILIES = ("beta", "gamma", "t", "gaussian_kde")
 GRID_POINTS = 1024
 FINE_POINTS = 8192
 Z_MAX = float(np_norm_ppf(np.array([1.0 - U_CLIP]))[0])
-MAX_DIGITS = 6
+# decimal digits that a double holds
+MAX_DIGITS = 15
+_WHOLE = float(2**53)
 
 # A tile arrives as long rows, so its size is kept to a few million cells.
 ROW_TILE = 4096
@@ -79,12 +81,21 @@ def open_constraint(df: DataFrame, rule: Inequality) -> DataFrame:
 
 
 def close_constraint(df: DataFrame, rule: Inequality, digits: int = MAX_DIGITS) -> DataFrame:
-    """Inverse of ``open_constraint``; rounding never undoes the rule."""
+    """Inverse of ``open_constraint``; rounding never undoes the rule.
+
+    Where the rule is strict, ``high`` exceeds ``low`` by a unit of the last decimal at
+    least, or by the next larger double where that is more.
+    """
     scale = 10.0**digits
     high = ref(rule.low) + F.greatest(F.exp(ref(rule.high)) - F.lit(1.0), F.lit(0.0))
-    rounded = F.floor(high * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-    floor = ref(rule.low) + F.lit(1.0 / scale if rule.strict else 0.0)
-    return df.withColumn(rule.high, F.greatest(rounded, floor))
+    step = F.greatest(F.lit(1.0 / scale), F.abs(ref(rule.low)) * F.lit(2.0**-52))
+    floor = ref(rule.low) + (step if rule.strict else F.lit(0.0))
+    return df.withColumn(rule.high, F.greatest(round_half_up(high, F.lit(scale)), floor))
+
+
+def round_half_up(value: Column, scale: Column) -> Column:
+    """Round to multiples of 1 / ``scale``; a double too large to have such decimals stays."""
+    return F.when(F.abs(value) * scale < _WHOLE, F.floor(value * scale + F.lit(0.5)) / scale).otherwise(value)
 
 
 def _category_values(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -93,19 +104,23 @@ def _category_values(df: DataFrame, columns: Sequence[str], *keep: str) -> DataF
 
 
 def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (feature, level, lo, hi): each level's share as an interval of [0, 1].
+    """``levels_of`` the named columns of a wide table."""
+    return levels_of(_category_values(df, columns))
+
+
+def levels_of(values: DataFrame) -> DataFrame:
+    """From long ``(feature, level)``: rows (feature, level, lo, hi): each level's share as an interval of [0, 1].
 
     Levels are laid out in the order of a hash of their name, which spreads any number of
     levels evenly over buckets. Staged, one row per level.
     """
     counts = (
-        _category_values(df, columns)
-        .filter(F.col("level").isNotNull())
+        values.filter(F.col("level").isNotNull())
         .groupBy("feature", "level")
         .agg(F.count("*").alias("hits"))
         .withColumn("place", name_key(F.col("level")) / F.lit(float(2**52)))
     )
-    run = running_totals(counts, ["feature"], "place", ["hits"], F.floor(F.col("place") * F.lit(256.0)))
+    run = running_totals(counts, ["feature"], "place", ["hits"])
     return stage(
         run.select(
             "feature",
@@ -118,7 +133,12 @@ def category_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def encode_categories(df: DataFrame, columns: Sequence[str], levels: DataFrame) -> DataFrame:
     """Cells (id, feature, value): the midpoint of the level's interval."""
-    named = attach(_category_values(df, columns, "id"), levels, ["feature", "level"], row_bytes=128)
+    return encode_levels(_category_values(df, columns, "id"), levels)
+
+
+def encode_levels(values: DataFrame, levels: DataFrame) -> DataFrame:
+    """The same for long values (id, feature, level)."""
+    named = attach(values, levels, ["feature", "level"], row_bytes=128)
     return named.select("id", "feature", ((F.col("lo") + F.col("hi")) / 2.0).alias("value"))
 
 
@@ -270,9 +290,11 @@ def _cdf_table(row) -> tuple[np.ndarray, np.ndarray]:
         log = (row.a - power) * np.log(w) - w
         x = row.loc + row.scale * (edges * top**power) ** (1.0 / power)
     else:
-        angle = (mid - 0.5) * math.pi
+        # with many degrees of freedom all mass lies within sixty scales
+        reach = math.pi / 2 if row.df < 30 else math.atan(60.0 / math.sqrt(row.df))
+        angle = (2.0 * mid - 1.0) * reach
         log = (row.df - 1.0) * np.log(np.cos(angle))
-        tangent = np.tan(np.clip((edges - 0.5) * math.pi, -math.pi / 2 + 1e-9, math.pi / 2 - 1e-9))
+        tangent = np.tan(np.clip((2.0 * edges - 1.0) * reach, -math.pi / 2 + 1e-9, math.pi / 2 - 1e-9))
         x = row.loc + row.scale * math.sqrt(row.df) * tangent
     mass = np.exp(log - log.max())
     return x, np.concatenate([[0.0], np.cumsum(mass)]) / mass.sum()
@@ -444,6 +466,93 @@ def _mix(pdf: pd.DataFrame, seed: int, n_synth: int, scale: float, batch: int) -
     return pd.DataFrame({"feature": names, "sc": sc, "z": [v.tolist() for v in out.T]})
 
 
+def _sum_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Element-wise sums of z per (feature, sc), which a task holds all of."""
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        for name, sc, z in batch[["feature", "sc", "z"]].itertuples(index=False):
+            sums[name, sc] = sums.get((name, sc), 0.0) + np.asarray(z)
+    if sums:
+        yield pd.DataFrame([(n, sc, z.tolist()) for (n, sc), z in sums.items()], columns=["feature", "sc", "z"])
+
+
+def _mix_part(pdf: pd.DataFrame, seed: int, batch: int) -> pd.DataFrame:
+    start, stop, n = (int(pdf[c].iloc[0]) for c in ("start", "stop", "n"))
+    ids, names, z = _tile(pdf)
+    out = np.empty((stop - start, len(names)))
+    for at in range(start, stop, batch):
+        s = np.arange(at, min(at + batch, stop))
+        out[at - start : at - start + len(s)] = np_norm_ppf(uniform_grid(seed, s, ids)) @ z
+    out /= math.sqrt(n)
+    return pd.DataFrame({"feature": names, "sc": int(pdf["sc"].iloc[0]), "z": [v.tolist() for v in out.T]})
+
+
+def mix_parts(scores: DataFrame, spans: Sequence[tuple[int, int]], sizes: DataFrame, n_features: int, seed: int, batch: int = NOISE_ROWS) -> DataFrame:
+    """Rows (synth, feature, z) of several groups in one plan.
+
+    ``scores`` has part, id, feature, z, and a feature belongs to one part; ``sizes`` (staged,
+    one row per part) has part and n, the rows of the part. Part k gets the synthetic rows
+    ``spans[k]``, and combines its own score rows only.
+    """
+    limits = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in spans])
+    block, _ = _buckets("feature", FEATURE_TILE, n_features)
+    named = attach(scores, sizes, ["part"], row_bytes=32).withColumn("__span", F.get(limits, F.col("part")))
+    named = named.filter(F.col("__span.b") > F.col("__span.a"))
+    rows = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / ROW_TILE)).cast("int")
+    first, last = F.floor(F.col("__span.a") / SYNTH_TILE), F.floor((F.col("__span.b") - 1) / SYNTH_TILE)
+    tiles = named.select(
+        "part", "id", "feature", "z", "n", rows.alias("rc"), block.alias("fb"), "__span", F.explode(F.sequence(first, last)).alias("sc")
+    ).select(
+        "part", "id", "feature", "z", "n", "rc", "fb", "sc",
+        F.greatest(F.col("__span.a"), F.col("sc") * SYNTH_TILE).alias("start"),
+        F.least(F.col("__span.b"), (F.col("sc") + 1) * SYNTH_TILE).alias("stop"),
+    )
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _mix_part(pdf, seed, batch)
+
+    schema = "feature string, sc long, z array<double>"
+    parts = _spread_tiles(tiles, "part", "rc", "fb", "sc").applyInPandas(kernel, schema).mapInPandas(_sum_arrays, schema)
+    parts = parts.repartition(tasks(parts.sparkSession), "feature", "sc").mapInPandas(_sum_arrays, schema)
+    begin = F.get(limits, part_of(F.col("feature")))["a"]
+    return parts.select("feature", "sc", F.posexplode("z").alias("pos", "z")).select(
+        (F.greatest(begin, F.col("sc") * SYNTH_TILE) + F.col("pos")).alias("synth"), "feature", "z"
+    )
+
+
+PART_MARK = "\x1f"
+
+
+def part_name(part: Column, feature: Column) -> Column:
+    """One name for a feature of one group."""
+    return F.concat(part.cast("string"), F.lit(PART_MARK), feature)
+
+
+def part_of(name: Column) -> Column:
+    return F.substring_index(name, PART_MARK, 1).cast("int")
+
+
+def plain_name(name: Column) -> Column:
+    return F.substring(name, F.instr(name, PART_MARK) + 1, F.length(name))
+
+
+def sample_parts(
+    cells: DataFrame,
+    model: DataFrame,
+    spans: Sequence[tuple[int, int]],
+    seed: int,
+    mixing: str = "rows",
+    batch: int = NOISE_ROWS,
+) -> DataFrame:
+    """``sample`` for several groups at once: features carry ``part_name`` names."""
+    if mixing != "rows":
+        raise ValueError("groups are mixed by rows")
+    scores = stage(standardise(stage(normal_scores(cells, model))).withColumn("part", part_of(F.col("feature"))))
+    sizes = stage(model.groupBy(part_of(F.col("feature")).alias("part")).agg(F.max("n").alias("n")))
+    latent = mix_parts(scores, spans, sizes, model.count(), seed + LATENT_STREAM, batch)
+    return missing_mask(inverse_marginals(latent, model), seed)
+
+
 def mix_rows(
     scores: DataFrame, n_synth: int, seed: int, n_rows: int, n_features: int, norm: int, batch: int = NOISE_ROWS
 ) -> DataFrame:
@@ -464,12 +573,13 @@ def mix_rows(
         return _mix(pdf, seed, n_synth, scale, batch)
 
     parts = _spread_tiles(tiles, "rc", "fb", "sc").applyInPandas(kernel, "feature string, sc int, z array<double>")
+    if nr > 1:
+        # arrays are added as arrays, in each task and then across tasks
+        parts = parts.repartition(tasks(parts.sparkSession), "feature", "sc").mapInPandas(_sum_arrays, parts.schema)
     long = parts.select("feature", "sc", F.posexplode("z").alias("pos", "z")).select(
         (F.col("sc").cast("bigint") * F.lit(SYNTH_TILE) + F.col("pos")).alias("synth"), "feature", "z"
     )
-    if nr == 1:
-        return long
-    return long.groupBy("synth", "feature").agg(F.sum("z").alias("z"))
+    return long
 
 
 def latent_draws(
@@ -478,16 +588,20 @@ def latent_draws(
     seed: int,
     n_rows: int,
     n_features: int,
-    mixing: str = "auto",
+    mixing: str = "rows",
     batch: int = NOISE_ROWS,
 ) -> DataFrame:
     """Latent normal draws with the correlation of the standardised ``scores``.
 
-    ``mixing``: "rows" combines all rows, "factor" the reduced rows, "auto" reduces when
-    rows outnumber features and the width allows it.
+    ``mixing``: "rows" combines all rows, at any size. "factor" combines rows reduced to as
+    many as there are features first, which keeps p x p numbers in a task; it is an error
+    beyond ``FACTOR_WIDTH`` features. The two give different draws, so the choice is never
+    made from the data.
     """
-    if mixing == "auto":
-        mixing = "factor" if n_rows > n_features and n_features <= FACTOR_WIDTH else "rows"
+    if mixing not in ("rows", "factor"):
+        raise ValueError("mixing is 'rows' or 'factor'")
+    if mixing == "factor" and n_features > FACTOR_WIDTH:
+        raise ValueError(f"factor mixing takes at most {FACTOR_WIDTH} features, not {n_features}")
     if mixing == "rows":
         return mix_rows(scores, n_synth, seed, n_rows, n_features, n_rows, batch)
     reduced = stage(reduce_rows(scores, n_rows, n_features))
@@ -501,9 +615,7 @@ def clip_round(value: Column, low: Column, high: Column, digits: Column) -> Colu
     """Limit to the observed range, then round half up to the observed decimals."""
     held = F.least(F.greatest(value, low), high)
     scale = F.pow(F.lit(10.0), digits.cast("double"))
-    return F.when(digits.isNull() | (digits >= MAX_DIGITS), held).otherwise(
-        F.floor(held * scale + F.lit(0.5)) / scale
-    )
+    return F.when(digits.isNull() | (digits >= MAX_DIGITS), held).otherwise(round_half_up(held, scale))
 
 
 def inverse_marginals(latent: DataFrame, model: DataFrame) -> DataFrame:
@@ -555,7 +667,7 @@ def sample(
     model: DataFrame,
     n_synth: int,
     seed: int,
-    mixing: str = "auto",
+    mixing: str = "rows",
     batch: int = NOISE_ROWS,
 ) -> DataFrame:
     """Synthetic cells (synth, feature, value) with nulls at the observed rate."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinloom.functions.kolmogorov import with_p_value
 from twinloom.functions.names import div
 from twinloom.operators.kernels import kernel_sums
-from twinloom.operators.ordered import magnitude_bucket, running_totals
+from twinloom.operators.ordered import running_totals
 from twinloom.staging import attach, stage
 
 GRID_POINTS = 1000
@@ -42,9 +42,7 @@ def pooled_counts(sample: DataFrame, original: DataFrame, keys: Sequence[str]) -
 def ks_statistic(sample: DataFrame, original: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Largest gap between the two empirical distributions, with both sizes."""
     keys = list(keys)
-    run = running_totals(
-        pooled_counts(sample, original, keys), keys, "value", ["in_sample", "in_original"], magnitude_bucket(F.col("value"))
-    )
+    run = running_totals(pooled_counts(sample, original, keys), keys, "value", ["in_sample", "in_original"])
     gap = F.abs(
         div(F.col("run_in_sample"), F.col("all_in_sample"))
         - div(F.col("run_in_original"), F.col("all_in_original"))
@@ -90,14 +88,14 @@ def kl_divergence(
     original: DataFrame,
     draws: Sequence[str] = (),
     points: int = GRID_POINTS,
-    nan_policy: str = "zero",
+    nan_policy: str = "propagate",
 ) -> DataFrame:
     """Sum over an even grid of p * ln(p / q): p original, q sample, both Scott-bandwidth KDEs.
 
     The grid spans the joint range and the sum has no width factor. ``draws`` names extra
     keys of ``sample`` (replicates); the density of the original is computed once per
     distinct grid, not once per replicate. Where one side has no spread the result is null.
-    ``nan_policy`` decides 0 * ln 0: "zero" counts it as 0, "propagate" makes the sum NaN.
+    ``nan_policy`` decides 0 * ln 0: "propagate" makes the sum NaN, "zero" counts it as 0.
     """
     keys = [*draws, "feature"]
     by_sample = _side_stats(sample, keys, "s")

@@ -8,8 +8,10 @@ uniform     min, max - min
 gamma       location 0, closed form from mean, mean log, mean x*log x
 lognorm     best of a fixed set of locations below the minimum, by likelihood
 beta        moments on the range padded by ``BETA_PAD`` of its width
-t           degrees of freedom from the excess kurtosis
-truncnorm   bounds min and max, moment equations iterated per feature
+t           location median; degrees of freedom and scale from mean and variance of
+            ln|x - median|, which exist for any tail
+truncnorm   bounds min and max, moment equations iterated to a tolerance; no fit if
+            they do not settle
 gaussian_kde  Scott bandwidth
 """
 
@@ -29,21 +31,32 @@ from twinloom.functions.normal import LOG_SQRT_2PI, ln_gamma, np_norm_cdf
 from twinloom.operators.kernels import kernel_sums
 from twinloom.staging import attach, stage
 
+# The selectable families and selection methods.
 SELECTABLE = ("norm", "beta", "lognorm", "truncnorm", "gamma", "t", "gaussian_kde")
 METHODS = ("sumsquare_error", "aic", "bic")
 LOGNORM_SHIFTS = (1e-3, 1e-2, 1e-1, 1.0)
 BETA_PAD = 1e-3
-T_MAX_DF = 100.0
-TRUNCNORM_STEPS = 200
+# Beyond this the t is a normal distribution to six digits.
+T_MAX_DF = 1e6
+T_STEPS = 60
+MEDIAN_ACCURACY = 10_000
+TRUNCNORM_STEPS = 2000
+TOLERANCE = 1e-10
 BINS = 100
 
 
 @dataclass(frozen=True)
 class Family:
-    """Parameter names (in the usual order) and the log density as a Column of x."""
+    """Parameter names (in the usual order), the log density as a Column of x, and how many
+    parameters are free (a fixed location is not)."""
 
     params: tuple[str, ...]
     logpdf: Callable[[Column, Callable[[str], Column]], Column] | None
+    fixed: int = 0
+
+    @property
+    def free(self) -> int:
+        return len(self.params) - self.fixed
 
 
 def _half_square(x: Column) -> Column:
@@ -61,6 +74,7 @@ REGISTRY: dict[str, Family] = {
     "gamma": Family(
         ("a", "loc", "scale"),
         lambda x, p: p("c0") + (p("a") - 1.0) * F.ln(x - p("loc")) - div(x - p("loc"), p("scale")),
+        fixed=1,
     ),
     "beta": Family(
         ("a", "b", "loc", "scale"),
@@ -85,10 +99,10 @@ REGISTRY: dict[str, Family] = {
 
 def check_families(families: Sequence[str], method: str = "sumsquare_error") -> None:
     if method not in METHODS:
-        raise ValueError(f"Invalid method '{method}'. Must be one of: {', '.join(METHODS)}.")
+        raise ValueError(f"selection by '{method}' is unknown; known are {', '.join(METHODS)}")
     for family in families:
         if family not in SELECTABLE:
-            raise ValueError(f"Invalid distribution '{family}'. Must be one of: {', '.join(SELECTABLE)}.")
+            raise ValueError(f"family '{family}' cannot be selected; known are {', '.join(SELECTABLE)}")
 
 
 def nonzero(cells: DataFrame) -> DataFrame:
@@ -142,6 +156,7 @@ def _truncnorm_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(all="ignore"):
             mu, sg = mean.copy(), sd.copy()
             for _ in range(TRUNCNORM_STEPS):
+                old_mu, old_sg = mu, sg
                 a, b = (mn - mu) / sg, (mx - mu) / sg
                 z = np_norm_cdf(b) - np_norm_cdf(a)
                 fa, fb = np.exp(-0.5 * a * a) / math.sqrt(2 * math.pi), np.exp(-0.5 * b * b) / math.sqrt(2 * math.pi)
@@ -149,11 +164,58 @@ def _truncnorm_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 spread = 1.0 + (a * fa - b * fb) / z - shift * shift
                 mu = np.clip(mean - sg * shift, mn, mx)
                 sg = np.minimum(sd / np.sqrt(spread), 2.0 * width)
+                moved = np.abs(mu - old_mu) + np.abs(sg - old_sg)
+                if not (moved > TOLERANCE * width).any():
+                    break
+            sg = np.where(moved <= 1e3 * TOLERANCE * width, sg, np.nan)
             a, b = (mn - mu) / sg, (mx - mu) / sg
             z = np_norm_cdf(b) - np_norm_cdf(a)
         yield batch.assign(tn_loc=mu, tn_scale=sg, tn_a=a, tn_b=b, tn_lnz=np.log(z))
 
 
+def _log_moments(cells: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Two scans: the median, then mean and variance of ln|x - median|; solved for the t."""
+    values = cells.filter(F.col("value").isNotNull()).select(*keys, "value")
+    middle = stage(values.groupBy(*keys).agg(F.percentile_approx("value", 0.5, MEDIAN_ACCURACY).alias("t_loc")))
+    named = attach(values, middle, keys, row_bytes=64)
+    log = F.when(F.col("value") != F.col("t_loc"), F.ln(F.abs(F.col("value") - F.col("t_loc"))))
+    logs = named.groupBy(*keys).agg(F.first("t_loc").alias("t_loc"), F.avg(log).alias("t_m"), F.var_pop(log).alias("t_v"))
+    joined = stats.join(logs, keys, "left")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields]
+    return joined.mapInPandas(_t_solve, ", ".join([*fields, "t_df double", "t_scale double"]))
+
+
+def digamma(y: np.ndarray) -> np.ndarray:
+    z = y + 8.0
+    return np.log(z) - 0.5 / z - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) - sum(1 / (y + k) for k in range(8))
+
+
+def trigamma(y: np.ndarray) -> np.ndarray:
+    z = y + 8.0
+    return 1 / z + 0.5 / z**2 + 1 / (6 * z**3) - 1 / (30 * z**5) + 1 / (42 * z**7) + sum(1 / (y + k) ** 2 for k in range(8))
+
+
+def tetragamma(y: np.ndarray) -> np.ndarray:
+    z = y + 8.0
+    return -1 / z**2 - 1 / z**3 - 0.5 / z**4 + 1 / (6 * z**6) - 1 / (6 * z**8) - sum(2 / (y + k) ** 3 for k in range(8))
+
+
+def _t_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """ln|T| has variance (trigamma(1/2) + trigamma(df/2)) / 4 for a standard t."""
+    for batch in batches:
+        mean, var = batch["t_m"].to_numpy(dtype=np.float64), batch["t_v"].to_numpy(dtype=np.float64)
+        with np.errstate(all="ignore"):
+            excess = 4.0 * var - math.pi**2 / 2.0
+            wanted = np.maximum(excess, trigamma(np.array(T_MAX_DF / 2.0)))
+            y = 0.5 + 1.0 / wanted
+            for _ in range(T_STEPS):
+                at = trigamma(y)
+                y = y + at * (1.0 - at / wanted) / tetragamma(y)
+            df = np.minimum(2.0 * y, T_MAX_DF)
+            scale = np.exp(mean - 0.5 * (digamma(np.array(0.5)) - digamma(df / 2.0) + np.log(df)))
+        yield batch.assign(t_df=df, t_scale=scale)
+
+
 def fit(
     cells: DataFrame, families: Sequence[str], keys: Sequence[str] = ("feature",)
 ) -> DataFrame:
@@ -166,7 +228,7 @@ def fit(
     keys = list(keys)
     for family in families:
         if family not in REGISTRY:
-            raise ValueError(f"Invalid distribution '{family}'.")
+            raise ValueError(f"family '{family}' is not registered")
     stats = stage(profile(cells, keys))
     if "lognorm" in families:
         stats = stats.join(_lognorm_moments(cells, stats, keys), keys, "left")
@@ -174,6 +236,8 @@ def fit(
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields]
         added = [f"{c} double" for c in ("tn_loc", "tn_scale", "tn_a", "tn_b", "tn_lnz")]
         stats = stats.mapInPandas(_truncnorm_solve, ", ".join([*fields, *added]))
+    if "t" in families:
+        stats = _log_moments(cells, stats, keys)
     for step in _derived(families):
         stats = stats.withColumns(step)
     varied = ~F.col("constant")
@@ -183,7 +247,7 @@ def fit(
         *[F.when(varied & ok, value).alias(name) for name, (ok, value) in _structs(families).items()],
     )
     # without a second scan this is a projection of the staged moments
-    return stage(out) if {"lognorm", "truncnorm"} & set(families) else out
+    return stage(out) if {"lognorm", "truncnorm", "t"} & set(families) else out
 
 
 def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
@@ -211,9 +275,7 @@ def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
             {"b_lgc": ln_gamma("b_c")},
         ]
     if "t" in families:
-        heavy = F.least(F.lit(T_MAX_DF), 4.0 + div(6.0, F.col("kurt")))
         steps += [
-            {"t_df": F.when(F.col("kurt") > 0, heavy).otherwise(T_MAX_DF)},
             {"t_half": F.col("t_df") / 2.0, "t_next": (F.col("t_df") + 1.0) / 2.0},
             {"t_lg0": ln_gamma("t_half")},
             {"t_lg1": ln_gamma("t_next")},
@@ -243,14 +305,13 @@ def _structs(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
             c0 = F.col("b_lgc") - F.col("b_lga") - F.col("b_lgb") - F.ln(scale)
             built[family] = (always, packed(c0, a=F.col("b_a"), b=F.col("b_b"), loc=loc, scale=scale))
         elif family == "t":
-            df = F.col("t_df")
-            scale = sd * F.sqrt((df - 2.0) / df)
+            df, scale = F.col("t_df"), F.col("t_scale")
             c0 = F.col("t_lg1") - F.col("t_lg0") - 0.5 * F.ln(df * math.pi) - F.ln(scale)
-            built[family] = (always, packed(c0, df=df, loc=mean, scale=scale))
+            built[family] = (scale > 0, packed(c0, df=df, loc=F.col("t_loc"), scale=scale))
         elif family == "truncnorm":
             loc, scale = F.col("tn_loc"), F.col("tn_scale")
             c0 = -F.ln(scale) - LOG_SQRT_2PI - F.col("tn_lnz")
-            built[family] = (always, packed(c0, a=F.col("tn_a"), b=F.col("tn_b"), loc=loc, scale=scale))
+            built[family] = (~F.isnan(scale), packed(c0, a=F.col("tn_a"), b=F.col("tn_b"), loc=loc, scale=scale))
         elif family == "lognorm":
             tried = []
             for i, loc in enumerate(_lognorm_locations()):
@@ -336,9 +397,16 @@ def score_information(
     method: str,
     keys: Sequence[str] = ("feature",),
 ) -> DataFrame:
-    """AIC (2k - 2 log L) or BIC (k ln n - 2 log L) from one scan; the KDE has no k and is left out."""
+    """AIC (2k - 2 log L) or BIC (k ln n - 2 log L) from one scan, k free parameters.
+
+    The KDE has no k and gets no score, so it is chosen only if it is listed first and
+    nothing else has one.
+    """
     keys = list(keys)
     counted = [f for f in families if REGISTRY[f].logpdf is not None]
+    if not counted:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("score", "double"), ("position", "int"), ("family", "string"))]
+        return fits.select(*keys, *none).filter(F.lit(False))
     usable = fits.filter(~F.col("constant")).select(*keys, *counted)
     values = cells.filter(F.col("value").isNotNull()).select(*keys, "value")
     named = attach(values, usable, keys, row_bytes=64 * (1 + len(counted)))
@@ -350,7 +418,7 @@ def score_information(
         *keys,
         *[
             (
-                (F.lit(2.0 * len(REGISTRY[f].params)) if method == "aic" else F.lit(float(len(REGISTRY[f].params))) * F.ln("__n"))
+                (F.lit(2.0 * REGISTRY[f].free) if method == "aic" else F.lit(float(REGISTRY[f].free)) * F.ln("__n"))
                 - 2.0 * F.col(f"ll_{f}")
             ).alias(f"score_{f}")
             for f in counted

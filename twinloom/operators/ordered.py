@@ -1,56 +1,55 @@
 """Order statistics without putting a whole group into one task.
 
-Groups are cut into buckets whose order agrees with the value order. Bucket totals are
-few and are accumulated first; the rows of one bucket are then ranked or summed on their
-own and shifted by the total of the buckets before it.
+Rows are range-partitioned by group and order, with splitters that Spark samples, and
+written once with the number of their range, so that a group of any size and spread is
+cut where its rows are. Totals per group and range are few and are accumulated first;
+the rows of one range are then ranked or summed on their own and shifted by the total of
+the ranges before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
-from twinloom.staging import attach, stage
+from twinloom.staging import attach, stage, tasks
 
 UNIT_BUCKETS = 1024
-# Value buckets per power of two: values within 0.3 % of each other may share one.
-STEPS_PER_OCTAVE = 256
-_ABOVE_ALL_STEPS = 300_000  # exceeds STEPS_PER_OCTAVE * 1075, the lowest exponent of a double
 
 
-def magnitude_bucket(value: Column) -> Column:
-    """Order-preserving bucket of a double: even steps in its logarithm, by sign.
+def ranged(rows: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows``, staged, with the number of their range as ``__range``.
 
-    Depends on the value alone, so a recomputed task always agrees with the others.
-    ``log2`` is semi-monotonic, so the bucket never decreases as the value grows.
+    Ranges follow (groups, order); equal keys share one. The numbers are part of the
+    written table, so later tasks agree on them.
     """
-    steps = F.floor(F.log2(F.abs(value)) * F.lit(float(STEPS_PER_OCTAVE))).cast("bigint") + F.lit(_ABOVE_ALL_STEPS)
-    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, steps).otherwise(-steps)
+    keys = [ref(c) for c in (*groups, *order)]
+    spread = rows.repartitionByRange(tasks(rows.sparkSession), *keys)
+    return stage(spread.withColumn("__range", F.spark_partition_id()))
 
 
-def running_totals(
-    counts: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], bucket: Column
-) -> DataFrame:
+def running_totals(counts: DataFrame, groups: Sequence[str], order: str | Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Inclusive running totals of the columns ``sums`` over ``order`` within ``groups``.
 
     ``counts`` holds one row per (groups, order). Adds ``run_<column>`` and the total of
     the whole group as ``all_<column>``.
-    ``bucket`` must not decrease as ``order`` grows.
     """
-    keys = [*groups, "__bucket"]
-    rows = counts.withColumn("__bucket", bucket)
+    order = [order] if isinstance(order, str) else list(order)
+    keys = [*groups, "__range"]
+    rows = ranged(counts, groups, order)
     totals = rows.groupBy(*keys).agg(*[F.sum(ref(s)).alias(f"__sum_{s}") for s in sums])
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(f"__sum_{s}").over(before), F.lit(0)).alias(f"__before_{s}") for s in sums],
         *[F.sum(f"__sum_{s}").over(whole).alias(f"all_{s}") for s in sums],
     )
-    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = Window.partitionBy(*keys).orderBy(*[ref(c) for c in order])
+    local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.select(
         *[ref(c) for c in rows.columns], *[F.sum(ref(s)).over(local).alias(f"__local_{s}") for s in sums]
     )
@@ -75,7 +74,7 @@ def choose_smallest(
     ``u`` is a counter-based uniform in (0, 1), so equal-width buckets are balanced. ``k``
     is a number or a table ``(groups, k)``; without groups it is a number. Counting rows per bucket finds the bucket that
     holds the k-th row; all other rows are decided where they are, and only the rows of
-    that bucket (one in ``buckets``) are shuffled and ranked.
+    that bucket (one in ``buckets``) are shuffled, cut into ranges and ranked.
     """
     keys = [*groups]
     placed = rows.withColumn("__bucket", F.floor(ref(u) * F.lit(buckets)).cast("int"))
@@ -103,17 +102,17 @@ def choose_smallest(
     decided = named.filter(F.col("__bucket") != F.col("__edge")).select(
         *columns, (F.col("__bucket") < F.col("__edge")).alias("chosen")
     )
-    local = Window.partitionBy(*keys).orderBy(ref(u), ref(tie))
-    ranked = named.filter(F.col("__bucket") == F.col("__edge")).select(
-        *columns, (F.row_number().over(local) <= F.col("__need")).alias("chosen")
+    inside = named.filter(F.col("__bucket") == F.col("__edge")).select(
+        *columns, "__need", F.lit(1).cast("bigint").alias("__one"), F.lit(0).alias("__all")
+    )
+    ranked = running_totals(inside, keys or ["__all"], [u, tie], ["__one"]).select(
+        *columns, (F.col("run___one") <= F.col("__need")).alias("chosen")
     )
     return decided.unionByName(ranked)
 
 
 def smallest_k(ids: DataFrame, key: str, k: int) -> DataFrame:
-    """The ``k`` smallest distinct BIGINT keys, ranked inside value buckets."""
+    """The ``k`` smallest distinct keys."""
     counts = ids.select(key).distinct().withColumn("__one", F.lit(1).cast("bigint")).withColumn("__all", F.lit(0))
-    ranked = running_totals(
-        counts, ["__all"], key, ["__one"], magnitude_bucket(F.col(key).cast("double"))
-    )
+    ranked = running_totals(counts, ["__all"], key, ["__one"])
     return ranked.filter(F.col("run___one") <= F.lit(k)).select(key)

@@ -28,8 +28,6 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     ">=": operator.ge,
     "<=": operator.le,
 }
-# ``orderBy().limit()`` keeps its rows in one task, so it is used only up to this many.
-TOP_N_IN_ONE_TASK = 100_000
 
 
 @dataclass(frozen=True)
@@ -47,12 +45,13 @@ class Cohort:
 
 
 def normalise_key(df: DataFrame, key: str, scale: int | None = None, out: str = "id") -> DataFrame:
-    """Cast the key to BIGINT as column ``out``; with ``scale``, divide and truncate first."""
+    """Cast the key to BIGINT as column ``out``; with ``scale``, divide and truncate first.
+
+    Keys are numbers: draws and ranks are functions of them.
+    """
     kind = df.schema[key].dataType
-    if scale is None and isinstance(kind, T.StringType):
-        return df.withColumnRenamed(key, out)
     if not isinstance(kind, T.NumericType):
-        raise ValueError(f"Unsupported type for primary key column '{key}': {kind.simpleString()}")
+        raise ValueError(f"key column '{key}' is {kind.simpleString()}; a numeric key is needed")
     value = ref(key) if scale is None else ref(key) / F.lit(scale)
     rest = [ref(c) for c in df.columns if c != key]
     return df.select(value.cast("bigint").alias(out), *rest)
@@ -102,15 +101,15 @@ def condition(df: DataFrame, spec: Mapping[str, Any]) -> Column:
     parts = []
     for name, rule in spec.items():
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' does not exist in the DataFrame.")
+            raise ValueError(f"no column named '{name}' to filter by")
         if not isinstance(rule, (tuple, list)):
             parts.append(ref(name) == rule)
             continue
         if len(rule) != 2:
-            raise ValueError(f"Condition for '{name}' must be (operator, value), got {rule!r}.")
+            raise ValueError(f"a rule for '{name}' is a value or a pair (operator, value), not {rule!r}")
         symbol, value = rule
         if symbol not in COMPARISONS:
-            raise ValueError(f"Invalid operator '{symbol}' for '{name}'; use one of {sorted(COMPARISONS)}.")
+            raise ValueError(f"'{symbol}' cannot compare '{name}'; known are {sorted(COMPARISONS)}")
         parts.append(COMPARISONS[symbol](ref(name), value))
     return reduce(operator.and_, parts, F.lit(True))
 
@@ -118,7 +117,7 @@ def condition(df: DataFrame, spec: Mapping[str, Any]) -> Column:
 def filter_rows(df: DataFrame, spec: Mapping[str, Any], require_rows: bool = False) -> DataFrame:
     out = df.filter(condition(df, spec))
     if require_rows and out.isEmpty():
-        raise ValueError("The filtering operation resulted in an empty DataFrame.")
+        raise ValueError(f"no row meets {dict(spec)!r}")
     return out
 
 
@@ -146,17 +145,11 @@ def complete_cases(cohort: Cohort) -> Cohort:
 
 
 def first_patients(cohort: Cohort, n: int | None) -> Cohort:
-    """The ``n`` smallest keys of each table, taken independently."""
+    """The ``n`` smallest distinct keys of each table, taken independently; a key keeps all its rows."""
     if n is None:
         return cohort
-
-    def keep(ids: DataFrame) -> DataFrame:
-        if n <= TOP_N_IN_ONE_TASK:
-            return ids.orderBy("id").limit(n)
-        return smallest_k(ids, "id", n)
-
-    feature_ids = keep(cohort.features.select("id").distinct())
-    clinical_ids = keep(cohort.clinical.select("id"))
+    feature_ids = smallest_k(cohort.features.select("id"), "id", n)
+    clinical_ids = smallest_k(cohort.clinical.select("id"), "id", n)
     return Cohort(
         cohort.clinical.join(clinical_ids, "id", "left_semi"),
         cohort.features.join(feature_ids, "id", "left_semi"),
@@ -184,29 +177,32 @@ def sparsity_split(cells: DataFrame, threshold: float, keys: Sequence[str] = ("f
     )
 
 
-def modelled_cells(cells: DataFrame, split: DataFrame) -> DataFrame:
+def modelled_cells(cells: DataFrame, split: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Cells of modelled features with zeros as null. ``split`` should be staged."""
-    chosen = split.filter("modelled").select("feature")
-    return zero_to_null(attach(cells, chosen, ["feature"], row_bytes=64))
+    chosen = split.filter("modelled").select(*keys)
+    return zero_to_null(attach(cells, chosen, list(keys), row_bytes=64))
 
 
-def low_count_stats(cells: DataFrame, threshold: float, n_synth: int) -> DataFrame:
+def low_count_stats(
+    cells: DataFrame, threshold: float, n_synth: int | Column, keys: Sequence[str] = ("feature",)
+) -> DataFrame:
     """Features above the threshold: mean over all cells and the exact number of zeros to draw.
 
     The zero count truncates ``(1 - nonzero/n) * n_synth`` in double arithmetic.
     """
     nonzero = F.count_if(F.col("value") != 0)
-    stats = cells.groupBy("feature").agg(
+    n_synth = n_synth if isinstance(n_synth, Column) else F.lit(n_synth)
+    stats = cells.groupBy(*keys).agg(
         F.avg("value").alias("mean"),
         F.count("*").alias("n"),
         nonzero.alias("n_nonzero"),
         (F.count_if(F.coalesce(F.col("value"), F.lit(0.0)) == 0) / F.count("*")).alias("__missing"),
     )
-    zeros = F.floor((F.lit(1.0) - F.col("n_nonzero") / F.col("n")) * F.lit(n_synth)).cast("bigint")
+    zeros = F.floor((F.lit(1.0) - F.col("n_nonzero") / F.col("n")) * n_synth).cast("bigint")
     return (
         stats.filter(F.col("__missing") > F.lit(threshold))
         .withColumn("n_zero", zeros)
-        .withColumn("n_fill", F.lit(n_synth).cast("bigint") - F.col("n_zero"))
+        .withColumn("n_fill", n_synth.cast("bigint") - F.col("n_zero"))
         .drop("__missing")
     )
 
@@ -241,15 +237,23 @@ def join_cohort(clinical: DataFrame, features: DataFrame) -> DataFrame:
     return clinical.join(features, "id", "inner")
 
 
-def infer_roles(df: DataFrame, key: str, overrides: Mapping[str, str] | None = None, max_levels: float = 0.1) -> DataFrame:
+def infer_roles(
+    df: DataFrame,
+    key: str,
+    overrides: Mapping[str, str] | None = None,
+    max_levels: float = 0.1,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Statistical role of each clinical column: id, numerical, categorical or unknown.
 
+    ``by`` names columns that split the rows into groups with roles of their own.
+
     Numeric columns with few distinct values (at most ``max_levels`` of the rows and of
     the non-null count) are categorical, text is categorical, booleans are boolean.
     """
     overrides = dict(overrides or {})
-    names = [c for c in df.columns]
-    counts = df.agg(
+    names = [c for c in df.columns if c not in by]
+    counts = df.groupBy(*by).agg(
         F.count("*").alias("__n"),
         *[F.approx_count_distinct(ref(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)],
     )
@@ -272,7 +276,7 @@ def infer_roles(df: DataFrame, key: str, overrides: Mapping[str, str] | None = N
         else:
             role = F.lit("unknown")
         rows.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), role.alias("role")))
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(*by, F.inline(F.array(*rows)))
 
 
 def stage_split(cells: DataFrame, threshold: float) -> DataFrame:

@@ -34,7 +34,7 @@ def bootstrap(
     zero_share: float = 0.6,
     root_seed: int = 42,
     method: str = "auto",
-    nan_policy: str = "zero",
+    nan_policy: str = "propagate",
 ) -> Bootstrap:
     """Draw ``iterations`` sub-samples and keep the one closest to ``original``.
 
@@ -78,6 +78,6 @@ def bootstrap(
 
 
 def write_bootstrap(result: Bootstrap, path: str, fmt: str = "csv") -> None:
-    write_table(result.features, f"{path}/synthetic_data_peptides_bootstrapped", fmt)
-    write_table(result.clinical, f"{path}/synthetic_data_clinical_bootstrapped", fmt)
-    write_table(result.report, f"{path}/synthetic_data_peptides_statistic", fmt)
+    write_table(result.features, f"{path}/features_bootstrapped", fmt)
+    write_table(result.clinical, f"{path}/clinical_bootstrapped", fmt)
+    write_table(result.report, f"{path}/feature_statistics", fmt)

@@ -1,13 +1,13 @@
-"""Synthetic cohorts: prepare, fit, sample and assemble, group by group."""
+"""Synthetic cohorts: prepare, fit, sample and assemble all groups in one plan."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
@@ -16,9 +16,6 @@ from twinloom.operators.prep import Cohort
 from twinloom.sources.tables import write_table
 from twinloom.staging import stage
 
-GROUP_STREAM = 1_000
-GROUPS_AT_ONCE = 4
-
 
 @dataclass(frozen=True)
 class Group:
@@ -41,7 +38,7 @@ class Settings:
     feature_scope: str = "all"
     seed: int = 42
     batch_size: int = copula.NOISE_ROWS
-    mixing: str = "auto"
+    mixing: str = "rows"
 
 
 def synthesize(
@@ -49,7 +46,7 @@ def synthesize(
     groups: Sequence[Group],
     settings: Settings = Settings(),
     prepare: Callable[[Cohort], Cohort] = prep.complete_cases,
-    sampler: Callable[..., DataFrame] = copula.sample,
+    sampler: Callable[..., DataFrame] = copula.sample_parts,
     offset: int | None = None,
 ) -> Cohort:
     """Synthetic (clinical wide, features long) for all groups under one surrogate key.
@@ -57,6 +54,11 @@ def synthesize(
     The row limit comes before the group filter, and with ``feature_scope="all"`` the
     sparsity split, the families and the fill values use all prepared patients; "group"
     restricts them to the group.
+
+    Rows are tagged with the number of each group they belong to, and a feature of a group
+    goes by the name ``part_name(group, feature)``; so one set of jobs models all groups,
+    however many there are. ``sampler(cells, model, spans, seed, mixing=, batch=)`` draws
+    the synthetic rows ``spans[k]`` of group k.
     """
     marginals.check_families(settings.families, settings.method)
     if settings.feature_scope not in ("all", "group"):
@@ -65,99 +67,129 @@ def synthesize(
     whole = prep.first_patients(cohort.then(prepare), settings.max_patients)
     # every later step scans the prepared tables, so they are written once
     whole = Cohort(stage(whole.clinical), stage(whole.features))
-    shared = _feature_plan(whole.features, settings) if settings.feature_scope == "all" else None
-
-    def model_group(i: int, group: Group) -> tuple[DataFrame, DataFrame]:
-        rows = prep.filter_rows(whole.clinical, group.condition, require_rows=True)
-        plan = shared
-        if plan is None:
-            inside = whole.features.join(rows.select("id"), "id", "left_semi")
-            plan = _feature_plan(inside, settings)
-        seed = settings.seed + i * GROUP_STREAM
-        return _group(rows, whole.features, plan, group.n_synth, settings, seed, sampler)
-
-    # groups share nothing but the prepared tables, so their jobs run side by side
-    with ThreadPoolExecutor(max_workers=min(GROUPS_AT_ONCE, len(groups))) as pool:
-        made = list(pool.map(model_group, range(len(groups)), groups))
-    clinical, features = [c for c, _ in made], [f for _, f in made]
-    merged_clinical, merged_features = assemble.merge_pairs(clinical, features)
-    sizes = [g.n_synth for g in groups]
-    start = assemble.key_offset(spark, settings.seed) if offset is None else offset
-    return Cohort(
-        assemble.surrogate_key(merged_clinical, sizes, start),
-        assemble.surrogate_key(merged_features, sizes, start),
+    # rows of either table without a partner in the other take no part
+    whole = Cohort(
+        stage(whole.clinical.join(whole.features.select("id").distinct(), "id", "left_semi")),
+        stage(whole.features.join(whole.clinical.select("id").distinct(), "id", "left_semi")),
     )
-
-
-@dataclass(frozen=True)
-class _FeaturePlan:
-    source: DataFrame
-    split: DataFrame
-    families: DataFrame
-
-
-def _feature_plan(features: DataFrame, settings: Settings) -> _FeaturePlan:
-    split = prep.stage_split(features, settings.missing_threshold)
-    modelled = prep.modelled_cells(features, split)
-    chosen = marginals.select_family(modelled, settings.families, settings.method)
-    return _FeaturePlan(features, split, stage(chosen.select("feature", "family")))
-
-
-def _group(
-    rows: DataFrame,
-    features: DataFrame,
-    plan: _FeaturePlan,
-    n_synth: int,
-    settings: Settings,
-    seed: int,
-    sampler: Callable[..., DataFrame],
-) -> tuple[DataFrame, DataFrame]:
-    columns = [c for c in rows.columns if c != "id"]
-    roles = _roles(rows, settings)
-    categories = [c for c in columns if roles[c] in ("categorical", "boolean")]
-    numeric = [c for c in columns if c not in categories]
-    digits = _checked_constraints(rows, settings.constraints, numeric)
+    rows = _tagged(whole.clinical, groups)
+    stops = list(accumulate(g.n_synth for g in groups))
+    spans = [(stop - g.n_synth, stop) for g, stop in zip(groups, stops)]
+    size = _of_part([g.n_synth for g in groups])
+
+    columns = [c for c in whole.clinical.columns if c != "id"]
+    types = {c: whole.clinical.schema[c].dataType.simpleString() for c in columns}
+    roles = prep.infer_roles(rows, "id", settings.roles, by=["part"]).filter(F.col("column").isin(columns)).collect()
+    categorical = [(r["part"], r["column"]) for r in roles if r["role"] in ("categorical", "boolean")]
+    numeric = [(r["part"], r["column"]) for r in roles if r["role"] not in ("categorical", "boolean")]
+    digits = _checked_constraints(rows, settings.constraints, categorical)
     opened = rows
     for rule in settings.constraints:
         opened = copula.open_constraint(opened, rule)
 
-    numbers = prep.melt_features(opened, "id", numeric) if numeric else None
-    measured = features.join(rows.select("id"), "id", "left_semi")
-    cells = prep.modelled_cells(measured, plan.split)
-    families = plan.families
-    if numbers is not None:
-        families = families.unionByName(_clinical_families(rows, numbers, numeric, settings))
+    measured = stage(whole.features.join(rows.select("id", "part"), "id"))
+    split, chosen, low = _feature_plan(whole.features, measured, settings, size, len(groups))
+    cells = prep.modelled_cells(measured, split, ["part", "feature"]).select("id", _name(), "value")
+    families = chosen.select(_name(), "family")
+    if numeric:
+        numbers = _melt(opened, columns, numeric).select("id", "feature", F.col("text").cast("double").alias("value"))
         cells = cells.unionByName(numbers)
+        families = families.unionByName(_clinical_families(rows, numeric, settings))
     levels = None
-    if categories:
-        levels = copula.category_levels(rows, categories)
-        cells = cells.unionByName(copula.encode_categories(rows, categories, levels))
-        families = families.unionByName(
-            rows.sparkSession.createDataFrame([(c, copula.CATEGORY) for c in categories], "feature string, family string")
-        )
+    if categorical:
+        values = _melt(rows, columns, categorical).withColumnRenamed("text", "level")
+        levels = copula.levels_of(values)
+        cells = cells.unionByName(copula.encode_levels(values, levels))
+        families = families.unionByName(_literal_families(spark, [(k, c, copula.CATEGORY) for k, c in categorical]))
     cells = stage(cells)
     model = copula.fit_model(cells, families)
-    drawn = stage(sampler(cells, model, n_synth, seed, mixing=settings.mixing, batch=settings.batch_size))
-
-    named = F.col("feature").isin(numeric)
-    decoded = copula.decode_categories(drawn.filter(F.col("feature").isin(categories)), levels) if categories else None
-    types = {c: rows.schema[c].dataType.simpleString() for c in columns}
-    wide = assemble.clinical_table(drawn.filter(named), decoded, columns, types, categories)
+    drawn = stage(sampler(cells, model, spans, settings.seed, mixing=settings.mixing, batch=settings.batch_size))
+
+    plain = copula.plain_name(F.col("feature"))
+    clinical, texts = drawn.filter(plain.isin(columns)), None
+    if categorical:
+        names = [_label(k, c) for k, c in categorical]
+        texts = copula.decode_categories(drawn.filter(F.col("feature").isin(names)), levels).withColumn("feature", plain)
+        clinical = clinical.filter(~F.col("feature").isin(names))
+    only_text = [c for c in columns if not any(n == c for _, n in numeric)]
+    wide = assemble.clinical_table(clinical.withColumn("feature", plain), texts, columns, types, only_text)
     for rule in reversed(list(settings.constraints)):
         wide = copula.close_constraint(wide, rule, digits[rule.high])
     wide = wide.select("synth", *[ref(c).cast(types[c]).alias(c) for c in columns])
-    modelled = drawn.filter(~F.col("feature").isin(columns))
-    low = stage(prep.low_count_stats(plan.source, settings.missing_threshold, n_synth))
-    return wide, modelled.unionByName(assemble.low_count_fill(low, n_synth, seed))
+
+    fill = assemble.low_count_fill(low.select(_name(), "mean", "n_zero"), F.element_at(F.array(*[F.lit(g.n_synth) for g in groups]), copula.part_of(F.col("feature")) + 1), settings.seed)
+    begin = F.element_at(F.array(*[F.lit(a).cast("bigint") for a, _ in spans]), copula.part_of(F.col("feature")) + 1)
+    features = drawn.filter(~plain.isin(columns)).unionByName(fill.withColumn("synth", F.col("synth") + begin))
+    features = prep.null_to_zero(features.withColumn("feature", plain))
+    start = assemble.key_offset(spark, settings.seed) if offset is None else offset
+    key = (F.lit(start + 1) + F.col("synth")).alias("id")
+    return Cohort(wide.select(key, *[ref(c) for c in columns]), features.select(key, "feature", "value"))
+
+
+def _tagged(clinical: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """Staged rows with the number of each group they are in as ``part``; no group may be empty."""
+    inside = [F.when(prep.condition(clinical, g.condition), F.lit(k)) for k, g in enumerate(groups)]
+    rows = stage(clinical.withColumn("part", F.explode(F.array_compact(F.array(*inside)))))
+    found = {r["part"] for r in rows.select("part").distinct().collect()}
+    for k, group in enumerate(groups):
+        if k not in found:
+            raise ValueError(f"no row meets {dict(group.condition)!r}")
+    return rows
+
+
+def _of_part(values: Sequence[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("part") + 1)
+
+
+def _name() -> Column:
+    return copula.part_name(F.col("part"), F.col("feature")).alias("feature")
+
+
+def _label(part: int, column: str) -> str:
+    return f"{part}{copula.PART_MARK}{column}"
+
+
+def _melt(rows: DataFrame, columns: Sequence[str], wanted: Sequence[tuple[int, str]]) -> DataFrame:
+    """(id, feature, text) of the named columns of each part."""
+    pairs = [F.struct(F.lit(c).alias("feature"), ref(c).cast("string").alias("text")) for c in columns]
+    long = rows.select("id", "part", F.inline(F.array(*pairs))).select("id", _name(), "text")
+    return long.filter(F.col("feature").isin([_label(k, c) for k, c in wanted]))
+
+
+def _feature_plan(
+    features: DataFrame, measured: DataFrame, settings: Settings, size: Column, parts: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per (part, feature), staged: is it modelled; its family; fill statistics of the others."""
+    keys = ["part", "feature"]
+    threshold = settings.missing_threshold
+    if settings.feature_scope == "group":
+        split = stage(prep.sparsity_split(measured, threshold, keys))
+        chosen = marginals.select_family(prep.modelled_cells(measured, split, keys), settings.families, settings.method, keys)
+        low = prep.low_count_stats(measured, threshold, size, keys)
+        return split, stage(chosen.select(*keys, "family")), stage(low)
+    every = F.explode(F.array(*[F.lit(k) for k in range(parts)])).alias("part")
+    split = prep.stage_split(features, threshold)
+    chosen = marginals.select_family(prep.modelled_cells(features, split), settings.families, settings.method)
+    # the zero number of a group follows from shared counts and its own size
+    low = prep.low_count_stats(features, threshold, 0).select("feature", "mean", "n", "n_nonzero", every)
+    zeros = F.floor((F.lit(1.0) - F.col("n_nonzero") / F.col("n")) * size).cast("bigint")
+    return (
+        stage(split.select("feature", "modelled", every)),
+        stage(chosen.select("feature", "family", every)),
+        stage(low.withColumn("n_zero", zeros)),
+    )
 
 
-def _checked_constraints(rows: DataFrame, rules: Sequence[copula.Inequality], numeric: Sequence[str]) -> dict[str, int]:
+def _checked_constraints(
+    rows: DataFrame, rules: Sequence[copula.Inequality], categorical: Sequence[tuple[int, str]]
+) -> dict[str, int]:
     """Decimal places of each constrained column; an error where the data break a rule."""
     if not rules:
         return {}
     for rule in rules:
-        if rule.low not in numeric or rule.high not in numeric:
-            raise ValueError("constraints apply to numerical clinical columns")
+        for name in (rule.low, rule.high):
+            if name not in rows.columns or any(c == name for _, c in categorical):
+                raise ValueError("constraints apply to numerical clinical columns")
     row = rows.agg(
         *[F.max(copula.decimals(ref(r.high))).alias(f"digits{i}") for i, r in enumerate(rules)],
         *[F.count_if(~r.holds()).alias(f"bad{i}") for i, r in enumerate(rules)],
@@ -168,20 +200,19 @@ def _checked_constraints(rows: DataFrame, rules: Sequence[copula.Inequality], nu
     return {rule.high: row[f"digits{i}"] for i, rule in enumerate(rules)}
 
 
-def _roles(rows: DataFrame, settings: Settings) -> dict[str, str]:
-    return {r["column"]: r["role"] for r in prep.infer_roles(rows, "id", settings.roles).collect()}
+def _literal_families(spark, entries: Sequence[tuple[int, str, str]]) -> DataFrame:
+    return spark.createDataFrame([(_label(k, c), f) for k, c, f in entries], "feature string, family string")
 
 
-def _clinical_families(rows: DataFrame, numbers: DataFrame, numeric: Sequence[str], settings: Settings) -> DataFrame:
+def _clinical_families(rows: DataFrame, numeric: Sequence[tuple[int, str]], settings: Settings) -> DataFrame:
     """Families of the numeric clinical columns: estimated where named, else the default."""
-    spark = rows.sparkSession
-    estimated = [c for c in settings.estimate_clinical if c in numeric]
-    rest = [(c, settings.other_family) for c in numeric if c not in estimated]
-    schema = "feature string, family string"
-    out = spark.createDataFrame(rest, schema)
+    estimated = [(k, c) for k, c in numeric if c in settings.estimate_clinical]
+    rest = [(k, c, settings.other_family) for k, c in numeric if (k, c) not in estimated]
+    out = _literal_families(rows.sparkSession, rest)
     if estimated:
-        named = prep.melt_features(rows, "id", estimated)
-        chosen = marginals.select_family(named, settings.families, settings.method)
+        named = _melt(rows, sorted({c for _, c in estimated}), estimated)
+        values = named.select("id", "feature", F.col("text").cast("double").alias("value"))
+        chosen = marginals.select_family(values, settings.families, settings.method)
         out = out.unionByName(chosen.select("feature", "family"))
     return out
 
@@ -191,5 +222,5 @@ def write_synthetic(result: Cohort, path: str, feature_names: Sequence[str] | No
     features = result.features
     if feature_names is not None:
         features = prep.pivot_features(features, feature_names)
-    write_table(result.clinical, f"{path}/synthetic_data_clinical", fmt)
-    write_table(features, f"{path}/synthetic_data_peptides", fmt)
+    write_table(result.clinical, f"{path}/clinical", fmt)
+    write_table(features, f"{path}/features", fmt)

@@ -41,12 +41,12 @@ def read_matrices(
     body = attach(lines, headers, ["file"], row_bytes=24 * width)
     body = body.filter((F.col("block") > 0) | (F.col("line") > F.col("header_line"))).filter(F.col("value") != "")
     parts = body.select("file", "header", F.split("value", separator).alias("parts"))
-    cells = parts.select(
-        "file", "header", F.element_at("parts", 1).alias("feature"), F.posexplode("parts").alias("pos", "text")
-    ).filter("pos > 0")
+    # keys and values are paired first, so no array goes along with the cells
+    paired = F.arrays_zip(F.slice("header", 2, width).alias("key"), F.slice("parts", 2, width).alias("text"))
+    cells = parts.select("file", F.element_at("parts", 1).alias("feature"), F.inline(paired))
     return cells.select(
         "file",
-        F.trim(F.element_at("header", F.col("pos") + 1)).cast("bigint").alias("id"),
+        F.trim("key").cast("bigint").alias("id"),
         "feature",
         F.nullif(F.trim("text"), F.lit("")).cast("double").alias("value"),
     )

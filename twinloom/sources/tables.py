@@ -33,10 +33,15 @@ def load_cohort(
     feature_key_scale: int | None = 1000,
     fmt: str = "csv",
     on_duplicate: str = "error",
+    clinical_schema: T.StructType | None = None,
+    features_schema: T.StructType | None = None,
 ) -> Cohort:
-    """Load both tables, cast the clinical key and rescale the feature key."""
-    clinical = normalise_key(read_table(spark, clinical_path, fmt), key)
-    wide = normalise_key(read_table(spark, features_path, fmt), key, feature_key_scale)
+    """Load both tables, cast the clinical key and rescale the feature key.
+
+    With schemas, CSV files are not scanned to infer types.
+    """
+    clinical = normalise_key(read_table(spark, clinical_path, fmt, clinical_schema), key)
+    wide = normalise_key(read_table(spark, features_path, fmt, features_schema), key, feature_key_scale)
     if on_duplicate == "error" and not duplicate_keys(wide).isEmpty():
         raise ValueError("several feature rows share one key after rescaling")
     return Cohort(clinical, melt_features(wide), len(wide.columns) - 1)
@@ -57,6 +62,6 @@ def write_cohorts(
 ) -> None:
     """One folder per cohort and table; cohorts may differ in their clinical columns."""
     for name, df in clinical.items():
-        write_table(df, f"{path}/{name}_clinical_data", fmt)
+        write_table(df, f"{path}/{name}_clinical", fmt)
     for name, df in features.items():
-        write_table(df, f"{path}/{name}_peptides_data", fmt)
+        write_table(df, f"{path}/{name}_features", fmt)

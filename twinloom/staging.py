@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,13 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="twinloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder().name
+
+
+@lru_cache(1)
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """Stands in for the shared folder on a local master only; removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="twinloom-")
 
 
 def tasks(spark: SparkSession) -> int:
@@ -36,8 +41,9 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# rows of each staged table of this session, by folder
+# rows of each staged table of this session, by folder, and the folders' paths
 _STAGED_ROWS: dict[str, int] = {}
+_STAGED_PATHS: list[str] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -52,9 +58,20 @@ def stage(df: DataFrame) -> DataFrame:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     _STAGED_ROWS[path.split("/")[-1]] = seen.get["rows"]
+    _STAGED_PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables staged so far, once nothing that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _STAGED_PATHS:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _STAGED_PATHS.clear()
+    _STAGED_ROWS.clear()
+
+
 def at_most(small: DataFrame) -> int:
     """Upper bound of the rows of a selection from one staged table; counted for any other."""
     folders = {f.rsplit("/", 2)[-2] for f in small.inputFiles()}
