@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
 from twinloom.llm.registry import query, table
-from twinloom.llm.shared import inline, stage
+from twinloom.llm.shared import inline, leading, stage
 
 SHARDS = 24
 VIRTUAL_NODES = 128
@@ -69,17 +69,9 @@ def walk(arcs: list[int], owners: list[int], loads: list[int]) -> list[dict]:
 
 
 def _arc(position, points: list[int]):
-    """Number of the first point at or after ``position``; 0 beyond the last (binary search)."""
-    steps = max(1, len(points).bit_length())
+    """Number of the first point at or after ``position``; 0 beyond the last."""
     array = F.array(*[F.lit(p) for p in points])
-    below = F.aggregate(
-        F.array(*[F.lit(1 << s) for s in reversed(range(steps))]),
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= len(points)) & (F.get(array, low + step - 1) < position), low + step
-        ).otherwise(low),
-    )
-    return below % len(points)
+    return leading(array, len(points), lambda p: p < position) % len(points)
 
 
 def shard_rows(

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.staging import checkpoint_root, tasks
 
-__all__ = ["stage", "tasks", "inline", "held_out", "pieces", "byte_view", "Words", "words_of", "mix"]
+__all__ = ["stage", "tasks", "inline", "leading", "held_out", "pieces", "byte_view", "Words", "words_of", "mix"]
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -32,6 +32,16 @@ def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(array))
 
 
+def leading(array, size: int, before: Callable[[Column], Column]) -> Column:
+    """How many of the first elements of a sorted array are ``before``: a binary search."""
+    steps = [1 << s for s in reversed(range(max(1, size.bit_length())))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda low, step: F.when((low + step <= size) & before(F.get(array, low + step - 1)), low + step).otherwise(low),
+    )
+
+
 def held_out(id_col: str):
     """Rows kept from every fit: crc32 of the id as text leaves no remainder by 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

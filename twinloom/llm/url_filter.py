@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
 from twinloom.llm.registry import query, table
-from twinloom.llm.shared import inline, tasks
+from twinloom.llm.shared import inline, leading, tasks
 
 DEFAULT = "allow"
 SPLITTER_CHARS = 200
@@ -111,7 +111,7 @@ def filter_urls(
         """How many bounds lie at or before (key, tie)."""
         if not bounds:
             return F.lit(0)
-        return F.size(F.filter(cuts, lambda c: c <= F.struct(key.alias("key"), tie.alias("tie"))))
+        return leading(cuts, len(bounds), lambda c: c <= F.struct(key.alias("key"), tie.alias("tie")))
 
     listed = rules.select("action", "host", "path").dropna().distinct()
     listed = listed.withColumn("key", reversed_host(F.col("host")))
