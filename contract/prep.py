@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contract import tables as tb
@@ -9,8 +11,9 @@ from contract.registry import query
 from contract.tables import BOTH_SQL, CLINICAL_SQL, DENSE_SQL
 from twinloom.operators import prep
 from twinloom.operators.prep import Cohort
-from twinloom.sources.matrices import melt_arrays, unite
-from twinloom.staging import stage
+from twinloom.sources import tables
+from twinloom.sources.matrices import melt_arrays, read_matrices
+from twinloom.staging import checkpoint_root, stage
 
 R6 = 6
 THRESHOLD = 0.7
@@ -21,9 +24,13 @@ def six(name: str):
     return F.round(F.col(name), R6).alias(name)
 
 
+def delivered(spark, sf):
+    """The measurement table as delivered: its keys are 1000 times the clinical key and more."""
+    return tb.wide(spark, sf).withColumn("id", F.col("id") * 1000 + F.pmod(F.col("id"), F.lit(7)))
+
+
 def raw_cohort(spark, sf):
-    """Tables as delivered: feature keys are 1000 times the clinical key."""
-    wide = tb.wide(spark, sf).withColumn("id", F.col("id") * 1000 + F.pmod(F.col("id"), F.lit(7)))
+    wide = delivered(spark, sf)
     features = prep.null_to_zero(prep.melt_features(prep.normalise_key(wide, "id", scale=1000)))
     return Cohort(prep.normalise_key(tb.clinical(spark, sf), "id"), features, len(wide.columns) - 1)
 
@@ -35,7 +42,15 @@ def raw_cohort(spark, sf):
     from clinical c join cells f on f.id = c.id where c.low is not null group by 1, 2""",
 )
 def load_cohort(spark, sf):
-    whole = prep.complete_cases(raw_cohort(spark, sf))
+    """Both tables are delivered as CSV files and read back with the reader."""
+    folder = f"{checkpoint_root(spark)}/delivered-{uuid.uuid4().hex}"
+    clinical, wide = tb.clinical(spark, sf), delivered(spark, sf)
+    tables.write_table(clinical, f"{folder}/clinical")
+    tables.write_table(wide, f"{folder}/features")
+    read = tables.load_cohort(
+        spark, f"{folder}/clinical", f"{folder}/features", "id", clinical_schema=clinical.schema, features_schema=wide.schema
+    )
+    whole = prep.complete_cases(Cohort(read.clinical, prep.null_to_zero(read.features), read.n_features))
     return (
         prep.join_cohort(whole.clinical, whole.features)
         .groupBy("id", "segment")
@@ -194,24 +209,37 @@ def manifest_files(spark, sf):
     return prep.manifest_files(tb.table(spark, sf, "documents"), ["en", "de"], "lang", "source")
 
 
+PER_MATRIX = 200  # vectors
+LEAST_PEAK = 0.25  # a matrix lists the features that reach this in one of its vectors
+
+
 @query(
     "matrix_ingest",
-    """with e as (select vec_id, label, i - 1 as pos, embedding[i]::double as value
+    f"""with e as (select vec_id as id, vec_id // {PER_MATRIX} as part, 'v' || (i - 1) as feature, embedding[i]::double as value
                  from embeddings, unnest(range(1, len(embedding) + 1)) t(i)),
-    a as (select vec_id as id, 'v' || pos as feature, value from e where label % 2 = 0 and pos < 48),
-    b as (select vec_id as id, 'v' || pos as feature, value from e where label % 2 <> 0 and pos >= 16),
-    u as (select * from a union all select * from b),
+    listed as (select part, feature from e group by 1, 2 having max(value) > {LEAST_PEAK}),
+    u as (select e.* from e join listed using (part, feature)),
     n as (select count(distinct id) as n from u)
     select feature, count(value)::bigint as present, (max(n.n) - count(value))::bigint as absent,
            round(sum(value), 5) as total from u, n group by feature""",
 )
 def matrix_ingest(spark, sf):
-    vectors = tb.table(spark, sf, "embeddings")
-    even = vectors.filter("label % 2 = 0").withColumn("embedding", F.slice("embedding", 1, 48))
-    odd = vectors.filter("label % 2 <> 0")
-    a = melt_arrays(even, "vec_id", "embedding", "v")
-    b = melt_arrays(odd, "vec_id", "embedding", "v").filter(F.substring("feature", 2, 9).cast("int") >= 16)
-    united = unite([a, b])
+    """Vectors are written as delimited matrices, features in rows, and read with the matrix reader."""
+    folder = f"{checkpoint_root(spark)}/matrices-{uuid.uuid4().hex}"
+    cells = melt_arrays(tb.table(spark, sf, "embeddings"), "vec_id", "embedding", "v")
+    cells = cells.withColumn("part", F.floor(F.col("id") / PER_MATRIX))
+
+    def line(first, place):
+        ordered = F.sort_array(F.collect_list(F.struct("id", "value")))
+        return F.concat_ws(",", first, F.transform(ordered, lambda c: c[place].cast("string"))).alias("line")
+
+    body = cells.groupBy("part", "feature").agg(line(F.first("feature"), "value"), F.max("value").alias("peak"))
+    body = body.filter(F.col("peak") > LEAST_PEAK).select("part", F.lit(1).alias("place"), "line")
+    header = cells.select("part", "id", F.lit(0).alias("value")).distinct().groupBy("part").agg(line(F.lit("name"), "id"))
+    lines = header.select("part", F.lit(0).alias("place"), "line").unionByName(body)
+    lines.repartition("part").sortWithinPartitions("part", "place").select("line", "part").write.partitionBy("part").text(folder)
+    names = [r[0] for r in spark.read.text(folder).select("_metadata.file_name").distinct().collect()]
+    united = stage(read_matrices(spark, folder, names, skip=0))
     n_ids = united.select("id").distinct().count()
     return united.groupBy("feature").agg(
         F.count("value").alias("present"),

@@ -24,21 +24,22 @@ def read_matrices(
         spark.read.text(root)
         .select(
             F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_path").alias("path"),  # names may recur in folders
             F.col("_metadata.file_block_start").alias("block"),
             "value",
         )
         .filter(F.col("file").isin(list(files)))
         .withColumn("line", F.monotonically_increasing_id())
     )
-    opening = stage(lines.filter("block = 0").groupBy("file").agg((F.min("line") + skip).alias("header_line")))
-    heads = attach(lines.filter("block = 0"), opening, ["file"])
+    opening = stage(lines.filter("block = 0").groupBy("path").agg((F.min("line") + skip).alias("header_line")))
+    heads = attach(lines.filter("block = 0"), opening, ["path"])
     headers = stage(
         heads.filter("line = header_line").select(
-            "file", "header_line", F.split("value", separator).alias("header")
+            "path", "header_line", F.split("value", separator).alias("header")
         )
     )
     width = headers.agg(F.max(F.size("header"))).first()[0] or 1
-    body = attach(lines, headers, ["file"], row_bytes=24 * width)
+    body = attach(lines, headers, ["path"], row_bytes=24 * width)
     body = body.filter((F.col("block") > 0) | (F.col("line") > F.col("header_line"))).filter(F.col("value") != "")
     parts = body.select("file", "header", F.split("value", separator).alias("parts"))
     # keys and values are paired first, so no array goes along with the cells
