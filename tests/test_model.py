@@ -331,3 +331,31 @@ def test_mixing_is_never_chosen_from_the_data(spark, correlated, monkeypatch):
         copula.sample(cells, model, 5, 1, mixing="factor")
     same = [sorted(map(tuple, copula.sample(cells, model, 5, 1, **how).collect()), key=str) for how in ({}, {"mixing": "rows"})]
     assert same[0] == same[1]
+
+
+def test_a_family_of_your_own(spark):
+    """A Laplace family, registered here, is fitted, selected, scored and drawn."""
+
+    def fit():
+        b = F.col("sd") / F.sqrt(F.lit(2.0))
+        return F.col("sd") > 0, {"loc": F.col("mean"), "scale": b}, -F.ln(2.0 * b)
+
+    def table(p, low, high):
+        x = np.linspace(p["loc"] - 40 * p["scale"], p["loc"] + 40 * p["scale"], 20001)
+        y = (x - p["loc"]) / p["scale"]
+        return x, np.where(y < 0, 0.5 * np.exp(np.minimum(y, 0)), 1 - 0.5 * np.exp(-np.maximum(y, 0)))
+
+    laplace = mg.Family(("loc", "scale"), lambda x, p: p("c0") - F.abs(x - p("loc")) / p("scale"), fit=fit, table=table)
+    mg.register_family("laplace", laplace)
+    try:
+        x = np.random.default_rng(4).laplace(20, 2, 4000)
+        cells = stage(cells_of(spark, {"peaked": x}))
+        assert {r["family"] for r in mg.select_family(cells, ["norm", "laplace", "lognorm"], "aic").collect()} == {"laplace"}
+        families = spark.createDataFrame([("peaked", "laplace")], "feature string, family string")
+        model = copula.fit_model(cells, families)
+        drawn = np.array([r["value"] for r in copula.sample(cells, model, 3000, 1).collect()])
+        assert np.mean(np.abs(drawn - 20)) == pytest.approx(2.0, rel=0.1) and np.median(drawn) == pytest.approx(20, abs=0.3)
+    finally:
+        del mg.REGISTRY["laplace"]
+    with pytest.raises(ValueError, match="needs"):
+        mg.register_family("half", mg.Family(("loc",), None))

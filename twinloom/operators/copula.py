@@ -32,7 +32,7 @@ from twinloom.operators.ordered import running_totals
 from twinloom.staging import attach, stage, tasks
 
 CATEGORY = "category"
-GRID_FAMILIES = ("beta", "gamma", "t", "gaussian_kde")
+_GRID_FAMILIES = ("beta", "gamma", "t", "gaussian_kde")
 GRID_POINTS = 1024
 FINE_POINTS = 8192
 Z_MAX = float(np_norm_ppf(np.array([1.0 - U_CLIP]))[0])
@@ -54,6 +54,11 @@ LATENT_STREAM = 11
 MASK_STREAM = 12
 
 
+def grid_families() -> list[str]:
+    """Families whose scores and draws are read off a table: without closed form, or a user's own."""
+    return [*_GRID_FAMILIES, *mg.own_families()]
+
+
 # ---- categories and constraints ------------------------------------------------------
 
 
@@ -209,6 +214,11 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
                 out = F.when(F.col("family") == f, F.col(f)[name]).otherwise(out)
         return out
 
+    own = F.lit(None).cast("map<string,double>")
+    for f in fitted:
+        if f in mg.own_families():
+            pairs = [x for p in mg.REGISTRY[f].params for x in (F.lit(p), F.col(f)[p].cast("double"))]
+            own = F.when(F.col("family") == f, F.create_map(*pairs)).otherwise(own)
     category = F.col("family") == CATEGORY
     model = rows.select(
         "feature",
@@ -224,10 +234,11 @@ def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
         param("loc", {CATEGORY: 0.0}).alias("loc"),
         param("scale", {CATEGORY: 1.0}).alias("scale"),
         *[param(p).alias(p) for p in ("s", "a", "b", "df", "bandwidth")],
+        own.alias("own"),
     )
     truncated = F.col("family") == "truncnorm"
     model = model.withColumn("ca", F.when(truncated, norm_cdf("a"))).withColumn("cb", F.when(truncated, norm_cdf("b")))
-    if not any(n in GRID_FAMILIES for n in names):
+    if not any(n in grid_families() for n in names):
         empty = F.lit(None).cast("array<double>")
         return stage(model.withColumn("z_at", empty).withColumn("x_at", empty))
     return stage(_with_grids(stage(model), filled, "gaussian_kde" in names))
@@ -250,13 +261,18 @@ def _with_grids(model: DataFrame, filled: DataFrame, smooth: bool) -> DataFrame:
         joined = model.join(tables, "feature", "left")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in model.schema.fields]
     columns = model.columns
+    gridded = grid_families()
+    tables = {name: f.table for name, f in mg.own_families().items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             z_at, x_at = [], []
             for row in batch.itertuples(index=False):
-                if row.family in GRID_FAMILIES and not row.constant:
-                    x, u = _cdf_table(row)
+                if row.family in gridded and not row.constant:
+                    if row.family in tables:
+                        x, u = tables[row.family](dict(row.own), row.low, row.high)
+                    else:
+                        x, u = _cdf_table(row)
                     z = np_norm_ppf(np.clip(u, U_CLIP, 1.0 - U_CLIP))
                     even_x = np.linspace(row.low, row.high, GRID_POINTS)
                     even_u = np_norm_cdf(np.linspace(-Z_MAX, Z_MAX, GRID_POINTS))
@@ -327,7 +343,7 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         "cb",
         div(x - F.col("loc"), F.col("scale")).alias("y"),
         F.when(
-            family.isin(*GRID_FAMILIES),
+            family.isin(*grid_families()),
             _interpolate("z_at", div(x - F.col("low"), F.col("high") - F.col("low")) * F.lit(GRID_POINTS - 1.0)),
         ).alias("zg"),
         F.when(family == "lognorm", F.ln(x - F.col("loc"))).alias("log"),
@@ -342,7 +358,7 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         F.when(F.col("constant"), F.lit(0.0))
         .when(family == "norm", y)
         .when(family == "lognorm", div(F.col("log") - F.ln("scale"), F.col("s")))
-        .when(family.isin(*GRID_FAMILIES), F.col("zg"))
+        .when(family.isin(*grid_families()), F.col("zg"))
         .otherwise(F.col("zu"))
     )
     return third.select("id", "feature", F.least(F.greatest(z, F.lit(-Z_MAX)), F.lit(Z_MAX)).alias("z"))
@@ -638,7 +654,7 @@ def inverse_marginals(latent: DataFrame, model: DataFrame) -> DataFrame:
         .when(family == "lognorm", F.col("loc") + F.col("scale") * F.exp(F.col("s") * z))
         .when(family == "truncnorm", F.col("loc") + F.col("scale") * F.col("zt"))
         .when(
-            family.isin(*GRID_FAMILIES),
+            family.isin(*grid_families()),
             _interpolate("x_at", (held + F.lit(Z_MAX)) / F.lit(2.0 * Z_MAX) * F.lit(GRID_POINTS - 1.0)),
         )
         .otherwise(F.col("loc") + F.col("scale") * F.col("u"))

@@ -48,11 +48,20 @@ BINS = 100
 @dataclass(frozen=True)
 class Family:
     """Parameter names (in the usual order), the log density as a Column of x, and how many
-    parameters are free (a fixed location is not)."""
+    parameters are free (a fixed location is not).
+
+    A family of your own (``register_family``) also has ``fit``, which gives from the columns
+    n, mn, mx, mean, sd, kurt, mean_ln and mean_xln of a feature where the family applies,
+    its parameters and the log normaliser ``c0``; and ``table``, which gives from the
+    parameters and the observed range increasing x and their distribution function as numpy
+    arrays. Scores and draws are read off that table.
+    """
 
     params: tuple[str, ...]
     logpdf: Callable[[Column, Callable[[str], Column]], Column] | None
     fixed: int = 0
+    fit: Callable[[], tuple[Column, dict[str, Column], Column]] | None = None
+    table: Callable[[dict[str, float], float, float], tuple[np.ndarray, np.ndarray]] | None = None
 
     @property
     def free(self) -> int:
@@ -97,12 +106,24 @@ REGISTRY: dict[str, Family] = {
 }
 
 
+def register_family(name: str, family: Family) -> None:
+    """Make a family of your own known to fitting, selection, scores and draws."""
+    if family.fit is None or family.table is None or family.logpdf is None:
+        raise ValueError("a family needs logpdf, fit and table")
+    REGISTRY[name] = family
+
+
+def own_families() -> dict[str, Family]:
+    return {name: f for name, f in REGISTRY.items() if f.table is not None}
+
+
 def check_families(families: Sequence[str], method: str = "sumsquare_error") -> None:
     if method not in METHODS:
         raise ValueError(f"selection by '{method}' is unknown; known are {', '.join(METHODS)}")
     for family in families:
-        if family not in SELECTABLE:
-            raise ValueError(f"family '{family}' cannot be selected; known are {', '.join(SELECTABLE)}")
+        known = [*SELECTABLE, *own_families()]
+        if family not in known:
+            raise ValueError(f"family '{family}' cannot be selected; known are {', '.join(known)}")
 
 
 def nonzero(cells: DataFrame) -> DataFrame:
@@ -322,6 +343,9 @@ def _structs(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
             best = F.array_max(F.array_compact(F.array(*tried)))
             c0 = -F.ln(best["s"]) - LOG_SQRT_2PI
             built[family] = (always, packed(c0, s=best["s"], loc=best["loc"], scale=best["scale"]))
+        elif REGISTRY[family].fit is not None:
+            ok, own, c0 = REGISTRY[family].fit()
+            built[family] = (ok, packed(c0, **own))
         elif family == "gaussian_kde":
             h = sd * F.sqrt(div(n, n - 1.0)) * F.pow(n.cast("double"), F.lit(-0.2))
             built[family] = (n > 1, packed(F.lit(0.0), bandwidth=h))
