@@ -263,8 +263,8 @@ def _merge(sizes: DataFrame, fan_in: int, length: int) -> tuple[DataFrame, DataF
 
 
 def _sequence(level, group, number):
-    """Sequence id from the round, the group (below 2**20) and the bin (below 2**40)."""
-    return F.lit(level).cast("long") * F.lit(1 << 60) + group * F.lit(1 << 40) + number
+    """Sequence id from the round, the group (below 2**24) and the bin (below 2**36)."""
+    return F.lit(level).cast("long") * F.lit(1 << 60) + group * F.lit(1 << 36) + number
 
 
 def pack_documents(
