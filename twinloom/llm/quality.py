@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from twinloom.functions.names import ref
 from twinloom.llm.registry import query, table
-from twinloom.llm.shared import byte_view, held_out, pieces, prefix_hash, span_hash, stage
+from twinloom.llm.shared import byte_view, held_out, pieces, prefix_hash, span_hash, stage, tasks
 
 BUCKETS = 1 << 14
 DIM = 48
 NONZERO = 4
 REACH = 2
-BLOCKS = 16
+BLOCKS = 64
 FIT_ROWS = 20_000
 HIDDEN = 32
 EPOCHS = 60
@@ -114,7 +114,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     shape = "block long, vector binary"
     parts = docs.select(ref(text_col).alias("text")).mapInArrow(add, shape)
     table_ = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS), np.float32)
-    for r in parts.repartition(BLOCKS, "block").mapInArrow(total, shape).collect():  # the table, once
+    for r in parts.repartition(tasks(docs.sparkSession), "block").mapInArrow(total, shape).collect():  # the table, once
         table_[r["block"]] = np.frombuffer(r["vector"], np.float32)
     table_ = table_.reshape(BUCKETS, DIM)
     return table_ / np.maximum(np.linalg.norm(table_, axis=1, keepdims=True), 1e-12)
