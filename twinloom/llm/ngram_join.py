@@ -88,14 +88,17 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash values, one row of ``TREES * DEPTH`` for each row with shingles (others zero)."""
-    out = np.zeros((len(offsets) - 1, _SLOTS), np.uint32)
+    """MinHash values, one row of ``TREES * DEPTH`` for each row with shingles (others zero).
+
+    Of each least hash the last 16 bits are kept: others agree in them once in 65536 times.
+    """
+    out = np.zeros((len(offsets) - 1, _SLOTS), np.uint16)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         begin = offsets[:-1][full]
         for k in range(_SLOTS):
             values = ((hashed * _MULTIPLY[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
-            out[full, k] = np.minimum.reduceat(values, begin)
+            out[full, k] = np.minimum.reduceat(values, begin) & np.uint32(0xFFFF)
     return out
 
 
@@ -126,7 +129,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), _SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), _SLOTS)
 
 
 def _tree_keys(classes: DataFrame, depth: int) -> DataFrame:
@@ -153,7 +156,7 @@ class _Sweep:
         self.near = NEAR
         self.tied = threshold - 2 * (1 - NEAR) - MARGIN
         self.names: list[bytes] = []
-        self.sigs = np.zeros((64, _SLOTS), np.uint32)
+        self.sigs = np.zeros((64, _SLOTS), np.uint16)
         self.edges: list[tuple[bytes, bytes]] = []
         self.tree = np.zeros(64, np.int64)  # of each leader: the tied leaders it belongs to
 
