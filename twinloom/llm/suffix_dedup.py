@@ -257,7 +257,8 @@ def _repeats(docs: DataFrame) -> DataFrame:
     everywhere = F.array(F.struct(F.lit(1 - SPAN).cast("long").alias("lo"), F.lit(LENGTH).cast("long").alias("hi")))
     kinds = known.select("key", "whole", "n").join(spans, ["key", "whole"], "left")
     spans = kinds.select("key", "whole", F.when(F.col("n") > 1, everywhere).otherwise(F.col("spans")).alias("spans"))
-    spans = spans.filter(F.size("spans") > 0)
+    # written, so that both sides of the join are plain shuffles and a hot context can be split
+    spans = stage(spans.filter(F.size("spans") > 0))
     placed = found.join(spans, ["key", "whole"]).select("thash", "at", F.inline("spans"))
     placed = placed.groupBy("thash", "at").agg(F.collect_set(F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))).alias("spans"))
     return placed.groupBy("thash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
