@@ -161,6 +161,19 @@ def clip_round(spark, sf):
     return customer.select(F.col("c_custkey").alias("id"), value.alias("value"))
 
 
+@query(
+    "clip_round_fine",
+    """with v as (select c_custkey as id, round(c_acctbal / 1000000, 8) as x from customer), seen as (select min(x) as lo, max(x) as hi from v)
+    select id, floor(least(greatest(x * 0.777, lo), hi) * 100000000.0 + 0.5) / 100000000.0 as value from v, seen""",
+)
+def clip_round_fine(spark, sf):
+    """Eight decimals are kept as eight decimals."""
+    values = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") / 1000000, 8).alias("x"))
+    seen = values.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(cp.decimals(F.col("x"))).alias("digits")).first()
+    value = cp.clip_round(F.col("x") * 0.777, F.lit(seen["lo"]), F.lit(seen["hi"]), F.lit(seen["digits"]))
+    return values.select("id", value.alias("value"))
+
+
 @query(
     "constraint_check",
     f"""with {CLINICAL_SQL} select count(low)::bigint as checked, count(*) filter (not low < high)::bigint as violations

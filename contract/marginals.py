@@ -119,6 +119,21 @@ _fit_query(
 )
 _fit_query("beta", "," + BETA_SQL + " select feature, {shown} from beta")
 _fit_query("t", "," + T_SQL + " select feature, {shown} from t")
+
+
+@query(
+    "fit_t_heavy",
+    f"""with recursive values_ as (select c_mktsegment as feature, c_acctbal / (c_nationkey - 12.5::double) as x from customer),
+    {T_SQL.lstrip()} select feature, round(df, 6) as df, round(loc, 6) as loc, round(scale, 6) as scale from t""",
+)
+def fit_t_heavy(spark, sf):
+    """Quotients, whose tails are far heavier than a normal distribution's."""
+    value = (F.col("c_acctbal") / (F.col("c_nationkey") - 12.5)).alias("value")
+    cells = tb.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("feature"), value)
+    out = mg.fit(stage(cells), ["t"])
+    return out.select("feature", *[F.round(F.col("t")[p], 6).alias(p) for p in ("df", "loc", "scale")])
+
+
 _fit_query("truncnorm", "," + _truncnorm_sql().replace("{", "{{").replace("}", "}}") + " select feature, {shown} from truncnorm")
 _fit_query(
     "gaussian_kde",

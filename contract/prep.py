@@ -152,6 +152,16 @@ def top_n_patients(spark, sf):
     return prep.first_patients(tb.cohort(spark, sf), 200).features
 
 
+@query(
+    "first_keys_keep_their_rows",
+    "select o_custkey as id, o_orderkey from orders where o_custkey in (select distinct o_custkey from orders order by 1 limit 700)",
+)
+def first_keys_keep_their_rows(spark, sf):
+    """The limit counts distinct keys; every order of a chosen customer stays."""
+    orders = tb.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey")
+    return prep.first_patients(Cohort(orders, orders.select("id")), 700).clinical
+
+
 @query(
     "join_cohort",
     f"""with {CLINICAL_SQL}, {DENSE_SQL} select c.id, c.segment, f.feature, nullif(f.value, 0) as value
