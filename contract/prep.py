@@ -12,7 +12,7 @@ from contract.tables import BOTH_SQL, CLINICAL_SQL, DENSE_SQL
 from twinloom.operators import prep
 from twinloom.operators.prep import Cohort
 from twinloom.sources import tables
-from twinloom.sources.matrices import melt_arrays, read_matrices
+from twinloom.sources.matrices import melt_arrays, read_matrices, unite
 from twinloom.staging import checkpoint_root, stage
 
 R6 = 6
