@@ -11,7 +11,7 @@ from contract.sqltext import name_key, norm_cdf, norm_ppf, uniform
 from contract.tables import CLINICAL_SQL, DENSE_SQL
 from twinloom.functions.normal import U_CLIP
 from twinloom.operators import copula as cp
-from twinloom.operators.prep import melt_features, zero_to_null
+from twinloom.operators.prep import zero_to_null
 from twinloom.staging import stage
 
 N_SYNTH = 40
