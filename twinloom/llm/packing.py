@@ -23,9 +23,11 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -110,10 +112,15 @@ class WordEncoder:
         return b"".join([ids if (ids := known(c)) is not None else encode(c) for c in text.split()])
 
 
-@lru_cache(2)
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker and tokenizer file; its caches outlive a task."""
-    return WordEncoder(path)
+    """One per Python worker and tokenizer file; its caches outlive a task.
+
+    Task functions travel by value, so what a worker keeps lives in a module of its own.
+    """
+    held = sys.modules.setdefault("_twinloom_worker", ModuleType("_twinloom_worker")).__dict__
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

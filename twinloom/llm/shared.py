@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +114,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-@lru_cache(1)
+# bytes with A-Z lowered, and which lowered bytes belong to words
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+
+
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with A-Z lowered, and which lowered bytes belong to words."""
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    word = np.zeros(256, bool)
-    word[48:58] = word[97:123] = word[128:] = True
-    return lower, word
+    return _LOWER, _WORD
 
 
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
