@@ -208,6 +208,18 @@ def test_license_marks_lose_nothing():
                 assert set(cut) & set(words)
 
 
+def test_license_bounds_are_exact(spark):
+    for percent in (50, 70, 80, 90, 100):
+        for n in range(1, 130):
+            fits = [m for m in range(1, 4 * n) if 200 * min(n, m) >= percent * (n + m)]
+            assert license_scan.size_bounds(n, percent / 100) == (fits[0], fits[-1])
+    # 4 of 6 and 6 of 9 bigrams: a score of just 0.8
+    lines = [(1, "Code is released under the MIT License.", "mit"), (2, "This text is licensed under CC BY-NC 4.0.", "cc-by-nc-4.0")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None) for i, t, _ in lines])).collect()}
+    for i, _, name in lines:
+        assert got[i]["license"] == name and got[i]["dice"] >= 0.8
+
+
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -18,8 +18,10 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,9 +82,12 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def size_bounds(count: int, threshold: float) -> tuple[int, int]:
-    """Least and largest bigram counts that can reach ``threshold`` against ``count``."""
-    share = threshold / (2 - threshold)
-    return int(-(-count * share // 1)), int(count / share)
+    """Least and largest bigram counts that can reach ``threshold`` against ``count``.
+
+    In fractions: in doubles 0.8 / (2 - 0.8) lies above 2/3, which cuts off counts just at the threshold.
+    """
+    share = Fraction(str(threshold)) / (2 - Fraction(str(threshold)))
+    return math.ceil(count * share), math.floor(count / share)
 
 
 def _let(value, body):
@@ -198,10 +203,16 @@ def scan_licenses(
     ).select(id_col, F.col("__best.license").alias("license"), F.col("__best.dice").alias("dice"), "n_segments")
 
 
+def _sql_bounds(count: int) -> tuple[int, int]:
+    """The bounds the SQL was given with, in doubles: up to one narrower than ``size_bounds``."""
+    share = THRESHOLD / (2 - THRESHOLD)
+    return int(-(-count * share // 1)), int(count / share)
+
+
 def _sql() -> str:
     known = [(name, bigrams_of(text)) for name, text in sorted(TEMPLATES.items())]
     rows = ", ".join(
-        f"('{name}', {len(g)}, {size_bounds(len(g), THRESHOLD)[0]}, {size_bounds(len(g), THRESHOLD)[1]}, "
+        f"('{name}', {len(g)}, {_sql_bounds(len(g))[0]}, {_sql_bounds(len(g))[1]}, "
         f"[{', '.join(repr(x) for x in g)}])"
         for name, g in known
     )
@@ -214,7 +225,7 @@ segments as (
     lambda s: trim(replace(s, chr(10), ' '))))) as s from plain),
 words as (
   select doc_id, s, regexp_split_to_array(s, ' +') as w from segments
-  where length(s) - length(replace(s, ' ', '')) >= {min(size_bounds(len(g), THRESHOLD)[0] for _, g in known)}),
+  where length(s) - length(replace(s, ' ', '')) >= {min(_sql_bounds(len(g))[0] for _, g in known)}),
 grams as (
   select doc_id, s, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from words),
 templates(license, n, lo, hi, own) as (values {rows}),
