@@ -220,6 +220,42 @@ def test_license_bounds_are_exact(spark):
         assert got[i]["license"] == name and got[i]["dice"] >= 0.8
 
 
+def test_license_runs_of_words(spark):
+    """Notices across blocks or inside longer lines, against every run of words in plain Python."""
+    known = {n: set(license_scan.bigrams_of(t)) for n, t in license_scan.TEMPLATES.items()}
+    gpl = license_scan.TEMPLATES["gpl-3.0-header"].split(" This program is distributed")
+    code = "\n".join(f"let value{k} = other{k} + {k};" for k in range(40))
+    draw = random.Random(11)
+    bits = [w for t in ("mit", "bsd", "cc-by-4.0", "apache-2.0") for w in license_scan.TEMPLATES[t].split()] + ["code", "x"]
+    texts = [
+        gpl[0] + "\n\nThis program is distributed" + gpl[1] + "\n\n" + code,
+        "/*\n * " + gpl[0] + "\n *\n * This program is distributed" + gpl[1] + "\n */\n" + code,
+        "This project is released under the MIT License.",
+        "The code is released under the MIT License, see LICENSE for details.",
+        "code released under x the MIT License. " * 60,
+        "released under the " + "x " * 60 + "MIT License",
+        "This text speaks of the MIT License and of many other things that were released.",
+        *[" ".join(draw.choice(bits) for _ in range(60)) for _ in range(40)],
+    ]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        score = 0.0
+        for name, own in known.items():
+            for a, gram in enumerate(grams):
+                seen = set()
+                for gram in grams[a:] if gram in own else []:
+                    seen.add(gram)
+                    if len(seen) > 2 * len(own):
+                        break
+                    score = max(score, 2 * len(seen & own) / (len(seen) + len(own)))
+        assert got[i]["dice"] == (pytest.approx(score) if score >= 0.8 else 0.0)
+        assert (got[i]["license"] is None) == (score < 0.8) and (got[i]["n_segments"] > 0) == (score >= 0.8)
+    assert [got[i]["license"] for i in range(4)] == ["gpl-3.0-header", "gpl-3.0-header", "mit", "mit"]
+    assert 0 < sum(r["license"] is not None for r in got.values()) < len(texts)
+
+
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -9,11 +9,18 @@ before its bigrams are built, and a template whose size does not fit is never co
 least overlap that follows from the bounds also gives words of which a matching segment
 must have one; texts and segments without any are passed over.
 
+A notice may also span lines and blocks or sit inside a longer line, so runs of words of any
+place and length are compared too (``_window``), unless a segment scores 1 already. A run that
+scores best begins with a bigram of the template, and its set is a prefix of the distinct
+bigrams from there on, no longer than the bounds allow; a run that goes on to the next
+occurrence of its first bigram has the same set as one that begins later. So one pass from each
+occurrence of a template's bigrams compares every run.
+
 Runs on DataFrame functions only. Documents are scanned in place; nothing is shuffled.
 
 Defined results: one row per row of ``docs``; null, empty and one-word texts have no bigrams and
-no licence; of templates with equal score the first by name wins; other columns are
-ignored; an empty table gives no rows.
+no licence; of templates with equal score the first by name wins, of a segment and a run with
+equal score the segment; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,38 +121,101 @@ def marks(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     return sorted(found)
 
 
-def _segments(text, words: list[str]):
-    """Distinct normalised lines, blocks and the whole of a text that has one of ``words``."""
+def _any_of(tests):
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    def any_of(tests):
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    def whole_word(s):
-        return any_of([F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {w} ")) for w in words])
+def _plain(text, words: list[str]):
+    """A text that has one of ``words``, normalised; null for others."""
 
     def inside(s):
         """Cheap for long words; short ones are looked for as whole words once their letters are there."""
         short = [F.contains(s, F.lit(w)) & F.rlike(s, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])")) for w in words if len(w) < SHORT]
-        return any_of([F.contains(s, F.lit(w)) for w in words if len(w) >= SHORT] + short)
+        return _any_of([F.contains(s, F.lit(w)) for w in words if len(w) >= SHORT] + short)
+
+    return _let(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.when(inside(t), F.regexp_replace(t, "[^a-z0-9\\n]+", " ")))
+
 
-    def cut(lowered):
-        plain = F.regexp_replace(lowered, "[^a-z0-9\\n]+", " ")
-        found = _let(plain, lambda p: F.filter(split(p), lambda s: _let(s, whole_word)))
-        return F.when(inside(lowered), found).otherwise(F.array().cast("array<string>"))
+def _segments(plain, words: list[str]):
+    """Distinct lines, blocks and the whole of a normalised text, those that have one of ``words``."""
+
+    def whole_word(s):
+        return _any_of([F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.lit(f" {w} ")) for w in words])
 
     def split(plain):
         parts = F.array_union(F.array_union(F.split(plain, "\n"), F.split(plain, "\n ?(?:\n ?)+")), F.array(plain))
         return F.array_distinct(F.transform(parts, lambda p: F.trim(F.translate(p, "\n", " "))))
 
-    return _let(F.lower(F.coalesce(text, F.lit(""))), cut)
+    found = F.filter(split(plain), lambda s: _let(s, whole_word))
+    return F.when(plain.isNotNull(), found).otherwise(F.array().cast("array<string>"))
 
 
-def _bigrams(segment):
+def _sequence(segment):
+    """The bigrams of a segment in their order."""
+
     def pairs(words):
         rest = F.size(words) - 1
         return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    return F.array_distinct(_let(F.split(segment, " +"), pairs))
+    return _let(F.split(segment, " +"), pairs)
+
+
+def _bigrams(segment):
+    return F.array_distinct(_sequence(segment))
+
+
+def _best_from(b, at, own: list[str], threshold: float):
+    """The best Dice with ``own`` of a run of the bigrams ``b`` that begins at ``at``."""
+    least, most = size_bounds(len(own), threshold)
+    reach = 4 * most
+
+    def open_end(near):
+        """Distinct bigrams up to the end, looked for beyond ``reach`` only if there are too few."""
+        more = F.array_distinct(F.slice(b, at + 1, F.size(b)))
+        return _let(F.array_distinct(near), lambda d: F.when((F.size(d) < most) & (at + reach < F.size(b)), more).otherwise(d))
+
+    def distinct(near):
+        # beyond the next occurrence of the first bigram sets are those of runs from there
+        again = F.array_position(F.slice(near, 2, reach), F.get(near, F.lit(0))).cast("int")
+        return _let(again, lambda n: F.when(n > 0, F.array_distinct(F.slice(near, 1, n))).otherwise(open_end(near)))
+
+    def step(a, gram):
+        shared = a["shared"] + F.when(gram.isin(own), 1).otherwise(0)
+        dice = F.lit(2.0) * shared / (a["size"] + 1 + len(own))
+        return F.struct(shared.alias("shared"), (a["size"] + 1).alias("size"), F.greatest(a["dice"], dice).alias("dice"))
+
+    def score(grams):
+        start = F.struct(F.lit(0).alias("shared"), F.lit(0).alias("size"), F.lit(0.0).alias("dice"))
+        enough = F.size(F.filter(grams, lambda g: g.isin(own))) >= least
+        return F.when(enough, F.reduce(grams, start, step, lambda a: a["dice"])).otherwise(0.0)
+
+    return _let(F.slice(b, at + 1, reach), lambda near: _let(F.slice(distinct(near), 1, most), score))
+
+
+def _window(plain, known: list[tuple[str, list[str]]], threshold: float):
+    """dice and license of the best run of words of a normalised text, of any place and length."""
+    every = sorted(set().union(*(own for _, own in known)))
+
+    def best(b):
+        # places of bigrams of any template
+        return _let(F.array_compact(F.transform(b, lambda x, i: F.when(x.isin(every), i))), lambda places: of_templates(b, places))
+
+    def of_template(b, places, own):
+        least = size_bounds(len(own), threshold)[0]
+
+        def runs(starts):
+            # fewer than ``least`` shared bigrams are left behind the last places
+            first = F.slice(starts, 1, F.greatest(F.size(starts) - least + 1, F.lit(0)))
+            return F.reduce(first, F.lit(0.0), lambda a, i: F.when(a >= 1.0, a).otherwise(F.greatest(a, _best_from(b, i, own, threshold))))
+
+        return _let(F.filter(places, lambda i: F.get(b, i).isin(own)), runs)
+
+    def of_templates(b, places):
+        each = [F.struct(of_template(b, places, own).alias("dice"), F.lit(name).alias("license")) for name, own in known]
+        found = F.reduce(F.array(*each), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), _better)
+        return F.when(F.size(places) >= min(size_bounds(len(own), threshold)[0] for _, own in known), found)
+
+    return _let(_sequence(F.trim(F.translate(plain, "\n", " "))), best)
 
 
 def _better(a, b):
@@ -163,7 +233,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: id, license (null if none), dice, n_segments that match.
 
-    ``dice`` is the best score over segments and templates that reach ``threshold``, else 0.
+    ``dice`` is the best score over segments, runs of words and templates that reach
+    ``threshold``, else 0. A run that scores better than every segment counts as one.
     """
     known = [(name, grams) for name, text in sorted(templates.items()) if (grams := bigrams_of(text))]
     if not known:
@@ -171,12 +242,13 @@ def scan_licenses(
         return docs.select(ref(id_col).alias(id_col), nothing, F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("n_segments"))
     bounds = [size_bounds(len(grams), threshold) for _, grams in known]
     least = min(lo for lo, _ in bounds)
+    words = marks(known, threshold)
 
     def spaces(segment):
         return F.length(segment) - F.length(F.translate(segment, " ", ""))
 
     # a set holds at most as many bigrams as there are gaps; repeats only shrink it
-    sized = F.filter(_segments(ref(text_col), marks(known, threshold)), lambda s: spaces(s) >= least)
+    sized = F.filter(_segments(F.col("__plain"), words), lambda s: spaces(s) >= least)
     grams = F.transform(sized, _bigrams)
     fitting = F.filter(
         grams,
@@ -195,12 +267,20 @@ def scan_licenses(
         return F.reduce(F.array(*each), F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), _better)
 
     scored = F.filter(F.transform(fitting, scores), lambda s: s["dice"] >= threshold)
-    found = docs.select(ref(id_col).alias(id_col), scored.alias("__scored"))
+    found = docs.select(ref(id_col).alias(id_col), _plain(ref(text_col), words).alias("__plain"))
+    found = found.select(id_col, "__plain", scored.alias("__scored"))
+    best = F.reduce("__scored", F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("license")), _better)
+    found = found.select(id_col, "__plain", best.alias("__best"), F.size("__scored").cast("long").alias("__n"))
+    # nothing is better than 1
+    run = F.when(F.col("__plain").isNotNull() & (F.col("__best.dice") < 1.0), _window(F.col("__plain"), known, threshold))
+    found = found.select(id_col, "__best", "__n", run.alias("__run"))
+    better = F.coalesce((F.col("__run.dice") >= threshold) & (F.col("__run.dice") > F.col("__best.dice")), F.lit(False))
     return found.select(
         id_col,
-        F.reduce("__scored", F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("license")), _better).alias("__best"),
-        F.size("__scored").cast("long").alias("n_segments"),
-    ).select(id_col, F.col("__best.license").alias("license"), F.col("__best.dice").alias("dice"), "n_segments")
+        F.when(better, F.col("__run.license")).otherwise(F.col("__best.license")).alias("license"),
+        F.when(better, F.col("__run.dice")).otherwise(F.col("__best.dice")).alias("dice"),
+        (F.col("__n") + better.cast("long")).alias("n_segments"),
+    )
 
 
 def _sql_bounds(count: int) -> tuple[int, int]:
