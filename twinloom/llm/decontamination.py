@@ -1,17 +1,15 @@
-"""Benchmark decontamination with training suffix arrays.
-
-Every task builds a word-level suffix array over its shard of the documents and
-binary-searches the suffixes of the benchmark items in it. Words are numbered by the
-benchmark's own vocabulary. A document suffix can only matter if its first two words
-follow each other in the benchmark too, then if its first four do, and so on; the array is
-kept to the suffixes that pass (a sparse suffix array), so its size follows the overlap and
-not the shard. Searching a window of 13 item words yields the interval of all its
-occurrences; the longest verbatim match of an item suffix and its places follow from the
-neighbours of its insertion point.
-
-The benchmark is read in blocks of a bounded number of words, one pass over the documents
-for each block, so what is sent to the tasks has a fixed bound (``BLOCK_BYTES``); results
-of the blocks are united per document.
+"""Benchmark decontamination by windows of words.
+
+Words are numbered by the benchmark's own vocabulary. A document position can only matter
+if its first two words follow each other in the benchmark too, then if its first four do,
+and so on; only the positions that pass are kept, so their number follows the overlap and
+not the shard. This stands in for a suffix array of the documents, which is not built.
+Searching a window of 13 item words yields all its occurrences; longer verbatim matches are
+chained from neighbouring windows, shorter ones are not found.
+
+The benchmark is read in blocks of about ``BLOCK_BYTES``, one pass over the documents for
+each block, through the driver; a block is larger if one row is long or repeated very
+often. Results of the blocks are united per document.
 
 Defined results: null texts have no words; an item of fewer than 13 words, but not none, is
 one window; equal windows of several items count for each; items with a null id count as
