@@ -436,6 +436,34 @@ def test_near_duplicates_in_small_parts_and_blocks(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()) == expected
 
 
+def test_near_duplicates_keep_chains_of_versions(spark, monkeypatch):
+    """a and b are alike; each joins a leader of its part, which joins another leader, and those two are less alike."""
+    monkeypatch.setattr(ngram_join, "PART", 2)
+    names = [(f"class{k}".encode(),) for k in range(60)]
+    part = F.pmod(F.xxhash64("class"), F.lit(3)).alias("part")
+    by_part = collections.defaultdict(list)
+    for r in spark.createDataFrame(names, "class binary").select("class", part).collect():
+        by_part[r["part"]].append(bytes(r["class"]))
+    one, two, three = (by_part[k] for k in range(3))
+    # slots 0, 6, 12, ... are the prefixes of one value, slot 1 orders the sweep
+    free = [k for k in range(2, ngram_join._SLOTS) if k % ngram_join.DEPTH]
+    steps = [free[:22], free[22:33], free[33:44], free[44:55], free[55:66]]
+    changes = {"a": [], "la": [1], "lla": [1, 2], "b": [0], "lb": [0, 3], "llb": [0, 3, 4]}
+    place = {"lla": three[0], "llb": three[1], "la": one[0], "lb": two[0], "a": one[1], "b": two[1]}
+    classes = []
+    for turn, (name, key) in enumerate(place.items()):
+        sig = np.full(ngram_join._SLOTS, 7, np.uint16)
+        sig[1] = turn
+        for k in changes[name]:
+            sig[steps[k]] = 100 + k
+        classes.append((key, sig.tobytes()))
+    recall = 1 - 1e-12
+    assert ngram_join.prefix_length(0.8, recall) == 1
+    edges = ngram_join.candidate_edges(spark.createDataFrame(classes, "class binary, sig binary"), 0.8, recall)
+    root = {bytes(r["node"]): bytes(r["root"]) for r in components.components(edges).collect()}
+    assert root[place["a"]] == root[place["b"]]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (10, 9), (9, 8), (8, 6), (3, 1)] + [(20 + k, 21 + k) for k in range(30)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a int, b int")).collect()}

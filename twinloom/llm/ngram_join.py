@@ -10,7 +10,8 @@
    joins the first leader that its signature shows to be within ``NEAR``, else it becomes
    a leader; leaders that could still have members at the threshold are tied (triangle
    inequality of the Jaccard distance, with a margin for the signature's error). Large
-   nodes are swept in salted parts first and then leader by leader. A node gives fewer
+   nodes are swept in salted parts first and then leader by leader, with ties for classes
+   two steps from their leader. A node gives fewer
    edges than it has classes, never all pairs.
 4. Tied classes are candidates of each other. Their shingle sets are fetched once for each
    pair of bounded blocks of a candidate component, all pairs there are verified exactly,
@@ -152,9 +153,10 @@ def _tree_keys(classes: DataFrame, depth: int) -> DataFrame:
 class _Sweep:
     """Leaders of one part of a trie node, and the edges they give."""
 
-    def __init__(self, threshold: float):
+    def __init__(self, threshold: float, steps: int):
         self.near = NEAR
-        self.tied = threshold - 2 * (1 - NEAR) - MARGIN
+        # a class may lie ``steps`` joins from its leader
+        self.tied = threshold - 2 * steps * (1 - NEAR) - MARGIN
         self.names: list[bytes] = []
         self.sigs = np.zeros((64, _SLOTS), np.uint16)
         self.edges: list[tuple[bytes, bytes]] = []
@@ -179,11 +181,11 @@ class _Sweep:
         self.names.append(name)
 
 
-def _sweep(rows: DataFrame, threshold: float) -> DataFrame:
+def _sweep(rows: DataFrame, threshold: float, steps: int = 1) -> DataFrame:
     """(key, part, class, sig, parts) -> edges (a, b), and leaders (b null) of nodes in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sweep, several = None, _Sweep(threshold), False
+        at, sweep, several = None, _Sweep(threshold, steps), False
         keys, a, b, sigs = [], [], [], []
 
         def close():
@@ -209,7 +211,7 @@ def _sweep(rows: DataFrame, threshold: float) -> DataFrame:
                 if (key, part) != at:
                     if at is not None:
                         close()
-                    at, sweep, several = (key, part), _Sweep(threshold), parts > 1
+                    at, sweep, several = (key, part), _Sweep(threshold, steps), parts > 1
                 sweep.add(name, matrix[k])
             yield flush()
         if at is not None:
@@ -229,7 +231,7 @@ def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: fl
     shared = shared.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     swept = stage(_sweep(shared.join(classes.select("class", "sig"), "class"), threshold))
     leaders = swept.filter(F.col("b").isNull()).select("key", F.lit(0).alias("part"), F.col("a").alias("class"), F.lit(1).alias("parts"), "sig")
-    return swept.filter(F.col("b").isNotNull()).select("a", "b").unionByName(_sweep(leaders, threshold).select("a", "b"))
+    return swept.filter(F.col("b").isNotNull()).select("a", "b").unionByName(_sweep(leaders, threshold, steps=2).select("a", "b"))
 
 
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
