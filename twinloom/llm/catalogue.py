@@ -1,4 +1,16 @@
 """All registered document queries."""
 
-from twinloom.llm import decontamination, exact_dedup, language_id, license_scan, ngram_join, packing, quality, sharding, suffix_dedup, url_filter  # noqa: F401
+from twinloom.llm import (  # noqa: F401
+    decontamination,
+    exact_dedup,
+    importance,
+    language_id,
+    license_scan,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+    url_filter,
+)
 from twinloom.llm.registry import QUERIES, SQL  # noqa: F401
