@@ -8,6 +8,7 @@ from twinloom.llm import (  # noqa: F401
     license_scan,
     ngram_join,
     packing,
+    periodic,
     quality,
     sharding,
     suffix_dedup,
