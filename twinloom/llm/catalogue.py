@@ -5,6 +5,7 @@ from twinloom.llm import (  # noqa: F401
     exact_dedup,
     importance,
     language_id,
+    language_model,
     license_scan,
     ngram_join,
     packing,
