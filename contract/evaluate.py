@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from contract import tables as tb
 from contract.registry import query
-from contract.sqltext import uniform
+from contract.sqltext import permutation, uniform
 from contract.tables import BOTH_SQL, CLINICAL_SQL, DENSE_SQL
 from twinloom.operators import bootstrap as bs
 from twinloom.operators import evaluate as ev
 from twinloom.staging import attach, stage
 
 SYNTH = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
-DRAWS, SIZE, ROOT = 12, 90, 42
+# the synthetic side's rows for each draw and for each sampled row
+PER_DRAW, PER_ROW, ROOT = 50, 3, 42
 ZERO_SHARE = 0.6
 
 
@@ -128,18 +129,32 @@ def kl_propagate(spark, sf):
 
 
 DRAWS_SQL = f"""
-drawn as (select draw, floor(v * 10000)::bigint as seed from {uniform(f"(select unnest(range({DRAWS})) as draw)", "draw", "v", ROOT, "draw")}),
-pairs as (select draw, seed, id from drawn cross join (select distinct id from synth)),
-rolled as (select * from {uniform("pairs", "draw, seed, id", "u", bs.SAMPLE_STREAM, "seed", "id")}),
-samples as (select draw, seed, id from rolled qualify row_number() over (partition by draw order by u, id) <= {SIZE}),
+n_ids as (select count(distinct id)::bigint as n from synth),
+numbers as (select n, 2 + n // {PER_DRAW} as draws, n // {PER_ROW} as size, ceil(sqrt(n))::bigint as a from n_ids),
+drawn as (select draw, floor(v * 10000)::bigint as seed from
+  {uniform("(select unnest(range(draws)) as draw from numbers)", "draw", "v", ROOT, "draw")}),
+places as (select draw, seed, unnest(range(size)) as x, n, a, (n + a - 1) // a as b from drawn, numbers),
+walk as (
+  select draw, seed, x, n, a, b, 0 as step from places
+  union all
+  {permutation("(select * from walk where step = 0 or x >= n)", "draw, seed", bs.SAMPLE_STREAM)}),
+places_of as (select id, row_number() over (order by id) - 1 as spot from (select distinct id from synth)),
+samples as (select draw, seed, id from walk join places_of on spot = x where step > 0 and x < n),
 picked as (select s.draw, s.seed, c.feature, c.value from samples s join synth c on c.id = s.id)"""
 
 
+def _numbers(synthetic):
+    """(size, draws): both grow with the synthetic side."""
+    n = synthetic.select("id").distinct().count()
+    return n // PER_ROW, 2 + n // PER_DRAW
+
+
 def _samples(synthetic):
-    return bs.draw_samples(synthetic.select("id").distinct(), SIZE, DRAWS, ROOT)
+    size, draws = _numbers(synthetic)
+    return bs.draw_samples(synthetic.select("id").distinct(), size, draws, ROOT)
 
 
-@query("bootstrap_sample", f"with {SIDES_SQL},{DRAWS_SQL} select draw, seed, id from samples")
+@query("bootstrap_sample", f"with recursive {SIDES_SQL},{DRAWS_SQL} select draw, seed, id from samples")
 def bootstrap_sample(spark, sf):
     return _samples(sides(spark, sf)[0])
 
@@ -161,7 +176,7 @@ scored as (select draw, count(*) filter (ks_p < 0.05)::bigint as failed,
 scores as (select s.draw, d.seed, s.failed, s.ks from scored s join drawn d using (draw))"""
 
 
-@query("bootstrap_distances", f"with {SIDES_SQL},{DRAWS_SQL},{DISTANCE_SQL} select draw, feature, round(ks, 9) as ks from r_ks")
+@query("bootstrap_distances", f"with recursive {SIDES_SQL},{DRAWS_SQL},{DISTANCE_SQL} select draw, feature, round(ks, 9) as ks from r_ks")
 def bootstrap_distances(spark, sf):
     synthetic, original = sides(spark, sf)
     out = bs.replicate_distances(_samples(synthetic), synthetic, original)
@@ -177,7 +192,7 @@ def _scores(spark, sf):
     return synthetic, original, samples, scores, n
 
 
-@query("bootstrap_scores", f"with {SIDES_SQL},{DRAWS_SQL},{DISTANCE_SQL} select draw, seed, failed, round(ks, 6) as ks from scores")
+@query("bootstrap_scores", f"with recursive {SIDES_SQL},{DRAWS_SQL},{DISTANCE_SQL} select draw, seed, failed, round(ks, 6) as ks from scores")
 def bootstrap_scores(spark, sf):
     return _scores(spark, sf)[3].withColumn("ks", F.round("ks", 6))
 
@@ -217,7 +232,7 @@ def bootstrap_best(spark, sf):
 )
 def bootstrap_clinical(spark, sf):
     synthetic, _, winner = _best(spark, sf)
-    ids = bs.sample_by_seed(synthetic.select("id").distinct(), SIZE, winner.first()["seed"])
+    ids = bs.sample_by_seed(synthetic.select("id").distinct(), _numbers(synthetic)[0], winner.first()["seed"])
     return tb.clinical(spark, sf).join(ids, "id", "left_semi").select("id", "segment", "balance")
 
 
@@ -229,7 +244,7 @@ def bootstrap_clinical(spark, sf):
 )
 def bootstrap_statistics(spark, sf):
     synthetic, original, winner = _best(spark, sf)
-    ids = bs.sample_by_seed(synthetic.select("id").distinct(), SIZE, winner.first()["seed"])
+    ids = bs.sample_by_seed(synthetic.select("id").distinct(), _numbers(synthetic)[0], winner.first()["seed"])
     chosen = synthetic.join(ids, "id", "left_semi")
     out = bs.statistics(chosen, original, method="asymptotic", nan_policy="zero")
     return out.select(

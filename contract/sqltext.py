@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from twinloom.functions import counter, normal
+from twinloom.functions import permutation as keyed
 
 
 def poly(coefficients, x: str) -> str:
@@ -72,3 +73,18 @@ def norm_cdf(x: str) -> str:
 
 def name_key(name: str) -> str:
     return f"('0x' || substr(md5({name}), 1, 13))::bigint"
+
+
+def permutation(source: str, columns: str, stream: int) -> str:
+    """One walk of ``x`` below ``a * b`` through the permutation keyed by ``seed``; ``step`` goes up by one.
+
+    ``source`` has ``columns`` (with ``seed``), ``x``, ``n``, ``a``, ``b`` and ``step``.
+    """
+    held = f"{columns}, n, a, b, step"
+    sql = f"(select {held}, x // b as high, x % b as low from {source})"
+    for k in range(0, keyed.ROUNDS, 2):
+        rolled = uniform(sql, f"{held}, high, low", "u", stream + k, "seed", "low")
+        sql = f"(select {held}, (high + floor(u * a)::bigint) % a as high, low from {rolled})"
+        rolled = uniform(sql, f"{held}, high, low", "u", stream + k + 1, "seed", "high")
+        sql = f"(select {held}, high, (low + floor(u * b)::bigint) % b as low from {rolled})"
+    return f"select {columns}, high * b + low as x, n, a, b, step + 1 from {sql}"

@@ -98,3 +98,17 @@ def uniform_grid(seed: int, outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
         state.append(_np_round((first[:, None] + word(inner)[None, :]) & MASK))
     bits = (state[0] << 20) + (state[1] >> 12)
     return (bits.astype(np.float64) + 0.5) / SCALE
+
+
+def uniform_pairs(seed: int, outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Uniforms of key pairs, element by element: row by row equal to ``with_uniform``."""
+    state = []
+    for lane in range(2):
+        fold = LANES[lane][1]
+        x = lane_start(seed, lane)
+        for key in (outer, inner):
+            key = np.asarray(key, dtype=np.int64)
+            x = _np_round((x + ((key ^ (((key >> 32) & HIGH) * fold)) & MASK)) & MASK)
+        state.append(x)
+    bits = (state[0] << 20) + (state[1] >> 12)
+    return (bits.astype(np.float64) + 0.5) / SCALE

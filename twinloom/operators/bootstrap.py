@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.counter import with_uniform
 from twinloom.functions.kolmogorov import critical_distance
-from twinloom.functions.names import div
-from twinloom.operators.evaluate import kl_divergence, ks_test, pooled_counts
-from twinloom.operators.ordered import choose_smallest, running_totals
-from twinloom.staging import attach, stage, tasks
+from twinloom.functions.permutation import permuted
+from twinloom.operators.evaluate import kl_divergence, ks_test
+from twinloom.operators.ordered import running_totals
+from twinloom.staging import at_most, attach, stage, tasks
 
 ALPHA = 0.05
 SEED_RANGE = 10_000
@@ -26,6 +28,10 @@ SAMPLE_STREAM = 7_001
 # Replicates compared pairwise in one round of the final selection.
 ROUND = 1000
 FEATURE_BLOCK = 512
+# Draws of one feature that meet in one task, numbers a task unpacks and holds at a time.
+DRAW_BLOCK = 256
+SWEEP_CELLS = 1 << 22
+HELD_COUNTS = 1 << 22
 
 
 def seed_of_draw(df: DataFrame, root_seed: int) -> DataFrame:
@@ -35,48 +41,245 @@ def seed_of_draw(df: DataFrame, root_seed: int) -> DataFrame:
     ).drop("__v")
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """The distinct ids, staged, with their place 0, 1, ... in id order as ``at``."""
+    single = ids.select("id").distinct().withColumn("__one", F.lit(1).cast("bigint")).withColumn("__all", F.lit(0))
+    return stage(running_totals(single, ["__all"], "id", ["__one"]).select("id", (F.col("run___one") - 1).alias("at")))
+
+
+def _picked(places: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """(.., seed, place) -> the same rows with the id that the seed's permutation puts there."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = permuted(SAMPLE_STREAM, batch.column("seed").to_numpy(), batch.column("place").to_numpy(), n)
+            yield pa.RecordBatch.from_pydict({"draw": batch.column("draw"), "seed": batch.column("seed"), "at": at})
+
+    drawn = places.select("draw", "seed", "place").mapInArrow(walk, "draw bigint, seed bigint, at bigint")
+    return attach(drawn, index, ["at"], row_bytes=32).select("draw", "seed", "id")
+
+
 def draw_samples(ids: DataFrame, size: int, draws: int, root_seed: int) -> DataFrame:
-    """Rows (draw, seed, id): ``size`` ids without replacement for each of ``draws`` replicates."""
-    spread = ids.select("id").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))))
-    ranked = with_uniform(seed_of_draw(spread, root_seed), "u", SAMPLE_STREAM, "seed", "id")
-    return choose_smallest(ranked, ["draw"], "u", "id", size).filter("chosen").select("draw", "seed", "id")
+    """Rows (draw, seed, id): ``size`` ids without replacement for each of ``draws`` replicates.
+
+    A draw takes the ids at the first ``size`` places of a permutation keyed by its seed, so
+    only chosen ids are made; ``size`` beyond the number of ids takes all.
+    """
+    index = numbered(ids)
+    n = at_most(index)
+    size = min(size, n)
+    places = ids.sparkSession.range(draws * size).select(
+        F.floor(F.col("id") / max(size, 1)).alias("draw"), (F.col("id") % max(size, 1)).alias("place")
+    )
+    return _picked(seed_of_draw(places, root_seed), index, n)
 
 
 def sample_by_seed(ids: DataFrame, size: int, seed: int) -> DataFrame:
     """The ids that ``draw_samples`` picks for one seed."""
-    keyed = ids.select("id").withColumn("seed", F.lit(seed).cast("bigint"))
-    ranked = with_uniform(keyed, "u", SAMPLE_STREAM, "seed", "id")
-    return choose_smallest(ranked, [], "u", "id", size).filter("chosen").select("id")
+    index = numbered(ids)
+    n = at_most(index)
+    places = ids.sparkSession.range(min(size, n)).select(
+        F.lit(0).cast("bigint").alias("draw"), F.lit(seed).cast("bigint").alias("seed"), F.col("id").alias("place")
+    )
+    return _picked(places, index, n).select("id")
+
+
+def memberships(samples: DataFrame, draws: int) -> DataFrame:
+    """One row per sampled id, with a bit per draw that holds it as ``draws``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held")
+            bits = np.zeros((batch.num_rows, draws), bool)
+            bits[np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy())), held.flatten().to_numpy()] = True
+            packed = [row.tobytes() for row in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "draws": pa.array(packed, pa.binary())})
+
+    lists = samples.groupBy("id").agg(F.collect_list(F.col("draw").cast("int")).alias("held"))
+    return lists.mapInArrow(pack, f"id {samples.schema['id'].dataType.simpleString()}, draws binary")
+
+
+def _member_counts(cells: DataFrame, draws: int) -> DataFrame:
+    """(feature, draws) -> per feature the number of its cells in each draw, as 64-bit numbers."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for feature, _, bits in _by_feature(batch, draws):
+                sums[feature] = sums.get(feature, 0) + bits.sum(0, dtype=np.int64)
+            if len(sums) * draws > HELD_COUNTS:
+                yield _vectors(sums)
+                sums = {}
+        if sums:
+            yield _vectors(sums)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            for feature, part in zip(batch.column("feature").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(part, np.int64)
+                if feature == current:
+                    held = held + part
+                    continue
+                if current is not None:
+                    yield _vectors({current: held})
+                current, held = feature, part
+        if current is not None:
+            yield _vectors({current: held})
+
+    shape = "feature string, counts binary"
+    parts = cells.select("feature", "draws").mapInArrow(add, shape)
+    return parts.repartition(tasks(cells.sparkSession), "feature").sortWithinPartitions("feature").mapInArrow(total, shape)
+
+
+def _vectors(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"feature": list(sums), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+
+def _bits(column: pa.Array, draws: int) -> np.ndarray:
+    """One row of draws per entry; null entries belong to none."""
+    width = -(-draws // 8)
+    flat = np.frombuffer(b"".join(b or bytes(width) for b in column.to_pylist()), np.uint8)
+    return np.unpackbits(flat.reshape(-1, width), axis=1, count=draws)
+
+
+def _by_feature(batch: pa.RecordBatch, draws: int, step: int | None = None) -> Iterator[tuple[str, slice, np.ndarray]]:
+    """Stretches of rows of one feature, with the draws that hold each row; ``step`` rows at most."""
+    names = batch.column("feature").to_numpy(zero_copy_only=False)
+    step = step or max(64, SWEEP_CELLS // max(draws, 1))
+    edges = np.flatnonzero(np.r_[True, names[1:] != names[:-1], True]) if len(names) else []
+    for low, high in zip(edges[:-1], edges[1:]):
+        for start in range(low, high, step):
+            rows = slice(start, min(start + step, high))
+            yield names[start], rows, _bits(batch.column("draws")[rows.start : rows.stop], draws)
+
+
+_SWEPT = "feature string, block int, task int, first double, last double, counts binary, others bigint, low binary, high binary, end binary"
+
+
+class _Sweep:
+    """Running gaps of one feature within one range of values, one column per draw."""
+
+    def __init__(self, feature: str, sizes: np.ndarray, others: int, first: float):
+        self.feature, self.sizes, self.others = feature, np.maximum(sizes, 1), max(others, 1)
+        self.counts = np.zeros(len(sizes), np.int64)
+        self.seen = 0
+        self.low, self.high = np.full(len(sizes), np.inf), np.full(len(sizes), -np.inf)
+        self.first = self.last = first
+
+    def gap(self, counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        return counts / self.sizes - (seen / self.others)
+
+    def add(self, values: np.ndarray, bits: np.ndarray, weights: np.ndarray) -> None:
+        """Rows in order of value. The last value stays open: it may go on, even in the next range."""
+        if values[0] != self.last:
+            self.note(self.gap(self.counts, np.int64(self.seen))[None])
+        counts = self.counts + np.cumsum(bits, axis=0, dtype=np.int64)
+        seen = self.seen + np.cumsum(weights)
+        ends = np.flatnonzero(values[1:] != values[:-1])
+        if len(ends):
+            self.note(self.gap(counts[ends], seen[ends, None]))
+        self.counts, self.seen, self.last = counts[-1], int(seen[-1]), values[-1]
+
+    def note(self, gaps: np.ndarray) -> None:
+        self.low = np.minimum(self.low, gaps.min(0))
+        self.high = np.maximum(self.high, gaps.max(0))
+
+    def rows(self, task: int) -> list[dict]:
+        end = self.gap(self.counts, np.int64(self.seen))
+        return [
+            {
+                "feature": self.feature, "block": k, "task": task, "first": self.first, "last": self.last, "others": self.seen,
+                "counts": self.counts[at].tobytes(), "low": self.low[at].tobytes(), "high": self.high[at].tobytes(), "end": end[at].tobytes(),
+            }
+            for k, at in enumerate(np.split(np.arange(len(self.counts)), range(DRAW_BLOCK, len(self.counts), DRAW_BLOCK)))
+        ]
+
+
+def _joined_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The largest gap of each draw of one feature and block, from its ranges in order."""
+    pdf = pdf.sort_values("task")
+    counts = np.stack([np.frombuffer(x, np.int64) for x in pdf["counts"]])
+    sizes = counts.sum(0)
+    others = int(pdf["others"].sum())
+    low, high, end = (np.stack([np.frombuffer(x, np.float64) for x in pdf[c]]) for c in ("low", "high", "end"))
+    before = (np.cumsum(counts, axis=0) - counts) / np.maximum(sizes, 1)
+    before -= ((pdf["others"].cumsum() - pdf["others"]).to_numpy() / max(others, 1))[:, None]
+    # a range's last value is complete unless the next range begins with it
+    open_ = np.r_[pdf["first"].to_numpy()[1:] == pdf["last"].to_numpy()[:-1], False]
+    gaps = np.maximum(np.abs(before + high), np.abs(before + low))
+    gaps[np.isinf(high)] = 0.0
+    gaps = np.maximum(gaps, np.where(open_[:, None], 0.0, np.abs(before + end)))
+    draw = np.arange(len(sizes)) + int(pdf["block"].iloc[0]) * DRAW_BLOCK
+    out = pd.DataFrame({"draw": draw, "feature": pdf["feature"].iloc[0], "n1": sizes, "n2": others, "ks": gaps.max(0)})
+    return out[(out["n1"] > 0) & (others > 0)]
 
 
 def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: DataFrame) -> DataFrame:
-    """KS distance for every (draw, feature).
+    """KS distance for every (draw, feature): draw, feature, n1, n2, ks.
+
+    Every synthetic cell carries one bit per draw. Cells and the counted original values are
+    shuffled once, into sampled ranges of (feature, value, id), so equal values may be cut
+    anywhere. A range is read in order with one running count per draw; it hands on its
+    counts and the least and largest gap of each draw between its own running shares. The
+    counts before a range shift those gaps evenly, so the few rows per (feature, range) hold all that
+    the largest gap needs.
 
-    The original distribution is evaluated once at every synthetic value, from the left
-    and from the right. A replicate then needs only its own running counts: between two
-    of its points its distribution is flat, so the largest gap lies at one of them.
+    Draws are numbered from 0. A feature whose cells are absent or null for some sampled ids
+    takes its sample sizes along as one vector per cell.
     """
-    pooled = running_totals(pooled_counts(synthetic, original, ["feature"]), ["feature"], "value", ["in_original"])
-    lookup = pooled.filter((F.col("in_sample") > 0) & (F.col("all_in_original") > 0)).select(
-        "feature",
-        "value",
-        F.col("all_in_original").alias("n2"),
-        div(F.col("run_in_original"), F.col("all_in_original")).alias("right"),
-        div(F.col("run_in_original") - F.col("in_original"), F.col("all_in_original")).alias("left"),
-    )
-    counts = (
-        samples.select("draw", "id")
-        .join(synthetic.filter(F.col("value").isNotNull()), "id")
-        .groupBy("draw", "feature", "value")
-        .agg(F.count("*").alias("hits"))
-        .join(lookup, ["feature", "value"])
+    seen = samples.agg(F.max("draw").alias("last"), F.count("*").alias("n")).first()
+    if not seen["n"]:
+        return samples.sparkSession.createDataFrame([], "draw bigint, feature string, n1 bigint, n2 bigint, ks double")
+    draws = int(seen["last"]) + 1
+    members = stage(memberships(samples, draws))
+    known = synthetic.filter(F.col("value").isNotNull()).select("id", "feature", "value")
+    held = attach(known, members, ["id"], row_bytes=32 + draws // 8)
+    whole = np.zeros(draws, np.int64)
+    for r in samples.groupBy("draw").count().collect():  # one number per draw
+        whole[r["draw"]] = r["count"]
+    usual = whole.tobytes()
+    counts = _member_counts(held, draws).withColumn("counts", F.when(F.col("counts") != F.lit(usual), F.col("counts")))
+    others = original.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.count("*").alias("others"))
+    sizes = stage(counts.join(others, "feature"))
+    at = F.col("id").cast("bigint")
+    cells = held.select("feature", "value", at.alias("at"), "draws", F.lit(0).cast("bigint").alias("weight")).unionByName(
+        original.filter(F.col("value").isNotNull())
+        .groupBy("feature", "value")
+        .agg(F.count("*").alias("weight"))
+        .select("feature", "value", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("binary").alias("draws"), "weight")
     )
-    run = running_totals(counts, ["draw", "feature"], "value", ["hits"])
-    at = F.abs(F.col("run_hits") / F.col("all_hits") - F.col("right"))
-    before = F.abs((F.col("run_hits") - F.col("hits")) / F.col("all_hits") - F.col("left"))
-    return run.groupBy("draw", "feature").agg(
-        F.max("all_hits").alias("n1"), F.max("n2").alias("n2"), F.max(F.greatest(at, before)).alias("ks")
+    cells = attach(cells, sizes, ["feature"], row_bytes=64 + 8 * draws)
+    order = [F.col("feature"), F.col("value"), F.col("at")]
+    spread = cells.repartitionByRange(tasks(samples.sparkSession), *order).sortWithinPartitions(*order)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        now: _Sweep | None = None
+        done: list[dict] = []
+        for batch in batches:
+            values = batch.column("value").to_numpy(zero_copy_only=False)
+            weights = batch.column("weight").to_numpy(zero_copy_only=False)
+            for feature, rows, bits in _by_feature(batch, draws):
+                if now is None or now.feature != feature:
+                    done += now.rows(task) if now else []
+                    own = batch.column("counts")[rows.start].as_py()
+                    total = batch.column("others")[rows.start].as_py()
+                    now = _Sweep(feature, whole if own is None else np.frombuffer(own, np.int64), total, values[rows.start])
+                now.add(values[rows], bits, weights[rows])
+            if len(done) * draws > HELD_COUNTS:
+                yield pa.RecordBatch.from_pylist(done, shape)
+                done = []
+        done += now.rows(task) if now else []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, shape)
+
+    shape = pa.schema(
+        [("feature", pa.string()), ("block", pa.int32()), ("task", pa.int32()), ("first", pa.float64()), ("last", pa.float64())]
+        + [("counts", pa.binary()), ("others", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("end", pa.binary())]
     )
+    ranges = spread.mapInArrow(sweep, _SWEPT).repartition(tasks(samples.sparkSession), "feature", "block")
+    return ranges.groupBy("feature", "block").applyInPandas(_joined_ranges, "draw bigint, feature string, n1 bigint, n2 bigint, ks double")
 
 
 def replicate_scores(distances: DataFrame, n_features: int, root_seed: int, method: str = "auto") -> DataFrame:
