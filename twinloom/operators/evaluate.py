@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.kolmogorov import with_p_value
 from twinloom.functions.names import div
-from twinloom.operators.kernels import kernel_sums
+from twinloom.operators.kernels import kernel_arrays
 from twinloom.operators.ordered import running_totals
 from twinloom.staging import attach, stage
 
@@ -78,9 +80,21 @@ def _side_stats(cells: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     )
 
 
-def _divergence(p: Column, q: Column, nan_policy: str) -> Column:
-    term = F.when(p > 0, p * F.ln(div(p, q))).otherwise(F.lit(float("nan") if nan_policy == "propagate" else 0.0))
-    return F.sum(F.when(q > 0, term).otherwise(F.lit(0.0)))
+def _divergences(rows: DataFrame, keys: Sequence[str], nan_policy: str) -> DataFrame:
+    """(keys, p, q, n_o, n_s) with kernel sums ``p`` and ``q`` as arrays -> (keys, kl_divergence)."""
+    lost = float("nan") if nan_policy == "propagate" else 0.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                p = np.frombuffer(b"".join(batch["p"])).reshape(len(batch), -1) / batch["n_o"].to_numpy()[:, None]
+                q = np.frombuffer(b"".join(batch["q"])).reshape(len(batch), -1) / batch["n_s"].to_numpy()[:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    term = np.where(q > 0, np.where(p > 0, p * np.log(p / q), lost), 0.0)
+                yield batch[list(keys)].assign(kl_divergence=term.sum(1))
+
+    fields = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    return rows.select(*keys, "p", "q", "n_o", "n_s").mapInPandas(run, ", ".join([*fields, "kl_divergence double"]))
 
 
 def kl_divergence(
@@ -109,20 +123,15 @@ def kl_divergence(
     grids = stage(both)
     usable = grids.filter((F.col("h_s") > 0) & (F.col("h_o") > 0))
     sample_grids = usable.withColumnRenamed("h_s", "bandwidth")
-    q = kernel_sums(weighted_values(sample, keys), sample_grids, keys, points).select(
-        *keys, "point", F.col("total").alias("q")
-    )
+    q = kernel_arrays(weighted_values(sample, keys), sample_grids, keys, points).withColumnRenamed("sums", "q")
     original_grids = usable.select("feature", "first", "last", F.col("h_o").alias("bandwidth")).distinct()
     numbered = stage(
         original_grids.withColumn("grid", F.xxhash64("first", "last"))
     )
-    p = kernel_sums(
+    p = kernel_arrays(
         weighted_values(original, ["feature"]), numbered, ["feature", "grid"], points, on=["feature"]
-    ).select("feature", "grid", "point", F.col("total").alias("p"))
+    ).withColumnRenamed("sums", "p")
     sizes = grids.withColumn("grid", F.xxhash64("first", "last")).select(*keys, "grid", "n_s", "n_o")
-    placed = attach(q, sizes, keys, row_bytes=64)
-    joined = placed.join(p, ["feature", "grid", "point"])
-    sums = joined.groupBy(*keys).agg(
-        _divergence(F.col("p") / F.col("n_o"), F.col("q") / F.col("n_s"), nan_policy).alias("kl_divergence")
-    )
-    return grids.select(*keys).join(sums, keys, "left")
+    # one row per replicate and feature, its grid points as an array
+    joined = attach(q, sizes, keys, row_bytes=64).join(p, ["feature", "grid"])
+    return grids.select(*keys).join(_divergences(joined, keys, nan_policy), keys, "left")
