@@ -13,9 +13,9 @@ averaged, weighted by their tokens, after each of the ``ROUNDS`` parts of the co
 because later parts start from better parameters. Since the two context vectors add up,
 the normalisers of all pairs of units are one product of two matrices of exponentials.
 
-Word counts are grouped over all training texts. The ``FREQUENT`` most frequent words travel
-to the tasks as one table, so no word that is left can be hot; the others' counts are
-joined by the word itself. What is collected: that table, class totals and the parameters,
+Word counts are grouped over all training texts. Words that are more than one in ``FREQUENT``
+tokens, which can't be more than so many, travel to the tasks as one table, and no word that is
+left can be hot; the others' counts are joined by the word itself. What is collected: that table, class totals and the parameters,
 all of stated size.
 
 Defined results: null and empty texts are one end; null identifiers are not held out;
@@ -44,7 +44,8 @@ from twinloom.llm.shared import pieces, stage, tasks
 OWN = 768
 CLASSES = 256
 UNITS = OWN + CLASSES
-FREQUENT = 1 << 16
+#: Words with at least this part of all tokens are frequent, so there are at most as many.
+FREQUENT = 1 << 19
 SUFFIX = 3
 WIDTH = 32
 NOISE = 64
@@ -133,17 +134,19 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From the staged ``word_counts`` and the number of training texts."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    found = [bytes(r["word"]) for r in top]
-    number = np.array([r["n"] for r in top], np.int64)
+    tokens = total["n"] or 0
+    top = counts.filter(F.col("n") * F.lit(FREQUENT) > F.lit(tokens)).toArrow()  # at most FREQUENT words
+    rows = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda r: (-r[0], r[1]))
+    found = [word for _, word in rows]
+    number = np.array([n for n, _ in rows], np.int64)
     part = F.crc32(F.substring("word", -SUFFIX, SUFFIX)) % CLASSES
-    tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    held, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        tokens[r["part"]], kinds[r["part"]] = r["n"], r["kinds"]
+        held[r["part"]], kinds[r["part"]] = r["n"], r["kinds"]
     for word, n in zip(found[: OWN - 1], number):  # words of their own leave their class
-        tokens[class_of(word) - OWN] -= n
+        held[class_of(word) - OWN] -= n
         kinds[class_of(word) - OWN] -= 1
-    return Vocabulary(found, number, ends, (total["n"] or 0) + ends, total["kinds"] + (ends > 0), tokens, kinds)
+    return Vocabulary(found, number, ends, tokens + ends, total["kinds"] + (ends > 0), held, kinds)
 
 
 def tokenised(docs: DataFrame, known: Vocabulary) -> DataFrame:
@@ -151,7 +154,7 @@ def tokenised(docs: DataFrame, known: Vocabulary) -> DataFrame:
 
     Sums are over the frequent words and the end; the rare words of a text are listed.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(known)  # ``FREQUENT`` words
+    spread = docs.sparkSession.sparkContext.broadcast(known)  # at most ``FREQUENT`` words
     kind = docs.schema["id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
