@@ -123,12 +123,13 @@ class Vocabulary:
         return np.where(unit < OWN, 0.0, inner)
 
     def frequencies(self) -> np.ndarray:
-        """Smoothed share of each unit among the training tokens."""
+        """Smoothed share of each unit among the training tokens; next to nothing for numbers without a word."""
         own = np.zeros(UNITS)
-        own[END] = self.ends
-        own[1 : min(OWN, len(self.words) + 1)] = self.counts[: OWN - 1]
-        own[OWN:] = self.class_tokens
-        return (own + 1) / (own.sum() + UNITS)
+        used = min(OWN, len(self.words) + 1)
+        own[END] = self.ends + 1
+        own[1:used] = self.counts[: OWN - 1] + 1
+        own[OWN:] = self.class_tokens + 1
+        return np.maximum(own / own.sum(), 1e-30)
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -292,7 +293,7 @@ class Trainer:
         self._move("places", slice(None), places)
         self.tokens += len(token)
 
-    def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def visit(self, token: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         order = self.random.permutation(len(token))
         for k in range(0, len(order), BATCH):
             at = order[k : k + BATCH]
@@ -313,10 +314,10 @@ def _trained(rows: DataFrame, flat: np.ndarray, past: np.ndarray, frequencies: n
                 held.append(units)
                 size += len(units) // 2
                 if size >= POOL:
-                    trainer.learn(*examples(held)[:3])
+                    trainer.visit(*examples(held)[:3])
                     held, size = [], 0
         if held:
-            trainer.learn(*examples(held)[:3])
+            trainer.visit(*examples(held)[:3])
         if trainer is not None:
             weight = float(trainer.tokens)
             both = np.stack([trainer.model.flat, trainer.past.flat]).reshape(2, BLOCKS, -1).transpose(1, 0, 2)
@@ -369,12 +370,8 @@ def scorer(model: Model) -> Callable[[list[bytes]], np.ndarray]:
     return score
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: Callable[[Column], Column] = trained_on) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Scores are log10 probabilities of whole texts; ``base_score`` is that of smoothed word
-    frequencies. ``learn_from`` turns the identifier into the rows to learn from.
-    """
+def learn(docs: DataFrame, id_col: str, text_col: str, learn_from: Callable[[Column], Column] = trained_on) -> tuple[DataFrame, DataFrame, Vocabulary, Model]:
+    """The tokenised texts and the word counts, both staged, the vocabulary and the trained model."""
     rows = docs.select(
         ref(id_col).alias("id"), ref(text_col).alias("text"), learn_from(ref(id_col)).alias("trained"), F.monotonically_increasing_id().alias("at")
     )
@@ -382,7 +379,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = stage(word_counts(learned.select("text")))
     known = vocabulary(counts, learned.count())
     read = stage(tokenised(rows, known))
-    model = train(read, known)
+    return read, counts, known, train(read, known)
+
+
+def judged(read: DataFrame, counts: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
+    """Id, held_out, n_tokens, n_known, train_tokens, base_score and score of tokenised texts."""
     flat = model.flat
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +408,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.col("n") * F.log10(c / own)).alias("s"),
     )
     return scored.join(missing, "at", "left").select(
-        F.col("id").alias(id_col),
+        "id",
         (~F.col("trained")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
@@ -417,6 +418,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: Callable[[Column], Column] = trained_on) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Scores are log10 probabilities of whole texts; ``base_score`` is that of smoothed word
+    frequencies. ``learn_from`` turns the identifier into the rows to learn from.
+    """
+    return judged(*learn(docs, id_col, text_col, learn_from)).withColumnRenamed("id", id_col)
+
+
 @query("op13_lm_scoring")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))

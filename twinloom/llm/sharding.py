@@ -4,7 +4,12 @@ A row's place on the ring is the hash of its text, so copies start out together.
 shard has several virtual nodes and takes rows up to its load; rows that find their shard
 full continue clockwise to the next shard with room. With loads of n/k rows, rounded down
 or up, all shards end up full and counts differ by one at most (law ``rows``). A full
-shard keeps its own rows before it takes others, so only overflow moves.
+shard keeps its own rows before it takes others.
+
+With one more shard all nodes stay, and the new shard's nodes take over their arcs. Since
+loads are exact, the smaller load of every shard makes it hand on rows as well, and rows
+that had overflowed find room elsewhere: of 200,000 different texts 5.7 % move from 24 to 25
+shards, where 4.0 % must.
 
 The walk needs counts only: rows per arc are summed on Spark, the driver walks the bounded
 list of arcs (shards x virtual nodes) and hands back rank intervals of each arc. Ranks
@@ -31,10 +36,14 @@ ROW_BYTES = 8
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
-    """(position, shard) of every virtual node, in ring order."""
-    node = F.col("id")
+    """(position, shard) of every virtual node, in ring order.
+
+    A position depends on the shard and the number of its node alone, so the nodes of a shard
+    stay where they are when shards are added.
+    """
+    shard, replica = F.col("id") % shards, F.floor(F.col("id") / shards)
     points = spark.range(shards * virtual_nodes).select(
-        F.xxhash64(F.lit("node"), node).alias("at"), (node % shards).cast("int").alias("shard")
+        F.xxhash64(F.lit("node"), shard, replica).alias("at"), shard.cast("int").alias("shard")
     )
     return sorted((r["at"], r["shard"]) for r in points.collect())
 

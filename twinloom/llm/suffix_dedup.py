@@ -276,7 +276,10 @@ def covered(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (bytes)."""
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (bytes), kept_text.
+
+    Removal may cut a character; ``kept_text`` shows the replacement character there.
+    """
     text = F.coalesce(ref(text_col), F.lit(""))
     rows = docs.select(ref(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("thash"))
     found = _repeats(rows).withColumnRenamed("thash", "fthash")
@@ -284,7 +287,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
+            out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "kept_text")}
             for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
                 gone = covered(spans or [], len(text))
                 ends = [0, *[x for span in gone for x in span], len(text)]
@@ -295,12 +298,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["spans"].append([{"lo": a, "hi": b} for a, b in gone])
                 out["kept"].append(kept)
+                out["kept_text"].append(kept.decode(errors="replace"))
             columns = {"id": batch.column("id"), **{n: pa.array(v, pa.int64()) for n, v in list(out.items())[:3]}}
-            columns |= {"kept_sha256": pa.array(out["kept_sha256"]), "spans": pa.array(out["spans"], _SPANS), "kept": pa.array(out["kept"], pa.binary())}
+            columns |= {"kept_sha256": pa.array(out["kept_sha256"]), "spans": pa.array(out["spans"], _SPANS), "kept": pa.array(out["kept"], pa.binary()), "kept_text": pa.array(out["kept_text"], pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>, kept binary"
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo: long, hi: long>>, kept binary, kept_text string"
     return joined.mapInArrow(remove, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
