@@ -195,6 +195,45 @@ def constraint_roundtrip(spark, sf):
     return closed.select("id", "low", F.round("opened", 6).alias("opened"), "high")
 
 
+# least, greatest even-numbered and greatest order, and the sum of least and greatest: rules that share columns
+CHAIN = [cp.Inequality("most", "total", strict=True), cp.Inequality("least", "even", strict=False), cp.Inequality("even", "most", strict=False), cp.Inequality("least", "most", strict=False)]
+CHAIN_SQL = """
+spent as (select o_custkey as id, min(o_totalprice) as least, max(o_totalprice) filter (o_orderkey % 2 = 0) as even,
+    max(o_totalprice) as most, max(o_totalprice) + min(o_totalprice) as total from orders group by 1),
+whole as (select *, row_number() over (order by id) as k from spent where even is not null)"""
+
+
+@query(
+    "constraint_chain",
+    f"""with {CHAIN_SQL.lstrip()},
+    drawn as (select a.id, a.least, b.even - b.least as d1, c.most - greatest(c.even, c.least) as d2, d.total - d.most as d3
+      from whole a join whole b on b.k = a.k + 1 join whole c on c.k = a.k + 2 join whole d on d.k = a.k + 3),
+    first as (select *, floor((least + d1) * 100 + 0.5::double) / 100 as even from drawn),
+    second as (select *, floor((even + d2) * 100 + 0.5::double) / 100 as most from first),
+    third as (select *, floor((most + d3) * 100 + 0.5::double) / 100 as total from second)
+    select id, least, greatest(even, least) as even, greatest(most, even) as most,
+      greatest(total, most + 0.01) as total, 0 as broken from third""",
+)
+def constraint_chain(spark, sf):
+    """Columns of different rows are put together, as independent draws would be, and closed."""
+    even = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))
+    spent = tb.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.min("o_totalprice").alias("least"),
+        F.max(even).alias("even"),
+        F.max("o_totalprice").alias("most"),
+        (F.max("o_totalprice") + F.min("o_totalprice")).alias("total"),
+    )
+    one = spent.filter("even is not null").withColumn("one", F.lit(1).cast("bigint")).withColumn("all", F.lit(0))
+    rows = stage(cp.running_totals(one, ["all"], "id", ["one"]).withColumnRenamed("run_one", "k"))
+    opened = stage(cp.open_constraints(rows, CHAIN))
+    drawn = opened.select("id", "least", "k")
+    for shift, column in ((1, "even"), (2, "most"), (3, "total")):
+        drawn = drawn.join(opened.select((F.col("k") - shift).alias("k"), column), "k")
+    closed = cp.close_constraints(drawn, CHAIN, 2)
+    broken = sum((F.when(~r.holds(), 1).otherwise(0) for r in CHAIN), F.lit(0))
+    return closed.select("id", "least", "even", "most", "total", broken.alias("broken"))
+
+
 CATEGORY_SQL = f"""{CLINICAL_SQL},
 long_ as (select id, 'segment' as feature, segment as level from clinical union all select id, 'nation', nation::varchar from clinical),
 hits as (select feature, level, count(*) as h from long_ group by 1, 2),

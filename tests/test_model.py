@@ -287,6 +287,46 @@ def test_constraint(spark):
 
 
 
+CHAINS = [
+    [("a", "b"), ("b", "c")],
+    [("b", "c"), ("a", "b")],
+    [("a", "c"), ("b", "c")],
+    [("a", "b"), ("a", "c"), ("c", "d"), ("b", "d")],
+]
+
+
+@pytest.mark.parametrize("pairs", CHAINS)
+@pytest.mark.parametrize("strict", [True, False])
+def test_chained_rules_hold_after_independent_draws(spark, pairs, strict):
+    rules = [copula.Inequality(a, b, strict) for a, b in pairs]
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 50, (300, 4)) + np.cumsum(rng.integers(1, 40, (300, 4)), axis=1) * 50
+    if pairs == CHAINS[2]:
+        low[:, 1] = rng.integers(0, 100, 300)
+    rows = [(k, float(a) / 7, float(b), float(c) / 10, float(d)) for k, (a, b, c, d) in enumerate(np.sort(low, axis=1).tolist())]
+    rows = [(k, a, max(b, a + 1), max(c, b, a) + 101, max(d, c, b, a) + 202) for k, a, b, c, d in rows]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double")
+    df = df.withColumn("b", F.ceil("b").cast("double")).withColumn("d", F.ceil("d").cast("double"))
+    broken = lambda t: [r for r in rules if t.filter(~r.holds()).count()]
+    assert not broken(df)
+    digits = {"b": 0, "c": 1, "d": 0}
+    opened = copula.open_constraints(df, rules).orderBy("id").toPandas()
+    same = copula.close_constraints(spark.createDataFrame(opened), rules, 9).orderBy("id").toPandas()
+    assert np.allclose(same, df.orderBy("id").toPandas(), rtol=1e-9, atol=1e-8)
+    for column in "abcd":  # each column from rows of its own
+        opened[column] = rng.permutation(opened[column].to_numpy()) if column != "a" else opened[column]
+    closed = copula.close_constraints(spark.createDataFrame(opened), rules, digits)
+    assert not broken(closed)
+    assert closed.filter(F.col("b") != F.floor("b")).count() == 0
+
+
+def test_rules_in_a_circle_are_an_error():
+    circle = [copula.Inequality("a", "b"), copula.Inequality("b", "c"), copula.Inequality("c", "a")]
+    with pytest.raises(ValueError, match="circle"):
+        copula.ordered_rules(circle)
+    with pytest.raises(ValueError, match="circle"):
+        copula.ordered_rules([copula.Inequality("a", "a")])
+
 
 def test_heavy_tails_are_fitted(spark):
     rng = np.random.default_rng(12)

@@ -193,3 +193,16 @@ def test_cohort_assembly(spark, tmp_path):
     tables.write_cohorts(parts, {"rain": inside, "none": outside}, str(tmp_path / "out"))
     assert tables.read_table(spark, str(tmp_path / "out" / "none_features")).count() == 6
     assert tables.read_table(spark, str(tmp_path / "out" / "wind_clinical")).columns == ["id"]
+
+
+def test_distinct_values_are_counted_exactly(spark):
+    rows = [(k, k % 3, k % 10 if k < 900 else (10 if k == 950 and k % 3 == 2 else 0), float(k % 2) * -0.0, None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, part int, x int, z double, none int").repartition(5)
+    whole = prep.few_distinct(df.withColumn("g", F.lit("all")), ["x", "z", "none", "id"], ["g"], ["dx", "dz", "dn", "di"]).first()
+    assert tuple(whole) == ("all", 11, 1, 0, 11)
+    parts = {r["part"]: r["dx"] for r in prep.few_distinct(df, ["x"], ["part"], ["dx"]).collect()}
+    assert parts == {0: 10, 1: 10, 2: 11}
+    roles = {r["part"]: r["role"] for r in prep.infer_roles(df.select("id", "part", "x"), "id", by=["part"]).filter("column = 'x'").collect()}
+    assert roles == {0: "categorical", 1: "categorical", 2: "numerical"}
+    empty = prep.infer_roles(df.select("id", "x").limit(0), "id").collect()
+    assert empty == []

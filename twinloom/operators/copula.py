@@ -80,22 +80,72 @@ def count_violations(df: DataFrame, rule: Inequality) -> DataFrame:
     return df.agg(F.count_if(known).alias("checked"), F.count_if(known & ~rule.holds()).alias("violations"))
 
 
-def open_constraint(df: DataFrame, rule: Inequality) -> DataFrame:
-    """Replace ``high`` by ln(high - low + 1), which any positive draw satisfies."""
-    return df.withColumn(rule.high, F.ln(ref(rule.high) - ref(rule.low) + F.lit(1.0)))
+def ordered_rules(rules: Sequence[Inequality]) -> list[tuple[str, list[Inequality]]]:
+    """Each upper column with its rules, after all columns that bound it from below.
 
+    Rules may share columns in any way but a circle.
+    """
+    above: dict[str, list[Inequality]] = {}
+    for rule in rules:
+        above.setdefault(rule.high, []).append(rule)
+    out: list[tuple[str, list[Inequality]]] = []
+    done: set[str] = set()
+    while len(out) < len(above):
+        ready = [c for c, own in above.items() if c not in done and not any(r.low in above and r.low not in done for r in own)]
+        if not ready:
+            left = ", ".join(sorted(c for c in above if c not in done))
+            raise ValueError(f"rules go round in a circle through {left}")
+        out += [(c, above[c]) for c in ready]
+        done.update(ready)
+    return out
 
-def close_constraint(df: DataFrame, rule: Inequality, digits: int = MAX_DIGITS) -> DataFrame:
-    """Inverse of ``open_constraint``; rounding never undoes the rule.
 
-    Where the rule is strict, ``high`` exceeds ``low`` by a unit of the last decimal at
-    least, or by the next larger double where that is more.
+def _lower(rules: Sequence[Inequality]) -> Column:
+    bounds = [ref(r.low) for r in rules]
+    return F.greatest(*bounds) if len(bounds) > 1 else bounds[0]
+
+
+def open_constraints(df: DataFrame, rules: Sequence[Inequality]) -> DataFrame:
+    """Replace every upper column by ln(high - greatest lower column + 1), which any draw from 0 on satisfies.
+
+    All differences are taken between original values.
     """
-    scale = 10.0**digits
-    high = ref(rule.low) + F.greatest(F.exp(ref(rule.high)) - F.lit(1.0), F.lit(0.0))
-    step = F.greatest(F.lit(1.0 / scale), F.abs(ref(rule.low)) * F.lit(2.0**-52))
-    floor = ref(rule.low) + (step if rule.strict else F.lit(0.0))
-    return df.withColumn(rule.high, F.greatest(round_half_up(high, F.lit(scale)), floor))
+    return df.withColumns({c: F.ln(ref(c) - _lower(own) + F.lit(1.0)) for c, own in ordered_rules(rules)})
+
+
+def close_constraints(df: DataFrame, rules: Sequence[Inequality], digits: dict[str, int] | int = MAX_DIGITS) -> DataFrame:
+    """Inverse of ``open_constraints``; rounding never undoes a rule.
+
+    Columns are closed from the lowest up, so each lower column has its final value. An upper
+    column is a number of its own decimals (``digits``): at least the lower one and, where the
+    rule is strict, the next such number or the next larger double above it.
+    """
+    for column, own in ordered_rules(rules):
+        scale = 10.0 ** (digits if isinstance(digits, int) else digits[column])
+        high = _lower(own) + F.greatest(F.exp(ref(column)) - F.lit(1.0), F.lit(0.0))
+        floors = [_least_above(ref(r.low), r.strict, scale) for r in own]
+        df = df.withColumn(column, F.greatest(round_half_up(high, F.lit(scale)), *floors))
+    return df
+
+
+def _least_above(low: Column, strict: bool, scale: float) -> Column:
+    """The least multiple of 1 / ``scale`` that ``low`` allows; a larger double where there is none."""
+    step = F.greatest(F.lit(1.0 / scale), F.abs(low) * F.lit(2.0**-52))
+    on_grid = low + (step if strict else F.lit(0.0))
+    up = F.ceil(low * F.lit(scale)) / F.lit(scale)
+    off_grid = F.when(up > low, up).otherwise(on_grid)
+    fits = (F.abs(low) * F.lit(scale) >= F.lit(_WHOLE)) | (round_half_up(low, F.lit(scale)) == low)
+    return F.when(fits, on_grid).otherwise(off_grid)
+
+
+def open_constraint(df: DataFrame, rule: Inequality) -> DataFrame:
+    """``open_constraints`` of one rule."""
+    return open_constraints(df, [rule])
+
+
+def close_constraint(df: DataFrame, rule: Inequality, digits: int = MAX_DIGITS) -> DataFrame:
+    """``close_constraints`` of one rule."""
+    return close_constraints(df, [rule], digits)
 
 
 def round_half_up(value: Column, scale: Column) -> Column:

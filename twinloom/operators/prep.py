@@ -8,11 +8,12 @@ A cohort is a wide ``clinical`` table and a long ``features`` table
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,9 @@ from twinloom.functions.names import ref
 from twinloom.operators.ordered import smallest_k
 from twinloom.staging import attach, stage
 
+# Numeric columns with more different values than this are numerical.
+MAX_LEVELS = 10
+
 COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "==": operator.eq,
     ">": operator.gt,
@@ -237,6 +241,41 @@ def join_cohort(clinical: DataFrame, features: DataFrame) -> DataFrame:
     return clinical.join(features, "id", "inner")
 
 
+def few_distinct(df: DataFrame, columns: Sequence[str], by: Sequence[str], names: Sequence[str], limit: int = MAX_LEVELS) -> DataFrame:
+    """One row per group with the number of distinct values of each column, or ``limit`` + 1 where it is more.
+
+    Each task keeps at most ``limit`` + 1 values of a column and group, so the sets that meet
+    in the end are small however many values there are.
+    """
+    kinds = [df.schema[c].dataType.simpleString() for c in by]
+    held = df.select(*[ref(c).alias(f"__by{k}") for k, c in enumerate(by)], *[ref(c).alias(f"__c{k}") for k, c in enumerate(columns)])
+    groups = [f"__by{k}" for k in range(len(by))]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, set] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for k in range(len(columns)):
+                wanted = table.select([*groups, f"__c{k}"])
+                for row in wanted.group_by([*groups, f"__c{k}"]).aggregate([]).to_pylist():
+                    value = row.pop(f"__c{k}")
+                    own = seen.setdefault((k, *row.values()), set())
+                    if value is not None and len(own) <= limit:
+                        own.add(repr(value + 0))  # -0.0 is 0.0
+        rows = [{**dict(zip(groups, key[1:])), "k": key[0], "value": v} for key, own in seen.items() for v in (own or {None})]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([*[batch.schema.field(g) for g in groups], ("k", pa.int32()), ("value", pa.string())]))
+
+    shape = ", ".join([*[f"`{g}` {kind}" for g, kind in zip(groups, kinds)], "k int", "value string"])
+    kept = held.mapInArrow(keep, shape)
+    counts = [
+        F.least(F.count_distinct(F.when(F.col("k") == k, F.col("value"))), F.lit(limit + 1)).alias(name)
+        for k, name in enumerate(names)
+    ]
+    out = kept.groupBy(*groups).agg(*counts)
+    return out.select(*[ref(g).alias(c) for g, c in zip(groups, by)], *names)
+
+
 def infer_roles(
     df: DataFrame,
     key: str,
@@ -253,10 +292,16 @@ def infer_roles(
     """
     overrides = dict(overrides or {})
     names = [c for c in df.columns if c not in by]
-    counts = df.groupBy(*by).agg(
-        F.count("*").alias("__n"),
-        *[F.approx_count_distinct(ref(c), 0.02).alias(f"d{i}") for i, c in enumerate(names)],
-    )
+    groups = list(by) or ["__all"]
+    df = df if by else df.withColumn("__all", F.lit(0))
+    counts = df.groupBy(*groups).agg(F.count("*").alias("__n"))
+    judged = [
+        i for i, c in enumerate(names)
+        if c not in overrides and c != key and isinstance(df.schema[c].dataType, T.NumericType)
+    ]
+    if judged:
+        distinct = few_distinct(df, [names[i] for i in judged], groups, [f"d{i}" for i in judged])
+        counts = counts.join(distinct, groups)
     rows = []
     for i, c in enumerate(names):
         kind = df.schema[c].dataType
@@ -267,7 +312,7 @@ def infer_roles(
         elif isinstance(kind, T.BooleanType):
             role = F.lit("boolean")
         elif isinstance(kind, T.NumericType):
-            few = F.col(f"d{i}") <= F.greatest(F.lit(2.0), F.least(F.lit(10.0), F.round(F.col("__n") * max_levels)))
+            few = F.col(f"d{i}") <= F.greatest(F.lit(2.0), F.least(F.lit(float(MAX_LEVELS)), F.round(F.col("__n") * max_levels)))
             role = F.when(few, F.lit("categorical")).otherwise(F.lit("numerical"))
         elif isinstance(kind, T.StringType):
             role = F.lit("categorical")

@@ -83,9 +83,7 @@ def synthesize(
     categorical = [(r["part"], r["column"]) for r in roles if r["role"] in ("categorical", "boolean")]
     numeric = [(r["part"], r["column"]) for r in roles if r["role"] not in ("categorical", "boolean")]
     digits = _checked_constraints(rows, settings.constraints, categorical)
-    opened = rows
-    for rule in settings.constraints:
-        opened = copula.open_constraint(opened, rule)
+    opened = copula.open_constraints(rows, settings.constraints)
 
     measured = stage(whole.features.join(rows.select("id", "part"), "id"))
     split, chosen, low = _feature_plan(whole.features, measured, settings, size, len(groups))
@@ -113,8 +111,7 @@ def synthesize(
         clinical = clinical.filter(~F.col("feature").isin(names))
     only_text = [c for c in columns if not any(n == c for _, n in numeric)]
     wide = assemble.clinical_table(clinical.withColumn("feature", plain), texts, columns, types, only_text)
-    for rule in reversed(list(settings.constraints)):
-        wide = copula.close_constraint(wide, rule, digits[rule.high])
+    wide = copula.close_constraints(wide, settings.constraints, digits)
     wide = wide.select("synth", *[ref(c).cast(types[c]).alias(c) for c in columns])
 
     fill = assemble.low_count_fill(low.select(_name(), "mean", "n_zero"), F.element_at(F.array(*[F.lit(g.n_synth) for g in groups]), copula.part_of(F.col("feature")) + 1), settings.seed)
