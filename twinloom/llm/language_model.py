@@ -249,7 +249,7 @@ def examples(units: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     return rows[first], np.add.reduceat(values[order], first, axis=0)
@@ -280,13 +280,22 @@ class Trainer:
         lift = np.float32(np.log(NOISE))
         yes = np.einsum("ij,ij->i", mean, wanted) + m.bias[token] - self.share[token] - lift
         no = mean @ other.T + (m.bias[noise] - self.share[noise] - lift)
-        up = 1 / (1 + np.exp(np.clip(yes, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-no, -30, 30)))
+        with np.errstate(over="ignore"):
+            up = 1 / (1 + np.exp(yes))
+            np.exp(np.negative(no, out=no), out=no)
+            no += 1
+            down = np.divide(-1, no, out=no)
         back = up[:, None] * wanted + down @ other
         scale = np.float32(1 / len(token))
-        places = np.stack([near.T @ back, far.T @ back]) * scale
-        rows, change = _by_row(np.r_[one, two], np.concatenate([back @ m.places[0].T, back @ m.places[1].T]) * scale)
-        to, push = _by_row(np.r_[token, noise], np.c_[np.concatenate([up[:, None] * mean, down.T @ mean]), np.r_[up, down.sum(0)]] * scale)
+        back *= scale
+        places = np.stack([near.T @ back, far.T @ back])
+        rows, change = _by_row(np.concatenate([one, two]), np.concatenate([back @ m.places[0].T, back @ m.places[1].T]))
+        pushes = np.empty((len(token) + NOISE, WIDTH + 1), np.float32)
+        np.multiply(up[:, None], mean, out=pushes[: len(token), :-1])
+        np.matmul(down.T, mean, out=pushes[len(token) :, :-1])
+        pushes[: len(token), -1], pushes[len(token) :, -1] = up, down.sum(0)
+        pushes *= scale
+        to, push = _by_row(np.concatenate([token, noise]), pushes)
         self._move("context", rows, change)
         self._move("output", to, push[:, :-1])
         self._move("bias", to, push[:, -1])
