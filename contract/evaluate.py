@@ -85,6 +85,33 @@ def ks_pvalue(spark, sf):
     return out.select("feature", "n1", "n2", F.round("ks", 9).alias("ks"), F.round("ks_p", 9).alias("ks_p"))
 
 
+# the pooled sample is drawn one by one; mass that reaches the distance is moved out
+EXACT_SQL = """
+cases as (select distinct n1, n2, ks, n1 // gcd(n1, n2) * n2 as lcm, round(ks * (n1 // gcd(n1, n2) * n2)) as steps from ks),
+path as (
+  select n1, n2, ks, lcm, steps, 0 as drawn, 0.0::double as hit,
+    list_transform(range(n1 + 1), lambda i: case when i = 0 then 1.0::double else 0.0::double end) as mass from cases
+  union all
+  select n1, n2, ks, lcm, steps, drawn + 1,
+    hit + list_sum(list_transform(range(n1 + 1), lambda i: case when abs(i * (lcm // n1) - (drawn + 1 - i) * (lcm // n2)) >= steps then moved[i + 1] else 0 end)),
+    list_transform(range(n1 + 1), lambda i: case when abs(i * (lcm // n1) - (drawn + 1 - i) * (lcm // n2)) >= steps then 0 else moved[i + 1] end)
+  from (select *, list_transform(range(n1 + 1), lambda i: mass[i + 1] - mass[i + 1] * (n1 - i) / (n1 + n2 - drawn)::double
+          + case when i > 0 then mass[i] * (n1 - i + 1) / (n1 + n2 - drawn)::double else 0 end) as moved
+        from path where drawn < n1 + n2)),
+exact as (select n1, n2, ks, least(1, greatest(0, hit)) as ks_p from path where drawn = n1 + n2)"""
+
+
+@query(
+    "ks_pvalue_exact",
+    f"""with recursive {SIDES_SQL},{KS_SQL},{EXACT_SQL}
+    select feature, n1, n2, round(ks, 9) as ks, round(ks_p, 9) as ks_p from ks join exact using (n1, n2, ks)""",
+)
+def ks_pvalue_exact(spark, sf):
+    """The default for samples of these sizes: exact probabilities."""
+    out = ev.ks_test(*sides(spark, sf))
+    return out.select("feature", "n1", "n2", F.round("ks", 9).alias("ks"), F.round("ks_p", 9).alias("ks_p"))
+
+
 def kl_sql(sample: str, extra: str = "") -> str:
     """CTEs ending in kl(<extra>, feature, kl_divergence); ``sample`` has (<extra>, feature, value)."""
     e = f"{extra}, " if extra else ""

@@ -47,7 +47,7 @@ solve as (
   union all
   select feature, step + 1, mn, mx, mean, sd,
     least(greatest(mean - sg * ((fa - fb) / z), mn), mx),
-    least(sd / sqrt(1 + (a * fa - b * fb) / z - ((fa - fb) / z) * ((fa - fb) / z)), 2 * (mx - mn))
+    least(sd / sqrt(1 + (a * fa - b * fb) / z - ((fa - fb) / z) * ((fa - fb) / z)), {mg.FLAT} * (mx - mn))
   from (select *, {phi('a')} as fa, {phi('b')} as fb, {norm_cdf('b')} - {norm_cdf('a')} as z
         from (select *, (mn - mu) / sg as a, (mx - mu) / sg as b from solve where step < {mg.TRUNCNORM_STEPS}))),
 truncnorm as (select feature, mu as loc, sg as scale, (mn - mu) / sg as a, (mx - mu) / sg as b
@@ -57,8 +57,8 @@ truncnorm as (select feature, mu as loc, sg as scale, (mn - mu) / sg as a, (mx -
 BETA_SQL = f"""
 scaled as (select *, mn - {mg.BETA_PAD} * (mx - mn) as loc, (mx - mn) * (1 + 2 * {mg.BETA_PAD}) as scale from moments),
 unit as (select *, (mean - loc) / scale as m, sd * sd / (scale * scale) as v from scaled),
-beta as (select feature, loc, scale, m * greatest(m * (1 - m) / v - 1, 0.001) as a,
-                (1 - m) * greatest(m * (1 - m) / v - 1, 0.001) as b from unit)"""
+beta as (select feature, loc, scale, m * (m * (1 - m) / v - 1) as a,
+                (1 - m) * (m * (1 - m) / v - 1) as b from unit)"""
 
 def _sum(term: str, y: str) -> str:
     return " + ".join(term.format(y=f"({y} + {k})") for k in range(8))
@@ -134,6 +134,19 @@ def fit_t_heavy(spark, sf):
     return out.select("feature", *[F.round(F.col("t")[p], 6).alias(p) for p in ("df", "loc", "scale")])
 
 
+@query(
+    "fit_t_fine",
+    f"""with recursive values_ as (select l_returnflag || l_linestatus as feature, l_extendedprice::double as x from lineitem),
+    {T_SQL.lstrip()} select feature, round(df, 6) as df, round(loc, 6) as loc, round(scale, 6) as scale from t""",
+)
+def fit_t_fine(spark, sf):
+    """Tens of thousands of different values a feature, whose median is exact all the same."""
+    name = F.concat("l_returnflag", "l_linestatus").alias("feature")
+    cells = tb.table(spark, sf, "lineitem").select(name, F.col("l_extendedprice").cast("double").alias("value"))
+    out = mg.fit(stage(cells), ["t"])
+    return out.select("feature", *[F.round(F.col("t")[p], 6).alias(p) for p in ("df", "loc", "scale")])
+
+
 _fit_query("truncnorm", "," + _truncnorm_sql().replace("{", "{{").replace("}", "}}") + " select feature, {shown} from truncnorm")
 _fit_query(
     "gaussian_kde",

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinloom.functions import counter, kolmogorov, normal
+from twinloom.functions import counter, kolmogorov, normal, permutation
 
 
 def test_counter_agrees_between_columns_and_numpy(spark):
@@ -94,3 +94,29 @@ def test_ks_limit_and_critical_distance(spark):
     assert kolmogorov.two_sample_p(2000, 3000, 0.04, "exact") == pytest.approx(
         kolmogorov.two_sample_p(2000, 3000, 0.04, "asymptotic"), abs=2e-3
     )
+
+
+def test_pairs_equal_the_grid():
+    outer, inner = np.array([3, -7, 2**40]), np.array([0, 5, 2**45 + 1])
+    grid = counter.uniform_grid(9, outer, inner)
+    assert counter.uniform_pairs(9, outer, inner).tolist() == np.diag(grid).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1024, 1025, 5000])
+def test_permutations_are_one_to_one(n):
+    a, b = permutation.digits(n)
+    assert a * b >= n and (a - 1) ** 2 < n
+    seeds = np.full(n, 77)
+    out = permutation.permuted(5, seeds, np.arange(n), n)
+    assert sorted(out.tolist()) == list(range(n))
+    some = permutation.permuted(5, seeds[: n // 2], np.arange(n)[n // 2 :][: n // 2], n)
+    assert some.tolist() == out[n // 2 :][: n // 2].tolist()
+
+
+def test_permutations_pick_every_id_alike():
+    n, size, draws = 60, 15, 4000
+    seeds, places = np.repeat(np.arange(draws), size), np.tile(np.arange(size), draws)
+    hits = np.bincount(permutation.permuted(7_001, seeds, places, n), minlength=n)
+    assert abs(hits - draws * size / n).max() < 5 * math.sqrt(draws * size / n)
+    first = np.bincount(permutation.permuted(7_001, np.arange(draws), np.zeros(draws, int), n), minlength=n)
+    assert abs(first - draws / n).max() < 5 * math.sqrt(draws / n)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from twinloom.operators import assemble, copula, evaluate, marginals as mg
 from twinloom.operators import bootstrap as bs
+from twinloom.functions.normal import np_norm_cdf
+from twinloom.operators import kernels
 from twinloom.operators.kernels import kernel_sums
 from twinloom.staging import stage
 
@@ -243,6 +245,62 @@ def test_replicate_distances_against_numpy(two_tables):
     assert again == set(picks[3])
 
 
+@pytest.mark.parametrize("cells", [40, 1 << 22])
+def test_distances_with_hot_values_and_gaps(spark, monkeypatch, cells):
+    """One value holds most cells and is cut by ranges and blocks; one feature lacks cells and has nulls."""
+    monkeypatch.setattr(bs, "SWEEP_CELLS", cells)
+    monkeypatch.setattr(bs, "DRAW_BLOCK", 4)
+    rng = np.random.default_rng(21)
+    made = {"hot": np.where(rng.random(400) < 0.8, 0.0, rng.integers(1, 9, 400)).astype(float), "gaps": rng.normal(size=400)}
+    made["only"] = rng.random(400)
+    rows = [(k, f, None if f == "gaps" and k % 5 == 0 else float(v)) for f, own in made.items() for k, v in enumerate(own) if f != "gaps" or k % 7]
+    real = {"hot": np.where(rng.random(90) < 0.6, 0.0, rng.integers(0, 12, 90)).astype(float), "gaps": rng.normal(0.3, 1, 90)}
+    synthetic = stage(spark.createDataFrame(rows, "id bigint, feature string, value double").repartition(3))
+    samples = stage(bs.draw_samples(synthetic.select("id"), 100, 10, 5))
+    picks = {}
+    for r in samples.collect():
+        picks.setdefault(r["draw"], set()).add(r["id"])
+    assert {len(p) for p in picks.values()} == {100}
+    got = {(r["draw"], r["feature"]): r for r in bs.replicate_distances(samples, synthetic, stage(cells_of(spark, real))).collect()}
+    assert len(got) == 20
+    for (draw, feature), r in got.items():
+        own = np.array([v for k, f, v in rows if f == feature and v is not None and k in picks[draw]])
+        assert (r["n1"], r["n2"]) == (len(own), 90)
+        assert r["ks"] == pytest.approx(brute_ks(own, real[feature]), abs=1e-12)
+    empty = samples.filter("draw < 0")
+    assert bs.replicate_distances(empty, synthetic, synthetic).count() == 0
+
+
+def test_samples_beyond_the_ids_take_all(spark):
+    ids = spark.range(7).withColumnRenamed("id", "n").select((F.col("n") * 10).alias("id"))
+    drawn = bs.draw_samples(ids, 50, 2, 1).collect()
+    assert sorted((r["draw"], r["id"]) for r in drawn) == [(d, 10 * k) for d in range(2) for k in range(7)]
+    assert bs.draw_samples(ids, 0, 3, 1).count() == 0
+
+
+def test_cut_kernels_equal_whole_ones():
+    rng = np.random.default_rng(2)
+    values, weights = np.sort(rng.standard_cauchy(3000) * 5), rng.integers(1, 4, 3000).astype(float)
+    grid = np.linspace(values[0], values[-1], 500)
+    for kind in ("pdf", "cdf"):
+        acc = np.zeros(500)
+        kernels._add(acc, grid, values, weights, 0.7, kind)
+        d = (grid[None] - values[:, None]) / 0.7
+        whole = np_norm_cdf(d) if kind == "cdf" else np.exp(-0.5 * d * d) / (0.7 * math.sqrt(2 * math.pi))
+        assert np.allclose(acc, weights @ whole, rtol=1e-12, atol=0)
+        assert ((acc > 0) == (weights @ whole > 0)).all()
+
+
+def test_a_family_that_does_not_apply_gives_way_to_the_uniform(spark):
+    flat = np.linspace(0, 1, 200)
+    cells = stage(cells_of(spark, {"flat": np.round(np.where(flat < 0.5, flat**4, 1 - (1 - flat) ** 4), 4)}))
+    families = spark.createDataFrame([("flat", "truncnorm")], "feature string, family string")
+    model = copula.fit_model(cells, families)
+    assert model.first()["family"] == "uniform"
+    drawn = [r["value"] for r in copula.sample(cells, model, 400, 3).collect()]
+    assert 0.3 < np.mean(drawn) < 0.7 and 0 <= min(drawn) and max(drawn) <= 1
+
+
 def sequential_best(order, kl, p):
     """The rule as a plain walk over the tied replicates."""
     best = order[0]

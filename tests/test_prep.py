@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +209,18 @@ def test_distinct_values_are_counted_exactly(spark):
     assert roles == {0: "categorical", 1: "categorical", 2: "numerical"}
     empty = prep.infer_roles(df.select("id", "x").limit(0), "id").collect()
     assert empty == []
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 9])
+def test_quantiles_do_not_depend_on_partitions(spark, partitions):
+    rng = random.Random(9)
+    values = {"a": [rng.gauss(0, 1) for _ in range(4001)], "b": [float(rng.randrange(5)) for _ in range(300)], "c": [7.0]}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own], "g string, v double").repartition(partitions)
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("w"))
+    shares = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = {(r["g"], r["share"]): r["v"] for r in ordered.quantiles(counts, ["g"], "v", "w", shares).collect()}
+    for g, own in values.items():
+        for p in shares:
+            assert got[g, p] == sorted(own)[max(math.ceil(p * len(own)), 1) - 1]
+    assert len(got) == 15
+    assert ordered.quantiles(counts.limit(0), ["g"], "v", "w", shares).count() == 0

@@ -1,6 +1,6 @@
 """Two-sample Kolmogorov-Smirnov p-values.
 
-The limit distribution is a Column expression. For samples up to ``EXACT_LIMIT`` the
+The limit distribution is a Column expression. For samples up to a limit (an argument) the
 exact probability is computed for distinct (n1, n2, distance) triples only.
 """
 
@@ -76,36 +76,39 @@ def exact_sf(n1: int, n2: int, steps: int) -> float:
     return float(min(1.0, max(0.0, hit)))
 
 
-def two_sample_p(n1: int, n2: int, d: float, method: str = "auto") -> float:
-    if method == "exact" or (method == "auto" and max(n1, n2) <= EXACT_LIMIT):
+def two_sample_p(n1: int, n2: int, d: float, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> float:
+    if method == "exact" or (method == "auto" and max(n1, n2) <= exact_limit):
         lcm = n1 // math.gcd(n1, n2) * n2
         return exact_sf(n1, n2, round(d * lcm))
     root = math.sqrt(n1 * n2 / (n1 + n2))
     return min(1.0, max(0.0, np_limit_sf((root + 0.12 + 0.11 / root) * d)))
 
 
-def critical_distance(n1: int, n2: int, alpha: float, method: str = "auto") -> float:
+def critical_distance(n1: int, n2: int, alpha: float, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> float:
     """The smallest attainable distance whose p-value is below ``alpha`` (2.0 if none is)."""
     lcm = n1 // math.gcd(n1, n2) * n2
     lo, hi = 0, lcm + 1
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        if two_sample_p(n1, n2, mid / lcm, method) < alpha:
+        if two_sample_p(n1, n2, mid / lcm, method, exact_limit) < alpha:
             hi = mid
         else:
             lo = mid
     return hi / lcm if hi <= lcm else 2.0
 
 
-def with_p_value(df: DataFrame, d: str = "ks", method: str = "auto", out: str = "ks_p") -> DataFrame:
-    """Add the p-value of columns ``n1``, ``n2`` and distance ``d``."""
+def with_p_value(df: DataFrame, d: str = "ks", method: str = "auto", out: str = "ks_p", exact_limit: int = EXACT_LIMIT) -> DataFrame:
+    """Add the p-value of columns ``n1``, ``n2`` and distance ``d``.
+
+    ``method``: "exact", "asymptotic", or "auto", which is exact for samples up to ``exact_limit``.
+    """
     limit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), limit_sf(F.col("__t"))))
     df = df.withColumn("__t", scaled_distance(F.col(d), F.col("n1"), F.col("n2")))
     if method == "asymptotic":
         return df.withColumn(out, limit).drop("__t")
     triples = df.select("n1", "n2", F.col(d).alias("__d"))
     if method == "auto":
-        triples = triples.filter(F.greatest("n1", "n2") <= F.lit(EXACT_LIMIT))
+        triples = triples.filter(F.greatest("n1", "n2") <= F.lit(exact_limit))
     triples = triples.distinct().repartition(tasks(df.sparkSession))  # each one is costly
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

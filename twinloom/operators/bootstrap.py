@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinloom.functions.counter import with_uniform
-from twinloom.functions.kolmogorov import critical_distance
+from twinloom.functions.kolmogorov import EXACT_LIMIT, critical_distance
 from twinloom.functions.permutation import permuted
 from twinloom.operators.evaluate import kl_divergence, ks_test
 from twinloom.operators.ordered import running_totals
@@ -282,7 +282,7 @@ def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: Data
     return ranges.groupBy("feature", "block").applyInPandas(_joined_ranges, "draw bigint, feature string, n1 bigint, n2 bigint, ks double")
 
 
-def replicate_scores(distances: DataFrame, n_features: int, root_seed: int, method: str = "auto") -> DataFrame:
+def replicate_scores(distances: DataFrame, n_features: int, root_seed: int, method: str = "auto", exact_limit: int = EXACT_LIMIT) -> DataFrame:
     """Rows (draw, seed, ks): share of features with p < 0.05, truncated to three decimals.
 
     The p-value is compared through its critical distance, solved once per size pair.
@@ -294,7 +294,7 @@ def replicate_scores(distances: DataFrame, n_features: int, root_seed: int, meth
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(
-                critical=[critical_distance(int(x), int(y), ALPHA, method) for x, y in zip(b["n1"], b["n2"])]
+                critical=[critical_distance(int(x), int(y), ALPHA, method, exact_limit) for x, y in zip(b["n1"], b["n2"])]
             )
 
     fields = [f"{c} {sizes.schema[c].dataType.simpleString()}" for c in ("n1", "n2")]
@@ -359,8 +359,10 @@ def select_best(tied: DataFrame, kl: DataFrame, n_features: int) -> int:
     return best
 
 
-def statistics(sample: DataFrame, original: DataFrame, method: str = "auto", nan_policy: str = "propagate") -> DataFrame:
+def statistics(
+    sample: DataFrame, original: DataFrame, method: str = "auto", nan_policy: str = "propagate", exact_limit: int = EXACT_LIMIT
+) -> DataFrame:
     """Per-feature report of one sample: (feature, kl_divergence, ks_p)."""
-    ks = ks_test(sample, original, method=method).select("feature", "ks_p")
+    ks = ks_test(sample, original, method=method, exact_limit=exact_limit).select("feature", "ks_p")
     kl = kl_divergence(sample, original, nan_policy=nan_policy)
     return kl.join(ks, "feature").select("feature", "kl_divergence", "ks_p")

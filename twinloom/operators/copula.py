@@ -9,8 +9,10 @@ the rows are first reduced to at most p rows with the same cross products.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ from twinloom.operators.ordered import running_totals
 from twinloom.staging import attach, stage, tasks
 
 CATEGORY = "category"
+SUBSTITUTE = "uniform"
 _GRID_FAMILIES = ("beta", "gamma", "t", "gaussian_kde")
 GRID_POINTS = 1024
 FINE_POINTS = 8192
@@ -246,16 +249,19 @@ def impute_mean(cells: DataFrame, stats: DataFrame) -> DataFrame:
 def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
     """Fit the named family of every feature on mean-imputed cells; staged, one row per feature.
 
-    ``families`` holds (feature, family); ``category`` features hold uniform scores already.
+    ``families`` holds (feature, family); ``category`` features hold uniform scores already. A
+    feature to which its family does not apply takes the uniform one.
     """
     families = stage(families.select("feature", "family"))
     names = sorted(r[0] for r in families.select("family").distinct().collect())
-    fitted = [n for n in names if n != CATEGORY]
+    fitted = sorted({n for n in names if n != CATEGORY} | {SUBSTITUTE})
     stats = stage(observed(cells))
     filled = impute_mean(cells, stats)
     fits = mg.fit(filled, fitted)
     # a feature without any observed value has no fit: it behaves as a constant null
     rows = stats.join(families, "feature").join(fits.select("feature", "constant", *fitted), "feature", "left")
+    lacking = reduce(operator.or_, [(F.col("family") == f) & F.col(f).isNull() for f in fitted]) & ~F.coalesce("constant", F.lit(True))
+    rows = rows.withColumn("family", F.when(lacking, F.lit(SUBSTITUTE)).otherwise(F.col("family")))
 
     def param(name: str, default: dict[str, float] | None = None) -> Column:
         out = F.lit((default or {}).get(CATEGORY)).cast("double")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.functions.kolmogorov import with_p_value
+from twinloom.functions.kolmogorov import EXACT_LIMIT, with_p_value
 from twinloom.functions.names import div
 from twinloom.operators.kernels import kernel_arrays
 from twinloom.operators.ordered import running_totals
@@ -57,9 +57,13 @@ def ks_statistic(sample: DataFrame, original: DataFrame, keys: Sequence[str] = (
 
 
 def ks_test(
-    sample: DataFrame, original: DataFrame, keys: Sequence[str] = ("feature",), method: str = "auto"
+    sample: DataFrame,
+    original: DataFrame,
+    keys: Sequence[str] = ("feature",),
+    method: str = "auto",
+    exact_limit: int = EXACT_LIMIT,
 ) -> DataFrame:
-    return with_p_value(ks_statistic(sample, original, keys), method=method)
+    return with_p_value(ks_statistic(sample, original, keys), method=method, exact_limit=exact_limit)
 
 
 def weighted_values(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

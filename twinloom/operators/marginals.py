@@ -7,11 +7,12 @@ norm        mean, population standard deviation
 uniform     min, max - min
 gamma       location 0, closed form from mean, mean log, mean x*log x
 lognorm     best of a fixed set of locations below the minimum, by likelihood
-beta        moments on the range padded by ``BETA_PAD`` of its width
+beta        moments on the range padded by ``BETA_PAD`` of its width; no fit where the variance
+            is that of two points or more
 t           location median; degrees of freedom and scale from mean and variance of
             ln|x - median|, which exist for any tail
 truncnorm   bounds min and max, moment equations iterated to a tolerance; no fit if
-            they do not settle
+            they do not settle or the deviation reaches ``FLAT`` widths
 gaussian_kde  Scott bandwidth
 """
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from twinloom.functions.names import div, ref
 from twinloom.functions.normal import LOG_SQRT_2PI, ln_gamma, np_norm_cdf
 from twinloom.operators.kernels import kernel_sums
+from twinloom.operators.ordered import quantiles
 from twinloom.staging import attach, stage
 
 # The selectable families and selection methods.
@@ -39,9 +41,10 @@ BETA_PAD = 1e-3
 # Beyond this the t is a normal distribution to six digits.
 T_MAX_DF = 1e6
 T_STEPS = 60
-MEDIAN_ACCURACY = 10_000
 TRUNCNORM_STEPS = 2000
 TOLERANCE = 1e-10
+# A truncated normal this many widths wide is a uniform distribution to two digits.
+FLAT = 2.0
 BINS = 100
 
 
@@ -184,11 +187,12 @@ def _truncnorm_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shift = (fa - fb) / z
                 spread = 1.0 + (a * fa - b * fb) / z - shift * shift
                 mu = np.clip(mean - sg * shift, mn, mx)
-                sg = np.minimum(sd / np.sqrt(spread), 2.0 * width)
+                sg = np.minimum(sd / np.sqrt(spread), FLAT * width)
                 moved = np.abs(mu - old_mu) + np.abs(sg - old_sg)
                 if not (moved > TOLERANCE * width).any():
                     break
-            sg = np.where(moved <= 1e3 * TOLERANCE * width, sg, np.nan)
+            # as flat as a uniform distribution, or not settled: no fit
+            sg = np.where((moved <= 1e3 * TOLERANCE * width) & (sg < FLAT * width), sg, np.nan)
             a, b = (mn - mu) / sg, (mx - mu) / sg
             z = np_norm_cdf(b) - np_norm_cdf(a)
         yield batch.assign(tn_loc=mu, tn_scale=sg, tn_a=a, tn_b=b, tn_lnz=np.log(z))
@@ -197,7 +201,8 @@ def _truncnorm_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _log_moments(cells: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Two scans: the median, then mean and variance of ln|x - median|; solved for the t."""
     values = cells.filter(F.col("value").isNotNull()).select(*keys, "value")
-    middle = stage(values.groupBy(*keys).agg(F.percentile_approx("value", 0.5, MEDIAN_ACCURACY).alias("t_loc")))
+    counts = values.groupBy(*keys, "value").agg(F.count("*").alias("weight"))
+    middle = stage(quantiles(counts, keys, "value", "weight", [0.5]).select(*keys, F.col("value").alias("t_loc")))
     named = attach(values, middle, keys, row_bytes=64)
     log = F.when(F.col("value") != F.col("t_loc"), F.ln(F.abs(F.col("value") - F.col("t_loc"))))
     logs = named.groupBy(*keys).agg(F.first("t_loc").alias("t_loc"), F.avg(log).alias("t_m"), F.var_pop(log).alias("t_v"))
@@ -289,7 +294,7 @@ def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
         steps += [
             {"b_loc": F.col("mn") - BETA_PAD * width, "b_scale": width * (1.0 + 2.0 * BETA_PAD)},
             {"b_m": div(mean - F.col("b_loc"), F.col("b_scale")), "b_v": div(sd * sd, F.col("b_scale") * F.col("b_scale"))},
-            {"b_c": F.greatest(div(F.col("b_m") * (1.0 - F.col("b_m")), F.col("b_v")) - 1.0, F.lit(1e-3))},
+            {"b_c": div(F.col("b_m") * (1.0 - F.col("b_m")), F.col("b_v")) - 1.0},
             {"b_a": F.col("b_m") * F.col("b_c"), "b_b": (1.0 - F.col("b_m")) * F.col("b_c")},
             {"b_lga": ln_gamma("b_a")},
             {"b_lgb": ln_gamma("b_b")},
@@ -324,7 +329,7 @@ def _structs(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
         elif family == "beta":
             loc, scale = F.col("b_loc"), F.col("b_scale")
             c0 = F.col("b_lgc") - F.col("b_lga") - F.col("b_lgb") - F.ln(scale)
-            built[family] = (always, packed(c0, a=F.col("b_a"), b=F.col("b_b"), loc=loc, scale=scale))
+            built[family] = (F.col("b_c") > 0, packed(c0, a=F.col("b_a"), b=F.col("b_b"), loc=loc, scale=scale))
         elif family == "t":
             df, scale = F.col("t_df"), F.col("t_scale")
             c0 = F.col("t_lg1") - F.col("t_lg0") - 0.5 * F.ln(df * math.pi) - F.ln(scale)
@@ -332,7 +337,7 @@ def _structs(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
         elif family == "truncnorm":
             loc, scale = F.col("tn_loc"), F.col("tn_scale")
             c0 = -F.ln(scale) - LOG_SQRT_2PI - F.col("tn_lnz")
-            built[family] = (~F.isnan(scale), packed(c0, a=F.col("tn_a"), b=F.col("tn_b"), loc=loc, scale=scale))
+            built[family] = (scale.isNotNull() & ~F.isnan(scale), packed(c0, a=F.col("tn_a"), b=F.col("tn_b"), loc=loc, scale=scale))
         elif family == "lognorm":
             tried = []
             for i, loc in enumerate(_lognorm_locations()):

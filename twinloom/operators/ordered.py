@@ -61,6 +61,32 @@ def running_totals(counts: DataFrame, groups: Sequence[str], order: str | Sequen
     )
 
 
+def quantiles(counts: DataFrame, groups: Sequence[str], value: str, weight: str, shares: Sequence[float]) -> DataFrame:
+    """Rows (groups, share, value): the least value that at least ``share`` of its group does not exceed.
+
+    ``counts`` holds one row per (groups, value) with its number of occurrences. Totals per
+    range tell which range holds a rank; only its rows are ranked. Exact, whatever the
+    partitioning.
+    """
+    keys = [*groups]
+    rows = ranged(counts, groups, [value])
+    totals = rows.groupBy(*keys, "__range").agg(F.sum(ref(weight)).alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = totals.select(
+        *keys,
+        "__range",
+        "__sum",
+        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
+        F.sum("__sum").over(Window.partitionBy(*keys)).alias("__all"),
+    ).withColumn("share", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    rank = F.greatest(F.ceil(F.col("share") * F.col("__all")), F.lit(1))
+    held = placed.withColumn("__need", rank - F.col("__before")).filter((F.col("__need") > 0) & (F.col("__need") <= F.col("__sum")))
+    named = attach(rows, stage(held.select(*keys, "__range", "share", "__need")), [*keys, "__range"], row_bytes=128)
+    local = Window.partitionBy(*keys, "share").orderBy(ref(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = named.withColumn("__run", F.sum(ref(weight)).over(local))
+    return run.filter((F.col("__run") >= F.col("__need")) & (F.col("__run") - ref(weight) < F.col("__need"))).select(*keys, "share", ref(value))
+
+
 def choose_smallest(
     rows: DataFrame,
     groups: Sequence[str],

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinloom.functions.kolmogorov import EXACT_LIMIT
 from twinloom.operators import bootstrap as bs
 from twinloom.operators import evaluate as ev
 from twinloom.operators.prep import Cohort
@@ -35,17 +36,19 @@ def bootstrap(
     root_seed: int = 42,
     method: str = "auto",
     nan_policy: str = "propagate",
+    exact_limit: int = EXACT_LIMIT,
 ) -> Bootstrap:
     """Draw ``iterations`` sub-samples and keep the one closest to ``original``.
 
     ``original`` is the unfiltered long measurement table. Features that are zero too
     often there are not scored. KL is computed only for replicates that share the lowest
-    KS share, since no other replicate can win.
+    KS share, since no other replicate can win. p-values are exact for samples up to
+    ``exact_limit`` with ``method="auto"``.
     """
     ids = stage(synthetic.features.select("id").distinct())
     available = ids.count()
     if sample_size > available:
-        raise ValueError(f"Sample size {sample_size} is too big for {available} rows")
+        raise ValueError(f"cannot draw {sample_size} of {available} synthetic rows")
     names = stage(ev.dense_features(original, zero_share).select("feature"))
     n_features = names.count()
     if n_features == 0:
@@ -54,7 +57,7 @@ def bootstrap(
     made = stage(attach(synthetic.features, names, ["feature"], row_bytes=64))
     samples = stage(bs.draw_samples(ids, sample_size, iterations, root_seed))
     distances = bs.replicate_distances(samples, made, real)
-    scores = stage(bs.replicate_scores(stage(distances), n_features, root_seed, method))
+    scores = stage(bs.replicate_scores(stage(distances), n_features, root_seed, method, exact_limit))
     tied = stage(bs.tied_best(scores))
     winner = tied.first()["draw"]
     if tied.count() > 1:
@@ -67,7 +70,7 @@ def bootstrap(
         winner = bs.select_best(tied, kl, n_features)
     chosen = samples.filter(F.col("draw") == winner).select("id")
     seed = int(scores.filter(F.col("draw") == winner).first()["seed"])
-    report = bs.statistics(made.join(chosen, "id", "left_semi"), real, method, nan_policy)
+    report = bs.statistics(made.join(chosen, "id", "left_semi"), real, method, nan_policy, exact_limit)
     return Bootstrap(
         seed,
         synthetic.clinical.join(chosen, "id", "left_semi"),
