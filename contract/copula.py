@@ -1,11 +1,13 @@
-"""Copula queries. Features take their family by the last digit of their name."""
+"""Copula queries. Features take one of all eight families by the number in their name."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from contract import tables as tb
-from contract.marginals import LOGNORM_SQL, MOMENTS_SQL, _truncnorm_sql
+from contract.marginals import BETA_SQL, LOGNORM_SQL, MOMENTS_SQL, T_SQL, _truncnorm_sql
 from contract.registry import query
 from contract.sqltext import name_key, norm_cdf, norm_ppf, uniform
 from contract.tables import CLINICAL_SQL, DENSE_SQL
@@ -14,17 +16,23 @@ from twinloom.operators import copula as cp
 from twinloom.operators.prep import zero_to_null
 from twinloom.staging import stage
 
-N_SYNTH = 40
+# customers for each synthetic row
+PER_ROW = 20
 SEED = 42
+FAMILIES = ("norm", "lognorm", "uniform", "truncnorm", "beta", "gamma", "t", "gaussian_kde")
 RULE = cp.Inequality("low", "high", strict=True)
 
 
 def families(cells):
-    digit = F.pmod(F.regexp_extract("feature", r"(\d+)$", 1).cast("int"), F.lit(4))
-    names = F.element_at(F.array(*[F.lit(n) for n in ("norm", "lognorm", "uniform", "truncnorm")]), digit + 1)
+    number = F.pmod(F.regexp_extract("feature", r"(\d+)$", 1).cast("int"), F.lit(len(FAMILIES)))
+    names = F.element_at(F.array(*[F.lit(n) for n in FAMILIES]), number + 1)
     return cells.select("feature").distinct().withColumn("family", names)
 
 
+def n_synth(spark, sf):
+    return 10 + tb.table(spark, sf, "customer").count() // PER_ROW
+
+
 def prepared(spark, sf):
     cells = stage(zero_to_null(tb.cells(spark, sf)))
     return cells, cp.fit_model(cells, families(cells))
@@ -48,20 +56,89 @@ values_ as (select c.id, c.feature, case when c.value = 0 then o.fill else c.val
     + LOGNORM_SQL
     + ","
     + _truncnorm_sql()
-    + """,
+    + ","
+    + BETA_SQL
+    + ","
+    + T_SQL
+    + f""",
 model as (
-  select m.feature, ['norm', 'lognorm', 'uniform', 'truncnorm'][(regexp_extract(m.feature, '(\\d+)$', 1)::int % 4) + 1] as family,
+  select m.feature, {list(FAMILIES)!r}[(regexp_extract(m.feature, '(\\d+)$', 1)::int % {len(FAMILIES)}) + 1] as family,
     m.n, m.mn, m.mx, m.mean, m.sd, l.p.s as ls, l.p.loc as lloc, l.p.scale as lscale,
-    t.loc as tloc, t.scale as tscale, t.a as ta, t.b as tb, o.fill, o.lo, o.hi, o.missing
-  from moments m join lognorm l using (feature) join truncnorm t using (feature) join observed o using (feature))"""
+    t.loc as tloc, t.scale as tscale, t.a as ta, t.b as tb, o.fill, o.lo, o.hi, o.missing,
+    b.a as ba, b.b as bb, b.loc as bloc, b.scale as bscale, s.df as sdf, s.loc as sloc, s.scale as sscale,
+    m.mean / (m.mean_xln - m.mean_ln * m.mean) as ga, m.mean_xln - m.mean_ln * m.mean as gscale,
+    m.sd * sqrt(m.n / (m.n - 1.0::double)) * pow(m.n::double, -0.2) as h
+  from moments m join lognorm l using (feature) join truncnorm t using (feature) join observed o using (feature)
+    join beta b using (feature) join t s using (feature))"""
 )
-SCORE_SQL = f"""{MODEL_SQL},
+HALF = f"{math.pi / 2!r}::double"
+REACH = f"(case when sdf < 30 then {HALF} else atan(60.0::double / sqrt(sdf)) end)"
+TOP = "(ga + 40.0::double * sqrt(ga) + 60.0::double)"
+
+
+def _interpolated(grid: str, points: str, at: str, x: str, y: str, out: str) -> str:
+    """``y`` over increasing ``x`` of ``points`` (feature, k, ..), read at ``at`` of ``grid``; ends are held."""
+    return f"""
+  select g.*, case when p.{x} is null then f.{y} when p.nx is null then p.{y}
+      else p.{y} + (p.ny - p.{y}) / (p.nx - p.{x}) * (g.{at} - p.{x}) end as {out}
+  from {grid} g join (select feature, arg_min({y}, k) as {y} from {points} group by 1) f using (feature)
+  asof left join (select *, lead({x}) over w as nx, lead({y}) over w as ny
+      from (select * from {points} qualify row_number() over (partition by feature, {x} order by k desc) = 1)
+      window w as (partition by feature order by {x})) p
+    on p.feature = g.feature and g.{at} >= p.{x}"""
+
+
+# distribution functions on fine grids, and tables of 1024 even points read off them
+TABLE_SQL = f"""
+parts as (select *, unnest(range({cp.FINE_POINTS})) as k from model where family in ('beta', 'gamma', 't')),
+middles as (select *, (k + 0.5::double) / {cp.FINE_POINTS}.0::double as mid from parts),
+density as (select feature, k, case family
+    when 'beta' then (2 * ba - 1) * ln(sin(mid * {HALF})) + (2 * bb - 1) * ln(cos(mid * {HALF}))
+    when 'gamma' then (ga - least(ga, 1)) * ln(pow(mid * pow({TOP}, least(ga, 1)), 1 / least(ga, 1))) - pow(mid * pow({TOP}, least(ga, 1)), 1 / least(ga, 1))
+    else (sdf - 1) * ln(cos((2 * mid - 1) * {REACH})) end as lp from middles),
+mass as (select feature, k, exp(lp - max(lp) over (partition by feature)) as w from density),
+cumulated as (
+  select feature, 0 as k, 0.0::double as u from model where family in ('beta', 'gamma', 't')
+  union all select feature, k + 1, sum(w) over (partition by feature order by k) / sum(w) over (partition by feature) from mass),
+edges as (select c.*, m.* exclude (feature), c.k / {cp.FINE_POINTS}.0::double as e from cumulated c join model m using (feature)),
+smooth_at as (select *, (lo - 6 * h) + k * (((hi + 6 * h) - (lo - 6 * h)) / {cp.GRID_POINTS - 1}.0::double) as x
+  from (select *, unnest(range({cp.GRID_POINTS})) as k from model where family = 'gaussian_kde')),
+counted as (select feature, x as v, count(*) as w from values_ group by all),
+smooth as (select s.feature, s.k, any_value(s.x) as x, sum(w * {norm_cdf("((s.x - v) / h)")}) / any_value(n) as u
+  from smooth_at s join counted c on c.feature = s.feature group by all),
+fine as (
+  select feature, k, u, case family
+    when 'beta' then bloc + bscale * pow(sin(e * {HALF}), 2)
+    when 'gamma' then gscale * pow(e * pow({TOP}, least(ga, 1)), 1 / least(ga, 1))
+    else sloc + sscale * sqrt(sdf) * tan(least(greatest((2 * e - 1) * {REACH}, {-math.pi / 2 + 1e-9!r}::double), {math.pi / 2 - 1e-9!r}::double)) end as x
+  from edges
+  union all select feature, k, u, x from smooth),
+clipped_u as (select *, least(greatest(u, {U_CLIP!r}::double), {1 - U_CLIP!r}::double) as cu from fine),
+scored_fine as (select *, {norm_ppf('cu')} as z from clipped_u),
+even as (select feature, i, lo + i * ((hi - lo) / {cp.GRID_POINTS - 1}.0::double) as ex,
+    -({cp.Z_MAX!r}::double) + i * ({2 * cp.Z_MAX!r}::double / {cp.GRID_POINTS - 1}.0::double) as ez
+  from (select *, unnest(range({cp.GRID_POINTS})) as i from model where family in ('beta', 'gamma', 't', 'gaussian_kde'))),
+even_u as (select *, {norm_cdf('ez')} as eu from even),
+z_table as ({_interpolated('even', 'scored_fine', 'ex', 'x', 'z', 'zt')}),
+x_table as ({_interpolated('even_u', 'scored_fine', 'eu', 'u', 'x', 'xt')}),
+z_lists as (select feature, list(zt order by i) as z_at from z_table group by 1),
+x_lists as (select feature, list(xt order by i) as x_at from x_table group by 1)"""
+
+
+def _read(table: str, place: str) -> str:
+    low = f"least(greatest(floor({place}), 0), {cp.GRID_POINTS - 2})::int"
+    return f"({table}[{low} + 1] + ({table}[{low} + 2] - {table}[{low} + 1]) * ({place} - {low}))"
+
+
+SCORE_SQL = f"""{MODEL_SQL},{TABLE_SQL},
 uniforms as (select v.id, v.feature, x, m.*exclude (feature), (x - tloc) / tscale as y from values_ v join model m using (feature)),
 clipped as (select *, least(greatest(case family when 'uniform' then (x - mn) / (mx - mn)
     when 'truncnorm' then ({norm_cdf('y')} - {norm_cdf('ta')}) / ({norm_cdf('tb')} - {norm_cdf('ta')}) else 0.5 end,
-    {U_CLIP!r}::double), {1 - U_CLIP!r}::double) as u from uniforms),
-scores as (select id, feature, least(greatest(case family when 'norm' then (x - mean) / sd
-    when 'lognorm' then (ln(x - lloc) - ln(lscale)) / ls else {norm_ppf('u')} end, {-cp.Z_MAX!r}::double), {cp.Z_MAX!r}::double) as z from clipped),
+    {U_CLIP!r}::double), {1 - U_CLIP!r}::double) as u, (x - lo) / (hi - lo) * {cp.GRID_POINTS - 1}.0::double as place from uniforms),
+scores as (select id, feature, least(greatest(case when family = 'norm' then (x - mean) / sd
+    when family = 'lognorm' then (ln(x - lloc) - ln(lscale)) / ls
+    when z_at is not null then {_read('z_at', 'place')}
+    else {norm_ppf('u')} end, {-cp.Z_MAX!r}::double), {cp.Z_MAX!r}::double) as z from clipped left join z_lists using (feature)),
 score_stats as (select feature, avg(z) as zm, stddev_pop(z) as zs from scores group by feature),
 standard as (select s.id, s.feature, (z - zm) / zs as z from scores s join score_stats using (feature))"""
 
@@ -98,28 +175,30 @@ def latent_row_reduction(spark, sf):
 
 LATENT_SQL = f"""{SCORE_SQL},
 noise as (select s, id, {norm_ppf('u')} as e from
-  {uniform(f"(select s, id from (select distinct id from standard) cross join (select unnest(range({N_SYNTH})) as s))", "s, id", "u", SEED + cp.LATENT_STREAM, "s", "id")}),
+  {uniform(f"(select s, id from (select distinct id from standard) cross join (select unnest(range((select 10 + count(*) // {PER_ROW} from customer))) as s))", "s, id", "u", SEED + cp.LATENT_STREAM, "s", "id")}),
 latent as (select s as synth, feature, sum(e * z) / sqrt(count(*)) as z from noise join standard using (id) group by 1, 2)"""
 
 
-def _latent(model, z):
-    return cp.latent_draws(cp.standardise(z), N_SYNTH, SEED + cp.LATENT_STREAM, *_sizes(model), mixing="rows")
+def _latent(model, z, rows):
+    return cp.latent_draws(cp.standardise(z), rows, SEED + cp.LATENT_STREAM, *_sizes(model), mixing="rows")
 
 
 @query("copula_latent", f"with recursive {LATENT_SQL} select synth::bigint as synth, feature, round(z, 6) as z from latent")
 def copula_latent(spark, sf):
-    return _latent(*scores(spark, sf)).withColumn("z", F.round("z", 6))
+    return _latent(*scores(spark, sf), n_synth(spark, sf)).withColumn("z", F.round("z", 6))
 
 
 # quantities are whole numbers, so values are rounded to none
 SAMPLE_SQL = f"""{LATENT_SQL},
-placed as (select l.synth, l.feature, l.z, m.* exclude (feature),
+placed as (select l.synth, l.feature, l.z, m.* exclude (feature), x_at,
+    (least(greatest(l.z, {-cp.Z_MAX!r}::double), {cp.Z_MAX!r}::double) + {cp.Z_MAX!r}::double) / {2 * cp.Z_MAX!r}::double * {cp.GRID_POINTS - 1}.0::double as xp,
     least(greatest(({norm_cdf('ta')}) + ({norm_cdf('l.z')}) * (({norm_cdf('tb')}) - ({norm_cdf('ta')})), 1e-16), 1 - 1e-16) as tu
-  from latent l join model m using (feature)),
+  from latent l join model m using (feature) left join x_lists using (feature)),
 drawn as (select synth, feature, missing, floor(least(greatest(case family
     when 'norm' then mean + sd * z when 'lognorm' then lloc + lscale * exp(ls * z)
     when 'uniform' then mn + (mx - mn) * {norm_cdf('z')}
-    else tloc + tscale * {norm_ppf('tu')} end, lo), hi) + 0.5) as value from placed),
+    when 'truncnorm' then tloc + tscale * {norm_ppf('tu')}
+    else {_read('x_at', 'xp')} end, lo), hi) + 0.5) as value from placed),
 rolled as (select * from {uniform(f"(select *, {name_key('feature')} as nk from drawn)", "synth, feature, missing, value, nk", "m", SEED + cp.MASK_STREAM, "synth", "nk")})"""
 
 
@@ -130,7 +209,7 @@ rolled as (select * from {uniform(f"(select *, {name_key('feature')} as nk from
 )
 def copula_sample(spark, sf):
     cells, model = prepared(spark, sf)
-    return cp.sample(cells, model, N_SYNTH, SEED, mixing="rows")
+    return cp.sample(cells, model, n_synth(spark, sf), SEED, mixing="rows")
 
 
 @query(

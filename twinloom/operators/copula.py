@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ ROW_TILE = 4096
 FEATURE_TILE = 256
 TILE_CELLS = 2_000_000
 SYNTH_TILE = 8192
+# Cells that share one copy of their feature's table.
+LOOKUP_CELLS = 1 << 16
 NOISE_ROWS = 256
 # The row reduction keeps p x p numbers in a task, so it is used up to this width only.
 FACTOR_WIDTH = 1024
@@ -372,23 +375,79 @@ def _cdf_table(row) -> tuple[np.ndarray, np.ndarray]:
     return x, np.concatenate([[0.0], np.cumsum(mass)]) / mass.sum()
 
 
-def _interpolate(table: str, place: Column) -> Column:
-    low = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(GRID_POINTS - 2)).cast("int")
-    left, right = F.get(table, low), F.get(table, low + 1)
-    return left + (right - left) * (place - low)
+def _looked_up(rows: DataFrame, grids: DataFrame, key: str, x: str, table: str, copies: DataFrame | int) -> DataFrame:
+    """(key, feature, x) -> (key, feature, y): ``x`` looked up in the feature's table of even points.
 
-
-def _row_bytes(model: DataFrame) -> int:
-    gridded = model.filter(F.col("z_at").isNotNull()).isEmpty()
-    return 256 if gridded else 256 + 16 * GRID_POINTS
+    ``grids`` holds feature, ``table`` (an array), and the ``first`` and ``last`` x. The rows
+    of a feature are dealt over its copies, about ``LOOKUP_CELLS`` rows each; every copy's rows meet
+    its table in one task, behind one another, so a table travels once per copy and not
+    once per row. ``copies`` is one number, or a table (feature, copies).
+    """
+    if isinstance(copies, DataFrame):
+        placed, spread = attach(rows, copies, ["feature"], row_bytes=64), attach(grids, copies, ["feature"], row_bytes=64)
+    else:
+        placed, spread = rows.withColumn("copies", F.lit(copies)), grids.withColumn("copies", F.lit(copies))
+    kind = rows.schema[key].dataType.simpleString()
+    cells = placed.select(
+        "feature", F.pmod(F.xxhash64(ref(key)), F.col("copies")).cast("int").alias("copy"), F.lit(1).alias("turn"),
+        ref(key).alias("key"), ref(x).alias("x"), F.lit(None).cast("array<double>").alias("table"),
+        F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("last"),
+    )
+    heads = spread.select(
+        "feature", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), F.lit(0).alias("turn"),
+        F.lit(None).cast(kind).alias("key"), F.lit(None).cast("double").alias("x"), ref(table).alias("table"), "first", "last",
+    )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, points, first, last = None, None, 0.0, 0.0
+        for batch in batches:
+            names = batch.column("feature").to_numpy(zero_copy_only=False)
+            turn = batch.column("turn").to_numpy()
+            x = batch.column("x").to_numpy(zero_copy_only=False)
+            y = np.full(batch.num_rows, np.nan)
+            edges = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (turn[1:] != turn[:-1]), True]) if len(names) else []
+            for low, high in zip(edges[:-1], edges[1:]):
+                if not turn[low]:  # the table of the rows behind it; several copies of it may follow each other
+                    now, points = names[low], batch.column("table")[int(low)].values.to_numpy()
+                    first, last = batch.column("first")[int(low)].as_py(), batch.column("last")[int(low)].as_py()
+                elif names[low] == now:
+                    place = (x[low:high] - first) / (last - first) * (len(points) - 1.0)
+                    left = np.clip(np.floor(np.nan_to_num(place)), 0, len(points) - 2).astype(np.int64)
+                    y[low:high] = points[left] + (points[left + 1] - points[left]) * (place - left)
+            wanted = turn == 1
+            if wanted.any():
+                keep = pa.array(wanted)
+                yield pa.RecordBatch.from_pydict(
+                    {key: batch.column("key").filter(keep), "feature": batch.column("feature").filter(keep), "y": y[wanted]}
+                )
+
+    order = ["feature", "copy", "turn"]
+    met = cells.unionByName(heads).repartition(tasks(rows.sparkSession), "feature", "copy").sortWithinPartitions(*order)
+    return met.mapInArrow(read, f"`{key}` {kind}, feature string, y double")
+
+
+def _gridded(model: DataFrame) -> DataFrame | None:
+    """The part of a staged model that is read off tables, if there is any."""
+    part = model.filter(F.col("z_at").isNotNull())
+    return None if part.isEmpty() else part
+
+
+_SMALL = ("x_at", "z_at", "own")
 
 
 def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows (id, feature, z) of mean-imputed cells, z clipped to the usable range."""
-    named = attach(cells, model, ["feature"], row_bytes=_row_bytes(model))
+    """Rows (id, feature, z) of mean-imputed cells, z clipped to the usable range.
+
+    Families with a closed form are scored where the cells are; the others' cells meet the
+    tables of their features (``_looked_up``). ``model`` is staged.
+    """
+    small = model.drop(*_SMALL)
+    grids = _gridded(model)
+    named = attach(cells, small, ["feature"], row_bytes=256)
     x = F.coalesce("value", "fill")
     family = F.col("family")
-    first = named.select(
+    usable = family.isin(*grid_families()) & ~F.col("constant")
+    first = named.filter(~usable).select(
         "id",
         "feature",
         "family",
@@ -398,10 +457,6 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         "ca",
         "cb",
         div(x - F.col("loc"), F.col("scale")).alias("y"),
-        F.when(
-            family.isin(*grid_families()),
-            _interpolate("z_at", div(x - F.col("low"), F.col("high") - F.col("low")) * F.lit(GRID_POINTS - 1.0)),
-        ).alias("zg"),
         F.when(family == "lognorm", F.ln(x - F.col("loc"))).alias("log"),
     )
     y, ca, cb = F.col("y"), F.col("ca"), F.col("cb")
@@ -414,10 +469,15 @@ def normal_scores(cells: DataFrame, model: DataFrame) -> DataFrame:
         F.when(F.col("constant"), F.lit(0.0))
         .when(family == "norm", y)
         .when(family == "lognorm", div(F.col("log") - F.ln("scale"), F.col("s")))
-        .when(family.isin(*grid_families()), F.col("zg"))
         .otherwise(F.col("zu"))
     )
-    return third.select("id", "feature", F.least(F.greatest(z, F.lit(-Z_MAX)), F.lit(Z_MAX)).alias("z"))
+    scored = third.select("id", "feature", z.alias("z"))
+    if grids is not None:
+        values = named.filter(usable).select("id", "feature", x.alias("x"))
+        tables = grids.select("feature", "z_at", F.col("low").alias("first"), F.col("high").alias("last"))
+        copies = grids.select("feature", F.ceil(F.col("n") / LOOKUP_CELLS).cast("bigint").alias("copies"))
+        scored = scored.unionByName(_looked_up(values, tables, "id", "x", "z_at", copies).withColumnRenamed("y", "z"))
+    return scored.select("id", "feature", F.least(F.greatest(F.col("z"), F.lit(-Z_MAX)), F.lit(Z_MAX)).alias("z"))
 
 
 def standardise(scores: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -622,7 +682,7 @@ def sample_parts(
     scores = stage(standardise(stage(normal_scores(cells, model))).withColumn("part", part_of(F.col("feature"))))
     sizes = stage(model.groupBy(part_of(F.col("feature")).alias("part")).agg(F.max("n").alias("n")))
     latent = mix_parts(scores, spans, sizes, model.count(), seed + LATENT_STREAM, batch)
-    return missing_mask(inverse_marginals(latent, model), seed)
+    return missing_mask(inverse_marginals(latent, model, max(b - a for a, b in spans)), seed)
 
 
 def mix_rows(
@@ -690,32 +750,43 @@ def clip_round(value: Column, low: Column, high: Column, digits: Column) -> Colu
     return F.when(digits.isNull() | (digits >= MAX_DIGITS), held).otherwise(round_half_up(held, scale))
 
 
-def inverse_marginals(latent: DataFrame, model: DataFrame) -> DataFrame:
-    """Latent (synth, feature, z) to values in data units, clipped and rounded."""
-    named = attach(latent, model, ["feature"], row_bytes=_row_bytes(model))
+def inverse_marginals(latent: DataFrame, model: DataFrame, n_synth: int = LOOKUP_CELLS) -> DataFrame:
+    """Latent (synth, feature, z) to values in data units, clipped and rounded.
+
+    ``n_synth``: about how many rows a feature has; tables travel once for ``LOOKUP_CELLS`` of them.
+    """
+    small = model.drop(*_SMALL)
+    grids = _gridded(model)
+    named = attach(latent, small, ["feature"], row_bytes=256)
     family, z = F.col("family"), F.col("z")
+    usable = family.isin(*grid_families()) & ~F.col("constant")
     ca, cb = F.col("ca"), F.col("cb")
     u = norm_cdf("z")
-    first = named.withColumn(
+    first = named.filter(~usable).withColumn(
         "u",
         F.when(family == "truncnorm", ca + u * (cb - ca)).when(
             family.isin("uniform", CATEGORY), u
         ),
     ).withColumn("__u", F.when(family == "truncnorm", F.least(F.greatest("u", F.lit(1e-16)), F.lit(1.0 - 1e-16))))
     second = with_norm_ppf(first, "__u", "zt")
-    held = F.least(F.greatest(z, F.lit(-Z_MAX)), F.lit(Z_MAX))
     x = (
         F.when(F.col("constant"), F.col("low"))
         .when(family == "norm", F.col("loc") + F.col("scale") * z)
         .when(family == "lognorm", F.col("loc") + F.col("scale") * F.exp(F.col("s") * z))
         .when(family == "truncnorm", F.col("loc") + F.col("scale") * F.col("zt"))
-        .when(
-            family.isin(*grid_families()),
-            _interpolate("x_at", (held + F.lit(Z_MAX)) / F.lit(2.0 * Z_MAX) * F.lit(GRID_POINTS - 1.0)),
-        )
         .otherwise(F.col("loc") + F.col("scale") * F.col("u"))
     )
-    return second.withColumn("__x", x).select(
+    kept = ["low", "high", "digits", "missing", "name_id"]
+    drawn = second.select("synth", "feature", *kept, x.alias("__x"))
+    if grids is not None:
+        held = F.least(F.greatest(z, F.lit(-Z_MAX)), F.lit(Z_MAX))
+        tables = grids.select("feature", "x_at", F.lit(-Z_MAX).alias("first"), F.lit(Z_MAX).alias("last"))
+        values = named.filter(usable).select("synth", "feature", held.alias("z"))
+        found = _looked_up(values, tables, "synth", "z", "x_at", max(1, -(-n_synth // LOOKUP_CELLS)))
+        drawn = drawn.unionByName(
+            attach(found, small.select("feature", *kept), ["feature"], row_bytes=128).select("synth", "feature", *kept, F.col("y").alias("__x"))
+        )
+    return drawn.select(
         "synth",
         "feature",
         clip_round(F.col("__x"), F.col("low"), F.col("high"), F.col("digits")).alias("value"),
@@ -748,4 +819,4 @@ def sample(
     latent = latent_draws(
         standardise(scores), n_synth, seed + LATENT_STREAM, n_rows, n_features, mixing, batch
     )
-    return missing_mask(inverse_marginals(latent, model), seed)
+    return missing_mask(inverse_marginals(latent, model, n_synth), seed)
