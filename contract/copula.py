@@ -166,10 +166,10 @@ def latent_correlation(spark, sf):
 
 @query("latent_row_reduction", CORRELATION_SQL)
 def latent_row_reduction(spark, sf):
-    """The reduced rows keep every cross product, hence the whole correlation."""
+    """The reduced rows keep every cross product, hence the whole correlation. Blocks are small here."""
     model, z = scores(spark, sf)
     n, p = _sizes(model)
-    reduced = cp.correlation(stage(cp.reduce_rows(cp.standardise(z), n, p)), min(n, p), p)
+    reduced = cp.correlation(stage(cp.reduce_rows(cp.standardise(z), n, p, block=8)), min(n, p), p)
     return reduced.withColumn("correlation", F.round(F.col("correlation") * min(n, p) / n, 7))
 
 

@@ -162,6 +162,23 @@ def test_draws_do_not_depend_on_partitions_or_tiles(spark, correlated, monkeypat
     assert max(abs(three[k] - four[k]) for k in three) < 1e-9
 
 
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_reduced_rows_keep_all_cross_products(spark, block):
+    """More columns than one block holds, one column the sum of two others, one constant zero."""
+    rng = np.random.default_rng(15)
+    z = rng.normal(size=(60, 7))
+    z[:, 3] = z[:, 0] + z[:, 1]
+    z[:, 5] = 0.0
+    scores = cells_of(spark, {f"f{j}": z[:, j] for j in range(7)}).withColumnRenamed("value", "z").repartition(3)
+    reduced = stage(copula.reduce_rows(scores, 60, 7, block)).toPandas()
+    wide = reduced.pivot(index="id", columns="feature", values="z").fillna(0.0)
+    assert len(wide) == 5 and sorted(wide.index) == list(range(5))
+    assert np.allclose(wide.to_numpy().T @ wide.to_numpy(), z.T @ z, atol=1e-9)
+    drawn = copula.latent_draws(scores, 6000, 3, 60, 7, "factor", block=block).toPandas().pivot(index="synth", columns="feature", values="z")
+    want = z.T @ z / 60
+    assert np.allclose(drawn.to_numpy().T @ drawn.to_numpy() / 6000, want, atol=0.12 * want.max())
+
+
 def test_categories_roundtrip(spark):
     rows = spark.createDataFrame([(i, "abbcccdddd"[i % 10], i % 3) for i in range(200)], "id bigint, c string, n int")
     levels = copula.category_levels(rows, ["c", "n"])
@@ -418,15 +435,12 @@ def test_fine_decimals_survive(spark):
     assert spark.range(1).select(value.alias("v")).first()["v"] == pytest.approx(0.12345678, abs=1e-15)
 
 
-def test_mixing_is_never_chosen_from_the_data(spark, correlated, monkeypatch):
+def test_mixing_is_never_chosen_from_the_data(spark, correlated):
     cells, _ = correlated
     families = spark.createDataFrame([(f"x{j}", "norm") for j in range(3)], "feature string, family string")
     model = copula.fit_model(cells, families)
     with pytest.raises(ValueError, match="mixing"):
         copula.sample(cells, model, 5, 1, mixing="auto")
-    monkeypatch.setattr(copula, "FACTOR_WIDTH", 2)
-    with pytest.raises(ValueError, match="at most 2"):
-        copula.sample(cells, model, 5, 1, mixing="factor")
     same = [sorted(map(tuple, copula.sample(cells, model, 5, 1, **how).collect()), key=str) for how in ({}, {"mixing": "rows"})]
     assert same[0] == same[1]
 

@@ -2,8 +2,9 @@
 
 The model is a table with one row per feature. Latent draws need no p x p factorisation:
 a random linear combination of the n score rows, z* = (1/sqrt n) sum_i e_i z_i with
-independent normal e_i, has exactly the sample covariance. Where rows outnumber features
-the rows are first reduced to at most p rows with the same cross products.
+independent normal e_i, has exactly the sample covariance. Where rows far outnumber
+features they can first be reduced to at most p rows with the same cross products, by
+blocks of features.
 """
 
 from __future__ import annotations
@@ -52,9 +53,8 @@ SYNTH_TILE = 8192
 # Cells that share one copy of their feature's table.
 LOOKUP_CELLS = 1 << 16
 NOISE_ROWS = 256
-# The row reduction keeps p x p numbers in a task, so it is used up to this width only.
-FACTOR_WIDTH = 1024
-FACTOR_FAN = 8
+# Features of one block of the row reduction; a task holds three tiles of its square.
+FACTOR_BLOCK = 512
 
 LATENT_STREAM = 11
 MASK_STREAM = 12
@@ -546,44 +546,160 @@ def correlation(scores: DataFrame, n_rows: int, n_features: int) -> DataFrame:
     )
 
 
-def _reduce_first(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, names, z = _tile(pdf)
-    return _triangle(int(pdf["chunk"].iloc[0]), names, z)
+def _block_names(scores: DataFrame, n_features: int, block: int) -> tuple[Column, list[list[str]]]:
+    """The block of each feature and the sorted names in every block."""
+    number, n = _buckets("feature", block, n_features)
+    names: list[list[str]] = [[] for _ in range(n)]
+    for r in scores.select("feature").distinct().select("feature", number.alias("block")).collect():  # the width of the table
+        names[r["block"]].append(r["feature"])
+    return number, [sorted(own) for own in names]
 
 
-def _reduce_next(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["chunk", "row"])
-    return _triangle(int(pdf["parent"].iloc[0]), pdf["names"].iloc[0], np.stack(pdf["z"].to_list()))
+_TILE = "i int, j int, m binary"
 
 
-def _triangle(chunk: int, names, z: np.ndarray) -> pd.DataFrame:
-    r = np.linalg.qr(z, mode="r")
-    r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
-    return pd.DataFrame(
-        {"chunk": chunk, "row": range(len(r)), "names": [list(names)] * len(r), "z": [v.tolist() for v in r]}
+def _cross_tiles(scores: DataFrame, n_rows: int, number: Column, names: list[list[str]]) -> DataFrame:
+    """Tiles (i <= j, m) of the cross products of all features, as 64-bit floats."""
+    rows, _ = _buckets("id", ROW_TILE, n_rows)
+    others = F.transform(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)),
+        lambda o: F.struct(F.least(o, F.col("fb")).alias("i"), F.greatest(o, F.col("fb")).alias("j")),
     )
+    tiles = scores.select("id", "feature", "z", rows.alias("rc"), number.alias("fb"))
+    spread = tiles.select("id", "feature", "z", "rc", "fb", F.inline(others))
+
+    def side(ids: pd.Series, pdf: pd.DataFrame, block: int) -> np.ndarray:
+        own = pdf[pdf["fb"] == block]
+        place = {name: k for k, name in enumerate(names[block])}
+        z = np.zeros((len(ids), len(place)))
+        z[ids.get_indexer(own["id"]), own["feature"].map(place)] = own["z"].to_numpy()
+        return z
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        ids = pd.Index(pdf["id"].unique())
+        left = side(ids, pdf, i)
+        right = left if i == j else side(ids, pdf, j)
+        return pd.DataFrame([(i, j, (left.T @ right).tobytes())], columns=["i", "j", "m"])
 
+    parts = _spread_tiles(spread, "rc", "i", "j").applyInPandas(products, _TILE)
+    return _added_tiles(parts)
 
-def reduce_rows(scores: DataFrame, n_rows: int, n_features: int) -> DataFrame:
+
+def _added_tiles(parts: DataFrame) -> DataFrame:
+    """Tiles of one place added up: at most a running sum per place in a task."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+        for batch in batches:
+            for i, j, m in batch[["i", "j", "m"]].itertuples(index=False):
+                m = np.frombuffer(m)
+                if now == (i, j):
+                    held = held + m
+                    continue
+                if now is not None:
+                    yield pd.DataFrame([(*now, held.tobytes())], columns=["i", "j", "m"])
+                now, held = (i, j), m
+        if now is not None:
+            yield pd.DataFrame([(*now, held.tobytes())], columns=["i", "j", "m"])
+
+    spread = parts.repartition(tasks(parts.sparkSession), "i", "j").sortWithinPartitions("i", "j")
+    return spread.mapInPandas(add, _TILE)
+
+
+def _root(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """F with F'F = ``tile`` (positive semidefinite) in triangular form with positive pivots, and M
+    with M'T = the rows that F has beside a tile T of the same rows.
+
+    Columns that depend on those before them have no pivot and give no row.
+    """
+    left = (tile + tile.T) / 2.0
+    least = np.diag(left).max(initial=0.0) * len(tile) * 1e-14
+    rows, pivots = [], []
+    for k in range(len(tile)):
+        if left[k, k] > least:
+            row = left[k] / math.sqrt(left[k, k])
+            row[:k] = 0.0
+            rows.append(row)
+            pivots.append(k)
+            left = left - np.outer(row, row)
+    root = np.array(rows).reshape(len(rows), len(tile))
+    inverse = np.zeros((len(tile), len(rows)))
+    if rows:
+        inverse[pivots] = np.linalg.inv(root[:, pivots])
+    return root, inverse
+
+
+def reduce_rows(scores: DataFrame, n_rows: int, n_features: int, block: int = FACTOR_BLOCK) -> DataFrame:
     """At most p rows (id, feature, z) with the same cross products as all ``scores``.
 
-    Each chunk of rows is brought to triangular form; triangles are stacked in groups of
-    ``FACTOR_FAN`` and reduced again until one is left. Every row must have every feature.
+    The cross products are cut into tiles of ``block`` features and factored block by block: the
+    triangular root of a diagonal tile gives the next rows, its inverse brings the tiles
+    beside it to those rows, and their products are taken off the tiles that are left. A task
+    holds three tiles and the driver one, so the width may exceed what one task could hold. Features that
+    depend on others (or more features than rows) give fewer rows.
     """
-    rows_per_chunk = max(2 * n_features, min(ROW_TILE, TILE_CELLS // max(n_features, 1)))
-    chunk, n = _buckets("id", rows_per_chunk, n_rows)
-    schema = "chunk int, row int, names array<string>, z array<double>"
-    level = _spread_tiles(scores.withColumn("chunk", chunk), "chunk").applyInPandas(_reduce_first, schema)
-    while n > 1:
-        n = -(-n // FACTOR_FAN)
-        level = (
-            level.withColumn("parent", F.floor(F.col("chunk") / F.lit(FACTOR_FAN)).cast("int"))
-            .groupBy("parent")
-            .applyInPandas(_reduce_next, schema)
-        )
-    return level.select(
-        F.col("row").cast("bigint").alias("id"), F.inline(F.arrays_zip(F.col("names").alias("feature"), F.col("z").alias("z")))
-    )
+    scores = stage(scores)
+    number, names = _block_names(scores, n_features, block)
+    left = stage(_cross_tiles(scores, n_rows, number, names))
+    rows, base = [], 0
+    for k in range(len(names)):
+        if not names[k]:
+            continue
+        width = len(names[k])
+        corner = left.filter((F.col("i") == k) & (F.col("j") == k)).first()  # one tile
+        root, inverse = _root(np.frombuffer(corner["m"]).reshape(width, width))
+        if not len(root):  # a block of zeros; rows above it, if there are any, hold its columns
+            if not base:
+                rows.append(scores.sparkSession.createDataFrame([(0, n, 0.0) for n in names[k]], "id bigint, feature string, z double"))
+            continue
+        panel = stage(_panel(left.filter(F.col("i") == k), inverse, width))
+        rows.append(_panel_rows(panel, names, base, len(root)))
+        base += len(root)
+        if k + 1 < len(names):
+            left = stage(_taken_off(left.filter(F.col("i") > k), panel.filter(F.col("j") > k), len(root)))
+    if not rows:
+        return scores.select(F.col("id").cast("bigint"), "feature", "z").limit(0)
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _panel(tiles: DataFrame, inverse: np.ndarray, width: int) -> DataFrame:
+    """The tiles of one block row times the transposed inverse of its root: rows of the factor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [(inverse.T @ np.frombuffer(m).reshape(width, -1)).tobytes() for m in batch["m"]]
+            yield batch.assign(m=done)
+
+    return tiles.repartition(tasks(tiles.sparkSession), "j").mapInPandas(run, _TILE)
+
+
+def _panel_rows(panel: DataFrame, names: list[list[str]], base: int, height: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for j, m in batch[["j", "m"]].itertuples(index=False):
+                own = names[j]
+                z = np.frombuffer(m).reshape(height, -1)
+                ids = np.repeat(np.arange(base, base + height), len(own))
+                yield pd.DataFrame({"id": ids, "feature": own * height, "z": z.reshape(-1)})
+
+    return panel.mapInPandas(run, "id bigint, feature string, z double")
+
+
+def _taken_off(tiles: DataFrame, panel: DataFrame, height: int) -> DataFrame:
+    """Each tile less the product of the two panel tiles of its block row and column."""
+    one = panel.select(F.col("j").alias("i"), F.col("m").alias("a"))
+    two = panel.select("j", F.col("m").alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for m, a, b in batch[["m", "a", "b"]].itertuples(index=False):
+                a, b = np.frombuffer(a).reshape(height, -1), np.frombuffer(b).reshape(height, -1)
+                done.append((np.frombuffer(m).reshape(a.shape[1], -1) - a.T @ b).tobytes())
+            yield batch[["i", "j"]].assign(m=done)
+
+    return tiles.join(one, "i").join(two, "j").select("i", "j", "m", "a", "b").mapInPandas(run, _TILE)
 
 
 def _mix(pdf: pd.DataFrame, seed: int, n_synth: int, scale: float, batch: int) -> pd.DataFrame:
@@ -722,21 +838,19 @@ def latent_draws(
     n_features: int,
     mixing: str = "rows",
     batch: int = NOISE_ROWS,
+    block: int = FACTOR_BLOCK,
 ) -> DataFrame:
     """Latent normal draws with the correlation of the standardised ``scores``.
 
-    ``mixing``: "rows" combines all rows, at any size. "factor" combines rows reduced to as
-    many as there are features first, which keeps p x p numbers in a task; it is an error
-    beyond ``FACTOR_WIDTH`` features. The two give different draws, so the choice is never
-    made from the data.
+    ``mixing``: "rows" combines all rows. "factor" combines rows reduced to as many as there
+    are features first (``reduce_rows``), for many more rows than features. The two give
+    different draws, so the choice is never made from the data.
     """
     if mixing not in ("rows", "factor"):
         raise ValueError("mixing is 'rows' or 'factor'")
-    if mixing == "factor" and n_features > FACTOR_WIDTH:
-        raise ValueError(f"factor mixing takes at most {FACTOR_WIDTH} features, not {n_features}")
     if mixing == "rows":
         return mix_rows(scores, n_synth, seed, n_rows, n_features, n_rows, batch)
-    reduced = stage(reduce_rows(scores, n_rows, n_features))
+    reduced = stage(reduce_rows(scores, n_rows, n_features, block))
     return mix_rows(reduced, n_synth, seed, min(n_rows, n_features), n_features, n_rows, batch)
 
 
