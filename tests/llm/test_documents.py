@@ -307,6 +307,43 @@ def test_longest_match_and_its_place(spark):
     assert [tuple(m) for m in row["matches"]] == [("i", 10, 5, 30)]
 
 
+def test_suffixes_are_sorted_within_documents():
+    draw = random.Random(12)
+    for _ in range(150):
+        sizes = [draw.randrange(0, 40) for _ in range(draw.randrange(1, 6))]
+        top = draw.choice([1, 2, 5, 40])
+        codes = np.array([draw.randrange(1, top + 1) for _ in range(sum(sizes))], np.int64)
+        if draw.random() < 0.3:
+            codes += 1 << 21
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        suffixes = [codes[i : ends[i]].tolist() for i in range(len(codes))]
+        got = decontamination.sorted_suffixes(codes, ends)
+        assert [suffixes[i] for i in got] == sorted(suffixes)
+        assert sorted(got.tolist()) == list(range(len(codes)))
+
+
+def test_longest_matches_of_items(spark, docs, rows, none):
+    items = [(1, prose(1, 300)), (2, "alpha x1 nowhere"), (3, "nothing shared here"), (4, None), (2, "kappa kappa 42 42 gamma ab")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["item"]: r for r in decontamination.longest_matches(docs, bench).collect()}
+    texts = [(i, words_of(t)) for i, t, _ in rows]
+
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for item in (1, 2):
+        own = [words_of(t) for i, t in items if i == item]
+        most = max(common(w[s:], d[p:]) for w in own for s in range(len(w)) for _, d in texts[:7] + texts[11:] for p in range(len(d)))
+        most = max([most, *(common(own[0], d) for _, d in texts)]) if item == 1 else most
+        r = got[str(item)]
+        assert r["n_words"] >= most
+        place = [d[r["doc_word"] : r["doc_word"] + r["n_words"]] for i, d in texts if i == r["doc_id"]]
+        assert any(w[r["item_word"] : r["item_word"] + r["n_words"]] in place for w in own)
+    assert "3" not in got and "4" not in got and got["1"]["n_words"] == 300
+    assert decontamination.longest_matches(none, bench).count() == 0
+    assert decontamination.longest_matches(docs, bench.limit(0)).count() == 0
+
+
 def test_packing(docs, rows, none):
     path = public_tokenizers.path(packing.TOKENIZER)
     from tokenizers import Tokenizer
