@@ -171,6 +171,23 @@ def test_url_rules(spark, none):
     assert collections.Counter(tuple(r) for r in got) == expected
     assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
+    # many nested paths on nested hosts, some both blocked and allowed
+    draw = random.Random(2)
+    rules = [
+        {"action": draw.choice(["allow", "block"]), "host": ".".join(draw.choices("abc", k=draw.randrange(1, 4))), "path": "/" + "".join(draw.choices("xy/", k=draw.randrange(5)))}
+        for _ in range(400)
+    ]
+    urls = ["s://" + ".".join(draw.choices("abc", k=draw.randrange(1, 5))) + "/" + "".join(draw.choices("xy/", k=draw.randrange(8))) for _ in range(600)]
+
+    def strict(url):
+        host, path, _, _ = judge(url)
+        fit = [r for r in rules if (host == r["host"] or host.endswith("." + r["host"])) and path.startswith(r["path"])]
+        best = max(fit, key=lambda r: (len(r["host"] + r["path"]), len(r["host"]), r["action"]), default=None)
+        return url, host, path, best and best["host"] + best["path"], best["action"] if best else "allow"
+
+    listed = spark.createDataFrame(rules, "action string, host string, path string")
+    many = spark.createDataFrame([(u, u) for u in urls], "page_id string, url string")
+    assert collections.Counter(tuple(r) for r in url_filter.filter_urls(many, listed).collect()) == collections.Counter(map(strict, urls))
 
 
 def test_license_scan(spark, docs, rows, none):

@@ -3,8 +3,10 @@
 A host is written with its labels reversed (``blog.example.com`` -> ``com.example.blog.``),
 so a rule's host and all its subdomains form one interval of keys. Urls are cut into
 ranges of that key by sampled splitters; a rule goes to every range that its interval
-meets. Each range is sorted with rules and urls mixed and swept once: rules whose interval
-covers the current key form a stack of nested intervals. The active rule with the longest
+meets. Each range is sorted with rules and urls mixed and swept once: hosts with rules whose
+interval covers the current key form a stack of nested intervals, each with its paths by text,
+so a url costs a lookup per host above it and different path length, however many rules
+there are. The active rule with the longest
 ``host + path`` whose path begins the url's path decides (of equal length the one with the
 longer host, then block before allow).
 
@@ -62,9 +64,30 @@ def _splitters(keys: DataFrame, ranges: int) -> list[tuple[str, int]]:
     return sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
 
 
+class _Host:
+    """The rules of one host that cover the current key: paths by text, and their different lengths."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host = key, host
+        self.actions: dict[str, str] = {}
+        self.lengths: list[int] = []
+
+    def add(self, path: str, action: str) -> None:
+        self.actions[path] = max(action, self.actions.get(path, action))  # block before allow
+        if len(path) not in self.lengths:
+            self.lengths = sorted([*self.lengths, len(path)], reverse=True)
+
+    def longest(self, path: str) -> tuple[int, int, str, str] | None:
+        """The longest path that begins ``path``, ready to be compared with other hosts' rules."""
+        for n in self.lengths:
+            if n <= len(path) and path[:n] in self.actions:
+                return len(self.host) + n, len(self.host), self.actions[path[:n]], self.host + path[:n]
+        return None
+
+
 def _sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted rules and urls of whole ranges -> urls with their rule; holds only the stack."""
-    stack: list[tuple[str, str, str, str]] = []
+    stack: list[_Host] = []
     at = None
     for frame in rows:
         rules, actions = [], []
@@ -73,16 +96,17 @@ def _sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ):
             if part != at:
                 at, stack = part, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             best = None
             if is_url:
-                fits = [r for r in stack if path.startswith(r[2])]
-                best = max(fits, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]), r[3]), default=None)
+                best = max(filter(None, (h.longest(path) for h in stack)), default=None)
             else:
-                stack.append((key, host, path, action))
-            rules.append(best and best[1] + best[2])
-            actions.append(best and best[3])
+                if not stack or stack[-1].key != key:
+                    stack.append(_Host(key, host))
+                stack[-1].add(path, action)
+            rules.append(best and best[3])
+            actions.append(best and best[2])
         out = frame[["id", "host", "path"]].assign(rule=rules, verdict=actions)
         yield out[frame["is_url"]]
 
