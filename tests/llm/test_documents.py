@@ -393,6 +393,11 @@ def test_word_encoder_equals_the_tokenizer():
     for text in odd + [prose(4, 300)]:
         ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text) == np.array(ids, "<u4").tobytes()
+    assert not encoder.plain
+    other = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))  # keeps white space and case
+    for text in odd + [prose(4, 300), "Two  Spaces\tand CASE "]:
+        ids = other.tokenizer.encode(text, add_special_tokens=False).ids
+        assert other.encode(text) == np.array(ids, "<u4").tobytes()
 
 
 def test_best_fit_on_counts_places_every_item():
@@ -437,6 +442,57 @@ def test_language_id(spark, docs, rows, none):
     assert {r["lang_pred"] for r in language_id.predict(docs, []).collect()} == {"und"}
 
 
+def test_language_id_by_plain_profiles(spark):
+    """Profiles, places, distances, ties and scores written out in plain Python."""
+
+    def counts(text):
+        flat = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 95 for b in (text or "").encode())
+        flat = re.sub(b"_+", b"_", b"_" + flat + b"_")
+        own = collections.Counter()
+        for n in (1, 2, 3):
+            own.update(flat[k : k + n] for k in range(len(flat) - n + 1) if n > 1 or flat[k : k + 1] != b"_")
+        return own
+
+    def ranked(own):
+        code = lambda g: int.from_bytes(g, "big")
+        return sorted(own, key=lambda g: (-own[g], code(g)))[: language_id.PROFILE]
+
+    draw = random.Random(17)
+    letters = {"aa": "abcdeé", "bb": "cdefgö", "cc": "ghijkß"}
+    text = lambda lang: "".join(draw.choice(letters[lang] + " .") for _ in range(draw.randrange(1, 900)))
+    train = [(k, text(lang), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 25)]
+    docs = frame(spark, train + [(500 + k, text(draw.choice(list(letters))), None) for k in range(40)] + [(900, "abcd ghij", None), (901, "xyz", None)])
+    model = language_id.fit(docs)
+    profiles = {}
+    for lang in letters:
+        own = collections.Counter()
+        for i, t, name in train:
+            if name == lang and zlib.crc32(str(i).encode()) % 5:
+                own.update(counts(t))
+        profiles[lang] = ranked(own)
+        assert dict(model)[lang] == [int.from_bytes(g, "big") for g in profiles[lang]]
+    for r in language_id.predict(docs, model).collect():
+        t = {i: t for i, t, *_ in docs.collect()}[r["doc_id"]]
+        own = ranked(counts(t))
+        far = {
+            lang: sum(abs(k - places[g]) if g in places else language_id.PROFILE for k, g in enumerate(own))
+            for lang, places in ((lang, {g: k for k, g in enumerate(p)}) for lang, p in profiles.items())
+        }
+        best, second = sorted(far.items(), key=lambda x: (x[1], x[0]))[:2]
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        assert r["lang_pred"] == best[0]
+        assert r["score"] == pytest.approx(1 - best[1] / max(second[1], 1))
+
+
+def test_ids_with_a_dot_in_their_name(spark):
+    named = frame(spark, [(k, prose(k, 20), "en") for k in range(12)]).withColumnRenamed("doc_id", "doc.id")
+    assert language_id.predict(named, language_id.fit(named, "doc.id"), "doc.id").columns[0] == "doc.id"
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "`doc.id` long, quality int")
+    assert quality.score_quality(named, labels, "doc.id").count() == 12
+
+
 def test_ngrams_do_not_depend_on_neighbours():
     texts = ["ab c.", "", None, "...", "é1é", "x"]
     row, code, count = language_id.ngrams(pa.array(texts))

@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -50,9 +51,31 @@ CACHE = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 
+# The pattern in the tokenizer file, and the settings with which words can be encoded one by one.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
     """Token ids of whole texts, by words that are encoded once and cached.
 
+    That needs a tokenizer with the settings of ``_SETTINGS``; any other one encodes whole texts.
+
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its white-space separated chunks in order. A chunk of characters up to U+017F is split by
     the tokenizer's own pattern (these characters are in normal form already) and its words
@@ -69,9 +92,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        # whole texts go through the tokenizer unless it cuts them as this class does
+        self.plain = any(settings[name] != wanted for name, wanted in _SETTINGS.items()) or settings["model"]["type"] != "BPE"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # fixed value: the pattern in the tokenizer file
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(_PATTERN).findall
         # printable bytes stand for themselves, the others are numbered from U+0100
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
@@ -106,7 +131,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if self._whole.search(text) or any(s in text for s in self.special):
+        if self.plain or self._whole.search(text) or any(s in text for s in self.special):
             return self._full(text)
         known, encode = self.chunks.get, self._chunk
         return b"".join([ids if (ids := known(c)) is not None else encode(c) for c in text.split()])

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinloom.functions.names import ref
 from twinloom.staging import checkpoint_root, tasks
 
 __all__ = ["stage", "tasks", "inline", "leading", "held_out", "pieces", "byte_view", "Words", "words_of", "mix"]
@@ -43,7 +44,7 @@ def leading(array, size: int, before: Callable[[Column], Column]) -> Column:
 
 def held_out(id_col: str):
     """Rows kept from every fit: crc32 of the id as text leaves no remainder by 5."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(ref(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
