@@ -2,17 +2,19 @@
 
 1. Every document's set of five-word shingles is hashed to a MinHash signature. Documents
    with the same set form a class and go on as one.
-2. A forest of ``TREES`` prefix tries orders the classes by parts of the signature, up to
-   ``DEPTH`` values each. Classes that share a whole prefix are candidates; the prefix is
-   shortened to the longest one with which pairs at the threshold are found with the
-   target recall in at least one tree (``prefix_length``).
-3. Classes below one trie node are swept in signature order, which is trie order: a class
-   joins the first leader that its signature shows to be within ``NEAR``, else it becomes
-   a leader; leaders that could still have members at the threshold are tied (triangle
-   inequality of the Jaccard distance, with a margin for the signature's error). Large
-   nodes are swept in salted parts first and then leader by leader, with ties for classes
-   two steps from their leader. A node gives fewer
-   edges than it has classes, never all pairs.
+2. A forest of ``TREES`` prefix tries holds the classes: each tree's label is its own ``DEPTH``
+   values of the signature, and the classes below one node are sorted by label, so that the
+   classes with a common prefix of any length lie side by side. The shortest prefix that
+   is used is the longest one with which a pair at the threshold meets in some tree with
+   the target recall (``prefix_length``).
+3. Matched prefixes are shortened step by step, from whole labels to that shortest prefix.
+   Below each prefix a class joins the first leader that its signature shows to be within
+   ``NEAR``, and is done: its leader stands for it. A class without such a leader leads itself
+   and goes on to the shorter prefix. At the last prefix leaders that could still have
+   members at the threshold are tied (triangle inequality of the Jaccard distance for one
+   step on either side, with a margin for the signature's error). Large nodes are dealt over parts, and
+   their leaders then meet in pairs of bounded blocks. A node gives fewer edges than it
+   has classes, never all pairs.
 4. Tied classes are candidates of each other. Their shingle sets are fetched once for each
    pair of bounded blocks of a candidate component, all pairs there are verified exactly,
    and only each class's number of links and a spanning forest leave the task.
@@ -134,7 +136,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _tree_keys(classes: DataFrame, depth: int) -> DataFrame:
-    """(key, class) for each class and tree; the key holds the tree and the prefix."""
+    """(key, tree, class) for each class and tree; the key is that of the node of the shortest prefix."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,93 +147,156 @@ def _tree_keys(classes: DataFrame, depth: int) -> DataFrame:
             for d in range(depth):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, d].astype(np.uint64))
             names = batch.column("class").take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))
-            yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "class": names})
-
-    return classes.select("class", "sig").mapInArrow(cut, "key long, class binary")
-
-
-class _Sweep:
-    """Leaders of one part of a trie node, and the edges they give."""
-
-    def __init__(self, threshold: float, steps: int):
-        self.near = NEAR
-        # a class may lie ``steps`` joins from its leader
-        self.tied = threshold - 2 * steps * (1 - NEAR) - MARGIN
-        self.names: list[bytes] = []
-        self.sigs = np.zeros((64, _SLOTS), np.uint16)
-        self.edges: list[tuple[bytes, bytes]] = []
-        self.tree = np.zeros(64, np.int64)  # of each leader: the tied leaders it belongs to
-
-    def add(self, name: bytes, sig: np.ndarray) -> None:
-        n = len(self.names)
-        if n:
-            alike = (self.sigs[:n] == sig).mean(1)
-            best = int(alike.argmax())
-            if alike[best] >= self.near:
-                self.edges.append((name, self.names[best]))
-                return
-            # one edge to each group of tied leaders is enough
-            groups, first = np.unique(self.tree[:n][tied := np.flatnonzero(alike >= self.tied)], return_index=True)
-            self.edges += [(name, self.names[tied[k]]) for k in first]
-            self.tree[:n][np.isin(self.tree[:n], groups)] = n
-        if n == len(self.sigs):
-            self.sigs = np.concatenate([self.sigs, np.zeros_like(self.sigs)])
-            self.tree = np.concatenate([self.tree, np.zeros_like(self.tree)])
-        self.sigs[n], self.tree[n] = sig, n
-        self.names.append(name)
-
-
-def _sweep(rows: DataFrame, threshold: float, steps: int = 1) -> DataFrame:
-    """(key, part, class, sig, parts) -> edges (a, b), and leaders (b null) of nodes in several parts."""
+            tree = np.tile(np.arange(TREES, dtype=np.int8), batch.num_rows)
+            yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "tree": tree, "class": names})
+
+    return classes.select("class", "sig").mapInArrow(cut, "key long, tree byte, class binary")
+
+
+class _Ties:
+    """Leaders in the order they come, with one edge to each group of tied leaders found before."""
+
+    def __init__(self, threshold: float, room: int):
+        # a class may lie one join from its leader, on either side
+        self.least = threshold - 2 * (1 - NEAR) - MARGIN
+        self.sigs = np.zeros((room, _SLOTS), np.uint16)
+        self.group = np.arange(room)
+        self.n = 0
+
+    def alike(self, sig: np.ndarray) -> np.ndarray:
+        return (self.sigs[: self.n] == sig).mean(1)
+
+    def add(self, sig: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        """Takes a leader in; the earlier leaders that it gets an edge to."""
+        n, tied = self.n, np.flatnonzero(alike >= self.least)
+        groups, first = np.unique(self.group[:n][tied], return_index=True)
+        self.group[:n][np.isin(self.group[:n], groups)] = n
+        self.sigs[n] = sig
+        self.n += 1
+        return tied[first]
+
+
+def descend(labels: np.ndarray, sigs: np.ndarray, depth: int, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges among the classes below one node, and the leaders that are left.
+
+    ``labels``: sorted rows of ``DEPTH`` values, which share the first ``depth``.
+    """
+    edges: list[tuple[int, int]] = []
+    alive, leads = np.arange(len(labels)), np.zeros(len(labels), bool)
+    for d in range(labels.shape[1], depth - 1, -1):
+        if len(alive) < 2:
+            break
+        prefix = labels[alive, :d]
+        cuts = np.flatnonzero((prefix[1:] != prefix[:-1]).any(1)) + 1
+        left: list[int] = []
+        for group in np.split(alive, cuts):
+            ties, here = _Ties(threshold, len(group)), []
+            for x in group.tolist():
+                alike = ties.alike(sigs[x])
+                best = int(alike.argmax()) if len(here) else -1
+                if best >= 0 and alike[best] >= NEAR and not leads[x]:
+                    edges.append((x, here[best]))
+                    leads[here[best]] = True
+                    continue
+                new = ties.add(sigs[x], alike)
+                if d == depth:
+                    edges += [(x, here[k]) for k in new]
+                here.append(x)
+            left += here
+        alive = np.array(left)
+    return edges, alive.tolist()
+
+
+def _sweep(rows: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """(key, part, class, label, sig, parts) -> edges (a, b), and leaders (b null) of nodes in several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sweep, several = None, _Sweep(threshold, steps), False
-        keys, a, b, sigs = [], [], [], []
-
-        def close():
-            for x, y in sweep.edges:
-                keys.append(at[0]), a.append(x), b.append(y), sigs.append(None)
-            if several:
-                for k, x in enumerate(sweep.names):
-                    keys.append(at[0]), a.append(x), b.append(None), sigs.append(sweep.sigs[k].tobytes())
-
-        def flush():
-            out = pa.RecordBatch.from_pydict(
-                {"key": pa.array(keys, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "sig": pa.array(sigs, pa.binary())}
-            )
-            for column in (keys, a, b, sigs):
+        at, several = None, False
+        names, labels, held = [], [], []
+        found: dict[str, list] = {c: [] for c in ("key", "a", "b", "sig")}
+
+        def note(a: bytes, b: bytes | None, sig: bytes | None) -> None:
+            for column, value in zip(found.values(), (at[0], a, b, sig)):
+                column.append(value)
+
+        def close() -> None:
+            trie = np.frombuffer(b"".join(labels), np.uint16).reshape(len(labels), DEPTH)
+            edges, left = descend(trie, np.frombuffer(b"".join(held), np.uint16).reshape(len(held), _SLOTS), depth, threshold)
+            for x, y in edges:
+                note(names[x], names[y], None)
+            for x in left if several else []:
+                note(names[x], None, held[x])
+
+        def flush() -> pa.RecordBatch:
+            kinds = {"key": pa.int64()}
+            out = pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in found.items()})
+            for column in found.values():
                 column.clear()
             return out
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = _matrix(batch.column("sig"))
-            for k, (key, part, name, parts) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "part", "class", "parts")])):
+            for key, part, name, parts, label, sig in zip(*[batch.column(c).to_pylist() for c in ("key", "part", "class", "parts", "label", "sig")]):
                 if (key, part) != at:
                     if at is not None:
                         close()
-                    at, sweep, several = (key, part), _Sweep(threshold, steps), parts > 1
-                sweep.add(name, matrix[k])
+                    at, several = (key, part), parts > 1
+                    names, labels, held = [], [], []
+                names.append(name)
+                labels.append(label)
+                held.append(sig)
             yield flush()
         if at is not None:
             close()
             yield flush()
 
-    spread = rows.repartition("key", "part").sortWithinPartitions("key", "part", "sig", "class")
-    return spread.select("key", "part", "class", "parts", "sig").mapInArrow(run, "key long, a binary, b binary, sig binary")
+    spread = rows.repartition("key", "part").sortWithinPartitions("key", "part", "label", "class")
+    return spread.select("key", "part", "class", "parts", "label", "sig").mapInArrow(run, "key long, a binary, b binary, sig binary")
+
+
+def _tied(units: DataFrame, threshold: float) -> DataFrame:
+    """(key, x, y, class, sig) -> edges (a, b) that tie the leaders of each unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, held = None, [], []
+
+        def close() -> pa.RecordBatch:
+            sigs = np.frombuffer(b"".join(held), np.uint16).reshape(len(held), _SLOTS)
+            ties = _Ties(threshold, len(held))
+            pairs = [(x, k) for x in range(len(held)) for k in ties.add(sigs[x], ties.alike(sigs[x])).tolist()]
+            return pa.RecordBatch.from_pydict({c: pa.array([names[p[k]] for p in pairs], pa.binary()) for k, c in enumerate("ab")})
+
+        for batch in batches:
+            for *key, name, sig in zip(*[batch.column(c).to_pylist() for c in ("key", "x", "y", "class", "sig")]):
+                if key != at:
+                    if at is not None:
+                        yield close()
+                    at, names, held = key, [], []
+                names.append(name)
+                held.append(sig)
+        if at is not None:
+            yield close()
+
+    spread = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "class")
+    return spread.select("key", "x", "y", "class", "sig").mapInArrow(run, "a binary, b binary")
 
 
 def candidate_edges(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) whose components hold every pair of classes that the forest finds alike."""
-    keys = stage(_tree_keys(classes, prefix_length(threshold, recall)))
+    depth = prefix_length(threshold, recall)
+    keys = stage(_tree_keys(classes, depth))
     nodes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     parts = F.ceil(F.col("size") / PART).cast("int")
     shared = keys.join(nodes.select("key", parts.alias("parts")), "key")
     shared = shared.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    swept = stage(_sweep(shared.join(classes.select("class", "sig"), "class"), threshold))
-    leaders = swept.filter(F.col("b").isNull()).select("key", F.lit(0).alias("part"), F.col("a").alias("class"), F.lit(1).alias("parts"), "sig")
-    return swept.filter(F.col("b").isNotNull()).select("a", "b").unionByName(_sweep(leaders, threshold, steps=2).select("a", "b"))
+    label = F.substring(F.col("sig"), F.col("tree").cast("int") * F.lit(2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    named = shared.join(classes.select("class", "sig"), "class").withColumn("label", label)
+    swept = stage(_sweep(named, threshold, depth))
+    leaders = swept.filter(F.col("b").isNull()).select("key", F.col("a").alias("class"), "sig")
+    blocks = leaders.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
+    placed = leaders.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = placed.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "class", "sig")
+    return swept.filter(F.col("b").isNotNull()).select("a", "b").unionByName(_tied(units, threshold))
 
 
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
