@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contract import tables as tb
 from contract.registry import query
@@ -45,10 +46,12 @@ def load_cohort(spark, sf):
     """Both tables are delivered as CSV files and read back with the reader."""
     folder = f"{checkpoint_root(spark)}/delivered-{uuid.uuid4().hex}"
     clinical, wide = tb.clinical(spark, sf), delivered(spark, sf)
-    tables.write_table(clinical, f"{folder}/clinical")
+    # the clinical table comes with a numbering that has no name
+    tables.write_table(clinical.select(F.col("id").alias(""), "*"), f"{folder}/clinical")
+    clinical_schema = T.StructType([T.StructField("_c0", T.LongType()), *clinical.schema])
     tables.write_table(wide, f"{folder}/features")
     read = tables.load_cohort(
-        spark, f"{folder}/clinical", f"{folder}/features", "id", clinical_schema=clinical.schema, features_schema=wide.schema
+        spark, f"{folder}/clinical", f"{folder}/features", "id", clinical_schema=clinical_schema, features_schema=wide.schema
     )
     whole = prep.complete_cases(Cohort(read.clinical, prep.null_to_zero(read.features), read.n_features))
     return (
@@ -247,9 +250,11 @@ def matrix_ingest(spark, sf):
     body = body.filter(F.col("peak") > LEAST_PEAK).select("part", F.lit(1).alias("place"), "line")
     header = cells.select("part", "id", F.lit(0).alias("value")).distinct().groupBy("part").agg(line(F.lit("name"), "id"))
     lines = header.select("part", F.lit(0).alias("place"), "line").unionByName(body)
+    # a line of its own comes before the header of every file
+    lines = lines.unionByName(header.select("part", F.lit(-1).alias("place"), F.concat(F.lit("export "), "part").alias("line")))
     lines.repartition("part").sortWithinPartitions("part", "place").select("line", "part").write.partitionBy("part").text(folder)
     names = [r[0] for r in spark.read.text(folder).select("_metadata.file_name").distinct().collect()]
-    united = stage(read_matrices(spark, folder, names, skip=0))
+    united = stage(read_matrices(spark, folder, [*names, "absent.csv"], skip=1))
     n_ids = united.select("id").distinct().count()
     return united.groupBy("feature").agg(
         F.count("value").alias("present"),
