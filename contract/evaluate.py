@@ -16,11 +16,11 @@ from contract.sqltext import permutation, uniform
 from contract.tables import BOTH_SQL, CLINICAL_SQL, DENSE_SQL
 from twinloom.operators import bootstrap as bs
 from twinloom.operators import evaluate as ev
-from twinloom.staging import attach, stage
+from twinloom.staging import at_most, attach, stage
 
 SYNTH = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
 # the synthetic side's rows for each draw and for each sampled row
-PER_DRAW, PER_ROW, ROOT = 50, 3, 42
+PER_DRAW, PER_ROW, ROOT = 250, 3, 42
 ZERO_SHARE = 0.6
 
 
@@ -171,14 +171,14 @@ picked as (select s.draw, s.seed, c.feature, c.value from samples s join synth c
 
 
 def _numbers(synthetic):
-    """(size, draws): both grow with the synthetic side."""
-    n = synthetic.select("id").distinct().count()
-    return n // PER_ROW, 2 + n // PER_DRAW
+    """The ids, staged, size and draws: both numbers grow with the synthetic side."""
+    ids = stage(synthetic.select("id").distinct())
+    n = at_most(ids)
+    return ids, n // PER_ROW, 2 + n // PER_DRAW
 
 
 def _samples(synthetic):
-    size, draws = _numbers(synthetic)
-    return bs.draw_samples(synthetic.select("id").distinct(), size, draws, ROOT)
+    return bs.draw_samples(*_numbers(synthetic), ROOT)
 
 
 @query("bootstrap_sample", f"with recursive {SIDES_SQL},{DRAWS_SQL} select draw, seed, id from samples")
@@ -259,7 +259,7 @@ def bootstrap_best(spark, sf):
 )
 def bootstrap_clinical(spark, sf):
     synthetic, _, winner = _best(spark, sf)
-    ids = bs.sample_by_seed(synthetic.select("id").distinct(), _numbers(synthetic)[0], winner.first()["seed"])
+    ids = bs.sample_by_seed(*_numbers(synthetic)[:2], winner.first()["seed"])
     return tb.clinical(spark, sf).join(ids, "id", "left_semi").select("id", "segment", "balance")
 
 
@@ -271,7 +271,7 @@ def bootstrap_clinical(spark, sf):
 )
 def bootstrap_statistics(spark, sf):
     synthetic, original, winner = _best(spark, sf)
-    ids = bs.sample_by_seed(synthetic.select("id").distinct(), _numbers(synthetic)[0], winner.first()["seed"])
+    ids = bs.sample_by_seed(*_numbers(synthetic)[:2], winner.first()["seed"])
     chosen = synthetic.join(ids, "id", "left_semi")
     out = bs.statistics(chosen, original, method="asymptotic", nan_policy="zero")
     return out.select(

@@ -228,16 +228,14 @@ def replicate_distances(samples: DataFrame, synthetic: DataFrame, original: Data
     Draws are numbered from 0. A feature whose cells are absent or null for some sampled ids
     takes its sample sizes along as one vector per cell.
     """
-    seen = samples.agg(F.max("draw").alias("last"), F.count("*").alias("n")).first()
-    if not seen["n"]:
+    drawn = {int(r["draw"]): r["count"] for r in samples.groupBy("draw").count().collect()}  # one number per draw
+    if not drawn:
         return samples.sparkSession.createDataFrame([], "draw bigint, feature string, n1 bigint, n2 bigint, ks double")
-    draws = int(seen["last"]) + 1
+    draws = max(drawn) + 1
+    whole = np.array([drawn.get(k, 0) for k in range(draws)], np.int64)
     members = stage(memberships(samples, draws))
     known = synthetic.filter(F.col("value").isNotNull()).select("id", "feature", "value")
     held = attach(known, members, ["id"], row_bytes=32 + draws // 8)
-    whole = np.zeros(draws, np.int64)
-    for r in samples.groupBy("draw").count().collect():  # one number per draw
-        whole[r["draw"]] = r["count"]
     usual = whole.tobytes()
     counts = _member_counts(held, draws).withColumn("counts", F.when(F.col("counts") != F.lit(usual), F.col("counts")))
     others = original.filter(F.col("value").isNotNull()).groupBy("feature").agg(F.count("*").alias("others"))
@@ -289,7 +287,7 @@ def replicate_scores(distances: DataFrame, n_features: int, root_seed: int, meth
     """
     if n_features == 0:
         raise ValueError("no feature passes the zero-share filter")
-    sizes = stage(distances.select("n1", "n2").distinct())
+    sizes = distances.select("n1", "n2").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
