@@ -641,12 +641,42 @@ def test_quality(spark, docs, rows, none):
     assert quality.score_quality(none, labels).count() == 0
 
 
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    """An id that holds most rows, with several labels, does not bring more rows to the driver than asked for."""
+    seen = []
+    plain = quality.Network.__init__
+    monkeypatch.setattr(quality.Network, "__init__", lambda self, x, y: (seen.append(len(y)), plain(self, x, y))[1])
+    many = frame(spark, [(1, prose(k, 30), None) for k in range(400)] + [(k, prose(k, 30).upper(), None) for k in range(2, 100)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), *[(k, k % 2) for k in range(2, 100)]], "doc_id long, quality int")
+    rows = quality.stage(quality.features(many, quality.word_vectors(many), "doc_id", "text"))
+    quality.fit(rows, labels, "doc_id", "quality", limit=200)
+    assert 120 < seen[-1] < 290
+    assert len(collected(quality.score_quality(many, labels))) == 498
+
+
+def test_pipeline_of_empty_tables_and_odd_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, matches string, id string, class_id long, c0 string"
+    rows = [(k, prose(k, 60), None, None, None, "m", "i", 4, None) for k in range(6)]
+    for name, own in (("full", rows), ("none", [])):
+        spark.createDataFrame(own, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    assert sorted({r["doc_id"] for r in got.collect()}) == list(range(6))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, f"{tmp_path}/full")
+        assert out.columns == docs.columns and out.filter("matches = 'm' and id = 'i' and class_id = 4").count() == 6
+
+
 def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from twinloom.llm import catalogue
 
     names = {int(n[2:].split("_")[0]) for n in catalogue.QUERIES}
-    assert names == set(range(1, 11)) and set(registry.SQL) <= set(registry.QUERIES)
+    assert names == set(range(1, 14)) and set(registry.SQL) <= set(registry.QUERIES)
     long = prose(1, 300)
     case = [(0, None, None), (1, "...", "en"), (2, long, "en"), (3, long, "en"), (4, long + " end", "en"), (5, prose(2, 80), "en"), (6, prose(3, 90), "en")]
     columns = "doc_id long, text string, lang string, source string, n_chars long"

@@ -181,7 +181,12 @@ def predict(docs: DataFrame, model: list[tuple[str, list[int]]], id_col: str = "
 
 
 def keep_identified(docs: DataFrame, model: list[tuple[str, list[int]]], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a predicted language, with all their columns."""
+    """The rows of ``docs`` with a predicted language, with all their columns.
+
+    Where no language could be learned, those with a letter.
+    """
+    if not model:
+        return docs.filter(_letter(ref(text_col)))
     held = docs.select(*[ref(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], _letter(ref(text_col)))
     found = _judged(held, model, f"c{docs.columns.index(text_col)}").filter(F.col("lang_pred") != UNKNOWN)
     return found.select([F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

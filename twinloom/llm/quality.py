@@ -140,18 +140,18 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, vectors: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """id, held_out, x (float32 bytes) of every row."""
+    """id, held_out, at (a number of its own), x (float32 bytes) of every row."""
     spread = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIM numbers
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = pooled(batch.column("text"), spread.value)
             yield pa.RecordBatch.from_pydict(
-                {"id": batch.column("id"), "held_out": batch.column("held_out"), "x": pa.array([r.tobytes() for r in x], pa.binary())}
+                {**{c: batch.column(c) for c in ("id", "held_out", "at")}, "x": pa.array([r.tobytes() for r in x], pa.binary())}
             )
 
-    rows = docs.select(ref(id_col).alias("id"), held_out(id_col).alias("held_out"), ref(text_col).alias("text"))
-    return rows.mapInArrow(pool, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, x binary")
+    rows = docs.select(ref(id_col).alias("id"), held_out(id_col).alias("held_out"), F.monotonically_increasing_id().alias("at"), ref(text_col).alias("text"))
+    return rows.mapInArrow(pool, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, at long, x binary")
 
 
 class Network:
@@ -207,9 +207,11 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit:
     """``rows``: staged features. Trains on a bounded sample of the labelled rows not held out."""
     own = labels.select(ref(id_col).alias("id"), ref(label_col).cast("double").alias("y"))
     own = own.filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
-    share = min(1.0, limit / max(1, own.count()))
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(~F.col("held_out")).join(own.filter(draw < share), "id").select("id", "x", "y").toPandas()
+    # rows and not ids are drawn, so an id that is repeated often does not widen the sample
+    joined = rows.filter(~F.col("held_out")).join(own, "id")
+    share = min(1.0, limit / max(1, joined.count()))
+    draw = F.pmod(F.xxhash64(F.lit("quality"), "at", "y"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = joined.filter(draw < share).select("id", "x", "y").toPandas()
     sample = sample.sort_values(["id", "x", "y"])
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), 2 * DIM + 3).astype(np.float64)
     return Network(x, sample["y"].to_numpy(np.float64))
