@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each on what its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each on what its predecessor kept.
+
+Every stage but the last returns the columns of its input, whatever they are called. Texts
+that are null, empty or without a letter go in the first stage. Repeated rows leave one row
+in the second, the one of the smallest identifier (nulls last); near copies leave one in the
+third. Without benchmark items nothing is contaminated; without documents, or when none is
+left, the result has no rows. A null identifier is kept like any other.
+"""
 
 from __future__ import annotations
 
