@@ -154,6 +154,60 @@ _fit_query(
 )
 
 
+def _located_sql(family: str) -> str:
+    """Rounds of candidates, each narrowed to the neighbours of the best one before; ends in located(feature, j, loc, m, v)."""
+    last = f"{mg.POINTS - 1}.0::double"
+    second = "stddev_pop(ln(x - loc))" if family == "lognorm" else "covar_pop(x, ln(x - loc))"
+    gain = f"-(ln(v) + m + 0.5 + {LS})" if family == "lognorm" else "(mean - loc) / v * (m - 1 - ln(v)) - m - lgamma((mean - loc) / v)"
+    ctes = [
+        f"bracket0 as (select feature, min(x) as mn, max(x) as mx, avg(x) as mean, {math.log(mg.NEAREST)!r}::double as lo, {math.log(mg.FARTHEST)!r}::double as hi from values_ group by 1)"
+    ]
+    step, k = math.log(mg.FARTHEST / mg.NEAREST) / (mg.POINTS - 1), 0
+    while True:
+        ctes += [
+            f"places{k} as (select *, mn - exp(lo + (hi - lo) * (j / {last})) * (mx - mn) as loc from (select *, unnest(range({mg.POINTS})) as j from bracket{k}))",
+            f"""tried{k} as (select feature, j, any_value(loc) as loc, any_value(mean) as mean, any_value(lo) as lo, any_value(hi) as hi,
+              any_value(mn) as mn, any_value(mx) as mx, avg(ln(x - loc)) as m, {second} as v
+              from values_ join places{k} using (feature) group by 1, 2)""",
+            f"best{k} as (select * from tried{k} qualify row_number() over (partition by feature order by {gain} desc, j desc) = 1)",
+        ]
+        if step < math.log(mg.SETTLED):
+            return ",\n".join([*ctes, f"located as (select * from best{k})"])
+        ctes.append(
+            f"bracket{k + 1} as (select feature, mn, mx, mean, lo + (hi - lo) * greatest(j - 1, 0) / {last} as lo, lo + (hi - lo) * least(j + 1, {mg.POINTS - 1}) / {last} as hi from best{k})"
+        )
+        step, k = 2 * step / (mg.POINTS - 1), k + 1
+
+
+# skewed functions of prices and balances, shifted far from zero or below it
+SHIFTED_SQL = """values_ as (
+  select 'price ' || l_returnflag as feature, exp(l_extendedprice::double / 30000) + 100 as x from lineitem
+  union all select 'sum ' || c_mktsegment, exp(c_acctbal / 4000) - 500 from customer)"""
+
+
+def _shifted(spark, sf):
+    price = tb.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("price "), "l_returnflag").alias("feature"), (F.exp(F.col("l_extendedprice").cast("double") / 30000) + 100).alias("value")
+    )
+    root = tb.table(spark, sf, "customer").select(
+        F.concat(F.lit("sum "), "c_mktsegment").alias("feature"), (F.exp(F.col("c_acctbal") / 4000) - 500).alias("value")
+    )
+    return stage(price.unionByName(root))
+
+
+def _located_query(family: str, shown: str):
+    names = mg.REGISTRY[family].params
+
+    @query(f"fit_{family}_located", f"with {SHIFTED_SQL},\n{_located_sql(family)} select feature, {shown} from located")
+    def run(spark, sf):
+        fits = mg.fit(_shifted(spark, sf), [family], locate=[family])
+        return fits.select("feature", *[F.round(F.col(family)[p], 5).alias(p) for p in names])
+
+
+_located_query("lognorm", "round(v, 5) as s, round(loc, 5) as loc, round(exp(m), 5) as scale")
+_located_query("gamma", "round((mean - loc) / v, 5) as a, round(loc, 5) as loc, round(v, 5) as scale")
+
+
 @query(
     "feature_profile",
     f"""with {MOMENTS_SQL} select feature, n, round(mn, 6) as mn, round(mx, 6) as mx, round(mean, 6) as mean,

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinloom.operators import assemble, copula, evaluate, marginals as mg
+from twinloom.operators import assemble, copula, evaluate, marginals
+from twinloom.operators import marginals as mg
 from twinloom.operators import bootstrap as bs
 from twinloom.functions.normal import np_norm_cdf
 from twinloom.operators import kernels
@@ -318,6 +319,30 @@ def test_a_family_that_does_not_apply_gives_way_to_the_uniform(spark):
     assert 0.3 < np.mean(drawn) < 0.7 and 0 <= min(drawn) and max(drawn) <= 1
 
 
+def test_locations_are_searched(spark):
+    rng = np.random.default_rng(31)
+    x = {"gamma": rng.gamma(3.0, 2.0, 6000) - 40, "lognorm": np.exp(rng.normal(1.0, 0.4, 6000)) + 70, "flat": np.full(50, 3.0)}
+    cells = stage(cells_of(spark, x))
+    fits = {r["feature"]: r for r in marginals.fit(cells, ["gamma", "lognorm"], locate=["gamma", "lognorm"]).collect()}
+    g, log = fits["gamma"]["gamma"], fits["lognorm"]["lognorm"]
+    assert g["loc"] == pytest.approx(-40, abs=0.5) and g["a"] == pytest.approx(3, rel=0.2) and g["scale"] == pytest.approx(2, rel=0.1)
+    assert log["loc"] == pytest.approx(70, abs=0.3) and log["s"] == pytest.approx(0.4, rel=0.15)
+    assert fits["flat"]["gamma"] is None and fits["flat"]["lognorm"] is None
+    y = x["gamma"] - g["loc"]
+    for near in (0.97, 1.03):  # no better place close by
+        z = x["gamma"] - (x["gamma"].min() - near * (x["gamma"].min() - g["loc"]))
+        likelihood = lambda v: (lambda t: (lambda a: (a - 1) * np.log(v).mean() - a - a * math.log(t) - math.lgamma(a))(v.mean() / t))(np.cov(v, np.log(v), bias=True)[0, 1])
+        assert likelihood(y) >= likelihood(z) - 1e-4
+    families = spark.createDataFrame([("gamma", "gamma"), ("lognorm", "lognorm")], "feature string, family string")
+    model = copula.fit_model(cells.filter("feature <> 'flat'"), families, locate=["gamma", "lognorm"])
+    drawn = copula.sample(cells.filter("feature <> 'flat'"), model, 4000, 2).toPandas()
+    for f in ("gamma", "lognorm"):
+        assert drawn[drawn.feature == f]["value"].mean() == pytest.approx(x[f].mean(), abs=0.2)
+    assert marginals.select_family(cells, ["norm", "gamma"], "aic", locate=["gamma"]).filter("feature = 'gamma'").first()["family"] == "gamma"
+    with pytest.raises(ValueError, match="searched for"):
+        marginals.fit(cells, ["norm"], locate=["norm"])
+
+
 def sequential_best(order, kl, p):
     """The rule as a plain walk over the tied replicates."""
     best = order[0]

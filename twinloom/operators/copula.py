@@ -249,18 +249,18 @@ def impute_mean(cells: DataFrame, stats: DataFrame) -> DataFrame:
     return filled.select("id", "feature", F.coalesce("value", "fill").alias("value"))
 
 
-def fit_model(cells: DataFrame, families: DataFrame) -> DataFrame:
+def fit_model(cells: DataFrame, families: DataFrame, locate: Sequence[str] = ()) -> DataFrame:
     """Fit the named family of every feature on mean-imputed cells; staged, one row per feature.
 
     ``families`` holds (feature, family); ``category`` features hold uniform scores already. A
-    feature to which its family does not apply takes the uniform one.
+    feature to which its family does not apply takes the uniform one. ``locate`` as in ``marginals.fit``.
     """
     families = stage(families.select("feature", "family"))
     names = sorted(r[0] for r in families.select("family").distinct().collect())
     fitted = sorted({n for n in names if n != CATEGORY} | {SUBSTITUTE})
     stats = stage(observed(cells))
     filled = impute_mean(cells, stats)
-    fits = mg.fit(filled, fitted)
+    fits = mg.fit(filled, fitted, locate=[f for f in locate if f in fitted])
     # a feature without any observed value has no fit: it behaves as a constant null
     rows = stats.join(families, "feature").join(fits.select("feature", "constant", *fitted), "feature", "left")
     lacking = reduce(operator.or_, [(F.col("family") == f) & F.col(f).isNull() for f in fitted]) & ~F.coalesce("constant", F.lit(True))

@@ -7,6 +7,7 @@ norm        mean, population standard deviation
 uniform     min, max - min
 gamma       location 0, closed form from mean, mean log, mean x*log x
 lognorm     best of a fixed set of locations below the minimum, by likelihood
+            (both: location searched by profile likelihood where ``locate`` names them)
 beta        moments on the range padded by ``BETA_PAD`` of its width; no fit where the variance
             is that of two points or more
 t           location median; degrees of freedom and scale from mean and variance of
@@ -38,6 +39,11 @@ SELECTABLE = ("norm", "beta", "lognorm", "truncnorm", "gamma", "t", "gaussian_kd
 METHODS = ("sumsquare_error", "aic", "bic")
 LOGNORM_SHIFTS = (1e-3, 1e-2, 1e-1, 1.0)
 BETA_PAD = 1e-3
+# Families whose location can be searched, and the search: distances in widths, candidates per scan, ratio to stop at.
+LOCATED = ("lognorm", "gamma")
+NEAREST, FARTHEST = 1e-3, 100.0
+POINTS = 9
+SETTLED = 1.01
 # Beyond this the t is a normal distribution to six digits.
 T_MAX_DF = 1e6
 T_STEPS = 60
@@ -242,14 +248,82 @@ def _t_solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(t_df=df, t_scale=scale)
 
 
+def _candidates(family: str) -> list[Column]:
+    """Locations below the minimum, evenly spaced in the log of their distance in widths."""
+    low, high = F.col(f"{family}_lo"), F.col(f"{family}_hi")
+    width = F.col("mx") - F.col("mn")
+    return [F.col("mn") - F.exp(low + (high - low) * F.lit(j / (POINTS - 1.0))) * width for j in range(POINTS)]
+
+
+def _profile_gain(family: str, j: int) -> Column:
+    """Mean log likelihood at candidate ``j`` with the other parameters at their estimates there."""
+    m, v = F.col(f"{family}_m{j}"), F.col(f"{family}_v{j}")
+    if family == "lognorm":
+        return -(F.ln(v) + m + 0.5 + LOG_SQRT_2PI)
+    a = F.col(f"gamma_a{j}")
+    return (a - 1.0) * m - a - a * F.ln(v) - F.col(f"gamma_lg{j}")
+
+
+def search_locations(cells: DataFrame, families: Sequence[str], keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """The best location of each family named (``LOCATED``) by profile likelihood; staged, one row per key.
+
+    A bracket of distances below the minimum, from ``NEAREST`` to ``FARTHEST`` widths, is cut by
+    ``POINTS`` candidates. One scan scores all candidates of all features and families; the bracket
+    narrows to the neighbours of the best one, until neighbours differ by less than
+    ``SETTLED`` in their distance. Columns: keys and a struct (loc, m, v) per family: mean of
+    ln(x - loc), and its deviation (lognorm) or the scale (gamma).
+    """
+    keys = list(keys)
+    values = cells.filter(F.col("value").isNotNull()).select(*keys, "value")
+    brackets = profile(cells, keys).filter(~F.col("constant")).select(*keys, "mn", "mx", "mean")
+    for f in families:
+        brackets = brackets.withColumns({f"{f}_lo": F.lit(math.log(NEAREST)), f"{f}_hi": F.lit(math.log(FARTHEST))})
+    brackets = stage(brackets)
+    step = math.log(FARTHEST / NEAREST) / (POINTS - 1)
+    while True:
+        aggs = []
+        for f in families:
+            for j, loc in enumerate(_candidates(f)):
+                y = F.col("value") - loc
+                second = F.stddev_pop(F.ln(y)) if f == "lognorm" else F.covar_pop(F.col("value"), F.ln(y))
+                aggs += [F.avg(F.ln(y)).alias(f"{f}_m{j}"), second.alias(f"{f}_v{j}")]
+        named = attach(values, brackets, keys, row_bytes=64 + 16 * len(families))
+        found = named.groupBy(*keys).agg(*aggs).join(brackets, keys)
+        for f in families:
+            found = found.withColumns({f"{f}_at{j}": loc for j, loc in enumerate(_candidates(f))})
+            if f == "gamma":
+                found = found.withColumns({f"gamma_a{j}": div(F.col("mean") - F.col(f"gamma_at{j}"), F.col(f"gamma_v{j}")) for j in range(POINTS)})
+                found = found.withColumns({f"gamma_lg{j}": ln_gamma(f"gamma_a{j}") for j in range(POINTS)})
+            entries = F.array(
+                *[
+                    F.struct(
+                        _profile_gain(f, j).alias("gain"), F.lit(j).alias("j"), F.col(f"{f}_at{j}").alias("loc"), F.col(f"{f}_m{j}").alias("m"), F.col(f"{f}_v{j}").alias("v")
+                    )
+                    for j in range(POINTS)
+                ]
+            )
+            found = found.withColumn(f"{f}_best", F.array_max(entries))
+        if step < math.log(SETTLED):
+            return stage(found.select(*keys, *[F.col(f"{f}_best").alias(f) for f in families]))
+        narrowed = {}
+        for f in families:
+            low, width, j = F.col(f"{f}_lo"), F.col(f"{f}_hi") - F.col(f"{f}_lo"), F.col(f"{f}_best.j")
+            narrowed[f"{f}_lo"] = low + width * F.greatest(j - 1, F.lit(0)) / F.lit(POINTS - 1.0)
+            narrowed[f"{f}_hi"] = low + width * F.least(j + 1, F.lit(POINTS - 1)) / F.lit(POINTS - 1.0)
+        kept = [*keys, "mn", "mx", "mean"]
+        brackets = stage(found.select(*kept, *[c.alias(n) for n, c in narrowed.items()]))
+        step = 2 * step / (POINTS - 1)
+
+
 def fit(
-    cells: DataFrame, families: Sequence[str], keys: Sequence[str] = ("feature",)
+    cells: DataFrame, families: Sequence[str], keys: Sequence[str] = ("feature",), locate: Sequence[str] = ()
 ) -> DataFrame:
     """Fit ``families`` to the non-null cells; staged, one row per key.
 
     Columns: keys, n, mn, mx, mean, sd, constant, and one struct per family with its
     parameters and ``c0``, the log normaliser. A struct is null where the family does
-    not apply (a constant feature, or gamma on values <= 0).
+    not apply (a constant feature, or gamma on values <= 0). Families named in ``locate``
+    have their location searched (``search_locations``), so gamma takes any values then.
     """
     keys = list(keys)
     for family in families:
@@ -264,16 +338,39 @@ def fit(
         stats = stats.mapInPandas(_truncnorm_solve, ", ".join([*fields, *added]))
     if "t" in families:
         stats = _log_moments(cells, stats, keys)
+    searched = [f for f in families if f in locate]
+    if set(locate) - set(LOCATED):
+        raise ValueError(f"locations are searched for {', '.join(LOCATED)}")
+    if searched:
+        places = search_locations(cells, searched, keys)
+        stats = stats.join(places.select(*keys, *[F.col(f).alias(f"{f}_place") for f in searched]), keys, "left")
+        if "gamma" in searched:
+            stats = stats.withColumn("gl_a", div(F.col("mean") - F.col("gamma_place.loc"), F.col("gamma_place.v")))
+            stats = stats.withColumn("gl_lg", ln_gamma("gl_a"))
     for step in _derived(families):
         stats = stats.withColumns(step)
     varied = ~F.col("constant")
     out = stats.select(
         *[ref(k) for k in keys],
         *["n", "mn", "mx", "mean", "sd", "constant"],
-        *[F.when(varied & ok, value).alias(name) for name, (ok, value) in _structs(families).items()],
+        *[F.when(varied & ok, value).alias(name) for name, (ok, value) in (_structs(families) | _located(searched)).items()],
     )
     # without a second scan this is a projection of the staged moments
-    return stage(out) if {"lognorm", "truncnorm", "t"} & set(families) else out
+    return stage(out) if {"lognorm", "truncnorm", "t"} & set(families) or searched else out
+
+
+def _located(families: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    """Structs of the families whose location was searched."""
+    built: dict[str, tuple[Column, Column]] = {}
+    if "lognorm" in families:
+        place = F.col("lognorm_place")
+        c0 = -F.ln(place["v"]) - LOG_SQRT_2PI
+        built["lognorm"] = (place["v"] > 0, F.struct(place["v"].alias("s"), place["loc"].alias("loc"), F.exp(place["m"]).alias("scale"), c0.alias("c0")))
+    if "gamma" in families:
+        place, a = F.col("gamma_place"), F.col("gl_a")
+        c0 = -a * F.ln(place["v"]) - F.col("gl_lg")
+        built["gamma"] = (place["v"] > 0, F.struct(a.alias("a"), place["loc"].alias("loc"), place["v"].alias("scale"), c0.alias("c0")))
+    return built
 
 
 def _derived(families: Sequence[str]) -> list[dict[str, Column]]:
@@ -488,11 +585,12 @@ def select_family(
     families: Sequence[str],
     method: str = "sumsquare_error",
     keys: Sequence[str] = ("feature",),
+    locate: Sequence[str] = (),
 ) -> DataFrame:
     """Best family of each feature over its non-zero values; constant features take the first."""
     check_families(families, method)
     values = nonzero(cells)
-    fits = fit(values, families, keys)
+    fits = fit(values, families, keys, locate)
     best = choose(score(values, fits, families, method, keys), keys)
     named = fits.select(*keys, "constant").join(best, list(keys), "left")
     return named.select(*keys, F.coalesce("family", F.lit(families[0])).alias("family"), "score")

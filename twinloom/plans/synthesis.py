@@ -39,6 +39,7 @@ class Settings:
     seed: int = 42
     batch_size: int = copula.NOISE_ROWS
     mixing: str = "rows"
+    locate: Sequence[str] = ()  # families whose location is searched
 
 
 def synthesize(
@@ -100,7 +101,7 @@ def synthesize(
         cells = cells.unionByName(copula.encode_levels(values, levels))
         families = families.unionByName(_literal_families(spark, [(k, c, copula.CATEGORY) for k, c in categorical]))
     cells = stage(cells)
-    model = copula.fit_model(cells, families)
+    model = copula.fit_model(cells, families, settings.locate)
     drawn = stage(sampler(cells, model, spans, settings.seed, mixing=settings.mixing, batch=settings.batch_size))
 
     plain = copula.plain_name(F.col("feature"))
@@ -161,12 +162,12 @@ def _feature_plan(
     threshold = settings.missing_threshold
     if settings.feature_scope == "group":
         split = stage(prep.sparsity_split(measured, threshold, keys))
-        chosen = marginals.select_family(prep.modelled_cells(measured, split, keys), settings.families, settings.method, keys)
+        chosen = marginals.select_family(prep.modelled_cells(measured, split, keys), settings.families, settings.method, keys, settings.locate)
         low = prep.low_count_stats(measured, threshold, size, keys)
         return split, stage(chosen.select(*keys, "family")), stage(low)
     every = F.explode(F.array(*[F.lit(k) for k in range(parts)])).alias("part")
     split = prep.stage_split(features, threshold)
-    chosen = marginals.select_family(prep.modelled_cells(features, split), settings.families, settings.method)
+    chosen = marginals.select_family(prep.modelled_cells(features, split), settings.families, settings.method, locate=settings.locate)
     # the zero number of a group follows from shared counts and its own size
     low = prep.low_count_stats(features, threshold, 0).select("feature", "mean", "n", "n_nonzero", every)
     zeros = F.floor((F.lit(1.0) - F.col("n_nonzero") / F.col("n")) * size).cast("bigint")
@@ -209,7 +210,7 @@ def _clinical_families(rows: DataFrame, numeric: Sequence[tuple[int, str]], sett
     if estimated:
         named = _melt(rows, sorted({c for _, c in estimated}), estimated)
         values = named.select("id", "feature", F.col("text").cast("double").alias("value"))
-        chosen = marginals.select_family(values, settings.families, settings.method)
+        chosen = marginals.select_family(values, settings.families, settings.method, locate=settings.locate)
         out = out.unionByName(chosen.select("feature", "family"))
     return out
 
