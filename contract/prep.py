@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +12,7 @@ from twinloom.operators import prep
 from twinloom.operators.prep import Cohort
 from twinloom.sources import tables
 from twinloom.sources.matrices import melt_arrays, read_matrices, unite
-from twinloom.staging import checkpoint_root, stage
+from twinloom.staging import new_folder, stage
 
 R6 = 6
 THRESHOLD = 0.7
@@ -44,7 +42,7 @@ def raw_cohort(spark, sf):
 )
 def load_cohort(spark, sf):
     """Both tables are delivered as CSV files and read back with the reader."""
-    folder = f"{checkpoint_root(spark)}/delivered-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "delivered")
     clinical, wide = tb.clinical(spark, sf), delivered(spark, sf)
     # the clinical table comes with a numbering that has no name
     tables.write_table(clinical.select(F.col("id").alias(""), "*"), f"{folder}/clinical")
@@ -238,7 +236,7 @@ LEAST_PEAK = 0.25  # a matrix lists the features that reach this in one of its v
 )
 def matrix_ingest(spark, sf):
     """Vectors are written as delimited matrices, features in rows, and read with the matrix reader."""
-    folder = f"{checkpoint_root(spark)}/matrices-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "matrices")
     cells = melt_arrays(tb.table(spark, sf, "embeddings"), "vec_id", "embedding", "v")
     cells = cells.withColumn("part", F.floor(F.col("id") / PER_MATRIX))
 

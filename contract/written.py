@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,15 +19,11 @@ from twinloom.operators.prep import Cohort
 from twinloom.plans.evaluation import bootstrap, write_bootstrap
 from twinloom.plans.synthesis import Group, Settings, synthesize, write_synthetic
 from twinloom.sources.tables import read_table, write_cohorts
-from twinloom.staging import checkpoint_root, stage
+from twinloom.staging import new_folder, stage
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def _folder(spark) -> str:
-    return f"{checkpoint_root(spark)}/written-{uuid.uuid4().hex}"
-
-
 @query(
     "cohorts_written",
     f"""with {CLINICAL_SQL}, {DENSE_SQL}
@@ -37,7 +32,7 @@ def _folder(spark) -> str:
 )
 def cohorts_written(spark, sf):
     """Each segment is a cohort of its own: two CSV tables written, read back and joined."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "written")
     rows, cells = stage(tb.clinical(spark, sf)), stage(tb.cells(spark, sf))
     own = {s: prep.filter_rows(rows, {"segment": s}) for s in SEGMENTS}
     write_cohorts(own, {s: cells.join(r.select("id"), "id", "left_semi") for s, r in own.items()}, folder)
@@ -73,7 +68,7 @@ def bootstrap_written(spark, sf):
     best = bootstrap(
         Cohort(stage(rows), synthetic), original, n // PER_ROW, 2 + n // PER_DRAW, zero_share=1.0, root_seed=ROOT, method="asymptotic", nan_policy="zero"
     )
-    folder = _folder(spark)
+    folder = new_folder(spark, "written")
     write_bootstrap(best, folder)
     report = read_table(spark, f"{folder}/feature_statistics", schema=best.report.schema)
     clinical = read_table(spark, f"{folder}/clinical_bootstrapped", schema=best.clinical.schema)
@@ -152,7 +147,7 @@ def synthetic_written(spark, sf):
     whole = Cohort(cohort.clinical.filter("balance > 0"), cohort.features)
     settings = Settings(estimate_clinical=["balance"], roles={"nation": "categorical", "segment": "categorical"}, missing_threshold=1.0)
     made = synthesize(whole, groups, settings, sampler=_least)
-    folder = _folder(spark)
+    folder = new_folder(spark, "written")
     write_synthetic(made, folder, names)
     wide = read_table(spark, f"{folder}/features")
     columns = [c for c in wide.columns if c != "id"]

@@ -54,16 +54,22 @@ def stage(df: DataFrame) -> DataFrame:
     The row count is taken along while writing.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     _STAGED_ROWS[path.split("/")[-1]] = seen.get["rows"]
-    _STAGED_PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own among the intermediate tables, deleted with them by ``drop_staged``."""
+    path = f"{checkpoint_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    _STAGED_PATHS.append(path)
+    return path
+
+
 def drop_staged(spark: SparkSession) -> None:
-    """Delete all tables staged so far, once nothing that reads them is needed any more."""
+    """Delete all tables and folders staged so far, once nothing that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
     for path in _STAGED_PATHS:
         place = jvm.org.apache.hadoop.fs.Path(path)
