@@ -67,7 +67,7 @@ def test_bootstrap_and_sinks(spark, cohort, made, tmp_path):
     assert {r[0] for r in result.report.collect()} == {s for s, zeros in STRAIN_ZEROS.items() if zeros < 0.6 * COLONIES}
     assert result.clinical.count() == 8 and result.features.count() == 8 * len(STRAINS)
     assert {r["ks"] for r in result.scores.collect()} >= {min(r["ks"] for r in result.scores.collect())}
-    with pytest.raises(ValueError, match="too big"):
+    with pytest.raises(ValueError, match="cannot draw"):
         bootstrap(made, cohort.features, sample_size=26)
     with pytest.raises(ValueError, match="no feature"):
         bootstrap(made, cohort.features, sample_size=5, zero_share=0.0)
