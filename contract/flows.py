@@ -26,7 +26,8 @@ def _synthetic(spark, sf, kind="both"):
     cohort = _cohort(spark, sf, kind)
     known = cohort.clinical.filter("low is not null").groupBy("segment").count().orderBy("segment")
     groups = [Group({"segment": ("==", r["segment"])}, r["count"]) for r in known.collect()]
-    settings = Settings(estimate_clinical=["balance"], constraints=[RULE], roles={"nation": "categorical"})
+    # as many rows are drawn as there are: mixed from all rows, that takes the square of their number
+    settings = Settings(estimate_clinical=["balance"], constraints=[RULE], roles={"nation": "categorical"}, mixing="factor")
     return cohort, synthesize(cohort, groups, settings)
 
 

@@ -120,3 +120,10 @@ def test_permutations_pick_every_id_alike():
     assert abs(hits - draws * size / n).max() < 5 * math.sqrt(draws * size / n)
     first = np.bincount(permutation.permuted(7_001, np.arange(draws), np.zeros(draws, int), n), minlength=n)
     assert abs(first - draws / n).max() < 5 * math.sqrt(draws / n)
+
+
+def test_normal_grid_equals_the_plain_one():
+    outer, inner = np.array([0, 1, 5, 2**33 + 3]), np.r_[np.arange(-40, 3000) * 977, 2**41 + np.arange(60)]
+    whole = normal.np_norm_ppf(counter.uniform_grid(77, outer, inner))
+    for block in (64, 16384):
+        assert np.array_equal(normal.np_normal_grid(77, outer, inner, block), whole)

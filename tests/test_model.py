@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from twinloom.operators import assemble, copula, evaluate, marginals
 from twinloom.operators import marginals as mg
 from twinloom.operators import bootstrap as bs
-from twinloom.functions.normal import np_norm_cdf
+from twinloom.functions import counter
+from twinloom.functions.normal import np_norm_cdf, np_norm_ppf
 from twinloom.operators import kernels
 from twinloom.operators.kernels import kernel_sums
 from twinloom.staging import stage
@@ -496,3 +497,35 @@ def test_a_family_of_your_own(spark):
         del mg.REGISTRY["laplace"]
     with pytest.raises(ValueError, match="needs"):
         mg.register_family("half", mg.Family(("loc",), None))
+
+
+def test_groups_mixed_by_reduced_rows(spark):
+    """Overlapping ids, a constant feature, and the covariance of each group's own rows."""
+    rng = np.random.default_rng(8)
+    x = rng.multivariate_normal([5, 9], [[1, 0.7], [0.7, 1]], 900)
+    y = rng.multivariate_normal([5, 9], [[1, -0.6], [-0.6, 1]], 500)
+    rows = [(i, f"{part}{copula.PART_MARK}f{j}", float(v)) for part, own in enumerate((x, y)) for i, r in enumerate(own) for j, v in enumerate([*r, 3.0])]
+    cells = stage(spark.createDataFrame(rows, "id bigint, feature string, value double"))
+    model = copula.fit_model(cells, cells.select("feature").distinct().withColumn("family", F.lit("norm")))
+    drawn = copula.sample_parts(cells, model, [(0, 9000), (9000, 14000)], 3, mixing="factor").toPandas()
+    assert len(drawn) == 3 * 14000
+    for part, own, span in ((0, x, range(0, 9000)), (1, y, range(9000, 14000))):
+        wide = drawn[drawn["feature"].str.startswith(f"{part}{copula.PART_MARK}")].pivot(index="synth", columns="feature", values="value")
+        assert sorted(wide.index) == list(span)
+        a, b, c = (wide[f"{part}{copula.PART_MARK}f{j}"] for j in range(3))
+        assert a.corr(b) == pytest.approx(np.corrcoef(own.T)[0, 1], abs=0.04) and set(c) == {3.0}
+        assert a.mean() == pytest.approx(own[:, 0].mean(), abs=0.06)
+
+
+def test_mixing_does_not_copy_tiles_for_each_stretch(spark, monkeypatch):
+    """Rows of scores travel at most a few times, however many synthetic rows are drawn from them."""
+    monkeypatch.setattr(copula, "SYNTH_TILE", 16)
+    monkeypatch.setattr(copula, "ROW_TILE", 4)
+    monkeypatch.setattr(copula, "HELD_SUMS", 8)
+    scores = spark.range(64).select("id", F.lit("f").alias("feature"), F.lit(1.0).alias("z"))
+    met = []
+    spread = copula._spread_tiles
+    monkeypatch.setattr(copula, "_spread_tiles", lambda tiles, *keys: (met.append(tiles.count()), spread(tiles, *keys))[1])
+    z = [r["z"] for r in copula.mix_rows(scores, 1000, 7, 64, 1, 64).orderBy("synth").collect()]
+    e = np_norm_ppf(counter.uniform_grid(7, np.arange(1000), np.arange(64)))
+    assert met == [64] and np.allclose(z, e.sum(1) / 8, atol=1e-12)
