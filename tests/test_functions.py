@@ -127,3 +127,11 @@ def test_normal_grid_equals_the_plain_one():
     whole = normal.np_norm_ppf(counter.uniform_grid(77, outer, inner))
     for block in (64, 16384):
         assert np.array_equal(normal.np_normal_grid(77, outer, inner, block), whole)
+
+
+def test_permutations_read_backwards():
+    for n in (1, 2, 7, 1000, 1025):
+        back = permutation.Backwards(5, np.arange(n), n)
+        for seed in (0, 9):
+            forth = permutation.permuted(5, np.full(n, seed), np.arange(n), n)
+            assert np.array_equal(back.places(seed)[forth], np.arange(n))

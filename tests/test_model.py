@@ -529,3 +529,34 @@ def test_mixing_does_not_copy_tiles_for_each_stretch(spark, monkeypatch):
     z = [r["z"] for r in copula.mix_rows(scores, 1000, 7, 64, 1, 64).orderBy("synth").collect()]
     e = np_norm_ppf(counter.uniform_grid(7, np.arange(1000), np.arange(64)))
     assert met == [64] and np.allclose(z, e.sum(1) / 8, atol=1e-12)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_drawn_distances_make_no_sample_rows(spark, monkeypatch, few):
+    """Counted by value or swept, draws have the distances of their samples and their weighted cells; seeds may be shared."""
+    if not few:
+        monkeypatch.setattr(bs, "COUNT_VALUES", 0)
+    monkeypatch.setattr(bs, "SEED_RANGE", 5)
+    rng = np.random.default_rng(31)
+    made = {"whole": rng.integers(0, 4, 700).astype(float), "zeros": np.where(rng.random(700) < 0.7, 0.0, 2.5)}
+    rows = [(3 * k + 1, f, None if f == "zeros" and k % 9 == 0 else float(v)) for f, own in made.items() for k, v in enumerate(own)]
+    synthetic = stage(spark.createDataFrame(rows, "id bigint, feature string, value double").repartition(3))
+    original = stage(cells_of(spark, {"whole": rng.integers(0, 6, 80).astype(float), "zeros": rng.integers(0, 2, 80) * 2.5}))
+    ids = synthetic.select("id").distinct()
+    assert bs._counted(bs.numbered(ids), 700, 200, [1], synthetic, original) is not None or not few
+    samples = stage(bs.draw_samples(ids, 200, 12, 42))
+    assert samples.groupBy("draw").agg(F.count_distinct("id").alias("n")).filter("n = 200").count() == 12
+    want = {(r["draw"], r["feature"]): r for r in bs.replicate_distances(samples, synthetic, original).collect()}
+    monkeypatch.setattr(bs, "draw_samples", None)
+    drawn = bs.drawn_distances(ids, 200, 12, 42, synthetic, original)
+    got = {(r["draw"], r["feature"]): r for r in drawn.distances.collect()}
+    assert got.keys() == want.keys() and len(got) == 24
+    for key, r in got.items():
+        assert (r["n1"], r["n2"]) == (want[key]["n1"], want[key]["n2"]) and r["ks"] == pytest.approx(want[key]["ks"], abs=1e-12)
+    some = stage(samples.select("draw", "seed").distinct().filter("draw % 4 = 1"))
+    plain = stage(some.select("draw").join(samples, "draw").join(synthetic, "id").select("draw", "feature", "value"))
+    cells = stage(drawn.cells(some))
+    assert cells.agg(F.sum("weight")).first()[0] == plain.filter("value is not null").count()
+    kl = lambda df: {(r["draw"], r["feature"]): r["kl_divergence"] for r in evaluate.kl_divergence(df, original, draws=["draw"], nan_policy="zero").collect()}
+    one, two = kl(plain), kl(cells)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)

@@ -67,11 +67,24 @@ def ks_test(
 
 
 def weighted_values(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equal values collapsed to one row with their count as ``weight``."""
+    """Equal values collapsed to one row with their count as ``weight``; cells that have one are collapsed already."""
+    if "weight" in cells.columns:
+        return cells.filter(F.col("value").isNotNull()).select(*keys, "value", "weight")
     return cells.filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("weight"))
 
 
 def _side_stats(cells: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    if "weight" in cells.columns:
+        known = cells.filter(F.col("value").isNotNull())
+        sums = known.groupBy(*keys).agg(
+            F.sum("weight").alias(f"n_{side}"), F.min("value").alias(f"mn_{side}"), F.max("value").alias(f"mx_{side}"), F.sum(F.col("value") * F.col("weight")).alias("__sum")
+        )
+        means = stage(sums.withColumn("__mean", div(F.col("__sum"), F.col(f"n_{side}"))).drop("__sum"))
+        gap = F.col("value") - F.col("__mean")
+        spread = attach(known, means.select(*keys, "__mean"), list(keys), row_bytes=64).groupBy(*keys).agg(F.sum(gap * gap * F.col("weight")).alias("__squares"))
+        n = F.col(f"n_{side}").cast("double")
+        h = F.when(n > 1, F.sqrt(F.col("__squares") / (n - 1.0)) * F.pow(n, F.lit(-0.2)))
+        return means.join(spread, list(keys)).withColumn(f"h_{side}", h).drop("__mean", "__squares")
     return (
         cells.filter(F.col("value").isNotNull())
         .groupBy(*keys)
@@ -112,7 +125,7 @@ def kl_divergence(
 
     The grid spans the joint range and the sum has no width factor. ``draws`` names extra
     keys of ``sample`` (replicates); the density of the original is computed once per
-    distinct grid, not once per replicate. Where one side has no spread the result is null.
+    distinct grid, not once per replicate. A ``weight`` column of ``sample`` counts equal values. Where one side has no spread the result is null.
     ``nan_policy`` decides 0 * ln 0: "propagate" makes the sum NaN, "zero" counts it as 0.
     """
     keys = [*draws, "feature"]

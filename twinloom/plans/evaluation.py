@@ -55,21 +55,15 @@ def bootstrap(
         raise ValueError("no feature passes the zero-share filter")
     real = stage(attach(original, names, ["feature"], row_bytes=64))
     made = stage(attach(synthetic.features, names, ["feature"], row_bytes=64))
-    samples = stage(bs.draw_samples(ids, sample_size, iterations, root_seed))
-    distances = bs.replicate_distances(samples, made, real)
-    scores = stage(bs.replicate_scores(stage(distances), n_features, root_seed, method, exact_limit))
+    drawn = bs.drawn_distances(ids, sample_size, iterations, root_seed, made, real)
+    scores = stage(bs.replicate_scores(drawn.distances, n_features, root_seed, method, exact_limit))
     tied = stage(bs.tied_best(scores))
     winner = tied.first()["draw"]
     if tied.count() > 1:
-        cells = stage(
-            attach(samples, tied.select("draw"), ["draw"], row_bytes=32)
-            .join(made, "id")
-            .select("draw", "feature", "value")
-        )
-        kl = stage(ev.kl_divergence(cells, real, draws=["draw"], nan_policy=nan_policy))
+        kl = stage(ev.kl_divergence(stage(drawn.cells(tied)), real, draws=["draw"], nan_policy=nan_policy))
         winner = bs.select_best(tied, kl, n_features)
-    chosen = samples.filter(F.col("draw") == winner).select("id")
     seed = int(scores.filter(F.col("draw") == winner).first()["seed"])
+    chosen = stage(bs.sample_by_seed(ids, sample_size, seed))
     report = bs.statistics(made.join(chosen, "id", "left_semi"), real, method, nan_policy, exact_limit)
     return Bootstrap(
         seed,
