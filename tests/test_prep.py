@@ -224,3 +224,22 @@ def test_quantiles_do_not_depend_on_partitions(spark, partitions):
             assert got[g, p] == sorted(own)[max(math.ceil(p * len(own)), 1) - 1]
     assert len(got) == 15
     assert ordered.quantiles(counts.limit(0), ["g"], "v", "w", shares).count() == 0
+
+
+def test_cells_are_made_in_more_tasks_as_lines_grow(spark, tmp_path, monkeypatch):
+    """No step between the lines and their cells has fewer partitions than their number asks for."""
+    from contract import tables
+
+    monkeypatch.setattr(tables, "LINES", 10)
+    n = 120
+    spark.range(n).selectExpr("id % 7 as l_orderkey", "id % 3 as l_partkey", "double(id) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id as o_orderkey", "id % 5 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).selectExpr("id as p_partkey", "concat('Brand#', id % 2) as p_brand", "'x' as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    cells = tables.cells(spark, str(tmp_path))
+    want = {(c, f"Brand#{b}"): 0.0 for c in range(6) for b in range(2)}
+    for i in range(n):
+        want[i % 7 % 5, f"Brand#{i % 3 % 2}"] += i
+    assert {(r["id"], r["feature"]): r["value"] for r in cells.collect()} == want
+    plan = tables.wide(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 12") >= 3 and "RepartitionByExpression [o_custkey" in plan.replace("id#", "o_custkey#")
