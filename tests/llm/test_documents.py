@@ -692,3 +692,21 @@ def test_queries_and_pipeline(spark, tmp_path):
         sizes.append(sorted({r["doc_id"] for r in docs.collect()}))
     assert sizes == [[2, 3, 4, 5, 6], [2, 4, 5, 6], [2, 5, 6], [2, 5], [2, 5]]
     assert sorted({r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == [2, 5]
+
+
+def test_suffix_arrays_of_a_large_batch_stay_small():
+    """However long a batch is, the arrays of one slice are held at a time."""
+    import tracemalloc
+
+    draw = random.Random(1)
+    words = [f"w{k}" for k in range(20000)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(3600)]
+    block = decontamination.Block(["a"], [texts[3]])
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tracemalloc.start()
+    found = 0
+    for piece in decontamination.pieces([batch], "text", decontamination.SHARD):
+        found += sum(map(bool, decontamination.longest(block, decontamination.words_of(piece.column("text")))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1 and peak < 120e6

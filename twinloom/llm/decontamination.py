@@ -37,7 +37,7 @@ WINDOW = 13
 SHARE = 20
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose suffixes are sorted together.
-SHARD = 4 << 20
+SHARD = 2 << 20
 
 
 def sorted_suffixes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
