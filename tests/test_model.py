@@ -560,3 +560,40 @@ def test_drawn_distances_make_no_sample_rows(spark, monkeypatch, few):
     kl = lambda df: {(r["draw"], r["feature"]): r["kl_divergence"] for r in evaluate.kl_divergence(df, original, draws=["draw"], nan_policy="zero").collect()}
     one, two = kl(plain), kl(cells)
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
+
+
+def test_counting_shuffles_no_product_of_cells_and_draws():
+    """Copies of lines and vectors together stay near the root of their product, whatever the number of cells; vectors held are bounded."""
+    for copies, seeds in ((1, 200), (10, 1900), (60, 7200), (600, 10_000)):
+        n = 54_000 * copies
+        lines, vectors = 4 * 25 * n + 16 * n, 4 * 5_500 * seeds
+        chunks, blocks = bs._dealt(n * seeds, lines, vectors, seeds, 12)
+        assert chunks * blocks <= 2 * 4 * 12
+        assert chunks * vectors + blocks * lines < 30e6 * copies * 16
+        assert vectors / blocks <= bs.COUNT_BYTES
+    assert bs._dealt(10**12, 1 << 20, 1 << 32, 10_000, 1)[1] >= 64
+    assert bs._dealt(100, 0, 0, 3, 8) == (1, 1)
+
+
+@pytest.mark.parametrize("cells", [60, 1 << 22])
+def test_units_of_ids_and_seeds_add_up(spark, monkeypatch, cells):
+    """Units, slices, words of seeds and stretches beyond 255 ids count what the samples' rows hold; bits meet cells without copies."""
+    monkeypatch.setattr(bs, "COUNT_PAIRS", 40)
+    monkeypatch.setattr(bs, "UNIT_CELLS", cells)
+    on = []
+    plain = bs.attach
+    monkeypatch.setattr(bs, "attach", lambda big, small, keys, **more: on.append(keys) or plain(big, small, keys, **more))
+    rng = np.random.default_rng(8)
+    made = {"hot": np.where(rng.random(2000) < 0.9, 0.0, 1.0), "few": rng.integers(0, 5, 2000).astype(float)}
+    rows = [(k * 7, f, float(v)) for f, own in made.items() for k, v in enumerate(own) if f == "hot" or k % 3]
+    synthetic = stage(spark.createDataFrame(rows, "id bigint, feature string, value double").repartition(5))
+    original = stage(cells_of(spark, {"hot": np.zeros(9), "few": rng.integers(0, 7, 9).astype(float)}))
+    ids = synthetic.select("id").distinct()
+    samples = stage(bs.draw_samples(ids, 900, 21, 42))
+    drawn = bs.drawn_distances(ids, 900, 21, 42, synthetic, original)
+    got = {(r["draw"], r["feature"], r["value"]): r["weight"] for r in drawn.cells(samples.select("draw", "seed").distinct()).collect()}
+    want = samples.join(synthetic, "id").groupBy("draw", "feature", "value").count().collect()
+    assert got == {(r["draw"], r["feature"], r["value"]): r["count"] for r in want}
+    swept = {(r["draw"], r["feature"]): r["ks"] for r in bs.replicate_distances(samples, synthetic, original).collect()}
+    assert swept == pytest.approx({(r["draw"], r["feature"]): r["ks"] for r in drawn.distances.collect()}, abs=1e-12)
+    assert on and ["id"] not in on
