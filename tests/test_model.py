@@ -597,3 +597,16 @@ def test_units_of_ids_and_seeds_add_up(spark, monkeypatch, cells):
     swept = {(r["draw"], r["feature"]): r["ks"] for r in bs.replicate_distances(samples, synthetic, original).collect()}
     assert swept == pytest.approx({(r["draw"], r["feature"]): r["ks"] for r in drawn.distances.collect()}, abs=1e-12)
     assert on and ["id"] not in on
+
+
+def test_rows_are_dealt_evenly_before_they_are_reduced(spark, monkeypatch):
+    """Scores that come in one part are read by several tasks, with whole ids and about as many rows each."""
+    scores = spark.range(600).select(F.explode(F.array(*[F.struct("id", F.lit(f"x{j}").alias("feature"), F.sin(F.col("id") * (j + 1)).alias("z")) for j in range(4)])).alias("c")).select("c.*")
+    seen = []
+    tiles = copula._cross_tiles
+    monkeypatch.setattr(copula, "_cross_tiles", lambda df, *more: seen.append(df) or tiles(df, *more))
+    reduced = copula.reduce_rows(scores.coalesce(1), 600, 4, 2)
+    per = [r["count"] for r in seen[0].groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert len(per) > 1 and sum(per) == 2400 and max(per) < 2400 * 2 / len(per) and all(n % 4 == 0 for n in per)
+    gram = lambda df: {(r["a"], r["b"]): r["s"] for r in df.alias("l").join(df.alias("r"), "id").groupBy(F.col("l.feature").alias("a"), F.col("r.feature").alias("b")).agg(F.sum(F.col("l.z") * F.col("r.z")).alias("s")).collect()}
+    assert gram(reduced) == pytest.approx(gram(scores), abs=1e-6)
