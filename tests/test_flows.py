@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tests.conftest import COLONIES, STRAIN_ZEROS, STRAINS
 from twinloom.operators.copula import Inequality, sample_parts
 from twinloom.operators.prep import Cohort
+from twinloom.plans import synthesis
 from twinloom.plans.evaluation import REPORT_COLUMNS, bootstrap, write_bootstrap
 from twinloom.plans.synthesis import Group, Settings, synthesize, write_synthetic
 from twinloom.sources.tables import read_table
@@ -80,6 +81,22 @@ def test_bootstrap_and_sinks(spark, cohort, made, tmp_path):
     assert read_table(spark, f"{out}/feature_statistics").columns == list(REPORT_COLUMNS)
 
 
+def test_wide_features_are_made_in_partitions_of_bounded_cells(spark, made, tmp_path, monkeypatch):
+    seen, pivot = [], synthesis.prep.pivot_features
+
+    def kept(*args, **named):
+        seen.append(pivot(*args, **named))
+        return seen[-1]
+
+    monkeypatch.setattr(synthesis, "CELLS", 20, raising=False)
+    monkeypatch.setattr(synthesis.prep, "pivot_features", kept)
+    write_synthetic(made, str(tmp_path / "wide"), STRAINS)
+    cells = made.features.count()
+    assert seen[0].rdd.getNumPartitions() >= cells / 20 > 4  # the session has 4
+    wide = read_table(spark, str(tmp_path / "wide" / "features"))
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, pivot(made.features, STRAINS).collect()))
+
+
 def test_user_preparation_step(cohort):
     def busy(c: Cohort) -> Cohort:
         return Cohort(c.clinical.filter("visits >= 30"), c.features, c.n_features)

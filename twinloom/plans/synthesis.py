@@ -14,7 +14,10 @@ from twinloom.functions.names import ref
 from twinloom.operators import assemble, copula, marginals, prep
 from twinloom.operators.prep import Cohort
 from twinloom.sources.tables import write_table
-from twinloom.staging import stage
+from twinloom.staging import stage, tasks
+
+# Cells that meet in one task of the wide table.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -219,6 +222,8 @@ def write_synthetic(result: Cohort, path: str, feature_names: Sequence[str] | No
     """Write both tables; with ``feature_names`` the features go out wide in that order."""
     features = result.features
     if feature_names is not None:
-        features = prep.pivot_features(features, feature_names)
+        # as in the cohort's own tables: a task holds a group for each id and feature
+        parts = max(tasks(features.sparkSession), -(-features.count() // CELLS))
+        features = prep.pivot_features(features, feature_names, parts=parts)
     write_table(result.clinical, f"{path}/clinical", fmt)
     write_table(features, f"{path}/features", fmt)
