@@ -135,3 +135,24 @@ def test_permutations_read_backwards():
         for seed in (0, 9):
             forth = permutation.permuted(5, np.full(n, seed), np.arange(n), n)
             assert np.array_equal(back.places(seed)[forth], np.arange(n))
+
+
+def test_normal_products_equal_those_of_the_grid():
+    outer = np.r_[np.arange(60), 2**33 + 3]
+    for inner in (np.arange(5), np.r_[np.arange(-40, 3000) * 977, 2**41 + np.arange(60)]):
+        whole = normal.np_normal_grid(77, outer, inner)
+        assert len(inner) < 6 or (np.abs(whole) > normal.REACH).any()
+        for block, held in ((64, 64), (1000, 9001), (32768, 1 << 18)):
+            made = normal.np_normal_products(77, outer, inner, np.eye(len(inner)), block, held) - whole
+            assert np.abs(made).max() < 3e-12 and np.sqrt((made**2).mean()) < 2e-13
+    assert normal.np_normal_products(77, outer, inner[:0], np.zeros((0, 3))).tolist() == [[0.0] * 3] * len(outer)
+
+
+def test_normal_expansions_serve_every_place_of_their_segments():
+    middles, slopes, last = normal._segments()
+    inside = np.flatnonzero(slopes <= last)
+    for d in (-(2.0**31), -1e9, 0.5, 1.3e9, 2.0**31 - 1):
+        t = slopes[inside] * d
+        made = (middles[inside] + t / (1.0 - middles[inside] * t)) * math.sqrt(2.0)
+        u = (inside + 0.5 + 2.0**-33 + d * 2.0**-32) / normal.SEGMENTS
+        assert np.abs(made - normal.np_norm_ppf(u)).max() < 3e-12
