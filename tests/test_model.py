@@ -632,3 +632,20 @@ def test_mixing_deals_tiles_evenly(spark, monkeypatch):
     assert np.allclose(z, e.sum(1) / 20, atol=1e-12)
     hits = np.bincount(dealt, minlength=4)
     assert len(dealt) > 90 and hits.max() - hits.min() < 5
+
+
+def test_cells_meet_their_tables_without_null_arrays(spark, monkeypatch):
+    """A null array makes Spark go through all nulls before it in the batch, for each row."""
+    sent = []
+    plain = type(spark.range(1)).mapInArrow
+
+    def watched(df, *args):
+        sent.append(df.filter(F.col("table").isNull()).count())
+        return plain(df, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", watched)
+    rows = spark.range(50).select("id", F.lit("f").alias("feature"), (F.col("id") / 49.0).alias("x"))
+    tables = spark.range(1).select(F.lit("f").alias("feature"), F.expr("transform(sequence(0, 10), k -> k * 3D)").alias("t"), F.lit(0.0).alias("first"), F.lit(1.0).alias("last"))
+    found = {r["id"]: r["y"] for r in copula._looked_up(rows, tables, "id", "x", "t", 3).collect()}
+    assert sent == [0] and len(found) == 50
+    assert all(y == pytest.approx(30.0 * k / 49.0) for k, y in found.items())
